@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexgrid.llm import mixing, quality_rules, url_filters
+from lexgrid.llm import license_scan, mixing, quality_rules, sentencepiece_codec, url_filters
 from lexgrid.llm.common import table
 
 
@@ -24,7 +24,17 @@ def op6_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filters.judge(pages).select("page_id", "url_filter.*")
 
 
-QUERIES = {"op1_mixing": op1_mixing, "op2_quality_rules": op2_quality_rules, "op6_url_filters": op6_url_filters}
+def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return sentencepiece_codec.encode(docs, "piece_bpe_32k.model", digest=True)
+
+
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return license_scan.scan(docs).drop("license_spans")
+
+
+QUERIES = {"op1_mixing": op1_mixing, "op2_quality_rules": op2_quality_rules, "op6_url_filters": op6_url_filters, "op7_sentencepiece": op7_sentencepiece, "op10_license_scan": op10_license_scan}
 
 OP2_SQL = r"""
 WITH d AS (
