@@ -39,6 +39,16 @@ def count_of(text: Column, characters: str) -> Column:
     return F.length(F.regexp_replace(text, f"[^{characters}]+", ""))
 
 
+#: A set of keys is broadcast up to so many rows (16 bytes each, some 50 MB as a hashed table); beyond, the join is shuffled.
+BROADCAST_ROWS = 1_000_000
+
+
+def join_by_key(df: DataFrame, keys: DataFrame, key: str) -> DataFrame:
+    """Rows of df whose key is among the distinct, narrow keys; large texts stay where they are if the keys are few."""
+    few = keys.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    return df.join(F.broadcast(keys) if few else keys, key, "left_semi")
+
+
 def shared_folder(spark: SparkSession) -> str:
     """A folder for written tables under spark.checkpoint.dir; a local one only where that is unset, as in tests."""
     root = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}/lexgrid-checkpoints"

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexgrid.llm import license_scan, mixing, quality_rules, sentencepiece_codec, url_filters
-from lexgrid.llm.common import table
+from lexgrid.llm import license_scan, lm_scoring, mixing, quality_classifier, quality_rules, sentencepiece_codec, url_filters
+from lexgrid.llm.common import join_by_key, table
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,6 +19,12 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(docs).select("doc_id", "rules.*").drop("cleaned")
 
 
+def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality_classifier.fit(docs, table(spark, sf_dir, "labels"))
+    return quality_classifier.score(docs, model).drop("text")
+
+
 def op6_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     return url_filters.judge(pages).select("page_id", "url_filter.*")
@@ -29,12 +35,18 @@ def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_codec.encode(docs, "piece_bpe_32k.model", digest=True)
 
 
+def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    good = table(spark, sf_dir, "labels").where("quality = 1 AND toxic = 0").select("doc_id").distinct()
+    return lm_scoring.score(docs, join_by_key(docs, good, "doc_id"))
+
+
 def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return license_scan.scan(docs).drop("license_spans")
 
 
-QUERIES = {"op1_mixing": op1_mixing, "op2_quality_rules": op2_quality_rules, "op6_url_filters": op6_url_filters, "op7_sentencepiece": op7_sentencepiece, "op10_license_scan": op10_license_scan}
+QUERIES = {"op1_mixing": op1_mixing, "op2_quality_rules": op2_quality_rules, "op4_quality_classifier": op4_quality_classifier, "op6_url_filters": op6_url_filters, "op7_sentencepiece": op7_sentencepiece, "op9_lm_scoring": op9_lm_scoring, "op10_license_scan": op10_license_scan}
 
 OP2_SQL = r"""
 WITH d AS (
