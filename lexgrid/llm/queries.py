@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexgrid.llm import license_scan, lm_scoring, mixing, quality_classifier, quality_rules, sentencepiece_codec, url_filters
+from lexgrid.llm import license_scan, lm_scoring, mixing, nearest, quality_classifier, quality_rules, sentencepiece_codec, url_filters
 from lexgrid.llm.common import join_by_key, table
 
 
@@ -19,6 +19,10 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(docs).select("doc_id", "rules.*").drop("cleaned")
 
 
+def op3_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = quality_classifier.fit(docs, table(spark, sf_dir, "labels"))
@@ -46,7 +50,7 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(docs).drop("license_spans")
 
 
-QUERIES = {"op1_mixing": op1_mixing, "op2_quality_rules": op2_quality_rules, "op4_quality_classifier": op4_quality_classifier, "op6_url_filters": op6_url_filters, "op7_sentencepiece": op7_sentencepiece, "op9_lm_scoring": op9_lm_scoring, "op10_license_scan": op10_license_scan}
+QUERIES = {"op1_mixing": op1_mixing, "op2_quality_rules": op2_quality_rules, "op3_nearest": op3_nearest, "op4_quality_classifier": op4_quality_classifier, "op6_url_filters": op6_url_filters, "op7_sentencepiece": op7_sentencepiece, "op9_lm_scoring": op9_lm_scoring, "op10_license_scan": op10_license_scan}
 
 OP2_SQL = r"""
 WITH d AS (
