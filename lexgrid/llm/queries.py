@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexgrid.llm import license_scan, lm_scoring, mixing, nearest, quality_classifier, quality_rules, sentencepiece_codec, url_filters
+from lexgrid.llm import html_extract, license_scan, lm_scoring, mixing, nearest, quality_classifier, quality_rules, sentencepiece_codec, url_filters
 from lexgrid.llm.common import join_by_key, table
 
 
@@ -29,6 +29,10 @@ def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_classifier.score(docs, model).drop("text")
 
 
+def op5_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract_text(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
 def op6_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     return url_filters.judge(pages).select("page_id", "url_filter.*")
@@ -50,7 +54,7 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(docs).drop("license_spans")
 
 
-QUERIES = {"op1_mixing": op1_mixing, "op2_quality_rules": op2_quality_rules, "op3_nearest": op3_nearest, "op4_quality_classifier": op4_quality_classifier, "op6_url_filters": op6_url_filters, "op7_sentencepiece": op7_sentencepiece, "op9_lm_scoring": op9_lm_scoring, "op10_license_scan": op10_license_scan}
+QUERIES = {"op1_mixing": op1_mixing, "op2_quality_rules": op2_quality_rules, "op3_nearest": op3_nearest, "op4_quality_classifier": op4_quality_classifier, "op5_html_extract": op5_html_extract, "op6_url_filters": op6_url_filters, "op7_sentencepiece": op7_sentencepiece, "op9_lm_scoring": op9_lm_scoring, "op10_license_scan": op10_license_scan}
 
 OP2_SQL = r"""
 WITH d AS (
