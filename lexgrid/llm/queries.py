@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexgrid.llm import html_extract, license_scan, lm_scoring, mixing, nearest, quality_classifier, quality_rules, sentencepiece_codec, url_filters
+from lexgrid.llm import html_extract, jaccard_join, license_scan, lm_scoring, mixing, nearest, quality_classifier, quality_rules, sentencepiece_codec, url_filters
 from lexgrid.llm.common import join_by_key, table
 
 
@@ -43,6 +43,10 @@ def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_codec.encode(docs, "piece_bpe_32k.model", digest=True)
 
 
+def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.components(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     good = table(spark, sf_dir, "labels").where("quality = 1 AND toxic = 0").select("doc_id").distinct()
@@ -54,7 +58,7 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(docs).drop("license_spans")
 
 
-QUERIES = {"op1_mixing": op1_mixing, "op2_quality_rules": op2_quality_rules, "op3_nearest": op3_nearest, "op4_quality_classifier": op4_quality_classifier, "op5_html_extract": op5_html_extract, "op6_url_filters": op6_url_filters, "op7_sentencepiece": op7_sentencepiece, "op9_lm_scoring": op9_lm_scoring, "op10_license_scan": op10_license_scan}
+QUERIES = {"op1_mixing": op1_mixing, "op2_quality_rules": op2_quality_rules, "op3_nearest": op3_nearest, "op4_quality_classifier": op4_quality_classifier, "op5_html_extract": op5_html_extract, "op6_url_filters": op6_url_filters, "op7_sentencepiece": op7_sentencepiece, "op8_jaccard_join": op8_jaccard_join, "op9_lm_scoring": op9_lm_scoring, "op10_license_scan": op10_license_scan}
 
 OP2_SQL = r"""
 WITH d AS (
