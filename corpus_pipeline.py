@@ -1,11 +1,55 @@
-"""The corpus pipeline: stages are filled in below."""
+"""The corpus pipeline: quality classifier, quality rules, near duplicates, mixing, SentencePiece encoding.
 
-STAGES: list = []
+STAGES lists (name, function); a function takes (spark, docs, sf_dir) and returns a DataFrame, written as Parquet and read
+again as the next one's docs. All but the last return the columns they were given.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from lexgrid.llm import jaccard_join, mixing, quality_classifier, quality_rules, sentencepiece_codec
+from lexgrid.llm.common import shared_folder
+
+
+def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier predicts to be good."""
+    model = quality_classifier.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return quality_classifier.score(docs, model).where("predicted = 1").select(*docs.columns)
+
+
+def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that pass the quality rules."""
+    return quality_rules.clean(docs)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of linked documents the one with the smallest id."""
+    return jaccard_join.keep_one(docs)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents in mixed order; sources weigh as the square root of what is left of them."""
+    return mixing.mix(docs)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of each document, with the end id, and the spans of its text's bytes."""
+    return sentencepiece_codec.encode(docs, "piece_bpe_32k.model")
+
+
+STAGES = [("quality classifier", classify), ("quality rules", rules), ("near duplicates", near_duplicates), ("mixing", mix), ("encoding", encode)]
+#: The fitted classifier and the encoding have no SQL form.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the documents; each stage's result is written to the shared folder."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    root = shared_folder(spark)
+    for i, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if i < len(STAGES) - 1:
+            docs.write.parquet(f"{root}/{i}")
+            docs = spark.read.parquet(f"{root}/{i}")
     return docs
