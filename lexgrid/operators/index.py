@@ -62,10 +62,5 @@ def save_index(index: Index, path: str, mode: str = "overwrite") -> None:
 
 
 def load_index(spark: SparkSession, path: str) -> Index:
-    read = lambda name, schema: spark.read.schema(schema).parquet(f"{path}/{name}")
-    return Index(
-        read("postings", "term string, doc_id bigint, weight double, lang string"),
-        read("documents", "doc_id bigint, lang string"),
-        read("vocabulary", "term string, n bigint, lang string"),
-        spark.read.parquet(f"{path}/meta"),
-    )
+    read = lambda name: spark.read.parquet(f"{path}/{name}")  # noqa: E731  ids may be numbers or strings
+    return Index(read("postings"), read("documents"), read("vocabulary"), read("meta"))
