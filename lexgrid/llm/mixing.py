@@ -12,7 +12,7 @@ DataFrame functions only on the data. Ranks within a source come from small hash
 with a third of all rows is spread over as many tasks as its rows need.
 
 Defined cases: a null source is a source of its own. Sources without a stated weight get `default`. Equal rows keep one place
-each. An empty table gives no rows. Extra columns pass through; helper names begin with two underscores.
+each. An empty table gives no rows. Extra columns pass through, whatever their names.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ import json
 import math
 from collections.abc import Mapping
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -99,22 +99,22 @@ def schedule(docs: DataFrame, source: str = "source", key: str = "doc_id", weigh
     for r in rows:
         r["s"] = counts[r["s"]][0]
     kind = "array<struct<s:string,first:bigint,n:bigint,start:bigint,q:bigint,w:bigint,at:array<bigint>>>"
-    phases = spark.range(1).select(F.inline(F.from_json(F.lit(json.dumps(rows)), kind))).withColumnRenamed("s", "__s")
+    phases = spark.range(1).select(F.inline(F.from_json(F.lit(json.dumps(rows)), kind)))
 
     buckets = -(-total // max(1024, math.isqrt(total)))
-    whole: Column = F.xxhash64(*[F.col(f"`{c}`") for c, t in docs.dtypes if not t.startswith("map")])
-    d = docs.withColumn("__h", F.xxhash64(F.lit(seed), F.col(key))).withColumn("__b", F.pmod(F.xxhash64(F.lit(seed + 1), F.col(key), F.pmod(whole, F.lit(64))), F.lit(buckets))).withColumn("__r", whole)
-    sizes = d.groupBy(F.col(source).alias("__s"), F.col("__b").alias("__b2")).agg(F.count("*").alias("__n"))
-    before = sizes.withColumn("__off", F.sum("__n").over(W.partitionBy("__s").orderBy("__b2")) - F.col("__n")).drop("__n")
-    local = F.row_number().over(W.partitionBy(source, "__b").orderBy("__h", key, "__r"))
-    d = d.withColumn("__i", local - 1)
-    d = d.join(F.broadcast(before) if len(counts) * buckets <= 200_000 else before, F.col(source).eqNullSafe(F.col("__s")) & (F.col("__b") == F.col("__b2"))).withColumn("__i", F.col("__i") + F.col("__off")).drop("__s", "__b2")
-    d = d.withColumn("__j", F.expr(f"__i div {block}"))
-    spots = phases.withColumn("__p", F.col("start"))
-    d = d.join(F.broadcast(spots), F.col(source).eqNullSafe(F.col("__s")) & (F.col("__j") >= F.col("first")) & (F.col("__j") < F.col("first") + F.col("n")))  # at most sources * (sources + 1) / 2 rows
-    j = F.col("__j") - F.col("first")
-    slot = F.col("start") + F.expr("(__j - first) div w") * F.col("q") + F.get("at", F.pmod(j, F.col("w")).cast("int"))
-    return d.select(*[d[f"`{c}`"] for c in docs.columns], slot.alias("mix_slot"), F.pmod(F.col("__i"), F.lit(block)).cast("int").alias("mix_seq"))
+    whole = F.xxhash64(*[F.col(f"`{c}`") for c, t in docs.dtypes if "map<" not in t])
+    d = docs.select(F.struct("*").alias("row"), F.col(source).alias("src"), F.col(key).alias("key"), whole.alias("r"))
+    d = d.withColumn("h", F.xxhash64(F.lit(seed), "key")).withColumn("bucket", F.pmod(F.xxhash64(F.lit(seed + 1), "key", F.pmod("r", F.lit(64))), F.lit(buckets)))
+    sizes = d.groupBy(F.col("src").alias("s"), F.col("bucket").alias("b")).agg(F.count("*").alias("size"))
+    before = sizes.withColumn("off", F.sum("size").over(W.partitionBy("s").orderBy("b")) - F.col("size")).drop("size")
+    local = F.row_number().over(W.partitionBy("src", "bucket").orderBy("h", "key", "r"))
+    d = d.withColumn("i", local - 1)
+    d = d.join(F.broadcast(before) if len(counts) * buckets <= 200_000 else before, F.col("src").eqNullSafe(F.col("s")) & (F.col("bucket") == F.col("b")))
+    d = d.select("row", "src", (F.col("i") + F.col("off")).alias("i")).withColumn("j", F.expr(f"i div {block}"))
+    # The broadcast plan has at most sources * (sources + 1) / 2 rows, and a phase's cycles add up to its weights.
+    d = d.join(F.broadcast(phases), F.col("src").eqNullSafe(F.col("s")) & (F.col("j") >= F.col("first")) & (F.col("j") < F.col("first") + F.col("n")))
+    slot = F.col("start") + F.expr("(j - first) div w") * F.col("q") + F.get("at", F.pmod(F.col("j") - F.col("first"), F.col("w")).cast("int"))
+    return d.select("row.*", slot.alias("mix_slot"), F.pmod("i", F.lit(block)).cast("int").alias("mix_seq"))
 
 
 def mix(docs: DataFrame, **options) -> DataFrame:

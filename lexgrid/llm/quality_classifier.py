@@ -112,7 +112,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     role = known.unionByName(rest.join(labels.select(key), key, "left_anti").limit(sample).withColumn("__y", F.lit(-1)))
     rows = docs.select(key, text).join(F.broadcast(role), key).select("__y", features(F.col(text)).alias("__x")).toArrow()  # at most 2 * sample rows of numbers
     y = np.asarray(rows.column("__y"))
-    x = np.asarray(rows.column("__x").combine_chunks().flatten(), dtype=float).reshape(len(y), -1)
+    x = np.asarray(rows.column("__x").combine_chunks().flatten(), dtype=float).reshape(len(y), len(FEATURES))
     positive, negative, unlabelled = x[y == 1], x[y == 0], x[y == -1]
     if not len(positive):
         return Model((0.0,) * 2 * len(FEATURES), (1.0,) * 2 * len(FEATURES), (0.0,) * 2 * len(FEATURES), 0.0, 0.5)

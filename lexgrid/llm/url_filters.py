@@ -51,7 +51,7 @@ def segments(path: Column) -> Column:
 def judge(pages: DataFrame, url: str = "url", rules: Sequence[tuple[str, str, str]] = RULES) -> DataFrame:
     """All columns of pages plus a struct column `url_filter`: host, path, rule, verdict, template, n_labelled, n_blocked."""
     host, path = split_url(F.col(url))
-    d = pages.withColumn("__host", host).withColumn("__path", path)
+    d = pages.select(F.struct("*").alias("row"), host.alias("__host"), path.alias("__path"))
     rule, verdict = rule_of(F.col("__host"), F.col("__path"), rules)
     d = d.withColumn("__rule", rule).withColumn("__rv", verdict).withColumn("__seg", segments(F.col("__path")))
     labelled, blocked = F.col("__rv").isNotNull().cast("long"), (F.col("__rv") == "block").cast("long")
@@ -87,4 +87,4 @@ def judge(pages: DataFrame, url: str = "url", rules: Sequence[tuple[str, str, st
         F.col("__host").alias("host"), F.col("__path").alias("path"), F.col("__rule").alias("rule"), F.coalesce("__rv", "__tv").alias("verdict"),
         F.col("__tpl").alias("template"), F.col("__n").alias("n_labelled"), F.col("__b").alias("n_blocked"),
     )
-    return out.select(*pages.columns, found.alias("url_filter"))
+    return out.select("row.*", found.alias("url_filter"))
