@@ -75,10 +75,9 @@ def judge(pages: DataFrame, url: str = "url", rules: Sequence[tuple[str, str, st
     nodes = nodes.withColumn("gn", F.when(F.col("__like"), F.sum("n").over(group)).otherwise(F.col("n"))).withColumn("gb", F.when(F.col("__like"), F.sum("b").over(group)).otherwise(F.col("b")))
     # Smoothing: a template leans on the same template of all hosts, which leans on all urls.
     by_tpl = nodes.groupBy("tpl").agg(F.sum("n").alias("tn"), F.sum("b").alias("tb"))
-    whole = by_tpl.agg(F.sum("tn").alias("an"), F.sum("tb").alias("ab"))
-    nodes = nodes.join(by_tpl, "tpl").join(F.broadcast(whole))  # one row
-    p_all = (F.col("ab") + 1.0) / (F.col("an") + 2.0)
-    p_tpl = (F.col("tb") + PRIOR * p_all) / (F.col("tn") + PRIOR)
+    p_all = by_tpl.agg((F.sum("tb") + 1.0) / (F.sum("tn") + 2.0)).scalar()
+    nodes = nodes.join(by_tpl, "tpl").withColumn("p_all", p_all)
+    p_tpl = (F.col("tb") + PRIOR * F.col("p_all")) / (F.col("tn") + PRIOR)
     purity = (F.col("gb") + PRIOR * p_tpl) / (F.col("gn") + PRIOR)
     nodes = nodes.select("__host", "tpl", F.when(purity > 0.5, "block").otherwise("allow").alias("__tv"), "n", "b")
     verdicts = tree.select("__host", "__seg", "tpl").join(nodes, ["__host", "tpl"]).withColumnsRenamed({"tpl": "__tpl", "n": "__n", "b": "__b"})
