@@ -1,4 +1,4 @@
-"""Snowball stemmers for English and German, written from the published descriptions of the algorithms.
+"""Snowball stemmers for English, German and Spanish, written from the published descriptions of the algorithms.
 
 Languages without one keep their words. The stemmers run in an Arrow batch function; each process stems a word once and keeps
 at most MEMO of them.
@@ -168,7 +168,105 @@ def german(word: str) -> str:
     return w.translate(str.maketrans("UYäöü", "uyaou"))
 
 
-STEMMERS = {"en": english, "de": german}
+SPANISH_VOWELS = "aeiouáéíóúü"
+PLAIN = str.maketrans("áéíóú", "aeiou")
+#: Fixed values of the Spanish algorithm.
+PRONOUNS = "selas selos sela selo las les los nos me se la le lo".split()
+SPANISH_R2 = "amientos imientos amiento imiento anzas ismos ables ibles istas anza icos icas ismo able ible ista osos osas ico ica oso osa".split()
+SPANISH_IC = "aciones adoras adores ancias adora ación antes ancia ador ante".split()
+SPANISH_Y = "yamos yeron yendo yais yan yen yas yes ya ye yo yó".split()
+SPANISH_VERBS = (
+    "arían arías arán arás aríais aría aréis aríamos aremos ará aré erían erías erán erás eríais ería eréis eríamos eremos erá eré irían irías irán irás iríais iría iréis iríamos iremos irá iré "
+    "aba ada ida ía ara iera ad ed id ase iese aste iste an aban ían aran ieran asen iesen aron ieron ado ido ando iendo ió ar er ir as abas adas idas ías aras ieras ases ieses ís áis abais íais "
+    "arais ierais aseis ieseis asteis isteis ados idos amos ábamos íamos imos áramos iéramos iésemos ásemos"
+).split()
+
+
+def _longest(w: str, ends: list[str], start: int = 0) -> str | None:
+    """The longest of the endings that w has, from place start on."""
+    return max((e for e in ends if w.endswith(e) and len(w) - len(e) >= start), key=len, default=None)
+
+
+def _romance_rv(w: str, vowels: str) -> int:
+    if len(w) < 3:
+        return len(w)
+    if w[1] not in vowels:
+        return next((i + 1 for i in range(2, len(w)) if w[i] in vowels), len(w))
+    if w[0] in vowels:
+        return next((i + 1 for i in range(2, len(w)) if w[i] not in vowels), len(w))
+    return 3
+
+
+def spanish(word: str) -> str:
+    v, w = SPANISH_VOWELS, word
+    rv = _romance_rv(w, v)
+    r1, r2 = _regions(w, v)
+    # attached pronouns
+    end = _longest(w, PRONOUNS, rv)
+    if end:
+        rest = w[: -len(end)]
+        verb = _longest(rest, ["iéndo", "ándo", "ár", "ér", "ír", "ando", "iendo", "ar", "er", "ir", "yendo"], rv)
+        if verb and (verb != "yendo" or rest.endswith("uyendo")):
+            w = rest[: -len(verb)] + verb.translate(PLAIN)
+    # standard endings
+    before = w
+    found = _longest(w, [*SPANISH_R2, *SPANISH_IC, "logía", "logías", "ución", "uciones", "encia", "encias", "amente", "mente", "idad", "idades", "iva", "ivo", "ivas", "ivos"])
+    if found:
+        at = len(w) - len(found)
+
+        def drop(*ends: str) -> bool:
+            nonlocal w
+            e = _longest(w, list(ends))
+            if e and len(w) - len(e) >= r2:
+                w = w[: -len(e)]
+                return True
+            return False
+
+        if found == "amente":
+            if at >= r1:
+                w = w[:at]
+                if w.endswith("iv"):
+                    if drop("iv"):
+                        drop("at")
+                else:
+                    drop("os", "ic", "ad")
+        elif at >= r2:
+            w = w[:at]
+            if found in SPANISH_IC:
+                drop("ic")
+            elif found in ("logía", "logías"):
+                w += "log"
+            elif found in ("ución", "uciones"):
+                w += "u"
+            elif found in ("encia", "encias"):
+                w += "ente"
+            elif found == "mente":
+                drop("ante", "able", "ible")
+            elif found in ("idad", "idades"):
+                drop("abil", "ic", "iv")
+            elif found in ("iva", "ivo", "ivas", "ivos"):
+                drop("at")
+    # verb endings
+    if w == before:
+        end = _longest(w, SPANISH_Y, rv)
+        if end and w[: -len(end)].endswith("u"):
+            w = w[: -len(end)]
+        else:
+            end = _longest(w, [*SPANISH_VERBS, "en", "es", "éis", "emos"], rv)
+            if end:
+                w = w[: -len(end)]
+                if end in ("en", "es", "éis", "emos") and w.endswith("gu"):
+                    w = w[:-1]
+    # residual endings
+    end = _longest(w, ["os", "a", "o", "á", "í", "ó", "e", "é"], rv)
+    if end:
+        w = w[: -len(end)]
+        if end in ("e", "é") and w.endswith("gu") and len(w) - 1 >= rv:
+            w = w[:-1]
+    return w.translate(PLAIN)
+
+
+STEMMERS = {"en": english, "de": german, "es": spanish}
 
 
 @functools.lru_cache(MEMO)

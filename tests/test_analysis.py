@@ -55,5 +55,13 @@ def test_german_stems(word, want):
     assert stemming.german(word) == want
 
 
+@pytest.mark.parametrize(
+    ("word", "want"),
+    [("cheques", "chequ"), ("chicharrones", "chicharron"), ("torneado", "torn"), ("chilenas", "chilen"), ("canciones", "cancion"), ("rápidamente", "rapid"), ("comprarlo", "compr"), ("lleguen", "lleg"), ("contribuyendo", "contribu"), ("toreado", "tor"), ("torres", "torr")],
+)
+def test_spanish_stems(word, want):
+    assert stemming.spanish(word) == want
+
+
 def test_language_without_stemmer_keeps_words():
     assert stemming.stem("ko", "학교에서") == "학교에서" and stemming.stem(None, "abc") == "abc"
