@@ -1,4 +1,4 @@
-"""Snowball stemmers for English, German and Spanish, written from the published descriptions of the algorithms.
+"""Snowball stemmers for English, German, Spanish and French, written from the published descriptions of the algorithms.
 
 Languages without one keep their words. The stemmers run in an Arrow batch function; each process stems a word once and keeps
 at most MEMO of them.
@@ -266,7 +266,143 @@ def spanish(word: str) -> str:
     return w.translate(PLAIN)
 
 
-STEMMERS = {"en": english, "de": german, "es": spanish}
+FRENCH_VOWELS = "aeiouyâàëéêèïîôûù"
+#: Fixed values of the French algorithm.
+FRENCH_R2 = "ance iqUe isme able iste eux ances iqUes ismes ables istes".split()
+FRENCH_I = "îmes ît îtes i ie Ie ies ir ira irai iraIent irais irait iras irent irez iriez irions irons iront is issaIent issais issait issant issante issantes issants isse issent isses issez issiez issions issons it".split()
+FRENCH_E = "é ée ées és èrent er era erai eraIent erais erait eras erez eriez erions erons eront ez iez".split()
+FRENCH_A = "âmes ât âtes a ai aIent ais ait ant ante antes ants as asse assent asses assiez assions".split()
+FRENCH_1 = [*FRENCH_R2, *"atrice ateur ation atrices ateurs ations logie logies usion ution usions utions ence ences ement ements ité ités if ive ifs ives eaux aux euse euses issement issements amment emment ment ments".split()]
+
+
+def french(word: str) -> str:
+    v = FRENCH_VOWELS
+    marked = []
+    for i, c in enumerate(word):
+        left, right = i > 0 and marked[-1] in v, i + 1 < len(word) and word[i + 1] in v
+        if c in "ui" and left and right or c == "y" and (left or right) or c == "u" and i > 0 and word[i - 1] == "q":
+            c = c.upper()
+        marked.append(c)
+    w = "".join(marked)
+    if w.startswith(("par", "col", "tap")) or len(w) > 1 and w[0] in v and w[1] in v:
+        rv = min(3, len(w))
+    else:
+        rv = next((i + 1 for i in range(1, len(w)) if w[i] in v), len(w))
+    r1, r2 = _regions(w, v)
+    start = w
+    verbs = False  # whether step 1 leaves the word to the verb endings
+
+    def cut(end: str, start: int, new: str = "") -> bool:
+        nonlocal w
+        if w.endswith(end) and len(w) - len(end) >= start:
+            w = w[: len(w) - len(end)] + new
+            return True
+        return False
+
+    found = _longest(w, FRENCH_1)
+    if found is None:
+        verbs = True
+    elif found in FRENCH_R2:
+        cut(found, r2)
+    elif found in ("atrice", "ateur", "ation", "atrices", "ateurs", "ations"):
+        if cut(found, r2) and not cut("ic", r2):
+            cut("ic", 0, "iqU")
+    elif found in ("logie", "logies"):
+        cut(found, r2, "log")
+    elif found in ("usion", "ution", "usions", "utions"):
+        cut(found, r2, "u")
+    elif found in ("ence", "ences"):
+        cut(found, r2, "ent")
+    elif found in ("ement", "ements"):
+        if cut(found, rv):
+            if w.endswith("iv"):
+                if cut("iv", r2):
+                    cut("at", r2)
+            elif w.endswith("eus"):
+                if not cut("eus", r2):
+                    cut("eus", r1, "eux")
+            elif w.endswith(("abl", "iqU")):
+                cut(w[-3:], r2)
+            else:
+                cut("ièr", rv, "i") or cut("Ièr", rv, "i")
+    elif found in ("ité", "ités"):
+        if cut(found, r2):
+            if w.endswith("abil"):
+                cut("abil", r2) or cut("abil", 0, "abl")
+            elif w.endswith("ic"):
+                cut("ic", r2) or cut("ic", 0, "iqU")
+            else:
+                cut("iv", r2)
+    elif found in ("if", "ive", "ifs", "ives"):
+        if cut(found, r2) and cut("at", r2) and w.endswith("ic"):
+            cut("ic", r2) or cut("ic", 0, "iqU")
+    elif found == "eaux":
+        cut(found, 0, "eau")
+    elif found == "aux":
+        cut(found, r1, "al")
+    elif found in ("euse", "euses"):
+        cut(found, r2) or cut(found, r1, "eux")
+    elif found in ("issement", "issements"):
+        at = len(w) - len(found)
+        if at and w[at - 1] not in v:
+            cut(found, r1)
+    elif found == "amment":
+        cut(found, rv, "ant")
+        verbs = True
+    elif found == "emment":
+        cut(found, rv, "ent")
+        verbs = True
+    else:
+        at = len(w) - len(found)
+        if at > rv and w[at - 1] in v:
+            cut(found, rv)
+        verbs = True
+    if w == start:
+        verbs = True
+    altered = w != start
+    if verbs:
+        now = w
+        end = _longest(w, FRENCH_I, rv)
+        at = len(w) - len(end or "")
+        if end and at > rv and w[at - 1] not in v:
+            w = w[:at]
+        if w == now:
+            end = _longest(w, ["ions", *FRENCH_E, *FRENCH_A], rv)
+            if end == "ions":
+                cut(end, r2)
+            elif end:
+                w = w[: len(w) - len(end)]
+                if end in FRENCH_A:
+                    cut("e", rv)
+        altered = altered or w != now
+    if altered:
+        if w.endswith("Y"):
+            w = w[:-1] + "i"
+        elif w.endswith("ç"):
+            w = w[:-1] + "c"
+    else:
+        if w.endswith("s") and len(w) > 1 and w[-2] not in "aiouès":
+            w = w[:-1]
+        end = _longest(w, ["ion", "ier", "ière", "Ier", "Ière", "e", "ë"], rv)
+        if end == "ion":
+            at = len(w) - 3
+            if at > rv and w[at - 1] in "st":
+                cut(end, r2)
+        elif end in ("ier", "ière", "Ier", "Ière"):
+            cut(end, rv, "i")
+        elif end == "e" or end == "ë" and w.endswith("guë"):
+            w = w[:-1]
+    if w.endswith(("enn", "onn", "ett", "ell", "eill")):
+        w = w[:-1]
+    tail = len(w)
+    while tail and w[tail - 1] not in v:
+        tail -= 1
+    if 0 < tail < len(w) and w[tail - 1] in "éè":
+        w = w[: tail - 1] + "e" + w[tail:]
+    return w.replace("U", "u").replace("I", "i").replace("Y", "y")
+
+
+STEMMERS = {"en": english, "de": german, "es": spanish, "fr": french}
 
 
 @functools.lru_cache(MEMO)

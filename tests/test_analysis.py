@@ -63,5 +63,13 @@ def test_spanish_stems(word, want):
     assert stemming.spanish(word) == want
 
 
+@pytest.mark.parametrize(
+    ("word", "want"),
+    [("continuait", "continu"), ("continuation", "continu"), ("continuellement", "continuel"), ("majesté", "majest"), ("majestueusement", "majestu"), ("contradictoirement", "contradictoir"), ("malades", "malad"), ("maladie", "malad"), ("maintenant", "mainten"), ("main", "main"), ("chevaux", "cheval"), ("fidèles", "fidel"), ("activités", "activ")],
+)
+def test_french_stems(word, want):
+    assert stemming.french(word) == want
+
+
 def test_language_without_stemmer_keeps_words():
     assert stemming.stem("ko", "학교에서") == "학교에서" and stemming.stem(None, "abc") == "abc"
