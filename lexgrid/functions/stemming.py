@@ -1,4 +1,4 @@
-"""Snowball stemmers for English, German, Spanish and French, written from the published descriptions of the algorithms.
+"""Snowball stemmers for English, German, Spanish, French and Italian, written from the published descriptions of the algorithms.
 
 Languages without one keep their words. The stemmers run in an Arrow batch function; each process stems a word once and keeps
 at most MEMO of them.
@@ -402,7 +402,78 @@ def french(word: str) -> str:
     return w.replace("U", "u").replace("I", "i").replace("Y", "y")
 
 
-STEMMERS = {"en": english, "de": german, "es": spanish, "fr": french}
+ITALIAN_VOWELS = "aeiouàèìòù"
+GRAVE = str.maketrans("áéíóú", "àèìòù")
+#: Fixed values of the Italian algorithm.
+ITALIAN_PRONOUNS = "ci gli la le li lo mi ne si ti vi sene gliela gliele glieli glielo gliene mela mele meli melo mene tela tele teli telo tene cela cele celi celo cene vela vele veli velo vene".split()
+ITALIAN_R2 = "anza anze ico ici ica ice iche ichi ismo ismi abile abili ibile ibili ista iste isti istà istè istì oso osi osa ose mente atrice atrici ante anti".split()
+ITALIAN_1 = [*ITALIAN_R2, *"azione azioni atore atori logia logie uzione uzioni usione usioni enza enze amento amenti imento imenti amente ità ivo ivi iva ive".split()]
+ITALIAN_VERBS = (
+    "ammo ando ano are arono asse assero assi assimo ata ate ati ato ava avamo avano avate avi avo emmo enda ende endi endo erà erai eranno ere erebbe erebbero erei eremmo eremo ereste eresti erete "
+    "erò erono essero ete eva evamo evano evate evi evo Yamo iamo immo irà irai iranno ire irebbe irebbero irei iremmo iremo ireste iresti irete irò irono isca iscano isce isci isco iscono issero ita "
+    "ite iti ito iva ivamo ivano ivate ivi ivo ono uta ute uti uto ar ir"
+).split()
+
+
+def italian(word: str) -> str:
+    v = ITALIAN_VOWELS
+    w = word.translate(GRAVE).replace("qu", "qU")
+    w = "".join(c.upper() if c in "ui" and 0 < i < len(w) - 1 and w[i - 1] in v and w[i + 1] in v else c for i, c in enumerate(w))
+    rv = _romance_rv(w, v)
+    r1, r2 = _regions(w, v)
+
+    def cut(end: str, start: int, new: str = "") -> bool:
+        nonlocal w
+        if w.endswith(end) and len(w) - len(end) >= start:
+            w = w[: len(w) - len(end)] + new
+            return True
+        return False
+
+    end = _longest(w, ITALIAN_PRONOUNS)
+    if end:
+        rest = w[: -len(end)]
+        if len(rest) - 4 >= rv and rest.endswith(("ando", "endo")):
+            w = rest
+        elif len(rest) - 2 >= rv and rest.endswith(("ar", "er", "ir")):
+            w = rest + "e"
+    before = w
+    found = _longest(w, ITALIAN_1)
+    if found in ITALIAN_R2:
+        cut(found, r2)
+    elif found in ("azione", "azioni", "atore", "atori"):
+        cut(found, r2) and cut("ic", r2)
+    elif found in ("logia", "logie"):
+        cut(found, r2, "log")
+    elif found in ("uzione", "uzioni", "usione", "usioni"):
+        cut(found, r2, "u")
+    elif found in ("enza", "enze"):
+        cut(found, r2, "ente")
+    elif found in ("amento", "amenti", "imento", "imenti"):
+        cut(found, rv)
+    elif found == "amente":
+        if cut(found, r1):
+            if w.endswith("iv"):
+                cut("iv", r2) and cut("at", r2)
+            else:
+                cut("os", r2) or cut("ic", r2) or cut("abil", r2)
+    elif found == "ità":
+        cut(found, r2) and (cut("abil", r2) or cut("ic", r2) or cut("iv", r2))
+    elif found:
+        cut(found, r2) and cut("at", r2) and cut("ic", r2)
+    if w == before:
+        end = _longest(w, ITALIAN_VERBS, rv)
+        if end:
+            w = w[: -len(end)]
+    if w and w[-1] in "aeioàèìò" and len(w) - 1 >= rv:
+        w = w[:-1]
+        if w.endswith("i") and len(w) - 1 >= rv:
+            w = w[:-1]
+    if w.endswith(("ch", "gh")) and len(w) - 2 >= rv:
+        w = w[:-1]
+    return w.replace("U", "u").replace("I", "i")
+
+
+STEMMERS = {"en": english, "de": german, "es": spanish, "fr": french, "it": italian}
 
 
 @functools.lru_cache(MEMO)

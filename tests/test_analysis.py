@@ -71,5 +71,13 @@ def test_french_stems(word, want):
     assert stemming.french(word) == want
 
 
+@pytest.mark.parametrize(
+    ("word", "want"),
+    [("abbandonata", "abbandon"), ("abbandonava", "abbandon"), ("abbandonerà", "abbandon"), ("pronto", "pront"), ("pronuncerà", "pronunc"), ("propaga", "propag"), ("propizio", "propiz"), ("amiche", "amic"), ("velocità", "veloc")],
+)
+def test_italian_stems(word, want):
+    assert stemming.italian(word) == want
+
+
 def test_language_without_stemmer_keeps_words():
     assert stemming.stem("ko", "학교에서") == "학교에서" and stemming.stem(None, "abc") == "abc"
