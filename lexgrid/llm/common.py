@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -60,16 +59,20 @@ class Workspace:
 
     def __init__(self, spark: SparkSession):
         self.spark, self.root, self.n = spark, shared_folder(spark), 0
+        self.paths: dict[int, tuple[DataFrame, str]] = {}
 
     def keep(self, df: DataFrame) -> DataFrame:
         self.n += 1
-        path = os.path.join(self.root, str(self.n))
+        path = f"{self.root}/{self.n}"
         df.write.parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        self.paths[id(out)] = out, path
+        return out
 
-    def drop(self, *numbers: int) -> None:
-        """Remove the tables with these numbers (all for none)."""
+    def drop(self, *kept: DataFrame) -> None:
+        """Remove tables that nothing still to be computed reads."""
         jvm = self.spark._jvm
-        for path in [os.path.join(self.root, str(n)) for n in numbers] or [self.root]:
+        for df in kept:
+            _, path = self.paths.pop(id(df))
             p = jvm.org.apache.hadoop.fs.Path(path)
             p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)

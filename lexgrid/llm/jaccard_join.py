@@ -11,7 +11,7 @@ not expanded into its pairs, while no link between different components is misse
 
 DataFrame functions only. Counts are pre-aggregated, hot lists are joined in joins that Spark may split, components are found
 by alternating large and small stars on tables written to the shared folder; nothing about all documents reaches the driver.
-Shingles are told apart by 64-bit hashes, classes by the hash of the whole set.
+Shingles are told apart by 63-bit codes, classes by the hash of the whole set.
 
 Defined cases: null and blank texts have no shingles and link with nothing; a text of fewer words than a shingle is one shingle.
 Equal rows are equal sets and share a component. A repeated id with different texts gives a row for each. An empty table gives
@@ -20,21 +20,33 @@ no rows. Extra columns are not read.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexgrid.llm.common import BROADCAST_ROWS, Workspace, let, lower_ascii, words
 
-WORDS, PERCENT, LONG = 5, 80, 64
+WORDS, PERCENT, LONG, LONGER = 5, 80, 64, 1.5
 
 
 def shingles(text: Column, size: int = WORDS) -> Column:
-    """Sorted distinct 64-bit hashes of the text's shingles."""
+    """Sorted distinct 63-bit codes of the text's shingles: those with a long middle word first, equally long ones by hash.
+
+    Long words are rare in any language, short ones common; so the order, which needs no counts, puts short inverted lists
+    before long ones. Words are hashed once: a word's long holds its hash and, in 6 bits, its length.
+    """
 
     def of(w: Column) -> Column:
         n = F.size(w)
-        window = lambda i: F.xxhash64(*[F.get(w, i + k) for k in range(size)])
-        return F.when(n == 0, F.array().cast("array<bigint>")).when(n < size, F.array(F.xxhash64(w))).otherwise(F.sort_array(F.array_distinct(F.transform(F.sequence(F.lit(0), n - size), window))))
+        coded = F.transform(w, lambda x: F.xxhash64(x).bitwiseAND(F.lit(-64)).bitwiseOR(F.least(F.octet_length(x), F.lit(63)).cast("long")))
+
+        def window(p: Column, i: Column) -> Column:
+            length = F.get(p, i + size // 2).bitwiseAND(F.lit(63))
+            return F.shiftleft(F.lit(63) - length, 57).bitwiseOR(F.shiftrightunsigned(F.xxhash64(*[F.get(p, i + k) for k in range(size)]), 7))
+
+        several = let(coded, lambda p: F.sort_array(F.array_distinct(F.transform(F.sequence(F.lit(0), n - size), lambda i: window(p, i)))))
+        return F.when(n == 0, F.array().cast("array<bigint>")).when(n < size, F.array(F.shiftrightunsigned(F.xxhash64(w), 1))).otherwise(several)
 
     return let(words(lower_ascii(text)), of)
 
@@ -61,71 +73,113 @@ def connect(edges: DataFrame, space: Workspace) -> DataFrame:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        large = space.keep(large)
+        large = space.keep(large)  # now is read once more below
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         joined = large.join(low, "u")
         small = joined.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(joined.select("u", F.col("m").alias("v"))).distinct()
         new = space.keep(small)
         same = new.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).collect() == now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).collect()
+        space.drop(now, large)
         now = new
         if same:
             return now.select(F.col("u").alias("v"), F.col("v").alias("root"))
 
 
-def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def verify(pairs: DataFrame, sets_of: Callable[[DataFrame], DataFrame], space: Workspace, percent: int) -> DataFrame:
     """Of the distinct pairs (a, b) of classes, those linked, by the exact overlap of their sets."""
+    pairs = space.keep(pairs)
+    sets = space.keep(sets_of(pairs.select(F.explode(F.array("a", "b")).alias("c")).distinct()))
     one = pairs.join(sets.select(F.col("c").alias("a"), F.col("arr").alias("x")), "a")
     two = one.join(sets.select(F.col("c").alias("b"), F.col("arr").alias("y")), "b")
     overlap = F.size(F.array_intersect("x", "y"))
-    return two.where(overlap * (100 + percent) >= (F.size("x") + F.size("y")) * percent).select("a", "b")
-
-
-def class_links(docs: DataFrame, space: Workspace, percent: int) -> DataFrame | None:
-    """(v, root) for the classes in components of two or more. docs: (c, arr), a row a class (or several equal ones)."""
-    # Lists of two classes or more, among the prefixes in order of the hashes.
-    posted = docs.select("c", F.size("arr").alias("n"), F.posexplode(F.slice("arr", F.lit(1), prefix_size(F.size("arr"), percent))).alias("pos", "h")).select("h", "c", "n")
-    lists = posted.groupBy("h").agg(F.count("*").alias("m")).where("m > 1")
-    posts = space.keep(posted.join(lists, "h").groupBy("h", "c").agg(F.first("n").alias("n"), F.first("m").alias("m")))
-    sets = space.keep(either(docs, posts.select("c").distinct(), "c", "left_semi").dropDuplicates(["c"]))
-    # Long lists, counted in full over the sets that meet one; these sets post anew, long lists last.
-    met = posts.where(F.col("m") > LONG).select("c").distinct()
-    if not met.isEmpty():
-        in_full = either(sets, met, "c", "left_semi").select("c", F.explode("arr").alias("h")).groupBy("h").count()
-        long = space.keep(in_full.where(F.col("count") > LONG).select("h"))
-        moved = space.keep(either(posts, long, "h", "left_semi").select("c").distinct())
-        own = either(sets, moved, "c", "left_semi")
-        theirs = either(own.select("c", F.explode("arr").alias("h")), long, "h", "left_semi").groupBy("c").agg(F.collect_list("h").alias("g"))
-        order = F.concat(F.array_except("arr", "g"), F.array_intersect("arr", "g"))
-        again = own.join(theirs, "c").select("c", F.size("arr").alias("n"), F.explode(F.slice(order, F.lit(1), prefix_size(F.size("arr"), percent))).alias("h"))
-        posts = space.keep(either(posts, moved, "c", "left_anti").select("h", "c", "n").unionByName(again.select("h", "c", "n")))
+    found = space.keep(two.where(overlap * (100 + percent) >= (F.size("x") + F.size("y")) * percent).select("a", "b"))
+    space.drop(pairs, sets)
+    return found
+
+
+def may_link(k: Column, a: Column, b: Column, last_a: Column, last_b: Column, percent: int) -> Column:
+    """Whether sets of sizes a and b that share k lists, the last at these places of theirs, can reach the overlap.
+
+    Beyond the shorter prefix they share the rest of a set at most; and what either has before the last shared place without
+    sharing it is lost to the overlap. Nothing is ruled out by a place of -1.
+    """
+    least = least_overlap(a, b, percent)
+    rest = F.greatest(a - prefix_size(a, percent), b - prefix_size(b, percent))
+    return (k >= least - rest) & (last_a + 1 - k <= a - least) & (last_b + 1 - k <= b - least)
+
+
+def class_links(told: DataFrame, sets_of: Callable[[DataFrame], DataFrame], space: Workspace, percent: int) -> DataFrame:
+    """(v, root) for the classes in components of two or more.
+
+    told: (c, n, prefix), a row a class or several equal ones; prefix is LONGER times what is posted of it. sets_of: gives
+    (c, arr) for a table of classes (c).
+    """
+    p = prefix_size(F.col("n"), percent)
+    # Lists of two classes or more, counted over the longer prefixes, so that whatever moves up into a prefix is counted too.
+    lists = space.keep(told.select(F.explode("prefix").alias("h")).groupBy("h").agg(F.count("*").alias("m")).where("m > 1"))
+    posted = told.select("c", "n", F.posexplode(F.slice("prefix", F.lit(1), p)).alias("pos", "h"))
+    posts = posts_kept = space.keep(posted.join(lists, "h").groupBy("h", "c").agg(F.first("n").alias("n"), F.first("pos").alias("pos"), F.first("m").alias("m")))
+    # Sets that meet a long list post anew, long lists last.
+    moved = space.keep(posts.where(F.col("m") > LONG).select("c").distinct())
+    posts = posts.drop("m")
+    if not moved.isEmpty():
+        long = lists.where(F.col("m") > LONG).select("h")
+        own = space.keep(either(told, moved, "c", "left_semi").dropDuplicates(["c"]))
+        theirs = either(own.select("c", F.explode("prefix").alias("h")), long, "h", "left_semi").groupBy("c").agg(F.collect_list("h").alias("g"))
+        plain, own = own, space.keep(own.join(theirs, "c").withColumn("short", F.array_except("prefix", "g")))
+        space.drop(plain)
+        enough = (F.size("short") >= p) | (F.size("prefix") == F.col("n"))
+        near = own.where(enough).select("c", "n", F.concat("short", F.array_intersect("prefix", "g")).alias("order"))
+        # Sets with many long lists are ordered in full.
+        far = space.keep(sets_of(own.where(~enough).select("c")).dropDuplicates(["c"]))
+        in_far = either(far.select("c", F.explode("arr").alias("h")), long, "h", "left_semi").groupBy("c").agg(F.collect_list("h").alias("g"))
+        full = far.join(in_far, "c").select("c", F.size("arr").alias("n"), F.concat(F.array_except("arr", "g"), F.array_intersect("arr", "g")).alias("order"))
+        first = lambda df: df.select("c", "n", F.posexplode(F.slice("order", F.lit(1), p)).alias("pos", "h"))
+        full = space.keep(first(full))
+        # What they post from beyond the counted prefixes may meet lists of one class so far.
+        new = space.keep(either(full.select("h").distinct(), lists, "h", "left_anti"))
+        late = either(posted, new, "h", "left_semi")
+        columns = ["h", "c", "n", "pos"]
+        rest = posts.select(*columns).unionByName(late.select(*columns).dropDuplicates(["h", "c"]))
+        fewer = posts_kept
+        posts = posts_kept = space.keep(either(rest, moved, "c", "left_anti").unionByName(first(near).select(*columns)).unionByName(full.select(*columns)))
+        space.drop(fewer, own, far, full, new)
+    space.drop(lists, moved)
     # The most central class of each list: the one that meets most others over all its lists.
     sizes = posts.groupBy("h").agg(F.count("*").alias("m")).where("m > 1")
-    posts = space.keep(posts.join(sizes, "h"))
-    degree = posts.groupBy("c").agg(F.sum("m").alias("deg"))
-    posts = space.keep(posts.join(degree, "c").select("h", "c", "n", "deg"))
+    several = space.keep(posts.join(sizes, "h"))
+    space.drop(posts_kept)
+    degree = several.groupBy("c").agg(F.sum("m").alias("deg"))
+    posts = space.keep(several.join(degree, "c").select("h", "c", "n", "pos", "deg"))
+    space.drop(several)
     edges = None
     roots = None
     for _ in range(2):
         now = posts.withColumn("r", F.col("c")) if roots is None else posts.join(roots.withColumnRenamed("v", "c"), "c", "left").withColumn("r", F.coalesce("root", "c")).drop("root")
         now = space.keep(now)
-        open_ = now.groupBy("h").agg(F.min("r").alias("r1"), F.max("r").alias("r2"), F.max(F.struct("deg", "c", "r", "n")).alias("top")).where("r1 <> r2").select("h", "top")
-        star = now.join(open_, "h").where(F.col("r") != F.col("top.r")).where(fits(F.col("n"), F.col("top.n"), percent)).groupBy("c", F.col("top.c").alias("b")).agg(F.count("*").alias("k"), F.first("n").alias("n"), F.first("top.n").alias("n2"))
-        star = star.where(F.col("k") >= fewest_shared(F.col("n"), F.col("n2"), percent))
-        found = verify(star.select(F.col("c").alias("a"), "b"), sets, percent)
-        edges = space.keep(found if edges is None else found.unionByName(roots.select(F.col("v").alias("a"), F.col("root").alias("b"))))
+        open_ = now.groupBy("h").agg(F.min("r").alias("r1"), F.max("r").alias("r2"), F.max(F.struct("deg", "c", "r", "n", "pos")).alias("top")).where("r1 <> r2").select("h", "top")
+        star = now.join(open_, "h").where(F.col("r") != F.col("top.r")).where(fits(F.col("n"), F.col("top.n"), percent))
+        star = star.groupBy("c", F.col("top.c").alias("b")).agg(F.count("*").alias("k"), F.first("n").alias("n"), F.first("top.n").alias("n2"), F.max("pos").alias("p1"), F.max("top.pos").alias("p2"))
+        star = star.where(may_link(F.col("k"), F.col("n"), F.col("n2"), F.col("p1"), F.col("p2"), percent))
+        found = verify(star.select(F.col("c").alias("a"), "b"), sets_of, space, percent)
+        space.drop(now)
+        edges = found if edges is None else found.unionByName(roots.select(F.col("v").alias("a"), F.col("root").alias("b")))
         roots = connect(edges, space)
+        space.drop(found)
     # What still differs: components that share a list, then their members that fit.
     now = space.keep(posts.join(roots.withColumnRenamed("v", "c"), "c", "left").withColumn("r", F.coalesce("root", "c")))
-    comps = now.groupBy("h", "r").agg(F.min("n").alias("least"), F.max("n").alias("most"))
+    comps = now.groupBy("h", "r").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.first("pos").alias("pos"), F.first("root").isNull().alias("alone"))
     open_ = comps.groupBy("h").agg(F.count("*").alias("m")).where("m > 1").select("h")
-    comps = space.keep(comps.join(open_, "h"))
-    left, right = (comps.select("h", *[F.col(x).alias(x + s) for x in ("r", "least", "most")]) for s in "12")
+    comps = space.keep(comps.join(open_, "h").withColumn("pos", F.when(F.col("alone"), F.col("pos")).otherwise(-1)).drop("alone"))  # places are known of classes that are alone
+    left, right = (comps.select("h", *[F.col(x).alias(x + s) for x in ("r", "least", "most", "pos")]) for s in "12")
     met = left.join(right, "h").where("r1 < r2").where((F.col("least1") * percent <= F.col("most2") * 100) & (F.col("least2") * percent <= F.col("most1") * 100))
-    met = met.groupBy("r1", "r2").agg(F.count("*").alias("k"), F.min("least1").alias("n1"), F.min("least2").alias("n2"))
+    met = met.groupBy("r1", "r2").agg(F.count("*").alias("k"), F.max("pos1").alias("p1"), F.max("pos2").alias("p2"), F.first("least1").alias("n1"), F.first("least2").alias("n2"))
+    both = (F.col("p1") >= 0) & (F.col("p2") >= 0)
+    met = space.keep(met.where(~both | may_link(F.col("k"), F.col("n1"), F.col("n2"), F.col("p1"), F.col("p2"), percent)).select("r1", "r2", "k"))
     members = now.select("c", "r", "n").distinct()
     pairs = met.join(members.select(F.col("r").alias("r1"), F.col("c").alias("a"), F.col("n").alias("na")), "r1").join(members.select(F.col("r").alias("r2"), F.col("c").alias("b"), F.col("n").alias("nb")), "r2")
-    pairs = pairs.where(fits(F.col("na"), F.col("nb"), percent) & (F.col("k") >= fewest_shared(F.col("na"), F.col("nb"), percent)))
-    found = verify(pairs.select("a", "b"), sets, percent)
+    pairs = pairs.where(fits(F.col("na"), F.col("nb"), percent) & may_link(F.col("k"), F.col("na"), F.col("nb"), F.lit(-1), F.lit(-1), percent))
+    found = verify(pairs.select("a", "b"), sets_of, space, percent)
     return connect(space.keep(found.unionByName(roots.select(F.col("v").alias("a"), F.col("root").alias("b")))), space)
 
 
@@ -134,23 +188,26 @@ def fits(a: Column, b: Column, percent: int) -> Column:
     return (a * percent <= b * 100) & (b * percent <= a * 100)
 
 
-def fewest_shared(a: Column, b: Column, percent: int) -> Column:
-    """The fewest lists that linked sets of these sizes share: what they share beyond the shorter prefix is the rest of a set at most."""
-    rest = F.greatest(a - prefix_size(a, percent), b - prefix_size(b, percent))
-    return F.greatest(least_overlap(a, b, percent) - rest, F.lit(1))
-
-
 def components(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = PERCENT, size: int = WORDS) -> DataFrame:
     """(key, n_shingles, class_id, component_id): class_id is the smallest id with the same set, component_id that of its component."""
     space = Workspace(docs.sparkSession)
-    sets = docs.select(F.col(key).alias("id"), shingles(F.col(text), size).alias("arr")).withColumn("c", F.xxhash64(F.size("arr"), "arr"))
-    told = space.keep(sets.select("id", "c", F.size("arr").alias("n")))
+    rows = docs.select(F.col(key).alias("id"), F.col(text).alias("text"))
+    sets = rows.select("id", shingles(F.col("text"), size).alias("arr")).withColumn("c", F.xxhash64(F.size("arr"), "arr"))
+    told = space.keep(sets.select("id", "c", F.size("arr").alias("n"), F.slice("arr", F.lit(1), F.ceil(LONGER * prefix_size(F.size("arr"), percent)).cast("int")).alias("prefix")))
     filled = told.where("n > 0")
-    firsts = filled.groupBy("c").agg(F.min("id").alias("class"))
-    classes = space.keep(firsts)
+    classes = space.keep(filled.groupBy("c").agg(F.min("id").alias("class")))
     copies = filled.join(classes, "c").where("NOT (id <=> class)").select("id", "c").distinct()
-    kept = either(sets.where(F.size("arr") > 0), copies, ["id", "c"], "left_anti").select("c", "arr")
-    roots = class_links(kept, space, percent)
+    kept = either(filled, copies, ["id", "c"], "left_anti").select("c", "n", "prefix")
+
+    def sets_of(wanted: DataFrame) -> DataFrame:
+        """The sets of these classes, from the texts of their first documents."""
+        firsts = space.keep(classes.join(wanted, "c").select(F.col("class").alias("first")).distinct())
+        few = firsts.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+        texts = rows.join(F.broadcast(firsts) if few else firsts, F.col("id").eqNullSafe(F.col("first")), "left_semi")
+        arr = texts.select(shingles(F.col("text"), size).alias("arr"))
+        return arr.select(F.xxhash64(F.size("arr"), "arr").alias("c"), "arr")
+
+    roots = class_links(kept, sets_of, space, percent)
     named = classes.join(roots, classes["c"] == roots["v"], "left").withColumn("root", F.coalesce("root", "c")).select("c", "class", "root")
     lows = named.groupBy("root").agg(F.min("class").alias("component"))
     ids = space.keep(named.join(lows, "root").select("c", "class", "component"))

@@ -443,3 +443,23 @@ def test_pipeline(spark, sf):
     assert {r["doc_id"] for r in kept.collect()} == firsts
     out = corpus_pipeline.run(spark, sf).collect()
     assert {r["doc_id"] for r in out} == firsts and all(r["ids"][-1] == 2 for r in out)
+
+
+@pytest.mark.parametrize(("seed", "limit"), [(5, 3), (6, 8)])
+def test_components_with_many_long_lists(spark, monkeypatch, seed, limit):
+    """Texts mostly of shared passages: prefixes move, some beyond what was counted."""
+    monkeypatch.setattr(jaccard_join, "LONG", limit)
+    rng = random.Random(seed)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 9)))
+    passages = [[word() for _ in range(rng.randint(8, 40))] for _ in range(6)]
+    texts = []
+    for _ in range(60):
+        t = [w for p in rng.sample(passages, rng.randint(1, 4)) for w in p] + [word() for _ in range(rng.randint(0, 25))]
+        texts.append(" ".join(t))
+        if rng.random() < 0.5:
+            for _ in range(rng.randint(1, 4)):
+                t[rng.randrange(len(t))] = word()
+            texts.append(" ".join(t))
+    rows = list(enumerate(texts))
+    got = sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in jaccard_join.components(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == brute_components(rows)
