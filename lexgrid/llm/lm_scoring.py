@@ -3,9 +3,14 @@
 A target and a background bigram model share one vocabulary and one smoothing; a document's score is the mean, over its
 words, of its loss under the target less its loss under the background. Low scores are close to the target.
 
-Counts are taken over all documents. Each task sums its own counts before the shuffle. The vocabulary is the VOCABULARY most
-frequent words (a parameter of the model; all other words share one entry), so the model has at most VOCABULARY ** 2 bigrams
-and travels to the executors as two matrices of 4 bytes an entry, whatever the size of the corpus.
+The vocabulary is all words of all documents and every bigram is counted, so the models grow with the corpus and stay
+distributed. Documents are packed into blocks, written once; a block sends each of its words and bigrams once to the bucket of
+its hash, the buckets add up and answer with the totals, and the block scores its documents. The totals are
+written, too, and the shuffle that gathered them is dropped before the next. A row carries the sorted hashes a
+block has in a bucket, so a common bigram is one number of a block and no task gets more of it than others.
+
+Words and bigrams are told apart by 64-bit hashes. `size` cuts the vocabulary to the most frequent words, for a smaller model:
+the others then share one entry.
 
 Defined cases: null and empty texts have no words and a null score. Repeated rows are counted and scored each. An empty
 target leaves the smoothing alone, an empty table gives no rows. Extra columns pass through.
@@ -13,17 +18,29 @@ target leaves the smoothing alone, an empty table gives no rows. Extra columns p
 
 from __future__ import annotations
 
+import os
 from collections import Counter
 from collections.abc import Iterator
+from contextlib import contextmanager
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-VOCABULARY, WEIGHT, FLUSH, BATCH = 2048, 50.0, 400_000, 256
+from lexgrid.llm.common import Workspace
+
+WEIGHT, FLUSH, BATCH = 50.0, 400_000, 256
+#: Hashes kept by a process; when full, the cache starts anew.
+CACHED = 100_000
+#: Words, and rows, that end a block; words for each bucket.
+BLOCK_WORDS, BLOCK_ROWS, BUCKET_WORDS = 500_000, 50_000, 1_000_000
 TABLE = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
+#: Entries that are no words: all words out of a cut vocabulary, and the start of a text.
+OTHER, START = 0, 1
+PAIR = np.uint64(0x9E3779B97F4A7C15)
 
 
 def words(text: str | None) -> list[bytes]:
@@ -38,7 +55,7 @@ def texts(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[tuple[pa.R
 
 
 def vocabulary(docs: DataFrame, text: str, size: int) -> list[bytes]:
-    """The most frequent words, ties by spelling. Entry 0 of the model stands for all others."""
+    """The most frequent words, ties by spelling, for a model of a stated size."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter[bytes] = Counter()
@@ -58,72 +75,180 @@ def vocabulary(docs: DataFrame, text: str, size: int) -> list[bytes]:
     return [bytes(r["w"]) for r in rows]
 
 
-class Ids:
-    """Words to entries: 0 for words out of the vocabulary, 1 for the start of a text."""
+class Hashes(dict):
+    """Words to 64-bit hashes above OTHER and START."""
+
+    def __init__(self, vocab: frozenset[bytes] | None):
+        self.vocab = vocab
+
+    def __missing__(self, w: bytes) -> int:
+        known = self.vocab is None or w in self.vocab
+        h = self[w] = max(2, int.from_bytes(blake2b(w, digest_size=8).digest(), "little")) if known else OTHER
+        return h
+
+
+def squeeze(x: np.ndarray) -> bytes:
+    """The array's bytes, first bytes first, as the upper bytes of small numbers compress to nothing; their number goes before."""
+    plain = np.ascontiguousarray(x).view(np.uint8).reshape(len(x), x.itemsize).T.tobytes()
+    return len(plain).to_bytes(8, "little") + pa.compress(plain, codec="zstd", asbytes=True)
+
+
+def expand(data: bytes, kind: type) -> np.ndarray:
+    plain = pa.decompress(data[8:], int.from_bytes(data[:8], "little"), codec="zstd")
+    return np.ascontiguousarray(np.frombuffer(plain, np.uint8).reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
+
+
+def packed(batches: Iterator[pa.RecordBatch], text: str, kept: list[str], vocab: frozenset[bytes] | None) -> Iterator[pa.RecordBatch]:
+    """Blocks of documents: their kept columns, numbers of words, distinct hashes with START, and each word's place among those."""
+    hashes = Hashes(vocab)
+    rows: list[pa.RecordBatch] = []
+    lengths: list[int] = []
+    found: list[np.ndarray] = []
+    n = 0
+
+    def out() -> pa.RecordBatch:
+        table = pa.Table.from_batches(rows)
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, table.schema) as stream:
+            stream.write_table(table)
+        all_words = np.concatenate([np.array([START], np.uint64), *found])
+        distinct, ids = np.unique(all_words, return_inverse=True)
+        cells = [int.from_bytes(os.urandom(8), "little") >> 1, n, sink.getvalue().to_pybytes(), squeeze(np.array(lengths, np.int32)), squeeze(np.diff(distinct, prepend=np.uint64(0))), squeeze(ids[1:].astype(np.int32))]
+        return pa.RecordBatch.from_arrays([pa.array([x], f) for x, f in zip(cells, [pa.int64(), pa.int64(), *[pa.binary()] * 4])], names=["block", "n", "rows", "lengths", "words", "ids"])
+
+    for part, some in texts(batches, text):
+        for t in some:
+            w = words(t)
+            lengths.append(len(w))
+            found.append(np.fromiter(map(hashes.__getitem__, w), np.uint64, len(w)))
+            n += len(w)
+        rows.append(part.select(kept))
+        if n >= BLOCK_WORDS or len(lengths) >= BLOCK_ROWS:
+            yield out()
+            rows, lengths, found, n = [], [], [], 0
+        if len(hashes) > CACHED:
+            hashes.clear()
+    if lengths:
+        yield out()
 
-    def __init__(self, vocab: list[bytes]):
-        self.of = {w: i + 2 for i, w in enumerate(vocab)}
-        self.size = len(vocab) + 2
 
-    def __call__(self, text: str | None) -> np.ndarray:
-        get = self.of.get
-        return np.array([1, *[get(w, 0) for w in words(text)]], dtype=np.int64)
+PACKED = "block bigint, n bigint, rows binary, lengths binary, words binary, ids binary"
 
-    def pairs(self, text: str | None) -> np.ndarray:
-        ids = self(text)
-        return ids[:-1] * self.size + ids[1:]
 
+class Block:
+    def __init__(self, lengths: bytes, words: bytes, ids: bytes):
+        self.lengths = expand(lengths, np.int32).astype(np.int64)
+        self.words = np.cumsum(expand(words, np.uint64), dtype=np.uint64)
+        self.next = expand(ids, np.int32)
+        self.previous = np.roll(self.next, 1)
+        full = self.lengths[self.lengths > 0]
+        self.starts = np.cumsum(full) - full
+        self.previous[self.starts] = np.searchsorted(self.words, np.uint64(START))
+        self.pairs = self.words[self.previous] * PAIR + self.words[self.next]
 
-def counts(docs: DataFrame, text: str, vocab: list[bytes]) -> np.ndarray:
-    """Bigram counts (entries, entries) over all documents."""
-    size = len(vocab) + 2
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids = Ids(vocab)
-        total = np.zeros(size * size, dtype=np.int64)
-        for _, part in texts(batches, text):
-            pairs = np.concatenate([ids.pairs(t) for t in part] or [np.zeros(0, np.int64)])
-            codes, n = np.unique(pairs, return_counts=True)
-            total[codes] += n
-        found = np.flatnonzero(total)
-        for start in range(0, len(found), 65536):
-            part = found[start : start + 65536]
-            yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(total[part])], names=["c", "n"])
-
-    table = docs.select(text).mapInArrow(count, "c int, n bigint").groupBy("c").agg(F.sum("n").alias("n")).toArrow()  # at most size ** 2 rows
-    out = np.zeros(size * size)
-    out[np.asarray(table.column("c"))] = np.asarray(table.column("n"))
-    return out.reshape(size, size)
-
-
-def losses(n: np.ndarray) -> np.ndarray:
-    """-ln p(next | previous): counts smoothed towards the model's own unigrams, those towards the uniform."""
-    size = len(n)
-    single = n.sum(0)
-    p = (single + 1) / (single.sum() + size)
-    return -np.log((n + WEIGHT * p) / (n.sum(1, keepdims=True) + WEIGHT)).astype(np.float32)
-
-
-def score(docs: DataFrame, target: DataFrame, text: str = "text", size: int = VOCABULARY) -> DataFrame:
-    """All columns of docs but the text, plus n_words, target_loss, background_loss (means a word) and lm_score, their difference."""
+def bounds(keys: np.ndarray, buckets: int) -> np.ndarray:
+    """Where each bucket begins among the sorted keys, and the end of the last."""
+    edges = np.array([(b << 64) // buckets for b in range(1, buckets)], np.uint64)
+    return np.concatenate([[0], np.searchsorted(keys, edges), [len(keys)]])
+
+
+def sums(keys: list[np.ndarray], counts: list[np.ndarray], of: list[bool]) -> tuple[np.ndarray, list[np.ndarray]]:
+    """(distinct keys, 2) counts, of the target's rows and the others; and each row's places among the distinct keys."""
+    flat = np.concatenate(keys) if keys else np.zeros(0, np.uint64)
+    order = np.argsort(flat, kind="stable")
+    ranked = flat[order]
+    new = np.append(True, ranked[1:] != ranked[:-1])[: len(ranked)]
+    place = np.empty(len(flat), np.int64)
+    place[order] = np.cumsum(new) - 1
+    n = np.concatenate(counts) if counts else np.zeros(0, np.int64)
+    near = np.repeat(of, [len(k) for k in keys])
+    size = int(new.sum())
+    total = np.column_stack([np.bincount(place[near], n[near], size), np.bincount(place[~near], n[~near], size)]).astype(np.int64)
+    return total, np.split(place, np.cumsum([len(k) for k in keys])[:-1])
+
+
+@contextmanager
+def freed_shuffles(spark: SparkSession) -> Iterator[None]:
+    """Within, a query's shuffle files go as soon as it has ended, not when the driver next collects garbage."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+def score(docs: DataFrame, target: DataFrame, text: str = "text", size: int | None = None) -> DataFrame:
+    """All columns of docs but the text, plus n_words, target_loss, background_loss (means a word) and lm_score, their difference.
+
+    size: entries of a model cut to the most frequent words; None keeps all words.
+    """
     added = [T.StructField("n_words", T.LongType()), T.StructField("target_loss", T.DoubleType()), T.StructField("background_loss", T.DoubleType()), T.StructField("lm_score", T.DoubleType())]
     names = [f.name for f in added]
     kept = [c for c in docs.columns if c != text and c not in names]
-    vocab = vocabulary(docs, text, size)
-    models = [losses(counts(d, text, vocab)) for d in (target, docs)]
-    sent = docs.sparkSession.sparkContext.broadcast((vocab, *models))  # at most 2 * size ** 2 * 4 bytes
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocab, near, far = sent.value
-        ids, near, far = Ids(vocab), near.ravel(), far.ravel()
-        for batch, part in texts(batches, text):
-            rows = []
-            for t in part:
-                pairs = ids.pairs(t)
-                n = len(pairs)
-                a, b = (float(m[pairs].sum(dtype=np.float64)) / n if n else None for m in (near, far))
-                rows.append((n, a, b, a - b if n else None))
-            new = [pa.array(list(x), pa.int64() if k == 0 else pa.float64()) for k, x in enumerate(zip(*rows))]
-            yield pa.RecordBatch.from_arrays([batch.column(k) for k in kept] + new, names=[*kept, *names])
-
-    return docs.select(*kept, text).mapInArrow(run, T.StructType([docs.schema[c] for c in kept] + added))
+    vocab = None if size is None else frozenset(vocabulary(docs, text, size))
+    work = Workspace(docs.sparkSession)
+    blocks = work.keep(docs.select(*kept, text).mapInArrow(lambda batches: packed(batches, text, kept, vocab), PACKED))
+    buckets = max(8, -(-(blocks.agg(F.sum("n")).first()[0] or 0) // BUCKET_WORDS))
+
+    def tell(batches: Iterator[pa.RecordBatch], near: bool) -> Iterator[pa.RecordBatch]:
+        """For each block and bucket: the block's bigrams and words there, and how often it has them."""
+        for batch in batches:
+            for k in range(batch.num_rows):
+                (r,) = batch.slice(k, 1).to_pylist()
+                b = Block(r["lengths"], r["words"], r["ids"])
+                pairs, n = np.unique(b.pairs, return_counts=True)
+                n, after, before = (x.astype(np.int32) for x in (n, *(np.bincount(x, minlength=len(b.words)) for x in (b.next, b.previous))))
+                at, to = bounds(pairs, buckets), bounds(b.words, buckets)
+                out = [(k, r["block"], near, *(squeeze(x) for x in (np.diff(pairs[i:j], prepend=np.uint64(0)), n[i:j], np.diff(b.words[v:w], prepend=np.uint64(0)), after[v:w], before[v:w]))) for k, i, j, v, w in zip(range(buckets), at[:-1], at[1:], to[:-1], to[1:])]
+                yield pa.RecordBatch.from_arrays([pa.array(list(x), f) for x, f in zip(zip(*out), [pa.int32(), pa.int64(), pa.bool_(), *[pa.binary()] * 5])], names=["bucket", "block", "near", "pairs", "n", "words", "after", "before"])
+
+    form = "bucket int, block bigint, near boolean, pairs binary, n binary, words binary, after binary, before binary"
+    told = blocks.select("block", "lengths", "words", "ids").mapInArrow(lambda batches: tell(batches, False), form)
+    told = told.unionAll(target.select(F.lit(0).alias("_"), text).mapInArrow(lambda batches: tell(packed(batches, text, ["_"], vocab), True), form))
+
+    def answer(table: pa.Table) -> pa.Table:
+        """To each block of docs in the bucket: both models' counts of what it told, in its order, and the bucket's words."""
+        rows = table.to_pylist()
+        of = [r["near"] for r in rows]
+        keys, word_keys = ([np.cumsum(expand(r[c], np.uint64), dtype=np.uint64) for r in rows] for c in ("pairs", "words"))
+        n, at = sums(keys, [expand(r["n"], np.int32) for r in rows], of)
+        after, to = sums(word_keys, [expand(r["after"], np.int32) for r in rows], of)
+        before, _ = sums(word_keys, [expand(r["before"], np.int32) for r in rows], of)
+        word = np.zeros(len(after), np.uint64)
+        for k, places in zip(word_keys, to):
+            word[places] = k
+        facts = int(((after[:, 1] > 0) & (word > START)).sum()), *(int(x) for x in after.sum(0))
+        out = [(r["block"], r["bucket"], *facts, squeeze(n[i].ravel()), squeeze(np.column_stack([after[j], before[j]]).ravel())) for r, i, j in zip(rows, at, to) if not r["near"]]
+        kinds = [pa.int64(), pa.int32(), *[pa.int64()] * 3, pa.binary(), pa.binary()]
+        return pa.Table.from_arrays([pa.array([x[c] for x in out], f) for c, f in enumerate(kinds)], names=["block", "bucket", "vocabulary", "near", "far", "pairs", "words"])
+
+    form = "block bigint, bucket int, vocabulary bigint, near bigint, far bigint, pairs binary, words binary"
+    with freed_shuffles(docs.sparkSession):
+        answers = work.keep(told.groupBy("bucket").applyInArrow(answer, form))
+    schema = T.StructType([docs.schema[c] for c in kept] + added)
+
+    def judge(block: pa.Table, told: pa.Table) -> pa.Table:
+        (r,) = block.to_pylist()
+        b = Block(r["lengths"], r["words"], r["ids"])
+        rows = sorted(told.to_pylist(), key=lambda x: x["bucket"])
+        pairs, at = np.unique(b.pairs, return_inverse=True)
+        n = np.concatenate([expand(x["pairs"], np.int64) for x in rows]).reshape(-1, 2)
+        counts = np.concatenate([expand(x["words"], np.int64) for x in rows]).reshape(-1, 4)  # after: near, far; before: near, far
+        entries = sum(x["vocabulary"] for x in rows) + 2
+        full = b.lengths > 0
+        means = []
+        for k, total in enumerate((sum(x["near"] for x in rows), sum(x["far"] for x in rows))):
+            p = (counts[:, k] + 1) / (total + entries)
+            loss = -np.log((n[at, k] + WEIGHT * p[b.next]) / (counts[b.previous, 2 + k] + WEIGHT))
+            mean = np.zeros(len(full))
+            if full.any():
+                mean[full] = np.add.reduceat(loss, b.starts) / b.lengths[full]
+            means.append(mean)
+        docs = pa.ipc.open_stream(r["rows"]).read_all()
+        new = [pa.array(b.lengths), *(pa.array(x, mask=~full) for x in (*means, means[0] - means[1]))]
+        return pa.Table.from_arrays([docs.column(c) for c in kept] + new, names=[*kept, *names])
+
+    return blocks.drop("n").groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(judge, schema)

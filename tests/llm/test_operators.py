@@ -393,6 +393,37 @@ def test_lm_counts_against_brute_force(spark):
     assert lm_scoring.score(df.limit(0), target).count() == 0
 
 
+def test_lm_counts_all_words(spark, monkeypatch):
+    monkeypatch.setattr(lm_scoring, "BLOCK_WORDS", 3000)
+    monkeypatch.setattr(lm_scoring, "BUCKET_WORDS", 1000)
+    rng = random.Random(3)
+    rows = [(i, " ".join(f"w{min(int(rng.paretovariate(0.3)), 10**6 + rng.randrange(10**6))}" for _ in range(rng.randint(0, 120)))) for i in range(200)]
+    df = spark.createDataFrame([*rows, rows[3]], "doc_id long, text string").repartition(3)
+    of = [t.split() for _, t in [*rows, rows[3]]]
+    entries = len({w for t in of for w in t}) + 2
+    assert entries > 2048
+
+    def loss(texts):
+        n = Counter(p for t in texts for p in zip([None, *t], t))
+        single, before, total = Counter(), Counter(), sum(n.values())
+        for (a, b), c in n.items():
+            single[b] += c
+            before[a] += c
+        return lambda a, b: -np.log((n[a, b] + lm_scoring.WEIGHT * (single[b] + 1) / (total + entries)) / (before[a] + lm_scoring.WEIGHT))
+
+    near, far = loss([t for i, t in enumerate(of) if i in range(0, 200, 3)] + [of[3]]), loss(of)
+    got = lm_scoring.score(df, df.where("doc_id % 3 = 0")).collect()
+    assert sorted(r["doc_id"] for r in got) == sorted([*range(200), 3])
+    for r in got:
+        t = of[r["doc_id"]]
+        assert r["n_words"] == len(t)
+        if t:
+            a, b = (np.mean([f(x, y) for x, y in zip([None, *t], t)]) for f in (near, far))
+            assert (r["target_loss"], r["background_loss"], r["lm_score"]) == pytest.approx((a, b, a - b), rel=1e-9, abs=1e-9)
+        else:
+            assert r["lm_score"] is None
+
+
 # License scans
 
 
