@@ -1,84 +1,112 @@
 """Mixing sources to target weights by Pfair scheduling.
 
-Each source's documents are cut into blocks. Block j of a source with share w is released at slot floor((j - 1) / w) and due
-at slot ceil(j / w); the released block due first gets the next slot. So after any number of slots t a source has had w * t
-blocks, give or take less than one. When a source runs out, the slots that follow are scheduled anew among the others, at the
-same proportions: every document comes once, none is dropped or repeated.
+Each source's documents are cut into blocks. In the ideal, all sources that have blocks left are served at once, each at a rate
+in proportion to its weight, so after t slots a source has had its exact share of t; when a source runs out, the others go on
+at the same proportions. A block is released at the slot in which the ideal begins it and due by the slot in which the ideal
+ends it; the released block due first gets the next slot. So after any number of slots a source has had what the ideal gave it,
+give or take less than one block, over the whole table: every document comes once, none is dropped or repeated.
 
-The schedule repeats after as many slots as the integer weights add up to, so the driver plans one such cycle a phase from the
-sources' counts (one row a source, at most MAX_SOURCES of them) and documents find their slots by an equi-join.
+Weights are taken as the rational numbers that their floats are, and releases and deadlines are computed in integers: nothing
+is rounded. The driver turns the sources' counts (one row a source) into slots, one row a block, in pieces: it holds some
+numbers for each source, of which there may be any number, and one piece. Documents find their slots by an equi-join.
 
 DataFrame functions only on the data. Ranks within a source come from small hash buckets and their running counts, so a source
 with a third of all rows is spread over as many tasks as its rows need.
 
-Defined cases: a null source is a source of its own. Sources without a stated weight get `default`. Equal rows keep one place
-each. An empty table gives no rows. Extra columns pass through, whatever their names.
+Defined cases: a null source is a source of its own. Sources without a stated weight get `default`; those of weight 0 follow the
+others, in equal parts. Equal rows keep one place each. An empty table gives no rows. Extra columns pass through, whatever
+their names.
 """
 
 from __future__ import annotations
 
 import heapq
-import json
 import math
-from collections.abc import Mapping
+from bisect import bisect_left
+from collections.abc import Iterator, Mapping
+from fractions import Fraction
+from itertools import islice
 
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-BLOCK, CYCLE, MAX_SOURCES = 16, 1000, 2000
-
-
-def cycle(weights: list[int]) -> list[tuple[int, int]]:
-    """One cycle of the earliest-deadline-first schedule: (source's index, its block within the cycle) for each slot."""
-    q = sum(weights)
-    waiting = [(0, s) for s, w in enumerate(weights) if w]  # (release, source)
-    heapq.heapify(waiting)
+from lexgrid.llm.common import shared_folder
+
+#: Slots that the driver holds at once.
+BLOCK, PIECE = 16, 2**20
+
+
+def slots(blocks: list[int], weights: list[int]) -> Iterator[tuple[int, int]]:
+    """The earliest-deadline-first schedule: (source's index, its block) for each slot. Weights are integers above 0."""
+    ends = sorted((Fraction(n, w), n, w) for n, w in zip(blocks, weights) if n)
+    # The ideal at time v, each source having v * weight blocks: past blocks of the sources that ran out, plus v times the
+    # weight of the others. One such line holds between the ends of two sources, and the least of all holds everywhere.
+    past, alive = [0], [sum(w for _, _, w in ends)]
+    for _, n, w in ends:
+        past.append(past[-1] + n)
+        alive.append(alive[-1] - w)
+    until = [float(v) for v, _, _ in ends]
+
+    def ideal(j: int, w: int) -> int:
+        """Slots, times w, after which the ideal has given a source of weight w its first j blocks."""
+        v = j / w
+        k = bisect_left(until, v)
+        low, high = bisect_left(until, v * (1 - 1e-14)), bisect_left(until, v * (1 + 1e-14))
+        if low == high:
+            return past[k] * w + j * alive[k]
+        return min(past[k] * w + j * alive[k] for k in range(low, high + 1))
+
+    waiting = [(0, s) for s, n in enumerate(blocks) if n]  # (release, source)
     ready: list[tuple[int, int]] = []  # (deadline, source)
-    done, out = [0] * len(weights), []
-    for t in range(q):
+    done, reached = [0] * len(blocks), [0] * len(blocks)
+    for t in range(sum(blocks)):
         while waiting and waiting[0][0] <= t:
             s = heapq.heappop(waiting)[1]
-            heapq.heappush(ready, (-(-(done[s] + 1) * q // weights[s]), s))
+            reached[s] = ideal(done[s] + 1, weights[s])
+            heapq.heappush(ready, (-(-reached[s] // weights[s]), s))
         s = heapq.heappop(ready)[1]
-        out.append((s, done[s]))
+        yield s, done[s]
         done[s] += 1
-        if done[s] < weights[s]:
-            heapq.heappush(waiting, (done[s] * q // weights[s], s))
-    return out
-
-
-def whole_weights(weights: list[float], q: int) -> list[int]:
-    """Integers in these proportions that add up to about q; every positive weight gets 1 at least."""
-    total = math.fsum(weights)
-    return [max(1, round(w / total * q)) if w > 0 else 0 for w in weights]
-
-
-def plan(blocks: list[int], weights: list[int]) -> list[dict]:
-    """Rows (phase, source, first block, blocks, first slot, cycle, per cycle, places of the blocks in a cycle)."""
-    left, done, start, rows = list(blocks), [0] * len(blocks), 0, []
-    alive = [s for s in range(len(blocks)) if left[s] > 0]
-    while alive:
-        w = [weights[s] for s in alive]
-        if not any(w):  # only sources of weight 0 are left: they follow in equal parts
-            w = [1] * len(alive)
-        order = cycle(w)
-        q = len(order)
-        places: list[list[int]] = [[] for _ in alive]
-        for t, (k, _) in enumerate(order):
-            places[k].append(t)
-        # The phase ends with the slot that takes the last block of the first source to run out.
-        ends = [(left[s] - 1) // w[k] * q + places[k][(left[s] - 1) % w[k]] + 1 for k, s in enumerate(alive) if w[k]]
-        slots = min(ends)
-        for k, s in enumerate(alive):
-            n = slots // q * w[k] + sum(p < slots % q for p in places[k])
-            if n:
-                rows.append({"s": s, "first": done[s], "n": n, "start": start, "q": q, "w": w[k], "at": places[k]})
-            done[s] += n
-            left[s] -= n
-        start += slots
-        alive = [s for s in alive if left[s] > 0]
-    return rows
+        if done[s] < blocks[s]:
+            heapq.heappush(waiting, (reached[s] // weights[s], s))
+
+
+def whole_weights(weights: list[float]) -> list[int]:
+    """Integers in exactly these proportions."""
+    parts = [Fraction(w) for w in weights]
+    common = math.lcm(*(p.denominator for p in parts))
+    return [int(p * common) for p in parts]
+
+
+def cycle(weights: list[int]) -> list[tuple[int, int]]:
+    """One cycle of the schedule, in which each source has as many blocks as its weight."""
+    return list(slots(weights, weights))
+
+
+def plan(blocks: list[int], weights: list[float]) -> Iterator[tuple[int, int]]:
+    """(source's index, its block) for each slot; sources of weight 0 follow the others in equal parts."""
+    whole = whole_weights(weights)
+    yield from slots([n if w else 0 for n, w in zip(blocks, whole)], whole)
+    yield from slots([0 if w else n for n, w in zip(blocks, whole)], [1] * len(whole))
+
+
+def placed(spark: SparkSession, names: list[str | None], order: Iterator[tuple[int, int]]) -> DataFrame:
+    """The plan as a table (s, b, slot); beyond one piece it is written piece by piece, so the driver never holds more."""
+    folder, start = None, 0
+    while True:
+        rows = list(islice(order, PIECE))
+        kinds = {"s": pa.string(), "b": pa.int64(), "slot": pa.int64()}
+        values = [names[s] for s, _ in rows], [j for _, j in rows], range(start, start + len(rows))
+        piece = spark.createDataFrame(pa.table([pa.array(x, t) for x, t in zip(values, kinds.values())], names=list(kinds)))
+        start += len(rows)
+        if folder is None and len(rows) < PIECE:
+            return piece
+        folder = folder or shared_folder(spark)
+        piece.write.mode("append").parquet(folder)
+        if len(rows) < PIECE:
+            return spark.read.schema(piece.schema).parquet(folder)
 
 
 def schedule(docs: DataFrame, source: str = "source", key: str = "doc_id", weights: Mapping[str, float] | None = None, default: float = 1.0, temper: float = 0.5, block: int = BLOCK, seed: int = 7) -> DataFrame:
@@ -88,33 +116,23 @@ def schedule(docs: DataFrame, source: str = "source", key: str = "doc_id", weigh
     Within a source the order is by a seeded hash of the key, then the key, then a hash of the whole row.
     """
     spark = docs.sparkSession
-    counts = sorted((tuple(r) for r in docs.groupBy(F.col(source).alias("s")).count().limit(MAX_SOURCES + 1).collect()), key=lambda r: (r[0] is None, r[0] or ""))
-    if len(counts) > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} sources; map them to groups first")
-    total = sum(n for _, n in counts)
-    if not total:
-        return docs.withColumn("mix_slot", F.lit(0).cast("long")).withColumn("mix_seq", F.lit(0)).limit(0)
-    target = [float(weights.get(s, default)) if weights is not None else n**temper for s, n in counts]
-    rows = plan([-(-n // block) for _, n in counts], whole_weights(target, max(CYCLE, len(counts))))
-    for r in rows:
-        r["s"] = counts[r["s"]][0]
-    kind = "array<struct<s:string,first:bigint,n:bigint,start:bigint,q:bigint,w:bigint,at:array<bigint>>>"
-    phases = spark.range(1).select(F.inline(F.from_json(F.lit(json.dumps(rows)), kind)))
-
-    buckets = -(-total // max(1024, math.isqrt(total)))
+    counts = sorted(docs.groupBy(F.col(source).cast("string").alias("s")).count().toArrow().to_pylist(), key=lambda r: (r["s"] is None, r["s"] or ""))
+    total = sum(r["count"] for r in counts)
+    target = [float(weights.get(r["s"], default)) if weights is not None else r["count"] ** temper for r in counts]
+    places = placed(spark, [r["s"] for r in counts], plan([-(-r["count"] // block) for r in counts], target))
+
+    buckets = max(1, -(-total // max(1024, math.isqrt(total))))
     whole = F.xxhash64(*[F.col(f"`{c}`") for c, t in docs.dtypes if "map<" not in t])
-    d = docs.select(F.struct("*").alias("row"), F.col(source).alias("src"), F.col(key).alias("key"), whole.alias("r"))
+    d = docs.select(F.struct("*").alias("row"), F.col(source).cast("string").alias("src"), F.col(key).alias("key"), whole.alias("r"))
     d = d.withColumn("h", F.xxhash64(F.lit(seed), "key")).withColumn("bucket", F.pmod(F.xxhash64(F.lit(seed + 1), "key", F.pmod("r", F.lit(64))), F.lit(buckets)))
     sizes = d.groupBy(F.col("src").alias("s"), F.col("bucket").alias("b")).agg(F.count("*").alias("size"))
     before = sizes.withColumn("off", F.sum("size").over(W.partitionBy("s").orderBy("b")) - F.col("size")).drop("size")
     local = F.row_number().over(W.partitionBy("src", "bucket").orderBy("h", "key", "r"))
     d = d.withColumn("i", local - 1)
-    d = d.join(F.broadcast(before) if len(counts) * buckets <= 200_000 else before, F.col("src").eqNullSafe(F.col("s")) & (F.col("bucket") == F.col("b")))
+    d = d.join(before, F.col("src").eqNullSafe(F.col("s")) & (F.col("bucket") == F.col("b")))
     d = d.select("row", "src", (F.col("i") + F.col("off")).alias("i")).withColumn("j", F.expr(f"i div {block}"))
-    # The broadcast plan has at most sources * (sources + 1) / 2 rows, and a phase's cycles add up to its weights.
-    d = d.join(F.broadcast(phases), F.col("src").eqNullSafe(F.col("s")) & (F.col("j") >= F.col("first")) & (F.col("j") < F.col("first") + F.col("n")))
-    slot = F.col("start") + F.expr("(j - first) div w") * F.col("q") + F.get("at", F.pmod(F.col("j") - F.col("first"), F.col("w")).cast("int"))
-    return d.select("row.*", slot.alias("mix_slot"), F.pmod("i", F.lit(block)).cast("int").alias("mix_seq"))
+    d = d.join(places, F.col("src").eqNullSafe(F.col("s")) & (F.col("j") == F.col("b")))
+    return d.select("row.*", F.col("slot").alias("mix_slot"), F.pmod("i", F.lit(block)).cast("int").alias("mix_seq"))
 
 
 def mix(docs: DataFrame, **options) -> DataFrame:

@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 from collections import Counter, defaultdict
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -86,6 +87,27 @@ def test_cycle_deviates_by_less_than_a_block(weights):
     assert had == weights
 
 
+@pytest.mark.parametrize("weights", [[3000**0.5, *[150**0.5] * 20], [0.0002, 1.0, 0.7, 0.3], [1.0, 1.0, 1e-9]])
+def test_plan_stays_within_a_block_of_exact_shares(weights):
+    blocks = [max(1, round(9000 * w / sum(weights))) for w in weights]
+    blocks[1] *= 3
+    whole = mixing.whole_weights(weights)
+    had, t, left = [0] * len(blocks), 0, {s: Fraction(b) for s, b in enumerate(blocks)}
+    for s, j in mixing.plan(blocks, weights):
+        assert j == had[s]
+        had[s] += 1
+        t += 1
+        need = Fraction(1)
+        while need and left:  # the ideal: all that are left at once, in exact proportion
+            w = sum(whole[x] for x in left)
+            step = min(need, *(n * w / whole[x] for x, n in left.items()))
+            left = {x: n - step * whole[x] / w for x, n in left.items()}
+            left = {x: n for x, n in left.items() if n}
+            need -= step
+        assert all(abs(h - (b - left.get(x, 0))) < 1 for x, (h, b) in enumerate(zip(had, blocks)))
+    assert had == blocks
+
+
 def test_mixing_keeps_all_and_follows_the_weights(spark):
     rows = [(i, "big" if i % 3 else None if i % 2 else "small") for i in range(3000)]
     df = clashing(spark.createDataFrame([*rows, rows[0], rows[0]], "doc_id long, source string"))
