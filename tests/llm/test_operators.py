@@ -108,6 +108,15 @@ def test_plan_stays_within_a_block_of_exact_shares(weights):
     assert had == blocks
 
 
+def test_mixing_of_many_sources(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "PIECE", 1000)
+    rows = [(i, f"s{i % 3000}") for i in range(6500)] + [(i, "big") for i in range(6500, 7000)]
+    got = mixing.schedule(spark.createDataFrame(rows, "doc_id long, source string"), block=2).collect()
+    assert sorted(r["doc_id"] for r in got) == list(range(7000))
+    assert {r["mix_slot"] for r in got} == set(range(3500 + 250))
+    assert len({(r["mix_slot"], r["source"]) for r in got}) == 3750
+
+
 def test_mixing_keeps_all_and_follows_the_weights(spark):
     rows = [(i, "big" if i % 3 else None if i % 2 else "small") for i in range(3000)]
     df = clashing(spark.createDataFrame([*rows, rows[0], rows[0]], "doc_id long, source string"))
