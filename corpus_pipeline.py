@@ -34,8 +34,12 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of each document, with the end id, and the spans of its text's bytes."""
-    return sentencepiece_codec.encode(docs, "piece_bpe_32k.model")
+    """Token ids of each document, with the end id, and the spans of its text's bytes, in mixed order.
+
+    Reading files back keeps no order. The schedule is a function of the rows, so it is computed again: the rows come sorted
+    by its `mix_slot` and `mix_seq`, and have them as columns.
+    """
+    return sentencepiece_codec.encode(mixing.in_order(mixing.schedule(docs)), "piece_bpe_32k.model")
 
 
 STAGES = [("quality classifier", classify), ("quality rules", rules), ("near duplicates", near_duplicates), ("mixing", mix), ("encoding", encode)]

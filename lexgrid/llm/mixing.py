@@ -135,7 +135,14 @@ def schedule(docs: DataFrame, source: str = "source", key: str = "doc_id", weigh
     return d.select("row.*", F.col("slot").alias("mix_slot"), F.pmod("i", F.lit(block)).cast("int").alias("mix_seq"))
 
 
+def in_order(scheduled: DataFrame) -> DataFrame:
+    """Partitions and rows within them in the order of the schedule."""
+    return scheduled.repartitionByRange("mix_slot", "mix_seq").sortWithinPartitions("mix_slot", "mix_seq")
+
+
 def mix(docs: DataFrame, **options) -> DataFrame:
-    """The documents in mixed order, with the columns they came with: files and rows within them follow the schedule."""
-    d = schedule(docs, **options)
-    return d.repartitionByRange("mix_slot", "mix_seq").sortWithinPartitions("mix_slot", "mix_seq").select(*docs.columns)
+    """The documents in mixed order, with the columns they came with: files and rows within them follow the schedule.
+
+    A reader may take the files in any order; schedule() of the rows read gives the same slots again.
+    """
+    return in_order(schedule(docs, **options)).select(*docs.columns)

@@ -507,6 +507,18 @@ def test_pipeline(spark, sf):
     assert {r["doc_id"] for r in out} == firsts and all(r["ids"][-1] == 2 for r in out)
 
 
+def test_mixed_order_reaches_the_result(spark, tmp_path):
+    import corpus_pipeline
+
+    df = spark.createDataFrame([(i, "word " * (i % 50), f"s{i % 7 % 3}") for i in range(900)], "doc_id long, text string, source string")
+    corpus_pipeline.mix(spark, df, "").repartition(5).write.parquet(str(tmp_path / "m"))
+    want = [r["doc_id"] for r in mixing.schedule(df).orderBy("mix_slot", "mix_seq").collect()]
+    out = corpus_pipeline.encode(spark, spark.read.parquet(str(tmp_path / "m")), "").collect()
+    assert [r["doc_id"] for r in out] == want != sorted(want)
+    places = [(r["mix_slot"], r["mix_seq"]) for r in out]
+    assert places == sorted(set(places))
+
+
 @pytest.mark.parametrize(("seed", "limit"), [(5, 3), (6, 8)])
 def test_components_with_many_long_lists(spark, monkeypatch, seed, limit):
     """Texts mostly of shared passages: prefixes move, some beyond what was counted."""
