@@ -140,7 +140,7 @@ class Codec:
         inner = any("▁" in self.model.id_to_piece(i).lstrip("▁") for i in range(n))
         plain = not self.normalise.map.units and not self.normalise.squeeze and self.normalise.prefix and self.normalise.escape
         self.by_chunks = plain and not inner
-        self.cache: dict[str, tuple] = {}
+        self.cache: dict[str, list[int]] = {}
         self.lengths, self.space = self.sizes.tolist(), self.model.piece_to_id("▁")
 
     def encode_one(self, text: str) -> tuple[list[int], np.ndarray]:
@@ -159,8 +159,8 @@ class Codec:
         return ids, np.column_stack([places[:-1], places[1:]])
 
 
-    def look_up(self, pieces: list[str]) -> list[tuple[list[int], str, str | None]]:
-        """For each chunk, a run of spaces and what follows up to the next: ids, ids as text, decoded text (None: the chunk itself)."""
+    def look_up(self, pieces: list[str]) -> list[list[int]]:
+        """The ids of each chunk, a run of spaces and what follows up to the next."""
         cache = self.cache
         new = list({p for p in pieces if p not in cache})
         if new:
@@ -168,13 +168,12 @@ class Codec:
                 cache.clear()
                 new = list(set(pieces))
             all_ids = self.model.encode([p[1:] for p in new], num_threads=1)  # the first space is what the dummy prefix stands for
-            back = self.model.decode(all_ids, num_threads=1)
-            for p, ids, d in zip(new, all_ids, back):
+            for p, ids in zip(new, all_ids):
                 if p == " ":
-                    ids, d = [self.space], ""
+                    ids = [self.space]
                 if self.unknown in ids or sum(map(self.lengths.__getitem__, ids)) != len(p.encode()) + 2 * p.count(" "):
                     raise ValueError(f"pieces don't add up to the normalised chunk {p!r}")
-                cache[p] = ids, " ".join(map(str, ids)), None if d == p[1:] else " " + d
+                cache[p] = ids
         return [cache[p] for p in pieces]
 
     def chunks(self, text: str) -> list[str] | None:
@@ -185,7 +184,7 @@ class Codec:
         pieces = self.chunks(text)
         if pieces is None:
             return self.encode_one(text)
-        ids = [i for x in self.look_up(pieces) for i in x[0]]
+        ids = [i for x in self.look_up(pieces) for i in x]
         _, at = self.normalise(text.encode())
         edges = at[np.maximum(np.append(0, np.cumsum(self.sizes[ids])) - len(SPACE), 0)]
         return ids, np.column_stack([edges[:-1], edges[1:]])
@@ -196,16 +195,9 @@ class Codec:
 
     def digest(self, text: str, end: list[int]) -> tuple[int, int, str, str]:
         """Ids, bytes within the pieces' spans, and the two digests."""
-        pieces = self.chunks(text)
-        if pieces is None:
-            ids, spans = self.encode_one(text)
-            ids = ids + end
-            return len(ids), int((spans[:, 1] - spans[:, 0]).sum()), sha(" ".join(map(str, ids))), sha(self.model.decode(ids))
-        parts = self.look_up(pieces)
-        told = [p[1] for p in parts] + [str(i) for i in end]
-        back = "".join([p if x[2] is None else x[2] for p, x in zip(pieces, parts)])[1:]
-        # The pieces of every chunk add up to it, so the spans cover the text from end to end.
-        return sum([len(p[0]) for p in parts]) + len(end), len(text.encode()), sha(" ".join(told)), sha(back)
+        ids, spans = self.encode_arrays(text)
+        ids = ids + end
+        return len(ids), int((spans[:, 1] - spans[:, 0]).sum()), sha(" ".join(map(str, ids))), sha(self.model.decode(ids))
 
 
 def sha(text: str) -> str:

@@ -279,6 +279,15 @@ def test_encoding_against_the_library(spark):
         assert r["decoded_sha256"] == hashlib.sha256(lib.decode(ids).encode()).hexdigest()
 
 
+def test_digest_is_taken_from_spans(monkeypatch):
+    c = sentencepiece_codec.Codec(sentencepiece_codec.tokenizer_path("piece_bpe_32k.model"))
+    text = "Some plain words, é too."
+    ids = [*c.model.encode(text), 2]
+    assert c.digest(text, [2])[:2] == (len(ids), len(text.encode()))
+    monkeypatch.setattr(c, "normalise", lambda source: (source, np.zeros(3 * len(source) + 1, np.int64)))
+    assert c.digest(text, [2])[:2] == (len(ids), 0)
+
+
 def test_spans_and_round_trip(spark):
     path = sentencepiece_codec.tokenizer_path("piece_bpe_32k.model")
     df = odd_docs(spark).where("doc_id IS NOT NULL AND doc_id <> 7")
