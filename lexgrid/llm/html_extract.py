@@ -25,7 +25,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
-RAW = frozenset("script style textarea title noscript template iframe svg math select button object canvas video audio".split())
+#: Elements whose content is text up to their closing tag, whatever it looks like. Within FOREIGN they may be empty, and a title is an element.
+RAW, FOREIGN = frozenset("script style textarea title".split()), frozenset("svg math".split())
+#: Elements that part the words around them where they are left out.
+APART = VOID | frozenset("noscript template iframe svg math select button object canvas video audio".split())
 BLOCK = frozenset("html body address article aside blockquote dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul head".split())
 #: An opening tag of the key closes an open element of these tags, up to the nearest of SCOPE.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "tbody": {"thead", "tbody", "tr", "td", "th"}}
@@ -78,6 +81,13 @@ def marks(attributes: str) -> tuple[int, tuple[int, ...]]:
 NONE = 0, (0,) * len(LISTS)
 
 
+def foreign(x: Node | None) -> bool:
+    """Whether the element is, or lies in, one of FOREIGN."""
+    while x is not None and x.tag not in FOREIGN:
+        x = x.parent
+    return x is not None
+
+
 def parse(page: str) -> list[Node]:
     """The elements in page order; the first is a root that holds all."""
     root = Node("html", None, 0, *NONE)
@@ -116,7 +126,8 @@ def parse(page: str) -> list[Node]:
             if x.tag in CLOSES[tag]:
                 top = x.parent
         text = found[3]
-        if tag in RAW:
+        closed = text.rstrip().endswith("/")
+        if tag in RAW and not ((closed or tag == "title") and foreign(top)):
             close = re.compile(f"</{tag}[^>]*>", re.I).search(page, at)
             at = close.end() if close else n
             top.parts.append(" ")
@@ -125,7 +136,7 @@ def parse(page: str) -> list[Node]:
         top.siblings += 1
         top.parts.append(node)
         nodes.append(node)
-        if tag not in VOID and not text.rstrip().endswith("/"):
+        if tag not in VOID and not closed:
             top = node
     return nodes
 
@@ -284,7 +295,7 @@ def blocks(nodes: list[Node], main: np.ndarray) -> str:
                 break
             elif part.tag in BLOCK:
                 flush()
-            elif part.tag in VOID:
+            elif part.tag in APART:
                 now.append(" ")
         else:
             if node.tag in BLOCK:

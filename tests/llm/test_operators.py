@@ -1,5 +1,6 @@
 """The operators against brute force, exact round trips and held-out labels, and on odd tables."""
 
+import functools
 import hashlib
 import random
 import re
@@ -218,6 +219,21 @@ def test_extraction_of_an_article(spark):
     assert got[2]["text"] == got[3]["text"] == "" and got[2]["n_chars"] == 0
 
 
+trained = functools.cache(html_extract.train)
+
+
+@pytest.mark.parametrize(
+    ("inner", "want"),
+    [
+        ('<svg class="icon"/>', ""), ("<p>Sum <math/> ends.</p>", "Sum ends."), ("<p>Let <math><mi>x</mi><mo>=</mo><mn>1</mn></math> hold.</p>", "Let x=1 hold."), ("<button>", ""), ("<select>", ""), ("<video>", ""), ("<canvas>", ""), ('<iframe src="x">', ""),
+        ("<svg><style/><script/><title/></svg>", ""), ("<svg><style>a{}</style></svg>", ""), ("<object><p>Fallback text here for all.</p></object>", "Fallback text here for all."), ("<noscript><p>Fallback text here for all.</p></noscript>", "Fallback text here for all."),
+    ],
+)
+def test_extraction_around_embedded_elements(inner, want):
+    page = f'<html><body><nav><ul><li><a href="/a">Home</a></li></ul></nav><article><h1>Title</h1><p>First line of the text goes here.</p>{inner}<p>Last line of the text is here.</p></article><footer>Site <svg></svg></footer></body></html>'
+    assert html_extract.extract([page], trained())[0].split("\n") == [x for x in ("Title", "First line of the text goes here.", want, "Last line of the text is here.") if x]
+
+
 def test_extraction_on_unseen_layouts():
     model, rng = html_extract.train(), random.Random(77)
     right = wrong = missed = 0
