@@ -113,5 +113,5 @@ def judge(docs: DataFrame, text: str = "text", most_lost: float = 0.5) -> DataFr
 
 
 def clean(docs: DataFrame, text: str = "text", most_lost: float = 0.5) -> DataFrame:
-    """The documents that pass, with the columns they came with."""
-    return judge(docs, text, most_lost).where("rules.kept").select(*docs.columns)
+    """The documents that pass, with the columns they came with; the text is what is left of its lines."""
+    return judge(docs, text, most_lost).where("rules.kept").withColumn(text, F.col("rules.cleaned")).select(*docs.columns)

@@ -62,6 +62,13 @@ def test_line_rules(spark):
     assert {r["line"]: r["fails"] for r in df.collect()} == lines
 
 
+def test_clean_drops_failing_lines(spark):
+    good = [" ".join(f"w{k}x{i}" for i in range(12)) + " ends." for k in range(6)]
+    text = "\n".join([good[0], "Home | About | News", *good[1:], good[2], "We use cookies to serve you better on this site."])
+    got = quality_rules.clean(spark.createDataFrame([(1, text, "x"), (2, "too short", "x")], "doc_id long, text string, lang string")).collect()
+    assert [tuple(r) for r in got] == [(1, "\n".join(good), "x")]
+
+
 def test_rules_keep_good_documents(spark, sf):
     got = quality_rules.judge(spark.read.parquet(f"{sf}/documents.parquet")).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").select("quality", "rules.kept", "rules.base_failed").collect()
     assert not any(r["kept"] for r in got if r["quality"] == 0)
