@@ -7,6 +7,8 @@ from collections.abc import Iterable
 from pyspark.ml.feature import StopWordsRemover
 from pyspark.sql import DataFrame, SparkSession
 
+from lexgrid.sources.stopwords_v2 import V2
+
 NAMES = {"de": "german", "en": "english", "es": "spanish", "fr": "french", "it": "italian"}
 #: The short English list of version "v2".
 ENGLISH = "a an and are as at be but by for if in into is it no not of on or such that the their then there these they this to was will with".split()
@@ -14,13 +16,15 @@ VERSIONS = (None, "v2")
 
 
 def stopwords(language: str, version: str | None = None, own: Iterable[str] | None = None) -> list[str]:
-    """Words to leave out. own overrides; languages without a built-in list need one (Arabic and Korean have none here)."""
+    """Words to leave out. own overrides; languages without a built-in list need one (Arabic has none here, Korean in version v2 only)."""
     if version not in VERSIONS:
         raise ValueError(f"stopword version {version!r} is not one of {VERSIONS}")
     if own is not None:
         return sorted(set(own))
     if version == "v2" and language == "en":
         return list(ENGLISH)
+    if version == "v2" and language in V2:
+        return list(V2[language])
     if language not in NAMES:
         raise ValueError(f"no built-in stopwords for {language!r}: pass your own")
     return sorted(set(StopWordsRemover.loadDefaultStopWords(NAMES[language])))

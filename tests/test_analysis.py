@@ -81,3 +81,9 @@ def test_italian_stems(word, want):
 
 def test_language_without_stemmer_keeps_words():
     assert stemming.stem("ko", "학교에서") == "학교에서" and stemming.stem(None, "abc") == "abc"
+
+
+@pytest.mark.parametrize(("lang", "n", "word"), [("de", 232, "über"), ("fr", 157, "êtes"), ("es", 313, "éramos"), ("it", 279, "è"), ("ko", 677, "￥")])
+def test_v2_stopwords_of_other_languages(lang, n, word):
+    got = stopwords(lang, "v2")
+    assert len(got) == n and got[-1] == word
