@@ -1,218 +1,361 @@
 """N-gram Jaccard join: texts whose sets of word shingles overlap enough are linked, and links make components.
 
-T-occurrence search in the manner of DivideSkip. Two sets that reach the similarity share T shingles at least. Every set lists
-its shingles in one global order, short inverted lists before long ones, and is posted under its first n - T + 1 only: two
-linked sets share one of these. So long lists (over LONG sets) are not merged, unless a set has hardly any other shingle; the
-shingles left out are probed in the stored sets of the candidates, where the exact overlap is taken.
-
-Equal sets are one class throughout. In a list, sets are first compared with the list's most central set and contracted into
-components where the comparison links them; then only components that still differ are compared, so a group of near copies is
-not expanded into its pairs, while no link between different components is missed.
-
-DataFrame functions only. Counts are pre-aggregated, hot lists are joined in joins that Spark may split, components are found
-by alternating large and small stars on tables written to the shared folder; nothing about all documents reaches the driver.
-Shingles are told apart by 63-bit codes, classes by the hash of the whole set.
+T-occurrence search in the manner of DivideSkip. Two linked sets share T shingles at least, T by their sizes. All sets order
+their shingles in one way, rare ones first, and are posted in the inverted lists of the first n - T + 1 only. For each set the
+short lists are merged with a heap that counts how often other sets occur; those that can still reach T then have the shingles
+left out of the merge, the ones of long lists, probed by binary search.
+
+Equal sets are one class throughout. Before the search, sets of a list are compared with the list's most central set and
+contracted into components where that links them, then with the next central one, as long as this pays; only sets of
+different components are searched. So a group of near copies is not expanded into its pairs, and no link between different
+components is missed.
+
+The order is by the number of sets that hold a shingle, counted over all sets that may have a partner. Which may have one is
+told by a first count over short prefixes in the order of the codes: a set with a partner has several of these shingles in
+common with others. Both counts cover all documents and take one shuffle by the shingle. Shingles that are common already among
+SAMPLE sets stay out of it, so no task gets a common one: the first count knows them to be shared, and the order, which any
+rule may give, puts them last, by their number in the sample.
+
+Style: Arrow functions make the sets (vectorised over the bytes, in pieces of PIECE), merge and probe; DataFrame functions
+count, join and find components by alternating large and small stars, on tables written to the shared folder. Nothing about
+all documents reaches the driver. Shingles are told apart by 64-bit codes. Classes have 128 bits; half of them name a class,
+and if two classes had one name all would be named anew.
 
 Defined cases: null and blank texts have no shingles and link with nothing; a text of fewer words than a shingle is one shingle.
 Equal rows are equal sets and share a component. A repeated id with different texts gives a row for each. An empty table gives
-no rows. Extra columns are not read.
+no rows. Whole texts are read, however long. Extra columns are not read, whatever their names.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import hashlib
+import heapq
+import re
+from collections.abc import Iterator
+from itertools import count, groupby, repeat
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lexgrid.llm.common import BROADCAST_ROWS, Workspace, let, lower_ascii, words
-
-WORDS, PERCENT, LONG, LONGER = 5, 80, 64, 1.5
-
-
-def shingles(text: Column, size: int = WORDS) -> Column:
-    """Sorted distinct 63-bit codes of the text's shingles: those with a long middle word first, equally long ones by hash.
-
-    Long words are rare in any language, short ones common; so the order, which needs no counts, puts short inverted lists
-    before long ones. Words are hashed once: a word's long holds its hash and, in 6 bits, its length.
-    """
-
-    def of(w: Column) -> Column:
-        n = F.size(w)
-        coded = F.transform(w, lambda x: F.xxhash64(x).bitwiseAND(F.lit(-64)).bitwiseOR(F.least(F.octet_length(x), F.lit(63)).cast("long")))
-
-        def window(p: Column, i: Column) -> Column:
-            length = F.get(p, i + size // 2).bitwiseAND(F.lit(63))
-            return F.shiftleft(F.lit(63) - length, 57).bitwiseOR(F.shiftrightunsigned(F.xxhash64(*[F.get(p, i + k) for k in range(size)]), 7))
-
-        several = let(coded, lambda p: F.sort_array(F.array_distinct(F.transform(F.sequence(F.lit(0), n - size), lambda i: window(p, i)))))
-        return F.when(n == 0, F.array().cast("array<bigint>")).when(n < size, F.array(F.shiftrightunsigned(F.xxhash64(w), 1))).otherwise(several)
-
-    return let(words(lower_ascii(text)), of)
+from lexgrid.llm.common import BROADCAST_ROWS, Workspace
+
+#: A list is short up to SHORT sets. Rounds of central sets go on while the search would read over WORTH entries for each posted one.
+WORDS, PERCENT, SHORT, WORTH = 5, 80, 64, 8
+#: A shingle is common if so many of the sets in a sample of that size hold it.
+COMMON, SAMPLE = 10, 20_000
+#: Bytes hashed at once.
+PIECE = 2**20
+
+MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
+IS_BLANK = np.zeros(256, dtype=bool)
+IS_BLANK[[32, *range(9, 14)]] = True
+LOWERED = np.arange(256, dtype=np.uint8)
+LOWERED[65:91] += 32
+BLANK = re.compile(rb"[ \t-\r]")
+
+
+def mixed(x: np.ndarray) -> np.ndarray:
+    """A bijection of 64-bit numbers that spreads every bit."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def word_codes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Where the words of the bytes start, and their codes: polynomials in the lower-cased bytes."""
+    b = LOWERED[np.frombuffer(data, dtype=np.uint8)]
+    blank = IS_BLANK[b]
+    starts = np.flatnonzero(~blank & np.concatenate([[True], blank[:-1]]))
+    if not len(starts):
+        return starts, np.zeros(0, dtype=np.uint64)
+    place = np.zeros(len(b), dtype=np.int64)
+    place[starts[0] :] = np.arange(starts[0], len(b)) - np.repeat(starts, np.diff(np.append(starts, len(b))))
+    place[blank] = 0
+    powers = np.cumprod(np.full(int(place.max()) + 1, MULTIPLIER))
+    terms = np.where(blank, np.uint64(0), (b.astype(np.uint64) + np.uint64(1)) * powers[place])
+    return starts, mixed(np.add.reduceat(terms, starts))
+
+
+def text_codes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The word codes of all texts, and where each text's begin."""
+    data = b" ".join(texts)
+    starts, codes, at = [], [], 0
+    while at < len(data):
+        cut = BLANK.search(data, at + PIECE)
+        end = cut.start() if cut else len(data)
+        s, c = word_codes(data[at:end])
+        starts.append(s + at)
+        codes.append(c)
+        at = end
+    ends = np.cumsum([0, *(len(t) + 1 for t in texts)])
+    if not starts:
+        return np.zeros(0, dtype=np.uint64), np.zeros(len(ends), dtype=np.int64)
+    return np.concatenate(codes), np.searchsorted(np.concatenate(starts), ends)
+
+
+def shingle_sets(texts: list[bytes], size: int) -> Iterator[np.ndarray]:
+    """The sorted distinct codes (64 bits, signed) of each text's shingles."""
+
+    def chain(parts: list[np.ndarray]) -> np.ndarray:
+        h = np.full(len(parts[0]), len(parts), dtype=np.uint64)
+        for p in parts:
+            h = mixed(h * MULTIPLIER + p)
+        return h.view(np.int64)
+
+    i = 0
+    while i < len(texts):
+        j, n = i, 0
+        while j < len(texts) and (j == i or n + len(texts[j]) <= PIECE):
+            n += len(texts[j]) + 1
+            j += 1
+        w, first = text_codes(texts[i:j])
+        several = chain([w[k : len(w) - size + 1 + k] for k in range(size)]) if len(w) >= size else None
+        for a, b in zip(first, first[1:]):
+            if b - a >= size:
+                yield np.unique(several[a : b - size + 1])
+            else:
+                yield chain([w[k : k + 1] for k in range(a, b)]) if b > a else np.zeros(0, dtype=np.int64)
+        i = j
+
+
+def name(codes: np.ndarray, salt: int) -> tuple[int, int]:
+    """128 bits that tell sets apart, as two longs."""
+    return tuple(np.frombuffer(hashlib.blake2b(codes.tobytes(), digest_size=16, salt=salt.to_bytes(8, "little")).digest(), dtype=np.int64).tolist())
+
+
+def told(rows: DataFrame, size: int, percent: int, salt: int) -> DataFrame:
+    """(id, c, c2, n, prefix) of (id, text): the set's names and size, and the smallest codes, as many as the first count posts."""
+    kind = rows.schema["id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [t or b"" for t in batch.column("text").cast(pa.binary()).to_pylist()]
+            names, sizes, prefixes = [], [], []
+            for s in shingle_sets(texts, size):
+                names.append(name(s, salt))
+                sizes.append(len(s))
+                prefixes.append(s[: first_posted(len(s), percent)])
+            both = np.array(names, dtype=np.int64).reshape(-1, 2)
+            lists = pa.ListArray.from_arrays(np.cumsum([0, *map(len, prefixes)]).astype(np.int32), np.concatenate([np.zeros(0, dtype=np.int64), *prefixes]))
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(both[:, 0]), pa.array(both[:, 1]), pa.array(sizes, pa.int32()), lists], names=["id", "c", "c2", "n", "prefix"])
+
+    return rows.mapInArrow(run, f"id {kind}, c long, c2 long, n int, prefix array<long>")
+
+
+def full_sets(rows: DataFrame, size: int, salt: int) -> DataFrame:
+    """(c, n, arr) of (text): whole sets of texts that have one."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [s for s in shingle_sets([t or b"" for t in batch.column("text").cast(pa.binary()).to_pylist()], size) if len(s)]
+            lists = pa.ListArray.from_arrays(np.cumsum([0, *map(len, found)]).astype(np.int32), np.concatenate([np.zeros(0, dtype=np.int64), *found]))
+            yield pa.RecordBatch.from_arrays([pa.array([name(s, salt)[0] for s in found], pa.int64()), pa.array([len(s) for s in found], pa.int32()), lists], names=["c", "n", "arr"])
+
+    return rows.select("text").mapInArrow(run, "c long, n int, arr array<long>")
+
+
+def share_of(n: int, percent: int) -> int:
+    """The smallest overlap of a set of this size with a partner, and the smallest size of a partner."""
+    return -(-n * percent // 100)
+
+
+def met_twice(n: int) -> int:
+    """How many shingles of the first count's prefix a set of this size must share with a partner."""
+    return max(1, n // 10)
+
+
+def first_posted(n: int, percent: int) -> int:
+    """How many shingles the first count posts: with so many, two linked sets share met_twice of the smaller one's size."""
+    return min(n, n - share_of(n, percent) + met_twice(n))
 
 
 def least_overlap(a: Column, b: Column, percent: int) -> Column:
-    """The smallest overlap with which sets of these sizes are linked."""
+    """T: the smallest overlap with which sets of these sizes are linked."""
     return F.ceil((a + b) * percent / (100.0 + percent) - 1e-9)
 
 
-def prefix_size(n: Column, percent: int) -> Column:
-    return (n - F.ceil(n * percent / 100.0 - 1e-9) + 1).cast("int")
-
-
 def either(df: DataFrame, keys: DataFrame, on: str | list[str], how: str) -> DataFrame:
-    """A semi or anti join; the keys are broadcast if a count finds them few."""
+    """A join with a table of keys, broadcast if a count finds them few."""
     few = keys.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     return df.join(F.broadcast(keys) if few else keys, on, how)
 
 
+def shared(entries: DataFrame, n_sets: int, space: Workspace) -> DataFrame:
+    """Those of the entries (c, h, ...) whose h stands in two sets or more, with m, their number, and common, whether m counts the sample only."""
+    step = max(1, n_sets // SAMPLE)
+    common = space.keep(entries.where(F.pmod("c", F.lit(step)) == 0).groupBy("h").agg(F.count("*").alias("m")).where(F.col("m") >= COMMON))
+    rest = either(entries, common, "h", "left_anti").withColumn("m", F.count("*").over(W.partitionBy("h"))).where("m > 1")
+    return either(entries, common, "h", "inner").withColumn("common", F.lit(True)).unionByName(rest.withColumn("common", F.lit(False)))
+
+
 def connect(edges: DataFrame, space: Workspace) -> DataFrame:
     """(v, root) for every vertex of edges (a, b): root is the smallest vertex of its component. Alternates large and small stars."""
     now = space.keep(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
+    sign = None
     while True:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        large = space.keep(large)  # now is read once more below
+        large = space.keep(large)
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         joined = large.join(low, "u")
         small = joined.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(joined.select("u", F.col("m").alias("v"))).distinct()
         new = space.keep(small)
-        same = new.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).collect() == now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).collect()
+        was, sign = sign, new.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).collect()
         space.drop(now, large)
         now = new
-        if same:
+        if sign == was:
             return now.select(F.col("u").alias("v"), F.col("v").alias("root"))
 
 
-def verify(pairs: DataFrame, sets_of: Callable[[DataFrame], DataFrame], space: Workspace, percent: int) -> DataFrame:
-    """Of the distinct pairs (a, b) of classes, those linked, by the exact overlap of their sets."""
-    pairs = space.keep(pairs)
-    sets = space.keep(sets_of(pairs.select(F.explode(F.array("a", "b")).alias("c")).distinct()))
+def verify(pairs: DataFrame, sets: DataFrame, space: Workspace, percent: int) -> DataFrame:
+    """Of the distinct pairs (a, b) of classes, those linked: the smaller set is probed in the larger by binary search."""
     one = pairs.join(sets.select(F.col("c").alias("a"), F.col("arr").alias("x")), "a")
-    two = one.join(sets.select(F.col("c").alias("b"), F.col("arr").alias("y")), "b")
-    overlap = F.size(F.array_intersect("x", "y"))
-    found = space.keep(two.where(overlap * (100 + percent) >= (F.size("x") + F.size("y")) * percent).select("a", "b"))
-    space.drop(pairs, sets)
-    return found
-
-
-def may_link(k: Column, a: Column, b: Column, last_a: Column, last_b: Column, percent: int) -> Column:
-    """Whether sets of sizes a and b that share k lists, the last at these places of theirs, can reach the overlap.
-
-    Beyond the shorter prefix they share the rest of a set at most; and what either has before the last shared place without
-    sharing it is lost to the overlap. Nothing is ruled out by a place of -1.
+    two = one.join(sets.select(F.col("c").alias("b"), F.col("arr").alias("y")), "b").select("a", "b", "x", "y")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sides = []
+            for k in ("x", "y"):
+                col = batch.column(k)
+                sides.append((col.offsets.to_numpy(), col.values.to_numpy()))
+            (xo, xv), (yo, yv) = sides
+            linked = np.zeros(batch.num_rows, dtype=bool)
+            for i in range(batch.num_rows):
+                x, y = xv[xo[i] : xo[i + 1]], yv[yo[i] : yo[i + 1]]
+                if len(x) > len(y):
+                    x, y = y, x
+                at = np.searchsorted(y, x)
+                at[at == len(y)] = 0
+                linked[i] = int((y[at] == x).sum()) * (100 + percent) >= (len(x) + len(y)) * percent
+            yield batch.select(["a", "b"]).filter(pa.array(linked))
+
+    return space.keep(two.mapInArrow(run, "a long, b long"))
+
+
+def fits(n1: Column, p1: Column, n2: Column, p2: Column, percent: int) -> Column:
+    """Whether sets of these sizes that meet at these places of theirs can reach the overlap with what is left of both."""
+    return F.least(n1 - p1, n2 - p2) >= least_overlap(n1, n2, percent)
+
+
+def merge_short(queries: DataFrame, percent: int) -> DataFrame:
+    """Candidates (a, b) of (a, n, r, long, lists): each of the lists is (pos, ids, places, roots), sorted by ids.
+
+    A heap merges the ids of all lists of a query. One that occurs k times, last at some places of both sets, can share k and
+    what follows these places; up to `long` further ones may lie in long lists before.
     """
-    least = least_overlap(a, b, percent)
-    rest = F.greatest(a - prefix_size(a, percent), b - prefix_size(b, percent))
-    return (k >= least - rest) & (last_a + 1 - k <= a - least) & (last_b + 1 - k <= b - least)
-
-
-def class_links(told: DataFrame, sets_of: Callable[[DataFrame], DataFrame], space: Workspace, percent: int) -> DataFrame:
-    """(v, root) for the classes in components of two or more.
 
-    told: (c, n, prefix), a row a class or several equal ones; prefix is LONGER times what is posted of it. sets_of: gives
-    (c, arr) for a table of classes (c).
-    """
-    p = prefix_size(F.col("n"), percent)
-    # Lists of two classes or more, counted over the longer prefixes, so that whatever moves up into a prefix is counted too.
-    lists = space.keep(told.select(F.explode("prefix").alias("h")).groupBy("h").agg(F.count("*").alias("m")).where("m > 1"))
-    posted = told.select("c", "n", F.posexplode(F.slice("prefix", F.lit(1), p)).alias("pos", "h"))
-    posts = posts_kept = space.keep(posted.join(lists, "h").groupBy("h", "c").agg(F.first("n").alias("n"), F.first("pos").alias("pos"), F.first("m").alias("m")))
-    # Sets that meet a long list post anew, long lists last.
-    moved = space.keep(posts.where(F.col("m") > LONG).select("c").distinct())
-    posts = posts.drop("m")
-    if not moved.isEmpty():
-        long = lists.where(F.col("m") > LONG).select("h")
-        own = space.keep(either(told, moved, "c", "left_semi").dropDuplicates(["c"]))
-        theirs = either(own.select("c", F.explode("prefix").alias("h")), long, "h", "left_semi").groupBy("c").agg(F.collect_list("h").alias("g"))
-        plain, own = own, space.keep(own.join(theirs, "c").withColumn("short", F.array_except("prefix", "g")))
-        space.drop(plain)
-        enough = (F.size("short") >= p) | (F.size("prefix") == F.col("n"))
-        near = own.where(enough).select("c", "n", F.concat("short", F.array_intersect("prefix", "g")).alias("order"))
-        # Sets with many long lists are ordered in full.
-        far = space.keep(sets_of(own.where(~enough).select("c")).dropDuplicates(["c"]))
-        in_far = either(far.select("c", F.explode("arr").alias("h")), long, "h", "left_semi").groupBy("c").agg(F.collect_list("h").alias("g"))
-        full = far.join(in_far, "c").select("c", F.size("arr").alias("n"), F.concat(F.array_except("arr", "g"), F.array_intersect("arr", "g")).alias("order"))
-        first = lambda df: df.select("c", "n", F.posexplode(F.slice("order", F.lit(1), p)).alias("pos", "h"))
-        full = space.keep(first(full))
-        # What they post from beyond the counted prefixes may meet lists of one class so far.
-        new = space.keep(either(full.select("h").distinct(), lists, "h", "left_anti"))
-        late = either(posted, new, "h", "left_semi")
-        columns = ["h", "c", "n", "pos"]
-        rest = posts.select(*columns).unionByName(late.select(*columns).dropDuplicates(["h", "c"]))
-        fewer = posts_kept
-        posts = posts_kept = space.keep(either(rest, moved, "c", "left_anti").unionByName(first(near).select(*columns)).unionByName(full.select(*columns)))
-        space.drop(fewer, own, far, full, new)
-    space.drop(lists, moved)
-    # The most central class of each list: the one that meets most others over all its lists.
-    sizes = posts.groupBy("h").agg(F.count("*").alias("m")).where("m > 1")
-    several = space.keep(posts.join(sizes, "h"))
-    space.drop(posts_kept)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            left, right = [], []
+            for a, n, r, long, lists in zip(*(batch.column(k).to_pylist() for k in ("a", "n", "r", "long", "lists"))):
+                streams = [zip(x["ids"], x["places"], x["roots"], repeat(x["pos"])) for x in lists]
+                for b, met in groupby(heapq.merge(*streams), key=lambda e: e[0]):
+                    k, last_a, last_b, other, m = 0, -1, -1, r, 0
+                    for _, place, other, pos in met:
+                        m, at = place >> 32, place & 0xFFFFFFFF
+                        if min(n - pos, m - at) >= -(-(n + m) * percent // (100 + percent)):
+                            k, last_a, last_b = k + 1, max(last_a, pos), max(last_b, at)
+                    if k and other != r:
+                        least = -(-(n + m) * percent // (100 + percent))
+                        if k + long + min(n - 1 - last_a, m - 1 - last_b) >= least:
+                            left.append(min(a, b))
+                            right.append(max(a, b))
+            yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], names=["a", "b"])
+
+    return queries.select("a", "n", "r", "long", "lists").mapInArrow(run, "a long, b long")
+
+
+def class_links(sets: DataFrame, space: Workspace, percent: int) -> DataFrame:
+    """(v, root) for the classes in components of two or more, of whole sets (c, n, arr)."""
+    entries = sets.select("c", "n", F.explode("arr").alias("h"))
+    found = shared(entries, sets.count(), space).groupBy("c", "n").agg(F.sort_array(F.collect_list(F.struct("common", "m", "h"))).alias("g"))
+    # Shingles of no other set come first, then shared ones by their counts.
+    alone = F.col("n") - F.size("g")
+    posted = F.col("n") - F.ceil(F.col("n") * percent / 100.0 - 1e-9) + 1
+    posts = found.where(alone < posted).select("c", "n", alone.alias("start"), F.posexplode(F.slice("g", F.lit(1), (posted - alone).cast("int"))).alias("i", "e"))
+    posts = space.keep(posts.select(F.col("e.h").alias("h"), "c", "n", (F.col("start") + F.col("i")).cast("int").alias("pos")))
+    # An entry is of use if the smallest set of its list is not too large for what is left of it.
+    reach = F.floor(((F.col("n") - F.col("pos")) * (100 + percent) - F.col("n") * percent) / float(percent) + 1e-9)
+    low = posts.groupBy("h").agg(F.min("n").alias("low"), F.count("*").alias("m")).where("m > 1")
+    useful = space.keep(posts.join(low, "h").where(reach >= F.col("low")).drop("low", "m"))
+    space.drop(posts)
+    # The most central class of a list: the one that meets most others over all its lists.
+    sizes = useful.groupBy("h").agg(F.count("*").alias("m")).where("m > 1")
+    several = space.keep(useful.join(sizes, "h"))
     degree = several.groupBy("c").agg(F.sum("m").alias("deg"))
     posts = space.keep(several.join(degree, "c").select("h", "c", "n", "pos", "deg"))
-    space.drop(several)
-    edges = None
-    roots = None
-    for _ in range(2):
-        now = posts.withColumn("r", F.col("c")) if roots is None else posts.join(roots.withColumnRenamed("v", "c"), "c", "left").withColumn("r", F.coalesce("root", "c")).drop("root")
-        now = space.keep(now)
-        open_ = now.groupBy("h").agg(F.min("r").alias("r1"), F.max("r").alias("r2"), F.max(F.struct("deg", "c", "r", "n", "pos")).alias("top")).where("r1 <> r2").select("h", "top")
-        star = now.join(open_, "h").where(F.col("r") != F.col("top.r")).where(fits(F.col("n"), F.col("top.n"), percent))
-        star = star.groupBy("c", F.col("top.c").alias("b")).agg(F.count("*").alias("k"), F.first("n").alias("n"), F.first("top.n").alias("n2"), F.max("pos").alias("p1"), F.max("top.pos").alias("p2"))
-        star = star.where(may_link(F.col("k"), F.col("n"), F.col("n2"), F.col("p1"), F.col("p2"), percent))
-        found = verify(star.select(F.col("c").alias("a"), "b"), sets_of, space, percent)
-        space.drop(now)
-        edges = found if edges is None else found.unionByName(roots.select(F.col("v").alias("a"), F.col("root").alias("b")))
+    space.drop(useful, several)
+    edges, roots, now = None, None, space.keep(posts.withColumn("r", F.col("c")))
+    while True:
+        tops = now.groupBy("h", "r").agg(F.count("*").alias("k")).groupBy("h").agg(F.max(F.struct("k", "r")).alias("top"), F.sum("k").alias("m"), F.count("*").alias("roots"))
+        open_ = space.keep(tops.where("roots > 1").select("h", "m", F.col("top.r").alias("main"), (F.col("m") - F.col("top.k")).alias("minor")))
+        work = open_.agg(F.sum(F.col("m") * F.col("minor"))).first()[0]
+        if work is None:
+            return roots if roots is not None else sets.select(F.col("c").alias("v"), F.col("c").alias("root")).limit(0)
+        if roots is not None and (not linked or work <= WORTH * now.count()):
+            break
+        centre = now.join(open_.select("h"), "h").groupBy("h").agg(F.max(F.struct("deg", "c", "r", "n", "pos")).alias("t")).select("h", "t.c", "t.r", "t.n", "t.pos").toDF("h", "b", "r2", "n2", "pos2")
+        centre = space.keep(centre)
+        star = now.join(centre, "h").where((F.col("r") != F.col("r2")) & fits(F.col("n"), F.col("pos"), F.col("n2"), F.col("pos2"), percent))
+        found = verify(star.select(F.col("c").alias("a"), "b").distinct(), sets, space, percent)
+        linked = not found.isEmpty()
+        edges = found if edges is None else edges.unionByName(found)
         roots = connect(edges, space)
-        space.drop(found)
-    # What still differs: components that share a list, then their members that fit.
-    now = space.keep(posts.join(roots.withColumnRenamed("v", "c"), "c", "left").withColumn("r", F.coalesce("root", "c")))
-    comps = now.groupBy("h", "r").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.first("pos").alias("pos"), F.first("root").isNull().alias("alone"))
-    open_ = comps.groupBy("h").agg(F.count("*").alias("m")).where("m > 1").select("h")
-    comps = space.keep(comps.join(open_, "h").withColumn("pos", F.when(F.col("alone"), F.col("pos")).otherwise(-1)).drop("alone"))  # places are known of classes that are alone
-    left, right = (comps.select("h", *[F.col(x).alias(x + s) for x in ("r", "least", "most", "pos")]) for s in "12")
-    met = left.join(right, "h").where("r1 < r2").where((F.col("least1") * percent <= F.col("most2") * 100) & (F.col("least2") * percent <= F.col("most1") * 100))
-    met = met.groupBy("r1", "r2").agg(F.count("*").alias("k"), F.max("pos1").alias("p1"), F.max("pos2").alias("p2"), F.first("least1").alias("n1"), F.first("least2").alias("n2"))
-    both = (F.col("p1") >= 0) & (F.col("p2") >= 0)
-    met = space.keep(met.where(~both | may_link(F.col("k"), F.col("n1"), F.col("n2"), F.col("p1"), F.col("p2"), percent)).select("r1", "r2", "k"))
-    members = now.select("c", "r", "n").distinct()
-    pairs = met.join(members.select(F.col("r").alias("r1"), F.col("c").alias("a"), F.col("n").alias("na")), "r1").join(members.select(F.col("r").alias("r2"), F.col("c").alias("b"), F.col("n").alias("nb")), "r2")
-    pairs = pairs.where(fits(F.col("na"), F.col("nb"), percent) & may_link(F.col("k"), F.col("na"), F.col("nb"), F.lit(-1), F.lit(-1), percent))
-    found = verify(pairs.select("a", "b"), sets_of, space, percent)
-    return connect(space.keep(found.unionByName(roots.select(F.col("v").alias("a"), F.col("root").alias("b")))), space)
-
-
-def fits(a: Column, b: Column, percent: int) -> Column:
-    """Whether sets of these sizes can be linked at all."""
-    return (a * percent <= b * 100) & (b * percent <= a * 100)
+        # All pairs of a centre in its list are settled, so it leaves the list.
+        rest = now.drop("r").join(centre.select("h", F.col("b").alias("c")), ["h", "c"], "left_anti")
+        was, now = now, space.keep(rest.join(roots.withColumnRenamed("v", "c"), "c", "left").select("h", "c", "n", "pos", "deg", F.coalesce("root", "c").alias("r")))
+        space.drop(was, centre, open_)
+    # The search: in each open list, entries of other components than the main one against all.
+    live = space.keep(now.join(open_, "h"))
+    minor = live.where(F.col("r") != F.col("main"))
+    short = F.col("m") <= SHORT
+    member = F.struct("c", F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(F.col("pos").cast("long")).alias("place"), "r")
+    lists = live.where(short).groupBy("h").agg(F.sort_array(F.collect_list(member)).alias("e"))
+    one = F.struct("pos", F.col("e.c").alias("ids"), F.col("e.place").alias("places"), F.col("e.r").alias("roots"))
+    n_long = minor.groupBy(F.col("c").alias("a")).agg(F.sum((~short).cast("int")).alias("long"))
+    queries = minor.where(short).join(lists, "h").groupBy(F.col("c").alias("a"), "n", "r").agg(F.collect_list(one).alias("lists")).join(n_long, "a")
+    candidates = merge_short(queries, percent)
+    # Long lists are not merged: entries that can still reach T in one are probed as they are.
+    left, right = minor.where(~short), live.where(~short).select("h", *[F.col(x).alias(x + "2") for x in ("c", "n", "pos", "r")])
+    once = (F.col("r2") == F.col("main")) | (F.col("c") < F.col("c2"))
+    met = left.join(right, "h").where((F.col("r") != F.col("r2")) & once & fits(F.col("n"), F.col("pos"), F.col("n2"), F.col("pos2"), percent))
+    pairs = candidates.unionByName(met.select(F.least("c", "c2").alias("a"), F.greatest("c", "c2").alias("b"))).distinct()
+    found = verify(space.keep(pairs), sets, space, percent)
+    return connect(edges.unionByName(found), space)
 
 
 def components(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = PERCENT, size: int = WORDS) -> DataFrame:
     """(key, n_shingles, class_id, component_id): class_id is the smallest id with the same set, component_id that of its component."""
     space = Workspace(docs.sparkSession)
     rows = docs.select(F.col(key).alias("id"), F.col(text).alias("text"))
-    sets = rows.select("id", shingles(F.col("text"), size).alias("arr")).withColumn("c", F.xxhash64(F.size("arr"), "arr"))
-    told = space.keep(sets.select("id", "c", F.size("arr").alias("n"), F.slice("arr", F.lit(1), F.ceil(LONGER * prefix_size(F.size("arr"), percent)).cast("int")).alias("prefix")))
-    filled = told.where("n > 0")
-    classes = space.keep(filled.groupBy("c").agg(F.min("id").alias("class")))
-    copies = filled.join(classes, "c").where("NOT (id <=> class)").select("id", "c").distinct()
-    kept = either(filled, copies, ["id", "c"], "left_anti").select("c", "n", "prefix")
-
-    def sets_of(wanted: DataFrame) -> DataFrame:
-        """The sets of these classes, from the texts of their first documents."""
-        firsts = space.keep(classes.join(wanted, "c").select(F.col("class").alias("first")).distinct())
-        few = firsts.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-        texts = rows.join(F.broadcast(firsts) if few else firsts, F.col("id").eqNullSafe(F.col("first")), "left_semi")
-        arr = texts.select(shingles(F.col("text"), size).alias("arr"))
-        return arr.select(F.xxhash64(F.size("arr"), "arr").alias("c"), "arr")
-
-    roots = class_links(kept, sets_of, space, percent)
+    for salt in count():
+        all_ = space.keep(told(rows, size, percent, salt))
+        filled = all_.where("n > 0")
+        classes = space.keep(filled.groupBy("c", "c2").agg(F.min("id").alias("class"), F.first("n").alias("n")))
+        if classes.groupBy("c").count().where("count > 1").isEmpty():
+            break
+        space.drop(all_, classes)
+    copies = filled.join(classes.select("c", "class"), "c").where("NOT (id <=> class)").select("id", "c").distinct()
+    kept = either(filled, copies, ["id", "c"], "left_anti").select("c", F.explode("prefix").alias("h"))
+    # The first count: which sets share enough of their prefixes with others.
+    hits = shared(kept, classes.count(), space).groupBy("c").agg(F.count("*").alias("k")).join(classes.select("c", "n"), "c")
+    least = F.greatest(F.lit(1), F.floor(F.ceil(F.col("n") * percent / 100.0 - 1e-9) / 10))
+    met = space.keep(hits.where(F.col("k") >= least).select("c"))
+    firsts = space.keep(classes.join(met, "c").select(F.col("class").alias("first")).distinct())
+    few = firsts.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    texts = rows.join(F.broadcast(firsts) if few else firsts, F.col("id").eqNullSafe(F.col("first")), "left_semi")
+    sets = space.keep(full_sets(texts, size, salt).join(met, "c", "left_semi").dropDuplicates(["c"]))
+    space.drop(firsts, met)
+    roots = class_links(sets, space, percent)
     named = classes.join(roots, classes["c"] == roots["v"], "left").withColumn("root", F.coalesce("root", "c")).select("c", "class", "root")
     lows = named.groupBy("root").agg(F.min("class").alias("component"))
     ids = space.keep(named.join(lows, "root").select("c", "class", "component"))
     # A text without shingles is alone.
-    out = filled.join(ids, "c").select("id", "n", "class", "component").unionByName(told.where("n = 0").select("id", "n", F.col("id").alias("class"), F.col("id").alias("component")))
+    out = filled.join(ids, "c").select("id", "n", "class", "component").unionByName(all_.where("n = 0").select("id", "n", F.col("id").alias("class"), F.col("id").alias("component")))
     return out.select(F.col("id").alias(key), F.col("n").cast("long").alias("n_shingles"), F.col("class").alias("class_id"), F.col("component").alias("component_id"))
 
 
