@@ -13,12 +13,14 @@ from lexgrid.functions.analysis import analyze
 from lexgrid.operators import index as ix
 from lexgrid.operators import search as se
 from lexgrid.operators import stats
+from lexgrid.operators.workspace import shared_folder
 from lexgrid.plans import evaluate
 from lexgrid.sources.readers import in_languages, read_table
 from lexgrid.sources.stopwords import ENGLISH, stopword_table, stopwords
 
 Query = Callable[[SparkSession, str], DataFrame]
 K1, B, D = 1.5, 0.75, 1.0
+#: Points of the small grid; grid_search_full takes all of evaluate.grid_values().
 GRID = [(k1, b, d) for k1 in (1.2, 1.5) for b in (0.6, 0.75) for d in (1.0, 0.5)]
 OOV = "zzzzqqqq"
 
@@ -46,15 +48,17 @@ def named(results: DataFrame) -> DataFrame:
 def truth(spark: SparkSession, d: str) -> DataFrame:
     """(query_id, lang, doc_id): for each benchmark text and language the smallest doc_id whose text contains it.
 
-    Candidates come from an equi-join on the text's second to fourth word, which any text that contains it must have.
+    Candidates come from an equi-join on the text's second to fourth word, which any text that contains it must have; texts of
+    fewer than five words have no such words for certain, and are looked for in all documents.
     """
     items = read_table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("item"))
-    anchored = analyze(items.withColumn("text", F.col("item"))).select("query_id", "item", F.xxhash64(F.get("tokens", F.lit(1)), F.get("tokens", F.lit(2)), F.get("tokens", F.lit(3))).alias("h"))
+    anchored = analyze(items.withColumn("text", F.col("item"))).select("query_id", "item", F.xxhash64(F.get("tokens", F.lit(1)), F.get("tokens", F.lit(2)), F.get("tokens", F.lit(3))).alias("h"), F.size("tokens").alias("n"))
     t = F.col("tokens")
     runs = F.transform(F.sequence(F.lit(0), F.greatest(F.size(t) - 3, F.lit(0))), lambda i: F.xxhash64(F.get(t, i), F.get(t, i + 1), F.get(t, i + 2)))
     placed = docs(spark, d).select("lang", "doc_id", F.explode(F.array_distinct(runs)).alias("h"))
-    near = placed.join(anchored.select("h", "query_id", "item"), "h").select("doc_id", "query_id", "item").distinct()
-    found = raw(spark, d).join(near, "doc_id").where(F.contains("text", "item"))
+    near = placed.join(F.broadcast(anchored.where("n > 4").select("h", "query_id", "item")), "h").select("doc_id", "query_id", "item").distinct()  # a row a benchmark text
+    short = raw(spark, d).join(F.broadcast(anchored.where("n <= 4").select("query_id", "item")), F.contains("text", "item")).select("lang", "doc_id", "query_id")
+    found = raw(spark, d).join(near, "doc_id").where(F.contains("text", "item")).select("lang", "doc_id", "query_id").unionByName(short)
     return found.groupBy("query_id", "lang").agg(F.min("doc_id").alias("doc_id"))
 
 
@@ -159,8 +163,11 @@ def recall_overall(spark: SparkSession, d: str) -> DataFrame:
     return evaluate.recall_overall(results, truth(spark, d)).withColumn("recall", F.round("recall", 6))
 
 
-def grid_bm25(spark: SparkSession, d: str) -> DataFrame:
-    return evaluate.grid_search(docs(spark, d), asked(spark, d), truth(spark, d), "BM25_V1", GRID, digits=6).withColumn("recall", F.round("recall", 6))
+def grid_of(points: list[tuple[float, float, float]]) -> Query:
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        return evaluate.grid_search(docs(spark, d), asked(spark, d), truth(spark, d), "BM25_V1", points, digits=6).withColumn("recall", F.round("recall", 6))
+
+    return run
 
 
 def submission(spark: SparkSession, d: str) -> DataFrame:
@@ -170,13 +177,22 @@ def submission(spark: SparkSession, d: str) -> DataFrame:
 
 
 def index_round_trip(spark: SparkSession, d: str) -> DataFrame:
-    import tempfile
-    import uuid
+    """Two methods are saved at one path, and one is loaded."""
+    path = shared_folder(spark)
+    for method in ("BM25_V1", "TFIDF"):
+        ix.save_index(ix.build_index(docs(spark, d), method), path)
+    return named(se.search(ix.load_index(spark, path, "BM25_V1"), asked(spark, d), 10, digits=6))
+
+
+def query_terms_filtered(spark: SparkSession, d: str) -> DataFrame:
+    """Benchmark texts without English stopwords."""
+    items = read_table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+    return named(se.query_terms(analyze(items, stopwords=ENGLISH)))
+
 
-    root = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}/lexgrid-checkpoints"
-    path = f"{root}/index-{uuid.uuid4().hex}"
-    ix.save_index(ix.build_index(docs(spark, d), "BM25_V1"), path)
-    return named(se.search(ix.load_index(spark, path), asked(spark, d), 10, digits=6))
+def vocab_string_ids(spark: SparkSession, d: str) -> DataFrame:
+    """First appearance in the order of string ids."""
+    return stats.vocabulary(docs(spark, d).withColumn("doc_id", F.concat(F.lit("d"), F.col("doc_id").cast("string"))))
 
 
 # SQL
@@ -248,8 +264,8 @@ SQL_TOP = f"{sql_post(sql_weight('BM25_V1'))}, {FOUND}, {RANKED.format('found')}
 HITS = f"{BENCH_TRUTH}, hits AS (SELECT t.lang, CASE WHEN top.doc_id IS NULL THEN 0.0::DOUBLE ELSE 1.0::DOUBLE END AS hit FROM truth t LEFT JOIN top ON top.item_id = t.item_id AND top.lang = t.lang AND top.doc_id = t.doc_id)"
 
 
-def sql_grid() -> str:
-    points = ", ".join(f"({k1}::DOUBLE, {b}::DOUBLE, {d}::DOUBLE)" for k1, b, d in GRID)
+def sql_grid(grid: list[tuple[float, float, float]]) -> str:
+    points = ", ".join(f"({k1}::DOUBLE, {b}::DOUBLE, {d}::DOUBLE)" for k1, b, d in grid)
     return f"""WITH {BASE}, grid AS (SELECT * FROM (VALUES {points}) g(k1, b, d)),
 found AS (SELECT k1, b, d, item_id, lang, doc_id, round(sum(qtf * {sql_weight('BM25_V1', k1='k1', b='b', d='d')}), 6) AS score FROM qt JOIN tf USING (term) JOIN vocab USING (lang, term) JOIN stats USING (lang) CROSS JOIN grid GROUP BY ALL),
 top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY k1, b, d, item_id, lang ORDER BY score DESC, doc_id) AS rank FROM found) WHERE rank <= 10), {BENCH_TRUTH}
@@ -271,7 +287,9 @@ def queries() -> dict[str, Query]:
         "document_frequency": lambda s, d: stats.document_frequency(stats.term_frequency(docs(s, d))),
         "vocab_size_nnz": lambda s, d: stats.vocabulary_size(stats.term_frequency(docs(s, d))),
         "vocab_first_appearance": lambda s, d: stats.vocabulary(docs(s, d)),
+        "vocab_string_ids": vocab_string_ids,
         "query_terms": query_terms,
+        "query_terms_filtered": query_terms_filtered,
         "query_terms_in_vocab": query_terms_in_vocab,
     }
     found |= {f"idf_{n}": idf_of(n) for n in weighting.IDF}
@@ -285,7 +303,8 @@ def queries() -> dict[str, Query]:
         "search_best_by_lang": search_best,
         "recall_at_10": recall_at_10,
         "recall_overall": recall_overall,
-        "grid_search_bm25": grid_bm25,
+        "grid_search_bm25": grid_of(GRID),
+        "grid_search_full": grid_of(evaluate.grid_values()),
         "submission": submission,
         "index_round_trip": index_round_trip,
     }
@@ -293,18 +312,23 @@ def queries() -> dict[str, Query]:
 
 def oracle_sql() -> dict[str, str]:
     listed = ", ".join(f"'{w}'" for w in ENGLISH)
+    quoted = lambda w: "'" + w.replace("'", "''") + "'"
+    defaults = ", ".join(f"('{g}', {quoted(w)})" for g in ("de", "en", "es", "fr") for w in stopwords(g))
     found = {
         "scan_documents_by_lang": "SELECT doc_id, lang, source, n_chars FROM documents WHERE lang IN ('de', 'en')",
         "distinct_langs": "SELECT DISTINCT lang FROM documents",
         "tokenize": f"WITH {BASE} SELECT doc_id, lang, len(tokens) AS n_tokens, tokens[1] AS first_token FROM docs",
         "stopword_filter": f"WITH {BASE}, k AS (SELECT doc_id, len(tokens) AS total, len(list_filter(tokens, lambda t: t NOT IN ({listed}))) AS kept FROM docs) SELECT doc_id, kept, total - kept AS dropped FROM k",
+        "stopword_filter_default": f"WITH {BASE}, gone AS (SELECT * FROM (VALUES {defaults}) g(lang, term)) SELECT lang, term, n FROM vocab ANTI JOIN gone USING (lang, term)",
         "stem_identity": f"WITH {BASE} SELECT DISTINCT lang, term AS word, term AS base FROM words",
         "corpus_stats": f"WITH {BASE} SELECT lang, n_docs, round(avg_len, 6) AS avg_len FROM stats",
         "term_frequency": f"WITH {BASE} SELECT lang, doc_id, term, c FROM tf",
         "document_frequency": f"WITH {BASE} SELECT lang, term, n FROM vocab",
         "vocab_size_nnz": f"WITH {BASE} SELECT lang, count(*) AS n_terms, sum(n)::BIGINT AS nnz FROM vocab GROUP BY lang",
         "vocab_first_appearance": f"WITH {BASE}, placed AS (SELECT lang, doc_id, unnest(tokens) AS term, unnest(range(len(tokens))) AS pos FROM docs), first AS (SELECT lang, term, min((doc_id, pos)) AS first_at FROM placed GROUP BY lang, term) SELECT lang, term, row_number() OVER (PARTITION BY lang ORDER BY first_at) - 1 AS term_id FROM first",
+        "vocab_string_ids": f"WITH {BASE}, placed AS (SELECT lang, 'd' || doc_id AS doc_id, unnest(tokens) AS term, unnest(range(len(tokens))) AS pos FROM docs), first AS (SELECT lang, term, min((doc_id, pos)) AS first_at FROM placed GROUP BY lang, term) SELECT lang, term, row_number() OVER (PARTITION BY lang ORDER BY first_at) - 1 AS term_id FROM first",
         "query_terms": f"WITH {BASE} SELECT item_id, term, qtf FROM qt",
+        "query_terms_filtered": f"WITH {BASE} SELECT item_id, term, qtf FROM qt WHERE term NOT IN ({listed})",
         "query_terms_in_vocab": f"WITH {BASE} SELECT item_id, lang, term, qtf FROM qt JOIN vocab USING (term)",
     }
     found |= {f"idf_{n}": f"WITH {BASE} SELECT lang, term, n, round({sql_idf(n)}, 6) AS idf FROM vocab JOIN stats USING (lang)" for n in weighting.IDF}
@@ -318,7 +342,8 @@ def oracle_sql() -> dict[str, str]:
         "search_best_by_lang": f"{SQL_BEST_TOP} {TOP}",
         "recall_at_10": f"{SQL_TOP}, {HITS} SELECT lang, count(*) AS n_queries, round(avg(hit), 6) AS recall FROM hits GROUP BY lang",
         "recall_overall": f"{SQL_BEST_TOP}, {HITS} SELECT coalesce(lang, '*') AS lang, count(*) AS n_queries, round(avg(hit), 6) AS recall FROM hits GROUP BY ROLLUP (lang)",
-        "grid_search_bm25": sql_grid(),
+        "grid_search_bm25": sql_grid(GRID),
+        "grid_search_full": sql_grid(evaluate.grid_values()),
         "submission": f"{SQL_BEST_TOP} SELECT item_id AS id, '[' || string_agg('''' || doc_id || '''', ', ' ORDER BY rank) || ']' AS docids FROM top WHERE lang = (['de', 'en', 'es', 'fr'])[item_id % 4 + 1] GROUP BY item_id",
         "index_round_trip": sql_search("BM25_V1"),
     }

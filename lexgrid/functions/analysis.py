@@ -18,11 +18,11 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(WORD), F.lit(0))
 
 
-def analyze(df: DataFrame, text: str = "text", stopwords: Iterable[str] | DataFrame | None = None, stemmer: str = "identity") -> DataFrame:
+def analyze(df: DataFrame, text: str = "text", stopwords: Iterable[str] | DataFrame | None = None, stemmer: str = "identity", stems: DataFrame | None = None) -> DataFrame:
     """df without its text, with `tokens` instead. Stopwords are matched before stemming.
 
     stopwords: words for all languages, or a table (lang, words). stemmer: "identity", or "snowball" for the stemmer of the
-    row's `lang` (languages without one keep their words).
+    row's `lang` (languages without one keep their words, or take the bases of `stems`, a table (lang, word, base)).
     """
     out = df.withColumn("tokens", tokens(F.col(text))).drop(text)
     if isinstance(stopwords, DataFrame):
@@ -33,7 +33,7 @@ def analyze(df: DataFrame, text: str = "text", stopwords: Iterable[str] | DataFr
         if listed:
             out = out.withColumn("tokens", F.filter("tokens", lambda t: ~t.isin(*listed)))
     if stemmer == "snowball":
-        out = stemming.stem_tokens(out)
+        out = stemming.stem_tokens(out, stems)
     elif stemmer != "identity":
         raise ValueError(f"unknown stemmer {stemmer!r}")
     return out

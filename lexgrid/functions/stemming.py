@@ -492,11 +492,28 @@ def stem_words(df: DataFrame, word: str = "word", into: str = "base") -> DataFra
     return df.withColumn(into, of("lang", word))
 
 
-def stem_tokens(df: DataFrame) -> DataFrame:
-    """df with every word of its tokens stemmed, by the row's lang."""
+def stem_tokens(df: DataFrame, stems: DataFrame | None = None) -> DataFrame:
+    """df with every word of its tokens stemmed, by the row's lang; a batch's distinct words are stemmed, and its rows take theirs from there.
+
+    stems: a user's table (lang, word, base) of a language's whole vocabulary, for languages without a stemmer here; its size is
+    that of a dictionary, so it travels as one map a language.
+    """
 
     @F.pandas_udf("array<string>")
     def of(lang: pd.Series, tokens: pd.Series) -> pd.Series:
-        return pd.Series([[stem(g, x) for x in ts] for g, ts in zip(lang, tokens)])
-
-    return df.withColumn("tokens", of("lang", "tokens"))
+        known: dict[str | None, dict[str, str]] = {g: {} for g in set(lang)}
+        out = []
+        for g, ts in zip(lang, tokens):
+            bases = known[g]
+            for x in set(ts).difference(bases):
+                bases[x] = stem(g, x)
+            out.append([bases[x] for x in ts])
+        return pd.Series(out, dtype=object)
+
+    out = df.withColumn("tokens", of("lang", "tokens"))
+    if stems is None:
+        return out
+    maps = stems.groupBy("lang").agg(F.map_from_entries(F.collect_list(F.struct("word", "base"))).alias("stems_"))
+    out = out.join(F.broadcast(maps), "lang", "left")  # a row a language
+    based = F.transform("tokens", lambda t: F.coalesce(F.col("stems_")[t], t))
+    return out.withColumn("tokens", F.when(F.col("stems_").isNull(), F.col("tokens")).otherwise(based)).drop("stems_")

@@ -89,7 +89,13 @@ def weight(method: str, *, c: Column, length: Column, mean: Column, total: Colum
 
 def weight_by(method: Column, **of: Column) -> Column:
     """As weight(), with the method from a column."""
-    out = F.lit(None).cast("double")
-    for name in METHODS:
-        out = F.when(method == name, weight(name, **of)).otherwise(out)
-    return out
+    c, length, mean, total, n = (of[k].cast("double") for k in ("c", "length", "mean", "total", "n"))
+
+    def choose(part: int, values: dict[str, Column]) -> Column:
+        out = F.lit(None).cast("double")
+        for name, value in values.items():
+            out = F.when(method.isin(*[m for m, of in METHODS.items() if of[part] == name]), value).otherwise(out)
+        return out
+
+    tf = choose(0, {k: f(c, length, mean, of["k1"], of["b"], of["d"]) for k, f in TF.items()})
+    return tf * choose(1, {k: f(total, n) for k, f in IDF.items()})

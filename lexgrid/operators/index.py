@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexgrid.functions import weighting
 from lexgrid.operators import stats
+from lexgrid.operators.workspace import materialise
 
 
 @dataclass
@@ -21,10 +25,22 @@ class Index:
     meta: DataFrame
 
 
+def counted(docs: DataFrame, terms: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(term frequencies, document frequencies, corpus statistics); texts are analysed once for terms and once for lengths.
+
+    Term frequencies are written, as each of the others and the postings read them.
+    """
+    tf = materialise(stats.term_frequency(docs, terms))
+    return tf, stats.document_frequency(tf), materialise(stats.corpus_stats(docs))
+
+
+def joined(tf: DataFrame, df: DataFrame, of: DataFrame) -> DataFrame:
+    return tf.join(df, ["lang", "term"]).join(F.broadcast(of), "lang")  # a row a language
+
+
 def statistics(docs: DataFrame, terms: DataFrame | None = None) -> DataFrame:
     """(lang, doc_id, term, c, dl, n, n_docs, avg_len): all that a weight needs. docs: lang, doc_id, tokens."""
-    tf = stats.term_frequency(docs, terms)
-    return tf.join(stats.document_frequency(tf), ["lang", "term"]).join(stats.corpus_stats(docs), "lang")
+    return joined(*counted(docs, terms))
 
 
 def weigh(rows: DataFrame, method: str, k1: float, b: float, d: float) -> DataFrame:
@@ -42,25 +58,45 @@ def weigh_by_language(rows: DataFrame, params: DataFrame) -> DataFrame:
 
 def build_index(docs: DataFrame, method: str = "BM25_V1", *, k1: float = 1.5, b: float = 0.75, d: float = 1.0, params: DataFrame | None = None, terms: DataFrame | None = None) -> Index:
     """Index analysed documents. params gives method and parameters by language instead; terms restricts it to those of known queries."""
-    rows = statistics(docs, terms)
+    tf, df, of = counted(docs, terms)
+    rows = joined(tf, df, of)
     weighed = weigh(rows, method, k1, b, d) if params is None else weigh_by_language(rows, params)
     if params is None:
-        params = docs.select("lang").distinct().select("lang", F.lit(method).alias("method"), F.lit(float(k1)).alias("k1"), F.lit(float(b)).alias("b"), F.lit(float(d)).alias("d"))
-    tf = stats.term_frequency(docs, terms)
-    unique = stats.document_frequency(tf).groupBy("lang").agg(F.count("*").alias("num_unique"))
-    meta = params.join(stats.corpus_stats(docs).select("lang", F.col("n_docs").alias("num_corpus"), "avg_len"), "lang").join(unique, "lang", "left")
-    return Index(weighed.select("lang", "term", "doc_id", "weight"), docs.select("lang", "doc_id"), stats.document_frequency(tf), meta)
+        params = of.select("lang", F.lit(method).alias("method"), F.lit(float(k1)).alias("k1"), F.lit(float(b)).alias("b"), F.lit(float(d)).alias("d"))
+    unique = df.groupBy("lang").agg(F.count("*").alias("num_unique"))
+    meta = params.join(of.select("lang", F.col("n_docs").alias("num_corpus"), "avg_len"), "lang").join(unique, "lang", "left")
+    return Index(weighed.select("lang", "term", "doc_id", "weight"), docs.select("lang", "doc_id"), df, meta)
+
+
+def save_index(index: Index, path: str) -> None:
+    """Parquet by method and language, postings clustered by term so that a search prunes row groups.
+
+    What is saved replaces the same methods of the same languages, and the documents and vocabularies of these languages; all
+    else at the path stays.
+    """
+    by = index.meta.select("lang", "method")
+    postings = index.postings.join(F.broadcast(by), "lang")  # a row a language
+    clustered = postings.repartitionByRange("lang", "term").sortWithinPartitions("lang", "term", "doc_id")
 
+    def write(df: DataFrame, name: str, *keys: str) -> None:
+        df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*keys).parquet(f"{path}/{name}")
 
-def save_index(index: Index, path: str, mode: str = "overwrite") -> None:
-    """Parquet by language, postings clustered by term so that a search prunes row groups."""
-    clustered = index.postings.repartitionByRange("lang", "term").sortWithinPartitions("lang", "term", "doc_id")
-    clustered.write.mode(mode).partitionBy("lang").parquet(f"{path}/postings")
-    index.documents.write.mode(mode).partitionBy("lang").parquet(f"{path}/documents")
-    index.vocabulary.write.mode(mode).partitionBy("lang").parquet(f"{path}/vocabulary")
-    index.meta.write.mode(mode).parquet(f"{path}/meta")
+    write(clustered, "postings", "method", "lang")
+    write(index.documents, "documents", "lang")
+    write(index.vocabulary, "vocabulary", "lang")
+    write(index.meta.coalesce(1), "meta", "method", "lang")
 
 
-def load_index(spark: SparkSession, path: str) -> Index:
+def load_index(spark: SparkSession, path: str, method: str | dict[str, str] | None = None, languages: Sequence[str] | None = None) -> Index:
+    """An index of one method a language: of `method`, or the one given by language, or the only one saved; of some languages or all."""
     read = lambda name: spark.read.parquet(f"{path}/{name}")  # noqa: E731  ids may be numbers or strings
-    return Index(read("postings"), read("documents"), read("vocabulary"), read("meta"))
+    meta = read("meta")
+    saved = [(r["lang"], r["method"]) for r in meta.select("lang", "method").distinct().collect()]  # a row a language and method
+    wanted = [(g, m) for g, m in saved if (languages is None or g in languages) and (method is None or m == (method.get(g) if isinstance(method, dict) else method))]
+    if len({g for g, _ in wanted}) < len(wanted):
+        raise ValueError(f"several methods are saved for a language, name one: {sorted(wanted)}")
+    if not wanted:
+        raise ValueError(f"no such index at {path}; saved are {sorted(saved)}")
+    pairs = reduce(or_, [(F.col("lang") == g) & (F.col("method") == m) for g, m in wanted])
+    of = F.col("lang").isin(*[g for g, _ in wanted])
+    return Index(read("postings").where(pairs).drop("method"), read("documents").where(of), read("vocabulary").where(of), meta.where(pairs))

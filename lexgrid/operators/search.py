@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lexgrid.operators.index import Index
+from lexgrid.operators.workspace import materialise
 
 
 def query_terms(queries: DataFrame) -> DataFrame:
@@ -36,13 +37,16 @@ def rank(found: DataFrame, k: int, score: Column | None = None) -> DataFrame:
 def pad(found: DataFrame, queries: DataFrame, documents: DataFrame, k: int) -> DataFrame:
     """found, plus documents of score 0 for the queries with fewer than k scores above 0: enough of them to fill k places.
 
-    With m documents found, the first k + m documents of the language hold k that weren't, if there are so many.
+    With m documents found, the first k + m documents of the language hold k that weren't, if there are so many. The largest m
+    is taken first, so that each task keeps that many documents of a language before any are sorted together.
     """
+    found = materialise(found)
     pairs = queries.select("query_id", "lang").distinct()
     counted = found.groupBy("query_id", "lang").agg(F.count("*").alias("m"), F.sum((F.col("score") > 0).cast("int")).alias("above"))
     short = pairs.join(counted, ["query_id", "lang"], "left").fillna(0, ["m", "above"]).where(F.col("above") < k)
-    most = short.groupBy("lang").agg((F.max("m") + k).alias("need"))
-    first = documents.join(most, "lang").withColumn("i", F.row_number().over(W.partitionBy("lang").orderBy("doc_id"))).where(F.col("i") <= F.col("need"))
+    short = materialise(short)
+    need = (short.agg(F.max("m")).first()[0] or 0) + k
+    first = documents.withColumn("i", F.row_number().over(W.partitionBy("lang").orderBy("doc_id"))).where(F.col("i") <= need)
     pool = short.join(first.select("lang", "doc_id", "i"), "lang").where(F.col("i") <= F.col("m") + k).select("query_id", "lang", "doc_id")
     zeros = pool.join(found, ["query_id", "lang", "doc_id"], "left_anti").withColumn("score", F.lit(0.0))
     return found.unionByName(zeros)

@@ -6,8 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-#: Documents in a block when terms are numbered; blocks are numbered first.
-BLOCK = 4096
+from lexgrid.operators.workspace import materialise
 
 
 def corpus_stats(docs: DataFrame) -> DataFrame:
@@ -38,15 +37,16 @@ def vocabulary_size(tf: DataFrame) -> DataFrame:
     return document_frequency(tf).groupBy("lang").agg(F.count("*").alias("n_terms"), F.sum("n").alias("nnz"))
 
 
-def vocabulary(docs: DataFrame) -> DataFrame:
-    """(lang, term, term_id): ids from 0 by first appearance in order of doc_id and place.
+def vocabulary(docs: DataFrame, order: str = "doc_id") -> DataFrame:
+    """(lang, term, term_id): ids from 0 by first appearance in the order of a column, which may be of any type, and place.
 
-    Terms are counted by the document and block of documents they first appear in, and running counts of the blocks give
-    each block its first id, so no task sorts a language's whole vocabulary.
+    First appearances are sorted by ranges and written with their place in the range; running counts of the ranges give each its
+    first id, so no task sorts a language's whole vocabulary.
     """
-    placed = docs.select("lang", "doc_id", F.posexplode_outer("tokens").alias("pos", "term")).where("term IS NOT NULL")
-    first = placed.groupBy("lang", "term").agg(F.min(F.struct("doc_id", "pos")).alias("at")).select("lang", "term", F.col("at.doc_id").alias("doc_id"), F.col("at.pos").alias("pos")).withColumn("block", F.expr(f"doc_id div {BLOCK}"))
-    blocks = first.groupBy("lang", "block").agg(F.count("*").alias("new"))
-    start = blocks.withColumn("start", F.sum("new").over(W.partitionBy("lang").orderBy("block")) - F.col("new")).drop("new")
-    own = F.row_number().over(W.partitionBy("lang", "block").orderBy("doc_id", "pos"))
-    return first.withColumn("own", own).join(start, ["lang", "block"]).select("lang", "term", (F.col("start") + F.col("own") - 1).alias("term_id"))
+    placed = docs.select("lang", F.col(order).alias("doc"), F.posexplode_outer(F.array_distinct("tokens")).alias("pos", "term")).where("term IS NOT NULL")
+    first = placed.groupBy("lang", "term").agg(F.min(F.struct("doc", "pos")).alias("at"))
+    ranged = first.repartitionByRange("lang", "at").sortWithinPartitions("lang", "at")
+    ranged = materialise(ranged.select("lang", "term", F.monotonically_increasing_id().alias("i")).withColumn("part", F.shiftright("i", 33)))
+    parts = ranged.groupBy("lang", "part").agg(F.count("*").alias("new"), F.min("i").alias("low"))
+    start = parts.withColumn("start", F.sum("new").over(W.partitionBy("lang").orderBy("part")) - F.col("new")).drop("new")  # a row a range
+    return ranged.join(F.broadcast(start), ["lang", "part"]).select("lang", "term", (F.col("start") + F.col("i") - F.col("low")).alias("term_id"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Mapping
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -95,6 +95,7 @@ def write_submission(results: DataFrame, path: str) -> None:
     submission(results).orderBy("id").coalesce(1).write.mode("overwrite").csv(path, header=True)
 
 
-def log_metrics(metrics: DataFrame, path: str) -> None:
-    """Append to a table of runs (K4)."""
-    metrics.withColumn("logged_at", F.current_timestamp()).write.mode("append").parquet(path)
+def log_metrics(metrics: DataFrame, path: str, run: Mapping[str, object] | None = None) -> None:
+    """Append to a table of runs (K4), with the run's method, parameters and timings as columns; read it with mergeSchema."""
+    told = {k: F.lit(v) for k, v in (run or {}).items() if k not in metrics.columns}
+    metrics.withColumns(told | {"logged_at": F.current_timestamp()}).write.mode("append").parquet(path)

@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 CORPUS = "docid string, text string, lang string"
 DEV = "query string, positive_docs string, lang string"
-TEST = "id bigint, query string, lang string"
+TEST = "query string, lang string"
 #: Languages that a corpus may hold (F-8).
 LANGUAGES = ("ar", "de", "es", "it", "ko", "en", "fr")
 
@@ -25,6 +26,13 @@ def read_queries_csv(spark: SparkSession, path: str, schema: str = DEV) -> DataF
     return raw.select(*[F.col(n).cast(kinds[n]).alias(n) for n in names])
 
 
+def numbered(df: DataFrame, into: str = "query_id") -> DataFrame:
+    """Rows as read with their positions from 0, file by file (F-9). One task numbers them: for queries, not for corpora."""
+    placed = df.withColumns({"__file": F.input_file_name(), "__row": F.monotonically_increasing_id()})
+    place = F.row_number().over(W.orderBy("__file", "__row")) - 1
+    return placed.withColumn(into, place.cast("bigint")).drop("__file", "__row")
+
+
 def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 

@@ -142,6 +142,33 @@ def test_save_and_load(spark, toy, tmp_path):
     loaded = ix.load_index(spark, str(tmp_path / "i"))
     rows = lambda i: sorted(map(tuple, se.search(i, ask(spark, "banana cherry"), padded=True).collect()))
     assert rows(index) == rows(loaded)
+    other = ix.build_index(toy, "TFIDF")
+    ix.save_index(other, str(tmp_path / "i"))
+    assert rows(ix.load_index(spark, str(tmp_path / "i"), "TFIDF", ["xx"])) == rows(other)
+    assert rows(ix.load_index(spark, str(tmp_path / "i"), {"xx": "BM25_PLUS"})) == rows(index)
+    with pytest.raises(ValueError):
+        ix.load_index(spark, str(tmp_path / "i"))
+    with pytest.raises(ValueError):
+        ix.load_index(spark, str(tmp_path / "i"), "DLITE")
+
+
+def test_padding_reads_a_bounded_number_of_documents(spark):
+    docs = analyze(spark.createDataFrame([("xx", i, "same" if i % 7 else "rare same") for i in range(300)], "lang string, doc_id long, text string"))
+    rows = se.search(ix.build_index(docs), ask(spark, "rare", "zzzz"), 50, padded=True).collect()
+    assert sorted(r["doc_id"] for r in rows if r["query_id"] == 1) == list(range(50))
+    assert [r["doc_id"] for r in rows if r["query_id"] == 0 and r["score"] == 0] == [i for i in range(300) if i % 7][: 50 - 43]
+
+
+def test_an_added_method_is_found_by_name(spark, toy, monkeypatch):
+    from pyspark.sql import functions as F
+
+    monkeypatch.setitem(weighting.TF, "raw", lambda c, length, mean, k1, b, d: c)
+    monkeypatch.setitem(weighting.IDF, "one", lambda total, n: F.lit(1.0))
+    monkeypatch.setitem(weighting.METHODS, "COUNT", ("raw", "one", ()))
+    got = {(r["doc_id"], r["term"]): r["weight"] for r in ix.build_index(toy, "COUNT").postings.collect()}
+    assert got == {(0, "apple"): 2.0, (0, "banana"): 1.0, (1, "banana"): 1.0, (1, "cherry"): 1.0}
+    params = spark.createDataFrame([("xx", "COUNT", 1.5, 0.75, 1.0)], "lang string, method string, k1 double, b double, d double")
+    assert {r["weight"] for r in ix.build_index(toy, params=params).postings.collect()} == {1.0, 2.0}
 
 
 def test_stream_of_queries(spark, toy, tmp_path):
@@ -164,10 +191,36 @@ def test_readers_and_command_line(spark, tmp_path):
     assert [r["query"] for r in readers.read_queries_csv(spark, str(tmp_path / "dev.csv")).collect()] == ['red, "house"', "blue\ncar"]
     got = cli.main(["search", "--corpus", str(tmp_path / "corpus.json"), "--queries", str(tmp_path / "dev.csv"), "--top", "1", "--save", str(tmp_path / "index"), "--out", str(tmp_path / "runs")])
     assert {(r["lang"], r["recall"]) for r in got.collect()} == {("en", 0.5), ("*", 0.5)}
-    assert spark.read.parquet(str(tmp_path / "runs")).count() == 2
+    runs = spark.read.parquet(str(tmp_path / "runs"))
+    assert runs.count() == 2 and {(r["method"], r["b"]) for r in runs.collect()} == {("TFIDF", 0.75)}
+    assert all(r[x] > 0 for r in runs.collect() for x in ("build_seconds", "save_seconds", "search_seconds"))
+    assert {r["term"] for r in spark.read.parquet(str(tmp_path / "index" / "vocabulary")).collect()} == {"red", "hous", "blue", "car"}
+    (tmp_path / "test.csv").write_text('query,lang\n"house",en\n"car",en\n"car",en\n')
+    out = cli.main(["submit", "--corpus", str(tmp_path / "corpus.json"), "--queries", str(tmp_path / "test.csv"), "--out", str(tmp_path / "sub")])
+    assert sorted(map(tuple, out.collect())) == [(0, "['a']"), (1, "['b']"), (2, "['b']")]
+    written = [f.read_text() for f in (tmp_path / "sub").glob("*.csv")]
+    assert written == ["id,docids\n0,['a']\n1,['b']\n2,['b']\n"]
+
+
+def test_grid_on_the_command_line_with_tables(spark, tmp_path, monkeypatch):
+    from lexgrid import cli
+
+    (tmp_path / "corpus.json").write_text('[{"docid": "a", "text": "kitab xyx", "lang": "ar"}, {"docid": "b", "text": "kutub", "lang": "ar"}]')
+    (tmp_path / "dev.csv").write_text("query,positive_docs,lang\nkutub,a,ar\nkutub,b,ar\n")
+    (tmp_path / "words.csv").write_text("lang,word\nar,xyx\n")
+    (tmp_path / "stems.csv").write_text("lang,word,base\nar,kutub,ktb\nar,kitab,ktb\n")
+    monkeypatch.setattr(evaluate, "grid_values", lambda: [(1.5, 0.75, 1.0), (1.0, 0.5, 1.0)])
+    got = cli.main(["grid", "--corpus", str(tmp_path / "corpus.json"), "--queries", str(tmp_path / "dev.csv"), "--method", "BM25_V1", "--stems", str(tmp_path / "stems.csv"), "--stopword-table", str(tmp_path / "words.csv")])
+    assert {(r["k1"], r["b"], r["lang"], r["recall"]) for r in got.collect()} == {(1.5, 0.75, "ar", 1.0), (1.0, 0.5, "ar", 1.0)}
+    assert "(default: TFIDF)" in cli.parser().format_help() and "default: None" not in cli.parser().format_help()
+
+
+def test_vocabulary_of_string_ids(spark):
+    docs = analyze(spark.createDataFrame([("xx", "b", "dd cc dd"), ("xx", "a", "cc aa"), ("yy", "c", "zz"), ("yy", "a", "")], "lang string, doc_id string, text string"))
+    assert sorted(map(tuple, stats.vocabulary(docs).collect())) == [("xx", "aa", 1), ("xx", "cc", 0), ("xx", "dd", 2), ("yy", "zz", 0)]
 
 
-QUERIES = ["tokenize", "stopword_filter", "corpus_stats", "vocab_first_appearance", "query_terms_in_vocab", "idf_dlite_cbrt", "tf_ldp", "index_tf_ldp", "search_bm25_v1", "search_padded", "search_ldp_negative", "search_best_by_lang", "recall_overall", "grid_search_bm25", "submission", "index_round_trip"]
+QUERIES = ["tokenize", "stopword_filter", "stopword_filter_default", "query_terms_filtered", "vocab_string_ids", "grid_search_full", "corpus_stats", "vocab_first_appearance", "query_terms_in_vocab", "idf_dlite_cbrt", "tf_ldp", "index_tf_ldp", "search_bm25_v1", "search_padded", "search_ldp_negative", "search_best_by_lang", "recall_overall", "grid_search_bm25", "submission", "index_round_trip"]
 
 
 @pytest.mark.parametrize("name", QUERIES)
@@ -176,7 +229,7 @@ def test_catalogue_against_sql(spark, sf, name):
 
 
 def test_every_query_is_registered(spark):
-    assert set(catalogue.oracle_sql()) == set(catalogue.queries()) - {"stopword_filter_default", "stem_snowball"}
+    assert set(catalogue.oracle_sql()) == set(catalogue.queries()) - {"stem_snowball"}
     assert set(catalogue.queries()) <= set(entry_module.queries())
     assert entry_module.entry(spark).columns == ["item_id", "lang", "rank", "doc_id", "score"]
 
