@@ -1,13 +1,19 @@
 """URL filters: fixed rules first, then a path-template tree learnt from the urls that the rules label.
 
-Per host, variable path segments become `*`, branches that cannot be told apart statistically are merged, and a template
-is rejected when its smoothed share of blocked urls exceeds one half.
+Each host's paths form a tree of segments. Segments with digits, or long ones, are wildcards from the start; where a node has
+more than WIDE children, they become one wildcard, and their subtrees one; this goes on until no node changes. Then, from the
+host down, each node's labelled urls, with all below it, are counted, and siblings whose shares of blocked urls cannot be
+told apart, neighbours in the order of these shares, are merged. A template's purity is the smoothed share along its path: the
+merged node's, leaning on that of the node above, which leans at last on the same template of all hosts, which leans on all
+urls. A template is rejected when it is above one half.
 
-DataFrame functions only. Counts are pre-aggregated per (host, template) before any shuffle; only these counts are joined
-back, and Spark splits a hot host in that join.
+DataFrame functions only. Counts are grouped by (host, path) before anything else, children of a node by grouped aggregates, so
+a host of any width is spread over tasks by its children; windows hold the siblings of one node, WIDE + 1 at most after the
+wildcards. Rounds are as many as wildcards under wildcards, and one; paths may be of any depth.
 
 Defined cases: a null url or one without `://` has an empty host and path, no rule, and the verdict of the empty
-template. Repeated rows are judged alike. Extra columns pass through.
+template. Repeated rows count and are judged each. Long paths are read whole. An empty table gives no rows. Extra columns pass
+through; one named as the result is replaced by it.
 """
 
 from __future__ import annotations
@@ -18,11 +24,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lexgrid.llm.common import lower_ascii
+from lexgrid.llm.common import BROADCAST_ROWS, Workspace, lower_ascii
 
 #: (verdict, host, path)
 RULES = (("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/"))
-DEPTH, WIDE, PRIOR = 3, 20, 4.0
+#: Children of a node without wildcard; weight of what a share leans on; squared normal quantile of the test (5 in 100).
+WIDE, PRIOR, Z2 = 20, 4.0, 3.8416
 
 
 def split_url(url: Column) -> tuple[Column, Column]:
@@ -42,48 +49,80 @@ def rule_of(host: Column, path: Column, rules: Sequence[tuple[str, str, str]]) -
 
 
 def segments(path: Column) -> Column:
-    """Up to DEPTH segments, variable ones as `*`; what is deeper is folded into one last `**`."""
-    parts = F.filter(F.split(path, "/"), lambda x: x != "")
-    seen = F.transform(F.slice(parts, 1, DEPTH), lambda x: F.when(x.rlike("[0-9]") | (F.length(x) > 24), F.lit("*")).otherwise(x))
-    return F.when(F.size(parts) > DEPTH, F.concat(seen, F.array(F.lit("**")))).otherwise(seen)
-
-
-def judge(pages: DataFrame, url: str = "url", rules: Sequence[tuple[str, str, str]] = RULES) -> DataFrame:
-    """All columns of pages plus a struct column `url_filter`: host, path, rule, verdict, template, n_labelled, n_blocked."""
-    host, path = split_url(F.col(url))
-    d = pages.select(F.struct("*").alias("row"), host.alias("__host"), path.alias("__path"))
-    rule, verdict = rule_of(F.col("__host"), F.col("__path"), rules)
-    d = d.withColumn("__rule", rule).withColumn("__rv", verdict).withColumn("__seg", segments(F.col("__path")))
-    labelled, blocked = F.col("__rv").isNotNull().cast("long"), (F.col("__rv") == "block").cast("long")
-    tree = d.groupBy("__host", "__seg").agg(F.sum(labelled).alias("n"), F.coalesce(F.sum(blocked), F.lit(0)).alias("b"))
-    # A node with many children has a variable segment below it: level by level, those children become `*`.
-    tree = tree.withColumn("tpl", F.col("__seg"))
-    for k in range(1, DEPTH + 1):
-        child = F.get("tpl", F.lit(k - 1))
-        node = W.partitionBy("__host", F.slice("tpl", 1, k - 1) if k > 1 else F.array().cast("array<string>"))
-        tree = tree.withColumn("__wide", F.size(F.collect_set(child).over(node)) > WIDE)
-        tree = tree.withColumn("tpl", F.when(F.col("__wide") & child.isNotNull(), F.concat(F.slice("tpl", 1, k - 1), F.array(F.lit("*")), F.expr(f"slice(tpl, {k + 1}, {DEPTH + 1})"))).otherwise(F.col("tpl")))
-    tree = tree.withColumn("tpl", F.concat(F.lit("/"), F.array_join("tpl", "/"))).drop("__wide")
-    nodes = tree.groupBy("__host", "tpl").agg(F.sum("n").alias("n"), F.sum("b").alias("b"))
-    # A branch within its host's rate by less than 1.96 standard errors is merged with the others like it.
-    by_host = W.partitionBy("__host")
-    nodes = nodes.withColumn("hn", F.sum("n").over(by_host)).withColumn("hb", F.sum("b").over(by_host))
-    off = F.abs(F.col("b") * F.col("hn") - F.col("n") * F.col("hb")).cast("double")
-    close = off * off <= F.lit(3.8416) * F.col("n") * F.col("hb") * (F.col("hn") - F.col("hb"))
-    nodes = nodes.withColumn("__like", close & (F.col("n") > 0))
-    group = W.partitionBy("__host", "__like")
-    nodes = nodes.withColumn("gn", F.when(F.col("__like"), F.sum("n").over(group)).otherwise(F.col("n"))).withColumn("gb", F.when(F.col("__like"), F.sum("b").over(group)).otherwise(F.col("b")))
-    # Smoothing: a template leans on the same template of all hosts, which leans on all urls.
-    by_tpl = nodes.groupBy("tpl").agg(F.sum("n").alias("tn"), F.sum("b").alias("tb"))
+    """The segments, those with digits and long ones as `*`."""
+    return F.transform(F.filter(F.split(path, "/"), lambda x: x != ""), lambda x: F.when(x.rlike("[0-9]") | (F.length(x) > 24), F.lit("*")).otherwise(x))
+
+
+def small(df: DataFrame) -> DataFrame:
+    """df, to be broadcast if a count finds it small."""
+    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+
+
+def path_to(k: Column) -> Column:
+    """The first k segments of a template, as a string."""
+    return F.array_join(F.slice("tpl", F.lit(1), k), "/")
+
+
+def generalise(tree: DataFrame, space: Workspace) -> DataFrame:
+    """tree (host, seg, n, b) with its templates `tpl`: seg with the children of wide nodes as `*`."""
+    tree = space.keep(tree.withColumn("tpl", F.col("seg")))
+    while True:
+        at = tree.select("host", "tpl").distinct().select("host", "tpl", F.posexplode("tpl").alias("k", "child"))
+        children = at.select("host", path_to(F.col("k")).alias("node"), "k", "child").distinct()
+        wide = space.keep(children.groupBy("host", "node", "k").count().where(F.col("count") > WIDE).select("host", "node", "k"))
+        if wide.isEmpty():
+            return tree
+        hit = at.select("host", "tpl", "k", path_to(F.col("k")).alias("node")).join(small(wide), ["host", "node", "k"], "left_semi")
+        hit = hit.groupBy("host", "tpl").agg(F.collect_set("k").alias("ks"))
+        star = F.transform("tpl", lambda x, k: F.when(F.array_contains("ks", k), F.lit("*")).otherwise(x))
+        new = tree.join(hit, ["host", "tpl"], "left").withColumn("tpl", F.when(F.col("ks").isNull(), F.col("tpl")).otherwise(star)).drop("ks")
+        old, tree = tree, space.keep(new.select(*tree.columns))
+        space.drop(old, wide)
+
+
+def merged(nodes: DataFrame) -> DataFrame:
+    """(host, k, node, gn, gb): counts of each labelled node (host, k, up, child, node, n, b) with the siblings like it.
+
+    Siblings stand in the order of their shares; where two neighbours' shares differ, by the test of two proportions, a new
+    group begins.
+    """
+    siblings = W.partitionBy("host", "up", "k").orderBy(F.col("b") / F.col("n"), "child")
+    d = nodes.where("n > 0").withColumn("n", F.col("n").cast("double")).withColumn("b", F.col("b").cast("double"))
+    d = d.withColumn("n0", F.lag("n").over(siblings)).withColumn("b0", F.lag("b").over(siblings))
+    off = F.col("b") * F.col("n0") - F.col("b0") * F.col("n")
+    both, blocked = F.col("n") + F.col("n0"), F.col("b") + F.col("b0")
+    differ = off * off * both > F.lit(Z2) * F.col("n") * F.col("n0") * blocked * (both - blocked)
+    d = d.withColumn("g", F.sum(F.coalesce(differ, F.lit(False)).cast("int")).over(siblings))
+    group = W.partitionBy("host", "up", "k", "g")
+    return d.select("host", "k", "node", F.sum("n").over(group).alias("gn"), F.sum("b").over(group).alias("gb"))
+
+
+def judge(pages: DataFrame, url: str = "url", rules: Sequence[tuple[str, str, str]] = RULES, name: str = "url_filter") -> DataFrame:
+    """All columns of pages plus a struct column: host, path, rule, verdict, template, n_labelled, n_blocked."""
+    space = Workspace(pages.sparkSession)
+    host, path = split_url(F.col(f"`{url}`"))
+    d = pages.select(F.struct(*[F.col(f"`{c}`") for c in pages.columns if c != name]).alias("row"), host.alias("host"), path.alias("path"))
+    rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
+    d = d.withColumn("rule", rule).withColumn("rv", verdict).withColumn("seg", segments(F.col("path")))
+    labelled, blocked = F.col("rv").isNotNull().cast("long"), F.coalesce((F.col("rv") == "block").cast("long"), F.lit(0))
+    tree = generalise(d.groupBy("host", "seg").agg(F.sum(labelled).alias("n"), F.sum(blocked).alias("b")), space)
+    leaves = space.keep(tree.groupBy("host", "tpl").agg(F.sum("n").alias("n"), F.sum("b").alias("b")))
+    # Nodes: the host itself (k = 0) and the prefixes of its templates.
+    down = leaves.select("host", "tpl", "n", "b", F.explode(F.sequence(F.lit(0), F.size("tpl"))).alias("k"))
+    down = down.withColumn("node", path_to(F.col("k")))
+    nodes = down.groupBy("host", "k", "node").agg(F.sum("n").alias("n"), F.sum("b").alias("b"), F.first("tpl").alias("tpl"))
+    inner = nodes.where("k > 0").withColumn("up", path_to(F.col("k") - 1)).withColumn("child", F.get("tpl", F.col("k") - 1))
+    roots = nodes.where("k = 0 AND n > 0").select("host", "k", "node", F.col("n").cast("double").alias("gn"), F.col("b").cast("double").alias("gb"))
+    groups = space.keep(roots.unionByName(merged(inner)))
+    # A template over all hosts, and all urls.
+    by_tpl = leaves.groupBy("tpl").agg(F.sum("n").alias("tn"), F.sum("b").alias("tb"))
     p_all = by_tpl.agg((F.sum("tb") + 1.0) / (F.sum("tn") + 2.0)).scalar()
-    nodes = nodes.join(by_tpl, "tpl").withColumn("p_all", p_all)
+    chain = down.select("host", "tpl", "k", "node").join(small(groups), ["host", "k", "node"]).groupBy("host", "tpl").agg(F.sort_array(F.collect_list(F.struct("k", "gn", "gb"))).alias("chain"))
+    verdicts = leaves.join(by_tpl, "tpl").join(chain, ["host", "tpl"], "left").withColumn("p_all", p_all)
     p_tpl = (F.col("tb") + PRIOR * F.col("p_all")) / (F.col("tn") + PRIOR)
-    purity = (F.col("gb") + PRIOR * p_tpl) / (F.col("gn") + PRIOR)
-    nodes = nodes.select("__host", "tpl", F.when(purity > 0.5, "block").otherwise("allow").alias("__tv"), "n", "b")
-    verdicts = tree.select("__host", "__seg", "tpl").join(nodes, ["__host", "tpl"]).withColumnsRenamed({"tpl": "__tpl", "n": "__n", "b": "__b"})
-    out = d.join(verdicts, ["__host", "__seg"], "left")
-    found = F.struct(
-        F.col("__host").alias("host"), F.col("__path").alias("path"), F.col("__rule").alias("rule"), F.coalesce("__rv", "__tv").alias("verdict"),
-        F.col("__tpl").alias("template"), F.col("__n").alias("n_labelled"), F.col("__b").alias("n_blocked"),
-    )
-    return out.select("row.*", found.alias("url_filter"))
+    purity = F.when(F.col("chain").isNull(), p_tpl).otherwise(F.aggregate("chain", p_tpl, lambda p, x: (x["gb"] + PRIOR * p) / (x["gn"] + PRIOR)))
+    verdicts = verdicts.select("host", "tpl", F.when(purity > 0.5, "block").otherwise("allow").alias("tv"), "n", "b")
+    of = tree.select("host", "seg", "tpl").join(verdicts, ["host", "tpl"])
+    template = F.concat(F.lit("/"), F.array_join("tpl", "/"))
+    found = F.struct("host", "path", "rule", F.coalesce("rv", "tv").alias("verdict"), template.alias("template"), F.col("n").alias("n_labelled"), F.col("b").alias("n_blocked"))
+    return d.join(small(space.keep(of)), ["host", "seg"], "left").select("row.*", found.alias(name))
