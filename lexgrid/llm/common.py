@@ -42,15 +42,20 @@ def count_of(text: Column, characters: str) -> Column:
 BROADCAST_ROWS = 1_000_000
 
 
-def join_by_key(df: DataFrame, keys: DataFrame, key: str) -> DataFrame:
-    """Rows of df whose key is among the distinct, narrow keys; large texts stay where they are if the keys are few."""
+def flag_by_key(df: DataFrame, keys: DataFrame, key: str, flag: str) -> DataFrame:
+    """df with a boolean column: whether the row's key is among the distinct keys; large texts stay where they are if the keys are few."""
     few = keys.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    return df.join(F.broadcast(keys) if few else keys, key, "left_semi")
+    keys = keys.withColumn(flag, F.lit(True))
+    return df.join(F.broadcast(keys) if few else keys, key, "left").withColumn(flag, F.coalesce(flag, F.lit(False)))
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A folder for written tables under spark.checkpoint.dir; a local one only where that is unset, as in tests."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}/lexgrid-checkpoints"
+    """A folder for written tables under spark.checkpoint.dir; a local one only on a local master where that is unset, as in tests."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        root = f"file://{tempfile.gettempdir()}/lexgrid-checkpoints"
     return f"{root.rstrip('/')}/lexgrid-{uuid.uuid4().hex}"
 
 

@@ -3,43 +3,46 @@
 A target and a background bigram model share one vocabulary and one smoothing; a document's score is the mean, over its
 words, of its loss under the target less its loss under the background. Low scores are close to the target.
 
+The models are matched. The background is all documents that aren't target ones, its counts scaled to the target's number of
+words, so that smoothing weighs the same in both. No document is scored by a model that counted it: its own words and bigrams
+are taken off the counts, so what it shares with others is all that lowers its loss.
+
 The vocabulary is all words of all documents and every bigram is counted, so the models grow with the corpus and stay
 distributed. Documents are packed into blocks, written once; a block sends each of its words and bigrams once to the bucket of
 its hash, the buckets add up and answer with the totals, and the block scores its documents. The totals are
 written, too, and the shuffle that gathered them is dropped before the next. A row carries the sorted hashes a
 block has in a bucket, so a common bigram is one number of a block and no task gets more of it than others.
 
-Words and bigrams are told apart by 64-bit hashes. `size` cuts the vocabulary to the most frequent words, for a smaller model:
-the others then share one entry.
+Words and bigrams are told apart by 64-bit hashes.
 
-Defined cases: null and empty texts have no words and a null score. Repeated rows are counted and scored each. An empty
-target leaves the smoothing alone, an empty table gives no rows. Extra columns pass through.
+Defined cases: null and empty texts have no words and a null score. Repeated rows are counted and scored each. Without target
+or background words the smoothing alone is left of that model; an empty table gives no rows. Whole texts are read. Extra columns
+pass through, but for those that a result or the text takes the name of.
 """
 
 from __future__ import annotations
 
 import os
-from collections import Counter
 from collections.abc import Iterator
 from contextlib import contextmanager
 from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lexgrid.llm.common import Workspace
 
-WEIGHT, FLUSH, BATCH = 50.0, 400_000, 256
+WEIGHT, BATCH = 50.0, 256
 #: Hashes kept by a process; when full, the cache starts anew.
 CACHED = 100_000
 #: Words, and rows, that end a block; words for each bucket.
 BLOCK_WORDS, BLOCK_ROWS, BUCKET_WORDS = 500_000, 50_000, 1_000_000
 TABLE = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
-#: Entries that are no words: all words out of a cut vocabulary, and the start of a text.
-OTHER, START = 0, 1
+#: The entry of the start of a text.
+START = 1
 PAIR = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -54,36 +57,11 @@ def texts(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[tuple[pa.R
             yield part, part.column(column).to_pylist()
 
 
-def vocabulary(docs: DataFrame, text: str, size: int) -> list[bytes]:
-    """The most frequent words, ties by spelling, for a model of a stated size."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: Counter[bytes] = Counter()
-
-        def out() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()), pa.array(list(seen.values()), pa.int64())], names=["w", "n"])
-
-        for _, part in texts(batches, text):
-            for t in part:
-                seen.update(words(t))
-            if len(seen) > FLUSH:
-                yield out()
-                seen.clear()
-        yield out()
-
-    rows = docs.select(text).mapInArrow(count, "w binary, n bigint").groupBy("w").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "w").limit(size - 2).collect()
-    return [bytes(r["w"]) for r in rows]
-
-
 class Hashes(dict):
-    """Words to 64-bit hashes above OTHER and START."""
-
-    def __init__(self, vocab: frozenset[bytes] | None):
-        self.vocab = vocab
+    """Words to 64-bit hashes above START."""
 
     def __missing__(self, w: bytes) -> int:
-        known = self.vocab is None or w in self.vocab
-        h = self[w] = max(2, int.from_bytes(blake2b(w, digest_size=8).digest(), "little")) if known else OTHER
+        h = self[w] = max(2, int.from_bytes(blake2b(w, digest_size=8).digest(), "little"))
         return h
 
 
@@ -98,11 +76,12 @@ def expand(data: bytes, kind: type) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(plain, np.uint8).reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
 
 
-def packed(batches: Iterator[pa.RecordBatch], text: str, kept: list[str], vocab: frozenset[bytes] | None) -> Iterator[pa.RecordBatch]:
-    """Blocks of documents: their kept columns, numbers of words, distinct hashes with START, and each word's place among those."""
-    hashes = Hashes(vocab)
+def packed(batches: Iterator[pa.RecordBatch], text: str, kept: list[str], flag: str) -> Iterator[pa.RecordBatch]:
+    """Blocks of documents: their kept columns, flags, numbers of words, distinct hashes with START, and each word's place among those."""
+    hashes = Hashes()
     rows: list[pa.RecordBatch] = []
     lengths: list[int] = []
+    near: list[bool] = []
     found: list[np.ndarray] = []
     n = 0
 
@@ -113,8 +92,8 @@ def packed(batches: Iterator[pa.RecordBatch], text: str, kept: list[str], vocab:
             stream.write_table(table)
         all_words = np.concatenate([np.array([START], np.uint64), *found])
         distinct, ids = np.unique(all_words, return_inverse=True)
-        cells = [int.from_bytes(os.urandom(8), "little") >> 1, n, sink.getvalue().to_pybytes(), squeeze(np.array(lengths, np.int32)), squeeze(np.diff(distinct, prepend=np.uint64(0))), squeeze(ids[1:].astype(np.int32))]
-        return pa.RecordBatch.from_arrays([pa.array([x], f) for x, f in zip(cells, [pa.int64(), pa.int64(), *[pa.binary()] * 4])], names=["block", "n", "rows", "lengths", "words", "ids"])
+        cells = [int.from_bytes(os.urandom(8), "little") >> 1, n, sink.getvalue().to_pybytes(), squeeze(np.array(near, np.int8)), squeeze(np.array(lengths, np.int32)), squeeze(np.diff(distinct, prepend=np.uint64(0))), squeeze(ids[1:].astype(np.int32))]
+        return pa.RecordBatch.from_arrays([pa.array([x], f) for x, f in zip(cells, [pa.int64(), pa.int64(), *[pa.binary()] * 5])], names=["block", "n", "rows", "near", "lengths", "words", "ids"])
 
     for part, some in texts(batches, text):
         for t in some:
@@ -122,21 +101,22 @@ def packed(batches: Iterator[pa.RecordBatch], text: str, kept: list[str], vocab:
             lengths.append(len(w))
             found.append(np.fromiter(map(hashes.__getitem__, w), np.uint64, len(w)))
             n += len(w)
+        near += part.column(flag).to_pylist()
         rows.append(part.select(kept))
         if n >= BLOCK_WORDS or len(lengths) >= BLOCK_ROWS:
             yield out()
-            rows, lengths, found, n = [], [], [], 0
+            rows, lengths, near, found, n = [], [], [], [], 0
         if len(hashes) > CACHED:
             hashes.clear()
     if lengths:
         yield out()
 
 
-PACKED = "block bigint, n bigint, rows binary, lengths binary, words binary, ids binary"
+PACKED = "block bigint, n bigint, rows binary, near binary, lengths binary, words binary, ids binary"
 
 
 class Block:
-    def __init__(self, lengths: bytes, words: bytes, ids: bytes):
+    def __init__(self, near: bytes, lengths: bytes, words: bytes, ids: bytes):
         self.lengths = expand(lengths, np.int32).astype(np.int64)
         self.words = np.cumsum(expand(words, np.uint64), dtype=np.uint64)
         self.next = expand(ids, np.int32)
@@ -145,6 +125,13 @@ class Block:
         self.starts = np.cumsum(full) - full
         self.previous[self.starts] = np.searchsorted(self.words, np.uint64(START))
         self.pairs = self.words[self.previous] * PAIR + self.words[self.next]
+        self.of = np.repeat(np.arange(len(self.lengths)), self.lengths)  # the document of each word
+        self.near = expand(near, np.int8).astype(bool)[self.of]
+
+    def own(self, places: np.ndarray, size: int) -> np.ndarray:
+        """How often the word's own document has what stands at each word."""
+        _, at, n = np.unique(self.of * size + places, return_inverse=True, return_counts=True)
+        return n[at]
 
 
 def bounds(keys: np.ndarray, buckets: int) -> np.ndarray:
@@ -153,19 +140,17 @@ def bounds(keys: np.ndarray, buckets: int) -> np.ndarray:
     return np.concatenate([[0], np.searchsorted(keys, edges), [len(keys)]])
 
 
-def sums(keys: list[np.ndarray], counts: list[np.ndarray], of: list[bool]) -> tuple[np.ndarray, list[np.ndarray]]:
-    """(distinct keys, 2) counts, of the target's rows and the others; and each row's places among the distinct keys."""
+def sums(keys: list[np.ndarray], counts: list[tuple[list[np.ndarray], list[np.ndarray]]]) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """For each of the counts, an array (distinct keys, 2) of the target's sums and the others'; and each row's places among the distinct keys."""
     flat = np.concatenate(keys) if keys else np.zeros(0, np.uint64)
     order = np.argsort(flat, kind="stable")
     ranked = flat[order]
     new = np.append(True, ranked[1:] != ranked[:-1])[: len(ranked)]
     place = np.empty(len(flat), np.int64)
     place[order] = np.cumsum(new) - 1
-    n = np.concatenate(counts) if counts else np.zeros(0, np.int64)
-    near = np.repeat(of, [len(k) for k in keys])
     size = int(new.sum())
-    total = np.column_stack([np.bincount(place[near], n[near], size), np.bincount(place[~near], n[~near], size)]).astype(np.int64)
-    return total, np.split(place, np.cumsum([len(k) for k in keys])[:-1])
+    totals = [np.column_stack([np.bincount(place, np.concatenate(x), size) for x in both]).astype(np.int64) for both in counts]
+    return totals, np.split(place, np.cumsum([len(k) for k in keys])[:-1])
 
 
 @contextmanager
@@ -180,48 +165,51 @@ def freed_shuffles(spark: SparkSession) -> Iterator[None]:
         spark.conf.set(name, before)
 
 
-def score(docs: DataFrame, target: DataFrame, text: str = "text", size: int | None = None) -> DataFrame:
+def score(docs: DataFrame, target: Column, text: str = "text") -> DataFrame:
     """All columns of docs but the text, plus n_words, target_loss, background_loss (means a word) and lm_score, their difference.
 
-    size: entries of a model cut to the most frequent words; None keeps all words.
+    target: a condition that tells the target's rows; null is false.
     """
     added = [T.StructField("n_words", T.LongType()), T.StructField("target_loss", T.DoubleType()), T.StructField("background_loss", T.DoubleType()), T.StructField("lm_score", T.DoubleType())]
     names = [f.name for f in added]
     kept = [c for c in docs.columns if c != text and c not in names]
-    vocab = None if size is None else frozenset(vocabulary(docs, text, size))
+    flag = "_" * (1 + max(map(len, docs.columns)))
     work = Workspace(docs.sparkSession)
-    blocks = work.keep(docs.select(*kept, text).mapInArrow(lambda batches: packed(batches, text, kept, vocab), PACKED))
+    rows = docs.select(*[F.col(f"`{c}`") for c in (*kept, text)], F.coalesce(target.cast("boolean"), F.lit(False)).alias(flag))
+    blocks = work.keep(rows.mapInArrow(lambda batches: packed(batches, text, kept, flag), PACKED))
     buckets = max(8, -(-(blocks.agg(F.sum("n")).first()[0] or 0) // BUCKET_WORDS))
+    tables = ("pairs", "pairs_near", "pairs_far", "words", "after_near", "after_far", "before_near", "before_far")
 
-    def tell(batches: Iterator[pa.RecordBatch], near: bool) -> Iterator[pa.RecordBatch]:
-        """For each block and bucket: the block's bigrams and words there, and how often it has them."""
+    def tell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """For each block and bucket: the block's bigrams and words there, and how often the target's and its other documents have them."""
         for batch in batches:
             for k in range(batch.num_rows):
                 (r,) = batch.slice(k, 1).to_pylist()
-                b = Block(r["lengths"], r["words"], r["ids"])
-                pairs, n = np.unique(b.pairs, return_counts=True)
-                n, after, before = (x.astype(np.int32) for x in (n, *(np.bincount(x, minlength=len(b.words)) for x in (b.next, b.previous))))
+                b = Block(r["near"], r["lengths"], r["words"], r["ids"])
+                pairs, place = np.unique(b.pairs, return_inverse=True)
+                counts = [np.bincount(x[near], minlength=n).astype(np.int32) for x, n in ((place, len(pairs)), (b.next, len(b.words)), (b.previous, len(b.words))) for near in (b.near, ~b.near)]
                 at, to = bounds(pairs, buckets), bounds(b.words, buckets)
-                out = [(k, r["block"], near, *(squeeze(x) for x in (np.diff(pairs[i:j], prepend=np.uint64(0)), n[i:j], np.diff(b.words[v:w], prepend=np.uint64(0)), after[v:w], before[v:w]))) for k, i, j, v, w in zip(range(buckets), at[:-1], at[1:], to[:-1], to[1:])]
-                yield pa.RecordBatch.from_arrays([pa.array(list(x), f) for x, f in zip(zip(*out), [pa.int32(), pa.int64(), pa.bool_(), *[pa.binary()] * 5])], names=["bucket", "block", "near", "pairs", "n", "words", "after", "before"])
+                out = []
+                for bucket, i, j, v, w in zip(range(buckets), at[:-1], at[1:], to[:-1], to[1:]):
+                    cells = [np.diff(pairs[i:j], prepend=np.uint64(0)), *(x[i:j] for x in counts[:2]), np.diff(b.words[v:w], prepend=np.uint64(0)), *(x[v:w] for x in counts[2:])]
+                    out.append((bucket, r["block"], *map(squeeze, cells)))
+                yield pa.RecordBatch.from_arrays([pa.array(list(x), f) for x, f in zip(zip(*out), [pa.int32(), pa.int64(), *[pa.binary()] * len(tables)])], names=["bucket", "block", *tables])
 
-    form = "bucket int, block bigint, near boolean, pairs binary, n binary, words binary, after binary, before binary"
-    told = blocks.select("block", "lengths", "words", "ids").mapInArrow(lambda batches: tell(batches, False), form)
-    told = told.unionAll(target.select(F.lit(0).alias("_"), text).mapInArrow(lambda batches: tell(packed(batches, text, ["_"], vocab), True), form))
+    form = "bucket int, block bigint, " + ", ".join(f"{x} binary" for x in tables)
+    told = blocks.select("block", "near", "lengths", "words", "ids").mapInArrow(tell, form)
 
     def answer(table: pa.Table) -> pa.Table:
-        """To each block of docs in the bucket: both models' counts of what it told, in its order, and the bucket's words."""
+        """To each block in the bucket: both models' counts of what it told, in its order, and the bucket's words."""
         rows = table.to_pylist()
-        of = [r["near"] for r in rows]
         keys, word_keys = ([np.cumsum(expand(r[c], np.uint64), dtype=np.uint64) for r in rows] for c in ("pairs", "words"))
-        n, at = sums(keys, [expand(r["n"], np.int32) for r in rows], of)
-        after, to = sums(word_keys, [expand(r["after"], np.int32) for r in rows], of)
-        before, _ = sums(word_keys, [expand(r["before"], np.int32) for r in rows], of)
+        count = lambda c: tuple([expand(r[f"{c}_{side}"], np.int32) for r in rows] for side in ("near", "far"))
+        (n,), at = sums(keys, [count("pairs")])
+        (after, before), to = sums(word_keys, [count("after"), count("before")])
         word = np.zeros(len(after), np.uint64)
         for k, places in zip(word_keys, to):
             word[places] = k
-        facts = int(((after[:, 1] > 0) & (word > START)).sum()), *(int(x) for x in after.sum(0))
-        out = [(r["block"], r["bucket"], *facts, squeeze(n[i].ravel()), squeeze(np.column_stack([after[j], before[j]]).ravel())) for r, i, j in zip(rows, at, to) if not r["near"]]
+        facts = int(((after.sum(1) > 0) & (word > START)).sum()), *(int(x) for x in after.sum(0))
+        out = [(r["block"], r["bucket"], *facts, squeeze(n[i].ravel()), squeeze(np.column_stack([after[j], before[j]]).ravel())) for r, i, j in zip(rows, at, to)]
         kinds = [pa.int64(), pa.int32(), *[pa.int64()] * 3, pa.binary(), pa.binary()]
         return pa.Table.from_arrays([pa.array([x[c] for x in out], f) for c, f in enumerate(kinds)], names=["block", "bucket", "vocabulary", "near", "far", "pairs", "words"])
 
@@ -232,17 +220,20 @@ def score(docs: DataFrame, target: DataFrame, text: str = "text", size: int | No
 
     def judge(block: pa.Table, told: pa.Table) -> pa.Table:
         (r,) = block.to_pylist()
-        b = Block(r["lengths"], r["words"], r["ids"])
+        b = Block(r["near"], r["lengths"], r["words"], r["ids"])
         rows = sorted(told.to_pylist(), key=lambda x: x["bucket"])
         pairs, at = np.unique(b.pairs, return_inverse=True)
         n = np.concatenate([expand(x["pairs"], np.int64) for x in rows]).reshape(-1, 2)
         counts = np.concatenate([expand(x["words"], np.int64) for x in rows]).reshape(-1, 4)  # after: near, far; before: near, far
         entries = sum(x["vocabulary"] for x in rows) + 2
+        totals = [sum(x[c] for x in rows) for c in ("near", "far")]
         full = b.lengths > 0
+        own, own_after, own_before = b.own(at, len(pairs)), b.own(b.next, len(b.words)), b.own(b.previous, len(b.words))
         means = []
-        for k, total in enumerate((sum(x["near"] for x in rows), sum(x["far"] for x in rows))):
-            p = (counts[:, k] + 1) / (total + entries)
-            loss = -np.log((n[at, k] + WEIGHT * p[b.next]) / (counts[b.previous, 2 + k] + WEIGHT))
+        for k, mine in enumerate((b.near, ~b.near)):  # whether the model counted the word's document
+            scale = totals[0] / totals[1] if k and totals[1] else 1.0
+            p = (scale * (counts[b.next, k] - mine * own_after) + 1) / (scale * (totals[k] - mine * b.lengths[b.of]) + entries)
+            loss = -np.log((scale * (n[at, k] - mine * own) + WEIGHT * p) / (scale * (counts[b.previous, 2 + k] - mine * own_before) + WEIGHT))
             mean = np.zeros(len(full))
             if full.any():
                 mean[full] = np.add.reduceat(loss, b.starts) / b.lengths[full]

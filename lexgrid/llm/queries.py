@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexgrid.llm import html_extract, jaccard_join, license_scan, lm_scoring, mixing, nearest, quality_classifier, quality_rules, sentencepiece_codec, url_filters
-from lexgrid.llm.common import join_by_key, table
+from lexgrid.llm.common import flag_by_key, table
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -50,7 +50,7 @@ def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     good = table(spark, sf_dir, "labels").where("quality = 1 AND toxic = 0").select("doc_id").distinct()
-    return lm_scoring.score(docs, join_by_key(docs, good, "doc_id"))
+    return lm_scoring.score(flag_by_key(docs, good, "doc_id", "good"), F.col("good")).drop("good")
 
 
 def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -80,8 +80,10 @@ WITH d AS (
       20 * length(regexp_replace(x, '[^#*$%&|<>]+', '', 'g')) > length(x)
       OR (length(x) >= 12 AND 2 * length(regexp_replace(x, '[^A-Z]+', '', 'g')) > length(x))
       OR 10 * length(regexp_replace(x, '[^!]+', '', 'g')) > length(x)
-      OR (length(x) < 30 AND NOT regexp_matches(x, '[.!?:;)\]"''\x{2026}\x{201d}\x{00bb}]$'))
-      OR regexp_matches(lower(x), 'enable javascript|use cookies|cookie policy|privacy policy|terms of use|terms of service|all rights reserved|subscribe to our|sign up for|click here|log in to|share this')
+      OR (NOT regexp_matches(x, '[.!?:;)\]"''\x{2026}\x{201d}\x{00bb}]$') AND (length(x) < 30
+        OR (len(regexp_extract_all(x, '[^ \x09-\x0D]+')) >= 3 AND (10 * len(regexp_extract_all(x, '(^|[ \x09-\x0D])\p{Lu}')) >= 7 * len(regexp_extract_all(x, '[^ \x09-\x0D]+'))
+          OR len(regexp_extract_all(x, ' [|/>\x{00b7}\x{2022}\x{203a}] ')) >= 2))))
+      OR regexp_matches(lower(x), '@BOILERPLATE@')
     )) AS ok
   FROM l
 ), r AS (
@@ -98,9 +100,25 @@ SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_s
   (NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND left_chars >= total_chars * 0.5::DOUBLE) AS kept,
   n_lost_lines::BIGINT AS n_lost_lines, (total_chars - left_chars)::BIGINT AS lost_chars
 FROM r
-"""
-
-OP6_SQL = r"""
+""".replace("@BOILERPLATE@", "|".join(quality_rules.BOILERPLATE).replace("'", "''"))
+
+
+
+def op6_sql(levels: int = 8, wide: int = 20) -> str:
+    """The SQL of op6, for paths of up to so many segments; the operator itself knows no such bound."""
+    star = "".join(f"""), w{k} AS (
+  SELECT host, tpl[1:{k - 1}] AS pre FROM t{k - 1} WHERE len(tpl) >= {k} GROUP BY 1, 2 HAVING count(DISTINCT tpl[{k}]) > {wide}
+), t{k} AS (
+  SELECT t.host, seg, CASE WHEN w{k}.host IS NOT NULL AND len(tpl) >= {k} THEN list_concat(tpl[1:{k - 1}], ['*'], tpl[{k + 1}:]) ELSE tpl END AS tpl, n, b
+  FROM t{k - 1} t LEFT JOIN w{k} ON t.host = w{k}.host AND t.tpl[1:{k - 1}] = w{k}.pre
+""" for k in range(1, levels + 1))
+    joins = " ".join(f"LEFT JOIN g g{k} ON g{k}.host = l.host AND g{k}.k = {k} AND len(l.tpl) >= {k} AND g{k}.node = l.tpl[1:{k}]" for k in range(levels + 1))
+    purity = "(tb + 4.0::DOUBLE * ((ab + 1.0::DOUBLE) / (an + 2.0::DOUBLE))) / (tn + 4.0::DOUBLE)"
+    steps, last = "", "q"
+    for k in range(levels + 1):
+        steps += f"), p{k} AS (SELECT *, CASE WHEN gn{k} IS NULL THEN {last} ELSE (gb{k} + 4.0::DOUBLE * {last}) / (gn{k} + 4.0::DOUBLE) END AS q{k} FROM {'c' if not k else f'p{k - 1}'}\n"
+        last = f"q{k}"
+    return rf"""
 WITH u AS (
   SELECT page_id, url, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages
 ), h AS (
@@ -117,34 +135,54 @@ WITH u AS (
   FROM h
 ), d AS (
   SELECT *, CASE WHEN rule IN ('com/', 'www.example.com/en/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block' END AS rv,
-    list_concat(list_transform(parts[1:3], lambda x: CASE WHEN regexp_matches(x, '[0-9]') OR length(x) > 24 THEN '*' ELSE x END), CASE WHEN len(parts) > 3 THEN ['**'] ELSE [] END) AS seg
+    list_transform(parts, lambda x: CASE WHEN regexp_matches(x, '[0-9]') OR length(x) > 24 THEN '*' ELSE x END) AS seg
   FROM fit
 ), t0 AS (
   SELECT host, seg, seg AS tpl, sum(CASE WHEN rv IS NOT NULL THEN 1 ELSE 0 END) AS n, sum(CASE WHEN rv = 'block' THEN 1 ELSE 0 END) AS b FROM d GROUP BY 1, 2
-), w1 AS (SELECT host, []::VARCHAR[] AS pre FROM t0 WHERE len(tpl) >= 1 GROUP BY 1 HAVING count(DISTINCT tpl[1]) > 20),
-t1 AS (
-  SELECT t.host, seg, CASE WHEN w1.host IS NOT NULL AND len(tpl) >= 1 THEN list_concat(['*'], tpl[2:]) ELSE tpl END AS tpl, n, b
-  FROM t0 t LEFT JOIN w1 ON t.host = w1.host
-), w2 AS (SELECT host, tpl[1:1] AS pre FROM t1 WHERE len(tpl) >= 2 GROUP BY 1, 2 HAVING count(DISTINCT tpl[2]) > 20),
-t2 AS (
-  SELECT t.host, seg, CASE WHEN w2.host IS NOT NULL AND len(tpl) >= 2 THEN list_concat(tpl[1:1], ['*'], tpl[3:]) ELSE tpl END AS tpl, n, b
-  FROM t1 t LEFT JOIN w2 ON t.host = w2.host AND t.tpl[1:1] = w2.pre
-), w3 AS (SELECT host, tpl[1:2] AS pre FROM t2 WHERE len(tpl) >= 3 GROUP BY 1, 2 HAVING count(DISTINCT tpl[3]) > 20),
-t3 AS (
-  SELECT t.host, seg, '/' || array_to_string(CASE WHEN w3.host IS NOT NULL AND len(tpl) >= 3 THEN list_concat(tpl[1:2], ['*'], tpl[4:]) ELSE tpl END, '/') AS tpl, n, b
-  FROM t2 t LEFT JOIN w3 ON t.host = w3.host AND t.tpl[1:2] = w3.pre
-), nodes AS (
-  SELECT host, tpl, sum(n)::DOUBLE AS n, sum(b)::DOUBLE AS b FROM t3 GROUP BY 1, 2
-), hosts AS (SELECT *, sum(n) OVER (PARTITION BY host) AS hn, sum(b) OVER (PARTITION BY host) AS hb FROM nodes),
-alike AS (SELECT *, n > 0 AND (b * hn - n * hb) * (b * hn - n * hb) <= 3.8416::DOUBLE * n * hb * (hn - hb) AS lk FROM hosts),
-grp AS (SELECT *, CASE WHEN lk THEN sum(n) OVER (PARTITION BY host, lk) ELSE n END AS gn, CASE WHEN lk THEN sum(b) OVER (PARTITION BY host, lk) ELSE b END AS gb,
-  sum(n) OVER (PARTITION BY tpl) AS tn, sum(b) OVER (PARTITION BY tpl) AS tb, sum(n) OVER () AS an, sum(b) OVER () AS ab FROM alike),
-verdicts AS (
-  SELECT host, tpl, n, b, CASE WHEN (gb + 4.0::DOUBLE * ((tb + 4.0::DOUBLE * ((ab + 1.0::DOUBLE) / (an + 2.0::DOUBLE))) / (tn + 4.0::DOUBLE))) / (gn + 4.0::DOUBLE) > 0.5::DOUBLE THEN 'block' ELSE 'allow' END AS tv
-  FROM grp
-)
-SELECT d.page_id, coalesce(d.host, '') AS host, coalesce(d.path, '') AS path, d.rule, coalesce(d.rv, v.tv) AS verdict, v.tpl AS template, v.n::BIGINT AS n_labelled, v.b::BIGINT AS n_blocked
-FROM d JOIN t3 ON d.host = t3.host AND d.seg = t3.seg JOIN verdicts v ON v.host = t3.host AND v.tpl = t3.tpl
+{star}), l AS (
+  SELECT host, tpl, sum(n)::DOUBLE AS n, sum(b)::DOUBLE AS b FROM t{levels} GROUP BY 1, 2
+), x AS (
+  SELECT host, tpl, n, b, unnest(range(0, len(tpl) + 1)) AS k FROM l
+), v AS (
+  SELECT host, k, tpl[1:k] AS node, sum(n) AS n, sum(b) AS b FROM x GROUP BY 1, 2, 3 HAVING sum(n) > 0
+), v1 AS (
+  SELECT *, CASE WHEN k = 0 THEN [host] ELSE node[1:k - 1] END AS up, CASE WHEN k = 0 THEN '' ELSE node[k] END AS child FROM v
+), v2 AS (
+  SELECT *, lag(n) OVER o AS n0, lag(b) OVER o AS b0 FROM v1 WINDOW o AS (PARTITION BY host, k, up ORDER BY b / n, child)
+), v3 AS (
+  SELECT *, sum(CASE WHEN (b * n0 - b0 * n) * (b * n0 - b0 * n) * (n + n0) > 3.8416::DOUBLE * n * n0 * (b + b0) * ((n + n0) - (b + b0)) THEN 1 ELSE 0 END)
+    OVER (PARTITION BY host, k, up ORDER BY b / n, child) AS grp FROM v2
+), g AS (
+  SELECT host, k, node, sum(n) OVER (PARTITION BY host, k, up, grp) AS gn, sum(b) OVER (PARTITION BY host, k, up, grp) AS gb FROM v3
+), a AS (
+  SELECT *, sum(n) OVER (PARTITION BY tpl) AS tn, sum(b) OVER (PARTITION BY tpl) AS tb, sum(n) OVER () AS an, sum(b) OVER () AS ab FROM l
+), c AS (
+  SELECT l.*, {purity} AS q, {", ".join(f"g{k}.gn AS gn{k}, g{k}.gb AS gb{k}" for k in range(levels + 1))} FROM a l {joins}
+{steps})
+SELECT d.page_id, coalesce(d.host, '') AS host, coalesce(d.path, '') AS path, d.rule, coalesce(d.rv, CASE WHEN f.{last} > 0.5::DOUBLE THEN 'block' ELSE 'allow' END) AS verdict,
+  '/' || array_to_string(f.tpl, '/') AS template, f.n::BIGINT AS n_labelled, f.b::BIGINT AS n_blocked
+FROM d JOIN t{levels} t ON d.host = t.host AND d.seg = t.seg JOIN p{levels} f ON f.host = t.host AND f.tpl = t.tpl
+"""
+
+
+_SHINGLE = " || ' ' || ".join(["w[i]", *(f"w[i + {k}]" for k in range(1, 5))])
+OP8_SQL = rf"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), s AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN []::VARCHAR[] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: {_SHINGLE})) END AS sh FROM d
+), x AS (
+  SELECT doc_id, len(sh) AS n, unnest(sh) AS h FROM s
+), links AS (
+  SELECT a.doc_id AS i, b.doc_id AS j FROM x a JOIN x b ON a.h = b.h AND a.doc_id < b.doc_id GROUP BY 1, 2 HAVING 100 * count(*) >= 80 * (any_value(a.n) + any_value(b.n) - count(*))
+), both AS (
+  SELECT i, j FROM links UNION ALL SELECT j, i FROM links UNION ALL SELECT doc_id, doc_id FROM s
+), reach AS (
+  SELECT i, j FROM both UNION SELECT r.i, b.j FROM reach r JOIN both b ON r.j = b.i
+), comps AS (SELECT i, min(j) AS component_id FROM reach GROUP BY 1)
+SELECT s.doc_id, len(sh)::BIGINT AS n_shingles, CASE WHEN len(sh) = 0 THEN s.doc_id ELSE min(s.doc_id) OVER (PARTITION BY list_sort(sh)) END AS class_id, component_id
+FROM s JOIN comps ON comps.i = s.doc_id
 """
 
-ORACLE_SQL = {"op2_quality_rules": OP2_SQL, "op6_url_filters": OP6_SQL}
+ORACLE_SQL = {"op2_quality_rules": OP2_SQL, "op6_url_filters": op6_sql(), "op8_jaccard_join": OP8_SQL}
