@@ -1,48 +1,30 @@
 """License scans: matching statistics over a generalised suffix automaton of licence tokens, chained into template spans.
 
 The automaton holds every run of words of all templates. A text streams through it once: at each word it knows the longest
-run, ending there, that some template has. Runs that cannot be extended are chained, in the order of the template, into the
-spans of that template which the text covers; a template that is covered enough adds its label.
+run, ending there, that some template has, and along the suffix links the longest run of each other template. Runs that the next
+word does not extend in their template are chained, in the order of the template, into the spans of it which the text covers;
+a template that is covered enough adds its label.
 
-The automaton is built from the templates, not from the data, and is a few hundred states; it travels with the function.
+The automaton is built from the templates, not from the data, and is a few thousand states; it travels with the function.
 
-Defined cases: a null or empty text has no words, no places and no labels, and score 0. Equal rows give equal results. Only
-the text column is read; all others pass through, unless a result takes their name.
+Defined cases: a null or empty text has no words, no places and no labels, and score 0; an empty table gives no rows. Texts are
+read whole, long or not, one pass each. Equal rows give equal results. Only the text column is read; all others pass through,
+unless a result takes their name.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from lexgrid.llm.license_texts import TEMPLATES
+
 #: Phrases of the base rules and their labels.
 PHRASES = (("cc by", "cc-by"), ("general public license", "gpl"), ("all rights reserved", "reserved"))
-#: Labels and characteristic wordings, lower case. Fixed values.
-TEMPLATES = (
-    ("mit", "released under the mit license"),
-    ("mit", "licensed under the mit license"),
-    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files to deal in the software without restriction"),
-    ("apache-2.0", "licensed under the apache license version 2 0"),
-    ("apache-2.0", "you may not use this file except in compliance with the license you may obtain a copy of the license at http www apache org licenses license 2 0"),
-    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"),
-    ("gpl-3.0", "licensed under the gnu general public license version 3"),
-    ("gpl-2.0", "licensed under the gnu general public license version 2"),
-    ("gpl", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation"),
-    ("lgpl", "licensed under the gnu lesser general public license"),
-    ("agpl", "licensed under the gnu affero general public license"),
-    ("mpl-2.0", "this source code form is subject to the terms of the mozilla public license v 2 0"),
-    ("cc-by", "licensed under a creative commons attribution license"),
-    ("cc-by-4.0", "licensed under cc by 4 0"),
-    ("cc-by-sa-4.0", "licensed under cc by sa 4 0"),
-    ("cc-by-nc-4.0", "licensed under cc by nc 4 0"),
-    ("cc-by-nd-4.0", "licensed under cc by nd 4 0"),
-    ("cc0", "to the extent possible under law the author has waived all copyright and related or neighboring rights to this work"),
-    ("unlicense", "this is free and unencumbered software released into the public domain"),
-    ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted"),
-)
 MIN_RUN, MIN_COVER, MAX_GAP = 3, 0.8, 12
 
 #: Bytes that stand within words are kept, A-Z lower-cased; all others become spaces.
@@ -58,26 +40,29 @@ class Automaton:
     """Generalised suffix automaton over the words of several templates."""
 
     def __init__(self, templates: Sequence[tuple[str, str]]):
-        self.templates = [(label, t.encode().split()) for label, t in templates]
+        self.templates = [(label, words(t)) for label, t in templates]
         self.next: list[dict[bytes, int]] = [{}]
         self.link, self.length = [-1], [0]
-        #: by state: template -> the first place in it where the state's words end
-        self.ends: list[dict[int, int]] = [{}]
+        ends: list[dict[int, set[int]]] = [{}]
+        self.marks = ends
         for k, (_, ws) in enumerate(self.templates):
             last = 0
             for i, w in enumerate(ws):
                 last = self._extend(last, w)
-                self.ends[last].setdefault(k, i)
+                ends[last].setdefault(k, set()).add(i)
         for s in sorted(range(1, len(self.next)), key=self.length.__getitem__, reverse=True):  # what ends in a state also ends in its suffixes
-            up = self.ends[self.link[s]]
-            for k, i in self.ends[s].items():
-                up[k] = min(i, up.get(k, i))
+            if self.link[s] > 0:
+                for k, places in ends[s].items():
+                    ends[self.link[s]].setdefault(k, set()).update(places)
+        #: by state: template -> the places in it where the state's words end
+        self.ends = [{k: sorted(x) for k, x in e.items()} for e in ends]
+        del self.marks
 
     def _state(self, length: int, follow: dict[bytes, int], link: int) -> int:
         self.next.append(follow)
         self.length.append(length)
         self.link.append(link)
-        self.ends.append({})
+        self.marks.append({})
         return len(self.next) - 1
 
     def _split(self, p: int, w: bytes, q: int) -> int:
@@ -101,22 +86,27 @@ class Automaton:
         self.link[new] = 0 if p < 0 else self._split(p, w, self.next[p][w])
         return new
 
-    def runs(self, ws: list[bytes]) -> Iterator[tuple[int, int, int]]:
-        """(place of the last word, length, state) of the runs of MIN_RUN words or more that the next word does not extend."""
+    def lengths(self, state: int, size: int) -> dict[int, tuple[int, int]]:
+        """For each template the longest run, of MIN_RUN words or more, that ends where the automaton stands: (length, state)."""
+        out: dict[int, tuple[int, int]] = {}
+        while size >= MIN_RUN:
+            for k in self.ends[state]:
+                out.setdefault(k, (size, state))
+            state = self.link[state]
+            size = self.length[state]
+        return out
+
+    def runs(self, ws: list[bytes]) -> Iterator[tuple[int, int, int, int]]:
+        """(place of the last word, template, length, state) of each template's runs that the next word does not extend."""
         follow, link, length = self.next, self.link, self.length
         state = size = 0
         root = follow[0]
+        now: dict[int, tuple[int, int]] = {}
         for i, w in enumerate(ws):
             if not size:
                 if w in root:
                     state, size = root[w], 1
                 continue
-            to = follow[state].get(w)
-            if to is not None:
-                state, size = to, size + 1
-                continue
-            if size >= MIN_RUN:
-                yield i - 1, size, state
             while state and w not in follow[state]:
                 state = link[state]
                 size = length[state]
@@ -124,27 +114,49 @@ class Automaton:
                 state, size = follow[state][w], size + 1
             else:
                 state = size = 0
-        if size >= MIN_RUN:
-            yield len(ws) - 1, size, state
+            if now or size >= MIN_RUN:
+                was, now = now, self.lengths(state, size)
+                for k, (n, s) in was.items():
+                    if now.get(k, (0,))[0] != n + 1:
+                        yield i - 1, k, n, s
+        for k, (n, s) in now.items():
+            yield len(ws) - 1, k, n, s
 
     def spans(self, ws: list[bytes]) -> list[tuple[int, int, int, int]]:
-        """(template, first word, last word, template words covered): for each template, runs chained in its order."""
+        """(template, first word, last word, template words covered): for each template, runs chained in its order.
+
+        A run joins the open chain of its template if it starts MAX_GAP words after it at most and ends at a later place of the
+        template, the next such; else it opens a new chain.
+        """
         open_: dict[int, list[int]] = {}  # template -> [first, last, place in the template, covered]
         out = []
-        for end, size, state in self.runs(ws):
-            for k, place in self.ends[state].items():
-                c = open_.get(k)
-                if c and end - size + 1 - c[1] <= MAX_GAP and place - size + 1 > c[2] - size and place > c[2]:
-                    c[3] += min(size, place - c[2])
-                    c[1], c[2] = end, place
-                else:
-                    if c:
-                        out.append((k, c[0], c[1], c[3]))
-                    open_[k] = [end - size + 1, end, place, size]
+        for end, k, size, state in self.runs(ws):
+            places = self.ends[state][k]
+            c = open_.get(k)
+            later = bisect_right(places, c[2]) if c else len(places)
+            if c and end - size + 1 - c[1] <= MAX_GAP and later < len(places):
+                c[3] += min(size, places[later] - c[2])
+                c[1], c[2] = end, places[later]
+            else:
+                if c:
+                    out.append((k, c[0], c[1], c[3]))
+                open_[k] = [end - size + 1, end, places[0], size]
         out += [(k, c[0], c[1], c[3]) for k, c in open_.items()]
         return sorted(out, key=lambda x: (x[1], x[0]))
 
 
+def standing(spans: list[tuple[int, int, float, int, int]]) -> list[tuple[int, int, float, int, int]]:
+    """Of (first, last, cover, words covered, template): without spans inside one that covers more of its template, and as many words."""
+    spans = sorted(spans, key=lambda x: (x[0], -x[1], -x[2]))
+    out, near = [], []
+    for x in spans:
+        near = [y for y in near if y[1] >= x[1]]
+        if not any(y[2] > x[2] and y[3] >= x[3] for y in near):
+            out.append(x)
+        near.append(x)
+    return out
+
+
 def places(ws: list[bytes], phrases: Sequence[tuple[list[bytes], str]]) -> list[tuple[int, str]]:
     """(start, label) wherever a phrase's words stand consecutively."""
     out = []
@@ -170,8 +182,8 @@ RESULT = [
 def scan(docs: DataFrame, text: str = "text", templates: Sequence[tuple[str, str]] = TEMPLATES, phrases: Sequence[tuple[str, str]] = PHRASES) -> DataFrame:
     """All columns of docs but the text, plus the columns of RESULT.
 
-    Base: places of the phrases. labels adds those of templates whose words are covered to MIN_COVER at least; score is the
-    largest cover of any template or phrase, from 0 to 1.
+    Base: places of the phrases. labels adds those of templates whose words are covered to MIN_COVER at least, but not by a part
+    of a text that covers another template better; score is the largest cover of any template or phrase, from 0 to 1.
     """
     names = {f.name for f in RESULT}
     kept = [c for c in docs.columns if c != text and c not in names]
@@ -184,13 +196,9 @@ def scan(docs: DataFrame, text: str = "text", templates: Sequence[tuple[str, str
         ws = words(t)
         base = places(ws, split)
         labels = {label for _, label in base}
-        found, score = [], 1.0 if base else 0.0
-        for k, first, last, n in machine.spans(ws):
-            label, tw = machine.templates[k]
-            cover = min(1.0, n / len(tw))
-            score = max(score, cover)
-            if cover >= MIN_COVER:
-                found.append({"label": label, "first": first, "last": last, "cover": cover})
+        spans = [(first, last, min(1.0, n / len(machine.templates[k][1])), n, k) for k, first, last, n in machine.spans(ws)]
+        score = max([1.0 if base else 0.0, *(x[2] for x in spans)])
+        found = [{"label": machine.templates[k][0], "first": first, "last": last, "cover": cover} for first, last, cover, _, k in standing([x for x in spans if x[2] >= MIN_COVER])]
         starts = [i for i, _ in base]
         return len(ws), len(base), min(starts, default=None), max(starts, default=None), ",".join(sorted(labels)), ",".join(sorted(labels | {x["label"] for x in found})), score, found
 
