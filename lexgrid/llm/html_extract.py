@@ -8,8 +8,10 @@ rejected ancestor. Texts of accepted elements are cut into blocks.
 The trees are trained here, in the driver, on pages of a seeded generator of layouts (LAYOUTS of them) with known roles: a
 fixed cost, independent of the data. Pages are then extracted in Arrow batches without a shuffle.
 
-Defined cases: a null or empty page has an empty text; text outside any element counts as main text of the root. Whole pages
-are read, and blocks are never capped. Repeated rows are extracted one by one. Extra columns pass through.
+Defined cases: a null or empty page has an empty text; text outside any element counts as main text of the root. A tag that never
+ends is text. Whole pages are read, in time that grows with their length only, however deep or broken they are; blocks are never
+capped. Repeated rows are extracted one by one, an empty table gives no rows. Extra columns pass through, but for those named as a
+result (`text`, `n_chars`), which it replaces, and the html.
 """
 
 from __future__ import annotations
@@ -17,6 +19,7 @@ from __future__ import annotations
 import html as entities
 import random
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,7 +36,12 @@ BLOCK = frozenset("html body address article aside blockquote dd details dialog
 #: An opening tag of the key closes an open element of these tags, up to the nearest of SCOPE.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "tbody": {"thead", "tbody", "tr", "td", "th"}}
 SCOPE = frozenset("html body article aside section main nav div table ul ol dl form header footer blockquote figure fieldset".split())
-TOKEN = re.compile(r"<!--.*?(?:-->|$)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)>", re.S)
+CLOSABLE = frozenset(t for ts in CLOSES.values() for t in ts)
+#: Elements that an open paragraph does not reach out of.
+BOUNDS = SCOPE | {"li", "td", "th"}
+OPENING = re.compile(r"<(?:(/?)([a-zA-Z][^\s/>]*)|[!?])")
+DELIMITER = re.compile(r"[>\"']")
+ENDS = {t: re.compile(rf"</{t}(?=[\s/>])", re.I) for t in RAW}
 ATTRIBUTE = re.compile(r"""(?:^|\s)(class|id|role|itemprop|aria-label|name|hidden|style)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I | re.S)
 WORDY = re.compile(r"[a-z]+")
 
@@ -51,13 +59,17 @@ OF = {w: k for k, ws in enumerate(LISTS.values()) for w in ws}
 
 
 class Node:
-    __slots__ = ("tag", "parent", "parts", "good", "bad", "index", "depth", "siblings")
+    __slots__ = ("tag", "parent", "parts", "good", "bad", "index", "depth", "siblings", "paragraph", "closable", "foreign")
 
     def __init__(self, tag: str, parent: Node | None, index: int, good: int, bad: tuple[int, ...]):
         self.tag, self.parent, self.index, self.good, self.bad = tag, parent, index, good, bad
         self.depth = parent.depth + 1 if parent else 0
         self.parts: list[str | Node] = []
         self.siblings = 0  # how many child elements it has
+        # The nearest open paragraph and the nearest element that another may close, itself included, and whether it is foreign.
+        self.paragraph = self if tag == "p" else None if tag in BOUNDS or not parent else parent.paragraph
+        self.closable = self if tag in CLOSABLE else None if tag in SCOPE or not parent else parent.closable
+        self.foreign = tag in FOREIGN or bool(parent and parent.foreign)
 
 
 def marks(attributes: str) -> tuple[int, tuple[int, ...]]:
@@ -81,55 +93,90 @@ def marks(attributes: str) -> tuple[int, tuple[int, ...]]:
 NONE = 0, (0,) * len(LISTS)
 
 
-def foreign(x: Node | None) -> bool:
-    """Whether the element is, or lies in, one of FOREIGN."""
-    while x is not None and x.tag not in FOREIGN:
-        x = x.parent
-    return x is not None
+def tag_end(page: str, at: int, quotes: bool) -> int:
+    """Where the `>` of a tag stands, from a place within it; one in a quoted value is passed over. -1 if there is none."""
+    while found := DELIMITER.search(page, at):
+        k = found.start()
+        if page[k] == ">":
+            return k
+        at = k + 1
+        if quotes:
+            before = k - 1
+            while page[before].isspace():
+                before -= 1
+            if page[before] == "=":
+                at = page.find(page[k], k + 1) + 1
+                if not at:
+                    return -1
+    return -1
 
 
 def parse(page: str) -> list[Node]:
     """The elements in page order; the first is a root that holds all."""
     root = Node("html", None, 0, *NONE)
     nodes, top, at, n = [root], root, 0, len(page)
+    open_: Counter[str] = Counter()
+    quotes = True  # until a quoted value never ends
+
+    def leave(x: Node) -> Node:
+        """Close x and all that is open in it."""
+        y = top
+        while y is not x.parent:
+            open_[y.tag] -= 1
+            y = y.parent
+        return y
+
     while at < n:
-        found = TOKEN.search(page, at)
-        end = found.start() if found else n
-        if end > at:
-            top.parts.append(page[at:end])
+        found = OPENING.search(page, at)
+        start = found.start() if found else n
         if not found:
+            top.parts.append(page[at:])
             break
-        at = found.end()
         name = found[2]
         if not name:
+            comment = page.startswith("<!--", start)
+            end = page.find("-->" if comment else ">", start + 4 if comment else start)
+            if end < 0 and not comment:
+                top.parts.append(page[at:])
+                break
+            if start > at:
+                top.parts.append(page[at:start])
+            at = n if end < 0 else end + (3 if comment else 1)
             continue
+        end = tag_end(page, found.end(), quotes)
+        if end < 0 and quotes:
+            quotes = False
+            end = tag_end(page, found.end(), quotes)
+        if end < 0:
+            top.parts.append(page[at:])
+            break
+        if start > at:
+            top.parts.append(page[at:start])
+        at = end + 1
         tag = name.lower()
         if found[1]:
-            x = top
-            while x is not root and x.tag != tag:
-                x = x.parent
-            if x is not root:
-                top = x.parent
+            if open_[tag] > 0:
+                x = top
+                while x.tag != tag:
+                    x = x.parent
+                top = leave(x)
             continue
         if tag == "html":
             continue
-        if tag in BLOCK:  # a block ends an open paragraph
-            x = top
-            while x is not root and x.tag != "p" and x.tag not in SCOPE and x.tag not in ("li", "td", "th"):
-                x = x.parent
-            if x.tag == "p":
-                top = x.parent
+        if tag in BLOCK and top.paragraph:  # a block ends an open paragraph
+            top = leave(top.paragraph)
         if tag in CLOSES:
-            x = top
-            while x is not root and x.tag not in CLOSES[tag] and x.tag not in SCOPE:
-                x = x.parent
-            if x.tag in CLOSES[tag]:
-                top = x.parent
-        text = found[3]
+            x = top.closable
+            while x and x.tag not in CLOSES[tag]:
+                x = x.parent.closable
+            if x:
+                top = leave(x)
+        text = page[found.end() : end]
         closed = text.rstrip().endswith("/")
-        if tag in RAW and not ((closed or tag == "title") and foreign(top)):
-            close = re.compile(f"</{tag}[^>]*>", re.I).search(page, at)
-            at = close.end() if close else n
+        if tag in RAW and not ((closed or tag == "title") and top.foreign):
+            close = ENDS[tag].search(page, at)
+            end = page.find(">", close.end()) if close else -1
+            at = end + 1 if end >= 0 else n
             top.parts.append(" ")
             continue
         node = Node(tag, top, len(nodes), *(marks(text) if text else NONE))
@@ -138,6 +185,7 @@ def parse(page: str) -> list[Node]:
         nodes.append(node)
         if tag not in VOID and not closed:
             top = node
+            open_[tag] += 1
     return nodes
 
 
@@ -173,12 +221,13 @@ def describe(trees: list[list[Node]]) -> np.ndarray:
     bad = np.array([x.bad for x in flat], dtype=float)
     own = np.array([sum([len(p) for p in x.parts if type(p) is str and not p.isspace()]) for x in flat], dtype=float)
     size, tags, linked, link = own.copy(), np.ones(len(flat)), np.zeros(len(flat)), tag == TAGS.index("a")
-    levels = [np.flatnonzero(depth == d) for d in range(1, int(depth.max(initial=0)) + 1)]
+    order = np.argsort(depth, kind="stable")
+    levels = np.split(order, np.searchsorted(depth[order], np.arange(1, int(depth.max(initial=0)) + 1)))[1:]
     for rows in reversed(levels):
         to = parent[rows]
         linked[rows[link[rows]]] = size[rows[link[rows]]]
         for total in (size, tags, linked):
-            total += np.bincount(to, total[rows], len(flat))
+            np.add.at(total, to, total[rows])
     above, within, chrome = np.zeros_like(bad), np.zeros(len(flat)), np.zeros(len(flat))
     heart = np.maximum(good, np.isin(tag, (TAGS.index("main"), TAGS.index("article"))))
     frame = np.isin(tag, CHROME).astype(float)
@@ -307,6 +356,8 @@ def blocks(nodes: list[Node], main: np.ndarray) -> str:
 
 
 LAYOUTS, SEED = 400, 3
+#: Elements within a paragraph's text.
+INLINE = ("em", "strong", "code", "span", "math", "sup", "abbr", "q", "time")
 
 
 def layout(rng: random.Random) -> tuple[str, set[int]]:
@@ -386,7 +437,7 @@ def layout(rng: random.Random) -> tuple[str, set[int]]:
             if rng.random() < 0.2:
                 tag("p", lambda: (tag("b", say(rng.randint(2, 40)), True), tag("br", "", True, "", False)), True, "", rng.random() < 0.5)
             else:
-                tag("p", lambda: (parts.append(say(rng.randint(1, 90)) + " "), tag("a", say(2), True, 'href="/x"') if rng.random() < 0.3 else None, tag("em", say(2), True) if rng.random() < 0.2 else None), True, "", rng.random() < 0.9)
+                tag("p", lambda: (parts.append(say(rng.randint(1, 90)) + " "), tag("a", say(2), True, 'href="/x"') if rng.random() < 0.3 else None, tag(rng.choice(INLINE), say(rng.randint(1, 2)), True) if rng.random() < 0.3 else None, parts.append(" " + say(rng.randint(1, 20))) if rng.random() < 0.3 else None), True, "", rng.random() < 0.9)
         elif r < 0.78:
             tag(rng.choice(("h2", "h3")), say(rng.randint(1, 6)), True)
         elif r < 0.86:
