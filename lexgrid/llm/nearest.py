@@ -2,13 +2,16 @@
 
 Trees split by random directions at the median of a bounded sample (SAMPLE distinct vectors, those with the smallest hashed
 ids); every row is indexed. A query walks all trees through one queue ordered by its summed squared distance to the splits it
-crossed, until the leaves it has opened hold `share` of the vectors (counted once a tree). Their rows are then ranked by the
-exact inner product in double precision.
+crossed, until the leaves it has opened hold a share of the vectors (counted once a tree). Their rows are then ranked by the
+exact inner product in double precision. The share is the least that finds TARGET of the true nearest on the sample, measured
+there with ASKED of its vectors as queries: small where vectors form groups, large where they are spread evenly. The sample is
+thinner than the table, so its neighbours are farther and its share errs to the safe side.
 
 Vectors get one more component, the root of the largest squared norm less their own, so that nearness in the trees follows
-the inner product. Equal vectors are indexed once, with their k + 1 smallest ids; more can't be among anyone's k nearest.
-Rows meet queries leaf by leaf. A leaf of many rows is cut into chunks and its queries into groups, so a tile has at most
-CHUNK rows and, by construction, a bounded number of queries whatever the leaf's share of all.
+the inner product. Equal vectors are indexed once, with their k + 1 smallest ids; more can't be among anyone's k nearest. Equal queries
+are asked once, for the k + 1 nearest, of which each leaves out itself.
+Rows meet queries leaf by leaf, one copy of a row for each tree: the rows and queries of a leaf are sorted together, rows first.
+A leaf of many rows is cut into tiles of CHUNK rows or so; a task holds one tile at a time, and queries stream past it.
 
 Defined cases: vectors that are null or zero, have null or non-finite components or another length than most take no part,
 neither as queries nor as candidates. Ties go to the smaller id. With fewer candidates than k, all are returned. An empty
@@ -26,10 +29,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lexgrid.llm.common import Workspace
 
-TREES, LEAF, SHARE, SAMPLE, CHUNK, QUERIES, SEED = 8, 1024, 1.25, 16_384, 4096, 4096, 5
+TREES, LEAF, TARGET, SAMPLE, ASKED, CHUNK, SEED = 12, 256, 0.94, 16_384, 200, 4096, 5
+#: Candidates that a task gathers before it keeps the k best of each query.
+HELD = 1_000_000
 
 
 @dataclass
@@ -113,29 +119,109 @@ def grow(sample: np.ndarray, top: float, trees: int, smallest: float) -> Forest:
     return forest
 
 
+def share_for(forest: Forest, sample: np.ndarray, k: int, target: float) -> float:
+    """The least share of the vectors with which the sample's queries find `target` of their k nearest in the sample."""
+    n = len(sample)
+    lifted = forest.lift(sample)
+    leaves = [forest.leaf_of(t, lifted) for t in range(len(forest.cuts))]
+    forest.sizes = [np.bincount(x, minlength=c) for x, c in zip(leaves, forest.leaves)]
+    costs = []
+    for i in np.random.default_rng(SEED).permutation(n)[:ASKED]:
+        score = sample @ sample[i]
+        score[i] = -np.inf
+        near = np.argsort(-score)[: min(k, n - 1)]
+        order = forest.probe(sample[i], np.inf)
+        before = np.cumsum([0, *(forest.sizes[t][x] for t, x in order)])
+        cost = [np.zeros(c) for c in forest.leaves]
+        for (t, x), held in zip(order, before):
+            cost[t][x] = held
+        costs.append(np.min([cost[t][leaves[t][near]] for t in range(len(leaves))], axis=0))
+    flat = np.concatenate(costs) if costs else np.zeros(0)
+    return float(np.quantile(flat, target, method="higher") + 1) / n if len(flat) else float(len(forest.cuts))
+
+
 def matrix(column: pa.Array | pa.ChunkedArray, size: int) -> np.ndarray:
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     return np.asarray(column.flatten(), dtype=np.float64).reshape(-1, size)
 
 
-def lists(x: np.ndarray) -> pa.ListArray:
-    return pa.ListArray.from_arrays(np.arange(0, x.size + 1, x.shape[1], dtype=np.int32), pa.array(x.ravel()))
-
-
 def usable(vector: Column) -> Column:
     bad = F.exists(vector, lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")))
     return vector.isNotNull() & ~F.coalesce(bad, F.lit(True)) & F.exists(vector, lambda v: v != 0)
 
 
-def search(df: DataFrame, is_query: Column, key: str = "vec_id", vector: str = "embedding", k: int = 20, trees: int = TREES, leaf: int = LEAF, share: float = SHARE) -> DataFrame:
-    """(query_id, rank, vec_id, score): the k nearest found of each row for which is_query holds, without itself."""
+def best_of(query: np.ndarray, ids: np.ndarray, score: np.ndarray, k: int) -> pa.RecordBatch:
+    """(first, found) with the k nearest different candidates of each query among the three arrays."""
+    order = np.lexsort((ids, -score, query))
+    q, ids, score = query[order], ids[order], score[order]
+    fresh = np.ones(len(q), dtype=bool)
+    fresh[1:] = (q[1:] != q[:-1]) | (ids[1:] != ids[:-1])  # the same row may come from several trees
+    q, ids, score = q[fresh], ids[fresh], score[fresh]
+    heads = np.flatnonzero(np.append(True, q[1:] != q[:-1])) if len(q) else np.zeros(0, np.int64)
+    keep = np.arange(len(q)) - np.repeat(heads, np.diff(np.append(heads, len(q)))) < k
+    q, ids, score = q[keep], ids[keep], score[keep]
+    heads = np.flatnonzero(np.append(True, q[1:] != q[:-1])) if len(q) else np.zeros(0, np.int64)
+    pairs = pa.StructArray.from_arrays([pa.array(-score), pa.array(ids)], names=["s", "id"])
+    return pa.RecordBatch.from_arrays([pa.array(q[heads]), pa.ListArray.from_arrays(np.append(heads, len(q)).astype(np.int32), pairs)], names=["first", "found"])
+
+
+def rank_tiles(batches: Iterator[pa.RecordBatch], size: int, k: int) -> Iterator[pa.RecordBatch]:
+    """Nearest candidates of (tile, kind, ids, v), sorted by tile and kind: rows (kind 0) with their ids, then queries (kind 1)."""
+    now, held, rows, members = None, [], np.zeros((0, size)), []
+    gathered, n = [], 0
+    for batch in batches:
+        tile, kind = np.asarray(batch.column("tile")), np.asarray(batch.column("kind"))
+        edges = np.flatnonzero(np.concatenate([[True], (tile[1:] != tile[:-1]) | (kind[1:] != kind[:-1])])) if len(tile) else []
+        for a, b in zip(edges, [*edges[1:], len(tile)]):
+            part = batch.slice(a, b - a)
+            if tile[a] != now:
+                now, held, rows, members = tile[a], [], np.zeros((0, size)), []
+            if kind[a] == 0:
+                held.append((matrix(part.column("v"), size), part.column("ids")))
+                continue
+            if held:
+                rows = np.concatenate([rows, *(x for x, _ in held)])
+                members += [m for _, m in held]
+                held = []
+                ids = pa.concat_arrays(members)
+                offsets, flat = np.asarray(ids.offsets), np.asarray(ids.values)
+            if not len(rows):
+                continue
+            x, asks = matrix(part.column("v"), size), np.asarray(part.column("ids").flatten())
+            for s in range(0, len(x), 256):
+                score = x[s : s + 256] @ rows.T
+                if len(rows) > k:
+                    least = np.partition(score, len(rows) - k, axis=1)[:, len(rows) - k, None]
+                    who, what = np.nonzero(score >= least - 1e-9 * np.maximum(1, np.abs(least)))
+                else:
+                    who, what = np.nonzero(np.ones_like(score, dtype=bool))
+                exact = np.concatenate([(x[s + who[u : u + 4096]] * rows[what[u : u + 4096]]).sum(1) for u in range(0, len(who), 4096)])
+                each = offsets[what + 1] - offsets[what]
+                at = np.repeat(offsets[what], each) + np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each)
+                gathered.append((np.repeat(asks[s + who], each), flat[at], np.repeat(exact, each)))
+                n += len(at)
+                if n > HELD:
+                    yield best_of(*map(np.concatenate, zip(*gathered)), k)
+                    gathered, n = [], 0
+    if gathered:
+        yield best_of(*map(np.concatenate, zip(*gathered)), k)
+
+
+def search(df: DataFrame, is_query: Column, key: str = "vec_id", vector: str = "embedding", k: int = 20, trees: int = TREES, leaf: int = LEAF, target: float = TARGET, share: float | None = None) -> DataFrame:
+    """(query_id, rank, vec_id, score): the k nearest found of each row for which is_query holds, without itself.
+
+    share: of the vectors, to be opened by each query; None measures it for the target.
+    """
     spark = df.sparkSession
-    rows = df.where(usable(F.col(vector)) & F.col(key).isNotNull()).select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"), F.coalesce(is_query, F.lit(False)).alias("q"))
-    sizes = rows.groupBy(F.size("v").alias("n")).agg(F.count("*").alias("c"), F.max(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)).alias("top"), F.sum(F.col("q").cast("long")).alias("q")).orderBy(F.desc("c"), "n").limit(1).collect()
+    given = df.schema[vector].dataType
+    kind = "float" if isinstance(given, T.ArrayType) and isinstance(given.elementType, T.FloatType) else "double"
+    rows = df.where(usable(F.col(vector)) & F.col(key).isNotNull()).select(F.col(key).cast("long").alias("id"), F.col(vector).cast(f"array<{kind}>").alias("v"), F.coalesce(is_query, F.lit(False)).alias("q"))
+    norm = F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))
+    sizes = rows.groupBy(F.size("v").alias("n")).agg(F.count("*").alias("c"), F.max(norm).alias("top")).orderBy(F.desc("c"), "n").limit(1).collect()
     if not sizes:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    size, total, top, asked = sizes[0]
+    size, _, top = sizes[0]
     rows = rows.where(F.size("v") == size)
     space = Workspace(spark)
     few = rows.select("id", "v").distinct().withColumn("r", F.row_number().over(W.partitionBy("v").orderBy("id"))).where(F.col("r") <= k + 1)
@@ -143,6 +229,8 @@ def search(df: DataFrame, is_query: Column, key: str = "vec_id", vector: str = "
     kinds = classes.count()
     sample = matrix(classes.orderBy(F.xxhash64(F.get("ids", F.lit(0)))).limit(SAMPLE).select("v").toArrow().column("v"), size)
     forest = grow(sample, top, trees, max(1.0, leaf * len(sample) / kinds))
+    if share is None:
+        share = share_for(forest, sample, k, target)
     base = np.cumsum([0, *forest.leaves])
     first = spark.sparkContext.broadcast(forest)  # at most trees * SAMPLE nodes
 
@@ -161,23 +249,20 @@ def search(df: DataFrame, is_query: Column, key: str = "vec_id", vector: str = "
     enough = max(share * kinds, 4.0 * leaf)
     chunks = np.maximum(1, -(-held // CHUNK))
     starts = np.cumsum([0, *chunks])
-    groups = max(1, -(-asked // QUERIES))
-    buckets = int(max(1, -(-trees * kinds * groups // 24_000)))
     sent = spark.sparkContext.broadcast(forest)
 
+    def rows_of(tile: np.ndarray, kind: int, ids: pa.Array, v: pa.Array) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(tile), pa.array(np.full(len(tile), kind, dtype=np.int32)), ids, v], names=["tile", "kind", "ids", "v"])
+
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for s in range(0, b.num_rows, 1024):
                 part = b.slice(s, 1024)
-                v, ids = matrix(part.column("v"), size), part.column("ids")
-                x = sent.value.lift(v)
+                x, ids = sent.value.lift(matrix(part.column("v"), size)), part.column("ids")
                 spread = np.asarray(pa.compute.list_element(ids, 0))
                 for t in range(trees):
                     leaves = base[t] + sent.value.leaf_of(t, x)
-                    tile = starts[leaves] + (spread * 0x9E3779B1 >> 7) % chunks[leaves]
-                    for g in range(groups):
-                        code = tile * groups + g
-                        yield pa.RecordBatch.from_arrays([pa.array((code * 0x9E3779B1 >> 5) % buckets), pa.array(code), ids, part.column("v")], names=["bucket", "tile", "ids", "v"])
+                    yield rows_of(starts[leaves] + (spread * 0x9E3779B1 >> 7) % chunks[leaves], 0, ids, part.column("v"))
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -186,62 +271,20 @@ def search(df: DataFrame, is_query: Column, key: str = "vec_id", vector: str = "
                 codes, who = [], []
                 for i in range(s, min(s + 32, len(ids))):
                     for t, leaf_ in sent.value.probe(v[i], enough):
-                        at = base[t] + leaf_
-                        own = np.arange(starts[at], starts[at + 1]) * groups + (int(ids[i]) * 0x9E3779B1 >> 7) % groups
+                        own = np.arange(starts[base[t] + leaf_], starts[base[t] + leaf_ + 1])
                         codes.append(own)
                         who.append(np.full(len(own), i))
                 code, i = np.concatenate(codes), np.concatenate(who)
-                yield pa.RecordBatch.from_arrays([pa.array((code * 0x9E3779B1 >> 5) % buckets), pa.array(code), pa.array(ids[i]), lists(v[i])], names=["bucket", "tile", "id", "v"])
-
-    def rank(left: pa.Table, right: pa.Table) -> pa.Table:
-        """The k nearest of each query in one bucket, over all its tiles."""
-        x, y = matrix(left.column("v"), size), matrix(right.column("v"), size)
-        members, asks = left.column("ids").combine_chunks(), np.asarray(right.column("id"))
-        lt, rt = np.asarray(left.column("tile")), np.asarray(right.column("tile"))
-        lo, ro = np.argsort(lt, kind="stable"), np.argsort(rt, kind="stable")
-        offsets, flat = np.asarray(members.offsets), np.asarray(members.values)
-        who, what, near = [], [], []
-        for code in np.intersect1d(lt, rt):
-            xs = lo[np.searchsorted(lt[lo], code) : np.searchsorted(lt[lo], code, "right")]
-            ys = ro[np.searchsorted(rt[ro], code) : np.searchsorted(rt[ro], code, "right")]
-            for s in range(0, len(ys), 256):
-                part = ys[s : s + 256]
-                score = y[part] @ x[xs].T
-                if len(xs) > k + 1:
-                    least = np.partition(score, len(xs) - k - 1, axis=1)[:, len(xs) - k - 1, None]
-                    a, b = np.nonzero(score >= least - 1e-9 * np.maximum(1, np.abs(least)))
-                else:
-                    a, b = np.nonzero(np.ones_like(score, dtype=bool))
-                who.append(part[a])
-                what.append(xs[b])
-        empty = pa.table({"query_id": pa.array([], pa.int64()), "found": pa.array([], pa.list_(pa.struct([("s", pa.float64()), ("id", pa.int64())])))})
-        if not who:
-            return empty
-        who, what = np.concatenate(who), np.concatenate(what)
-        near = np.concatenate([(y[who[s : s + 4096]] * x[what[s : s + 4096]]).sum(1) for s in range(0, len(who), 4096)])
-        each = offsets[what + 1] - offsets[what]
-        at = np.repeat(offsets[what], each) + np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each)
-        q, ids, score = np.repeat(asks[who], each), flat[at], np.repeat(near, each)
-        other = q != ids
-        q, ids, score = q[other], ids[other], score[other]
-        order = np.lexsort((ids, -score, q))
-        q, ids, score = q[order], ids[order], score[order]
-        fresh = np.ones(len(q), dtype=bool)
-        fresh[1:] = (q[1:] != q[:-1]) | (ids[1:] != ids[:-1])  # the same row may come from several trees
-        q, ids, score = q[fresh], ids[fresh], score[fresh]
-        heads = np.flatnonzero(np.append(True, q[1:] != q[:-1])) if len(q) else np.zeros(0, np.int64)
-        place_ = np.arange(len(q)) - np.repeat(heads, np.diff(np.append(heads, len(q))))
-        keep = place_ < k
-        q, ids, score = q[keep], ids[keep], score[keep]
-        if not len(q):
-            return empty
-        heads = np.flatnonzero(np.append(True, q[1:] != q[:-1]))
-        pairs = pa.StructArray.from_arrays([pa.array(-score), pa.array(ids)], names=["s", "id"])
-        return pa.table({"query_id": pa.array(q[heads]), "found": pa.ListArray.from_arrays(np.append(heads, len(q)).astype(np.int32), pairs)})
-
-    tiles = classes.mapInArrow(place, "bucket long, tile long, ids array<long>, v array<double>")
-    probes = rows.where("q").select("id", "v").mapInArrow(ask, "bucket long, tile long, id long, v array<double>")
-    found = tiles.groupBy("bucket").cogroup(probes.groupBy("bucket")).applyInArrow(rank, "query_id long, found array<struct<s:double,id:long>>")
-    best = found.groupBy("query_id").agg(F.slice(F.sort_array(F.array_distinct(F.flatten(F.collect_list("found")))), 1, k).alias("best"))
-    out = best.select("query_id", F.posexplode("best").alias("p", "x"))
+                yield rows_of(code, 1, pa.ListArray.from_arrays(np.arange(len(i) + 1, dtype=np.int32), pa.array(ids[i])), b.column("v").take(pa.array(i)))
+
+    form = f"tile long, kind int, ids array<long>, v array<{kind}>"
+    tiles = classes.select("ids", "v").mapInArrow(place, form)
+    asked = rows.where("q").select("id", "v")
+    firsts = space.keep(asked.groupBy("v").agg(F.min("id").alias("id")))
+    probes = firsts.mapInArrow(ask, form)
+    met = tiles.unionByName(probes).repartition("tile").sortWithinPartitions("tile", "kind")
+    found = met.mapInArrow(lambda batches: rank_tiles(batches, size, k + 1), "first long, found array<struct<s:double,id:long>>")
+    best = found.groupBy("first").agg(F.slice(F.sort_array(F.array_distinct(F.flatten(F.collect_list("found")))), 1, k + 1).alias("best"))
+    each = asked.join(firsts.withColumnRenamed("id", "first"), "v").select(F.col("id").alias("query_id"), "first").join(best, "first")
+    out = each.select("query_id", F.posexplode(F.slice(F.filter("best", lambda x: x["id"] != F.col("query_id")), 1, k)).alias("p", "x"))
     return out.select("query_id", (F.col("p") + 1).alias("rank"), F.col("x.id").alias("vec_id"), (-F.col("x.s")).alias("score"))
