@@ -109,12 +109,8 @@ def placed(spark: SparkSession, names: list[str | None], order: Iterator[tuple[i
             return spark.read.schema(piece.schema).parquet(folder)
 
 
-def schedule(docs: DataFrame, source: str = "source", key: str = "doc_id", weights: Mapping[str, float] | None = None, default: float = 1.0, temper: float = 0.5, block: int = BLOCK, seed: int = 7) -> DataFrame:
-    """All columns of docs plus `mix_slot` (long) and `mix_seq` (int): the mixed order is the order by these two.
-
-    weights: target weight by source; if none are given, a source's weight is its number of documents to the power `temper`.
-    Within a source the order is by a seeded hash of the key, then the key, then a hash of the whole row.
-    """
+def slotted(docs: DataFrame, source: str, key: str, weights: Mapping[str, float] | None, default: float, temper: float, block: int, seed: int) -> DataFrame:
+    """(row, slot, seq): all columns of docs as a struct, and the row's place."""
     spark = docs.sparkSession
     counts = sorted(docs.groupBy(F.col(source).cast("string").alias("s")).count().toArrow().to_pylist(), key=lambda r: (r["s"] is None, r["s"] or ""))
     total = sum(r["count"] for r in counts)
@@ -132,17 +128,27 @@ def schedule(docs: DataFrame, source: str = "source", key: str = "doc_id", weigh
     d = d.join(before, F.col("src").eqNullSafe(F.col("s")) & (F.col("bucket") == F.col("b")))
     d = d.select("row", "src", (F.col("i") + F.col("off")).alias("i")).withColumn("j", F.expr(f"i div {block}"))
     d = d.join(places, F.col("src").eqNullSafe(F.col("s")) & (F.col("j") == F.col("b")))
-    return d.select("row.*", F.col("slot").alias("mix_slot"), F.pmod("i", F.lit(block)).cast("int").alias("mix_seq"))
+    return d.select("row", "slot", F.pmod("i", F.lit(block)).cast("int").alias("seq"))
+
+
+def schedule(docs: DataFrame, source: str = "source", key: str = "doc_id", weights: Mapping[str, float] | None = None, default: float = 1.0, temper: float = 0.5, block: int = BLOCK, seed: int = 7) -> DataFrame:
+    """All columns of docs plus `mix_slot` (long) and `mix_seq` (int), which take the place of any so named: the mixed order is the order by these two.
+
+    weights: target weight by source; if none are given, a source's weight is its number of documents to the power `temper`.
+    Within a source the order is by a seeded hash of the key, then the key, then a hash of the whole row.
+    """
+    kept = [F.col(f"row.`{c}`") for c in docs.columns if c not in ("mix_slot", "mix_seq")]
+    return slotted(docs, source, key, weights, default, temper, block, seed).select(*kept, F.col("slot").alias("mix_slot"), F.col("seq").alias("mix_seq"))
 
 
-def in_order(scheduled: DataFrame) -> DataFrame:
+def in_order(scheduled: DataFrame, slot: str = "mix_slot", seq: str = "mix_seq") -> DataFrame:
     """Partitions and rows within them in the order of the schedule."""
-    return scheduled.repartitionByRange("mix_slot", "mix_seq").sortWithinPartitions("mix_slot", "mix_seq")
+    return scheduled.repartitionByRange(slot, seq).sortWithinPartitions(slot, seq)
 
 
-def mix(docs: DataFrame, **options) -> DataFrame:
+def mix(docs: DataFrame, source: str = "source", key: str = "doc_id", weights: Mapping[str, float] | None = None, default: float = 1.0, temper: float = 0.5, block: int = BLOCK, seed: int = 7) -> DataFrame:
     """The documents in mixed order, with the columns they came with: files and rows within them follow the schedule.
 
     A reader may take the files in any order; schedule() of the rows read gives the same slots again.
     """
-    return in_order(schedule(docs, **options)).select(*docs.columns)
+    return in_order(slotted(docs, source, key, weights, default, temper, block, seed), "slot", "seq").select("row.*")
