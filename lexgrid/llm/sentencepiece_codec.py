@@ -2,14 +2,17 @@
 
 A text is normalised by longest prefixes through the model's compiled character map, and every normalised byte keeps the
 place of its source bytes. The library's segmenter then splits the normalised text, and piece lengths laid end to end are
-projected through that alignment: each piece gets a span of the original UTF-8 bytes.
+projected through that alignment: each piece gets a span of the original UTF-8 bytes. The registered query takes its ids,
+digests and covered bytes from these ids and spans.
 
 The library normalises what it is given once more; on text that has been through the map already this changes nothing
 (the maps are idempotent), and `encode_one` falls back to the library's reading of the original where the pieces do not add
 up to our normalised text.
 
 Defined cases: a null or empty text has the end id only and decodes to an empty text. Whole texts are encoded, long or not.
-Repeated rows are encoded one by one. Python runs in Arrow batches; nothing is shuffled.
+Characters the model does not know get its unknown id. Repeated rows are encoded one by one, an empty table gives no rows. Extra
+columns pass through, but for those named as a result, which it replaces, and the text. Python runs in Arrow batches; nothing is
+shuffled.
 """
 
 from __future__ import annotations
@@ -26,8 +29,8 @@ from pyspark.sql import types as T
 
 SPACE = "▁".encode()
 CHUNKS = re.compile(" +[^ ]*").findall
-#: Chunks kept by a process; when full, the cache starts anew.
-CACHED = 500_000
+#: Bytes of chunks and their ids kept by a process; when full, the cache starts anew. Longer chunks than LONG are not kept.
+CACHED, ENTRY, LONG = 128 * 2**20, 250, 200
 
 
 def fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -140,64 +143,85 @@ class Codec:
         inner = any("▁" in self.model.id_to_piece(i).lstrip("▁") for i in range(n))
         plain = not self.normalise.map.units and not self.normalise.squeeze and self.normalise.prefix and self.normalise.escape
         self.by_chunks = plain and not inner
-        self.cache: dict[str, list[int]] = {}
+        self.cache: dict[str, tuple[bytes, str] | None] = {}
+        self.held = 0
         self.lengths, self.space = self.sizes.tolist(), self.model.piece_to_id("▁")
 
-    def encode_one(self, text: str) -> tuple[list[int], np.ndarray]:
+    def project(self, ids: np.ndarray, at: np.ndarray, lead: int) -> np.ndarray:
+        """The spans of pieces whose sizes add up to the normalised text, `lead` bytes of which are the dummy prefix."""
+        edges = at[np.maximum(np.append(0, np.cumsum(self.sizes[ids])) - lead, 0)]
+        return np.column_stack([edges[:-1], edges[1:]])
+
+    def encode_one(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         """Ids without the end id, and an array (ids, 2) of the byte spans in the original text."""
         source = text.encode()
         bare, at = self.normalise(source)
-        ids = self.model.encode(bare.decode(), num_threads=1)
+        ids = np.array(self.model.encode(bare.decode(), num_threads=1), dtype=np.int32)
         lead = len(SPACE if self.normalise.escape else b" ") if self.normalise.prefix and bare else 0
-        sizes = self.sizes[ids] if ids else np.zeros(0, np.int64)
-        if self.unknown in ids or int(sizes.sum()) != len(bare) + lead:  # an unknown piece's size is not that of its symbol
-            found = self.model.encode(text, out_type="immutable_proto", num_threads=1).pieces
-            ends = np.cumsum([0, *(len(t.encode()) for t in text)])
-            return [p.id for p in found], np.array([(ends[p.begin], ends[p.end]) for p in found], dtype=np.int64).reshape(-1, 2)
-        edges = np.maximum(np.append(0, np.cumsum(sizes)) - lead, 0)
-        places = at[edges]
-        return ids, np.column_stack([places[:-1], places[1:]])
-
-
-    def look_up(self, pieces: list[str]) -> list[list[int]]:
-        """The ids of each chunk, a run of spaces and what follows up to the next."""
+        if self.unknown in ids or int(self.sizes[ids].sum()) != len(bare) + lead:  # an unknown piece's size is not that of its symbol
+            found = self.model.encode(text, return_type="proto", num_threads=1).pieces
+            return np.array([p.id for p in found], dtype=np.int32), np.array([(p.begin, p.end) for p in found], dtype=np.int64).reshape(-1, 2)
+        return ids, self.project(ids, at, lead)
+
+    def look_up(self, pieces: list[str]) -> list[tuple[bytes, str] | None]:
+        """The ids of each chunk, a run of spaces and what follows up to the next: as 32-bit numbers, and in decimals.
+
+        None stands for a chunk whose pieces do not add up to it, as it holds characters that the model does not know.
+        """
         cache = self.cache
         new = list({p for p in pieces if p not in cache})
-        if new:
-            if len(cache) + len(new) > CACHED:
-                cache.clear()
-                new = list(set(pieces))
-            all_ids = self.model.encode([p[1:] for p in new], num_threads=1)  # the first space is what the dummy prefix stands for
-            for p, ids in zip(new, all_ids):
-                if p == " ":
-                    ids = [self.space]
-                if self.unknown in ids or sum(map(self.lengths.__getitem__, ids)) != len(p.encode()) + 2 * p.count(" "):
-                    raise ValueError(f"pieces don't add up to the normalised chunk {p!r}")
-                cache[p] = ids
-        return [cache[p] for p in pieces]
-
-    def chunks(self, text: str) -> list[str] | None:
-        return CHUNKS(" " + text) if self.by_chunks and text and "▁" not in text else None
-
-    def encode_arrays(self, text: str) -> tuple[list[int], np.ndarray]:
-        """Ids without the end id, and an array (ids, 2) of the byte spans in the original text."""
-        pieces = self.chunks(text)
-        if pieces is None:
-            return self.encode_one(text)
-        ids = [i for x in self.look_up(pieces) for i in x]
+        if not new:
+            return [cache[p] for p in pieces]
+        long = {}
+        all_ids = self.model.encode([p[1:] for p in new], num_threads=1)  # the first space is what the dummy prefix stands for
+        if self.held > CACHED:
+            new_set = set(new)
+            long = {p: cache[p] for p in set(pieces) - new_set}
+            cache.clear()
+            self.held = 0
+        for p, ids in zip(new, all_ids):
+            if p == " ":
+                ids = [self.space]
+            if self.unknown in ids or sum(map(self.lengths.__getitem__, ids)) != len(p.encode()) + 2 * p.count(" "):
+                found = None
+            else:
+                found = np.array(ids, dtype=np.int32).tobytes(), " ".join(map(str, ids))
+            if len(p) > LONG:
+                long[p] = found
+            else:
+                cache[p] = found
+                self.held += ENTRY + 3 * len(p)
+        return [long[p] if p in long else cache[p] for p in pieces]
+
+    def parts(self, text: str) -> list[tuple[bytes, str]] | None:
+        """The ids of the text chunk by chunk; None where it has to be encoded as a whole."""
+        if not self.by_chunks or not text or "▁" in text:
+            return None
+        found = self.look_up(CHUNKS(" " + text))
+        return None if None in found else found
+
+    def encode_with(self, text: str) -> tuple[np.ndarray, np.ndarray, str]:
+        """Ids without the end id, an array (ids, 2) of the byte spans in the original text, and the ids in decimals."""
+        parts = self.parts(text)
+        if parts is None:
+            ids, spans = self.encode_one(text)
+            return ids, spans, " ".join(map(str, ids.tolist()))
+        ids = np.frombuffer(b"".join([x for x, _ in parts]), dtype=np.int32)
         _, at = self.normalise(text.encode())
-        edges = at[np.maximum(np.append(0, np.cumsum(self.sizes[ids])) - len(SPACE), 0)]
-        return ids, np.column_stack([edges[:-1], edges[1:]])
+        return ids, self.project(ids, at, len(SPACE)), " ".join([x for _, x in parts])
+
+    def encode_arrays(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        return self.encode_with(text)[:2]
 
     def encode_text(self, text: str) -> tuple[list[int], list[tuple[int, int]]]:
         ids, spans = self.encode_arrays(text)
-        return ids, [tuple(x) for x in spans.tolist()]
+        return ids.tolist(), [tuple(x) for x in spans.tolist()]
 
     def digest(self, text: str, end: list[int]) -> tuple[int, int, str, str]:
         """Ids, bytes within the pieces' spans, and the two digests."""
-        ids, spans = self.encode_arrays(text)
-        ids = ids + end
-        return len(ids), int((spans[:, 1] - spans[:, 0]).sum()), sha(" ".join(map(str, ids))), sha(self.model.decode(ids))
+        ids, spans, told = self.encode_with(text)
+        told = " ".join(filter(None, [told, *map(str, end)]))
+        return len(ids) + len(end), int((spans[:, 1] - spans[:, 0]).sum()), sha(told), sha(self.model.decode(ids.tolist() + end))
 
 
 def sha(text: str) -> str:
