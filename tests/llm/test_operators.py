@@ -45,7 +45,7 @@ def brute_rules(text):
 def test_rules_against_brute_force(spark):
     df = odd_docs(spark)
     want = sorted(((r["doc_id"], *brute_rules(r["text"])) for r in df.collect()), key=repr)
-    got = quality_rules.judge(clashing(df).drop("rules")).select("doc_id", "rules.*")
+    got = quality_rules.judge(clashing(df)).select("doc_id", "rules.*")
     assert sorted(((r["doc_id"], r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"], r["base_failed"]) for r in got.collect()), key=repr) == want
 
 
@@ -55,9 +55,23 @@ def test_repeats_in_a_text_beyond_packing(spark):
     assert row["n_repeat_words"] == 8
 
 
+def test_repeats_whose_hashes_collide(spark, monkeypatch):
+    rng = random.Random(6)
+    df = spark.createDataFrame([(i, " ".join(rng.choice(["a", "b", "cc", "dd", "eee"]) for _ in range(rng.randint(0, 40)))) for i in range(60)], "doc_id long, text string")
+    monkeypatch.setattr(quality_rules.F, "xxhash64", lambda *cols: F.length(cols[0]).cast("long"))
+    got = {r["doc_id"]: r["n_repeat_words"] for r in quality_rules.judge(df).select("doc_id", "rules.n_repeat_words").collect()}
+    assert got == {r["doc_id"]: brute_rules(r["text"])[4] for r in df.collect()}
+
+
+def test_rules_leave_clashing_columns_and_empty_tables(spark):
+    df = spark.createDataFrame([(1, " ".join(f"w{i}" for i in range(60)) + ".", 7), (2, None, 8)], "doc_id long, text string, rules int")
+    assert [tuple(r) for r in quality_rules.clean(df).collect()] == [tuple(df.first())]
+    assert quality_rules.clean(df.limit(0)).columns == df.columns and quality_rules.judge(df.limit(0)).count() == 0
+
+
 def test_line_rules(spark):
     good = "A plain line of words that ends as it should."
-    lines = {good: False, "Home | About | News | Contact | Search": True, "BUY NOW WHILE STOCKS LAST": True, "wow!! such!! deal!!": True, "short item": True, "We use cookies to serve you better on this site.": True, "word### other*** more$$$": True}
+    lines = {good: False, "Home | About | News | Contact | Search": True, "BUY NOW WHILE STOCKS LAST": True, "wow!! such!! deal!!": True, "short item": True, "Home About Products Services Contact Careers Blog Login": True, "Startseite Über uns Produkte Kontakt Datenschutz": True, "eins / zwei / drei / vier / und so weiter": True, "Ein langer Satz mit Wörtern, der hier ohne Punkt zu Ende geht": False, "Alle Rechte vorbehalten. Wir verwenden Cookies auf dieser Seite.": True, "Nous utilisons des cookies pour améliorer ce site.": True, "Todos los derechos reservados por la casa editorial.": True, "We use cookies to serve you better on this site.": True, "word### other*** more$$$": True}
     df = spark.createDataFrame([(x,) for x in lines], "line string").withColumn("fails", quality_rules.line_fails(F.col("line")))
     assert {r["line"]: r["fails"] for r in df.collect()} == lines
 
@@ -177,6 +191,27 @@ def test_nearest_against_brute_force(spark):
     assert hit / (20 * len(got)) >= 0.9
 
 
+def test_nearest_of_grouped_vectors_opens_few_leaves(spark):
+    rng = np.random.default_rng(7)
+    centre = rng.normal(0, 1, (40, 16)) * 5
+    x = (centre[rng.integers(0, 40, 4000)] + rng.normal(0, 0.05, (4000, 16))).astype(np.float32)
+    x[100:1500] = x[100]  # a third of all rows are one vector
+    forest = nearest.grow(x.astype(float), float((x.astype(float) ** 2).sum(1).max()), 12, 64)
+    assert nearest.share_for(forest, x[1500:].astype(float), 20, 0.9) < 0.6
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    got = defaultdict(list)
+    for r in nearest.search(df, F.col("vec_id") % 100 == 0, leaf=64).orderBy("query_id", "rank").collect():
+        got[r["query_id"]].append(r["vec_id"])
+    assert set(got) == set(range(0, 4000, 100)) and all(len(v) == 20 == len(set(v)) and q not in v for q, v in got.items())
+    y = x.astype(float)
+    hit = 0
+    for q, v in got.items():
+        s = (y * y[q]).sum(1)
+        s[q] = -np.inf
+        hit += len(set(np.lexsort((np.arange(4000), -s))[:20].tolist()) & set(v))
+    assert hit >= 0.9 * 20 * len(got)
+
+
 def test_nearest_of_few_rows(spark):
     df = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.5, 0.5]), (2, [1.0, 0.0])], "vec_id long, embedding array<float>")
     assert [tuple(r) for r in nearest.search(df, F.col("vec_id") == 0).orderBy("rank").collect()] == [(0, 1, 2, 1.0), (0, 2, 1, 0.5)]
@@ -203,13 +238,39 @@ def test_classifier_ignores_held_out_labels(spark, sf):
 def test_classifier_on_odd_tables(spark, sf):
     docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
     model = quality_classifier.fit(docs, labels)
-    odd = clashing(odd_docs(spark)).drop("score")
+    odd = clashing(odd_docs(spark))
     got = quality_classifier.score(odd, model).collect()
-    assert len(got) == 13 and all(r["score"] is not None and r["predicted"] in (0, 1) for r in got)
+    assert len(got) == 13 and all(0 <= r["score"] <= 1 and r["predicted"] in (0, 1) and r["held_out"] is not None for r in got)
+    kept = quality_classifier.keep(odd, model)
+    assert kept.columns == odd.columns and kept.count() == sum(r["predicted"] for r in got) and {r["score"] for r in kept.collect()} == {1}
     empty = quality_classifier.fit(docs.limit(0), labels.limit(0))
     assert quality_classifier.score(odd, empty).where("score = 0.5").count() == 13
 
 
+def test_class_prior_from_positives_and_unlabelled_rows():
+    rng = np.random.default_rng(4)
+    k = len(quality_classifier.FEATURES)
+    for share in (0.2, 0.5, 0.85):
+        positive = rng.normal(1, 1, (3000, k))
+        far = rng.random(4000) > share
+        unlabelled = np.where(far[:, None], rng.normal(-1, 1, (4000, k)), rng.normal(1, 1, (4000, k)))
+        assert abs(quality_classifier.estimate_prior(positive, unlabelled) - (1 - far.mean())) < 0.08
+
+
+def test_fit_takes_a_bounded_number_of_rows(spark, monkeypatch):
+    rows = [(7, f"text number {i}") for i in range(500)] + [(i, "Some words that make a line.") for i in range(100, 160)] + [(None, "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1) for i in range(100, 130)] * 2 + [(None, 1), (100, None)], "doc_id long, quality int")
+    seen = []
+    plain = quality_classifier.fit_arrays
+    monkeypatch.setattr(quality_classifier, "fit_arrays", lambda p, u, prior: seen.append((len(p), len(u))) or plain(p, u, prior))
+    quality_classifier.fit(docs, labels, sample=20)
+    assert max(p for p, _ in seen) <= 20 and max(u for _, u in seen) <= 20
+    assert quality_classifier.fit(docs.where("doc_id < 130"), labels.where("doc_id > 99")).weight != (0.0,)
+    everything = docs.select("doc_id").distinct().withColumn("quality", F.lit(1))
+    assert set(quality_classifier.fit(docs, everything).weight) == {0.0}
+
+
 # HTML
 
 
@@ -266,6 +327,30 @@ def test_extraction_of_all_pages(spark, sf):
 # URL filters
 
 
+@pytest.mark.parametrize("text", ["<a " * 60_000, '<a x="' * 60_000, "<b>" * 20_000 + "x", "<b>" * 20_000 + "<hr>" * 20_000, "<div>" * 20_000 + "</b>" * 20_000, "<script>" + "</script " * 50_000, "<!" * 50_000, "<p><object><li>" + "<b>" * 20_000 + "<hr>" * 20_000])
+def test_broken_pages_take_linear_time(text):
+    import time
+
+    model = html_model()
+    began = time.perf_counter()
+    html_extract.extract([text], model)
+    assert time.perf_counter() - began < 20
+
+
+@functools.cache
+def html_model():
+    return html_extract.train()
+
+
+def test_inline_elements_stay_in_the_article():
+    page = (
+        "<html><body><nav><ul><li><a href='/'>Home</a></li><li><a href='/b'>News</a></li></ul></nav><article><h1>On mass</h1><p title=it's>The mass is <math>E=mc2</math> as known since long.</p>"
+        "<p>Press <button>Save</button> to keep <code>x &lt; 1</code> and go on with the work of the day, for 3 < 4.</p></article><form><input><p>Send it</p></form><footer>Copyright</footer></body></html>"
+    )
+    want = "On mass\nThe mass is E=mc2 as known since long.\nPress Save to keep x < 1 and go on with the work of the day, for 3 < 4."
+    assert html_extract.extract([page, "", page], html_model()) == [want, "", want]
+
+
 def test_url_rules(spark):
     urls = {
         "http://WWW.Example.com/en/1?x": ("www.example.com", "/en/1", "www.example.com/en/", "allow"), "https://m.example.com/en/x#t": ("m.example.com", "/en/x", "example.com/en/", "block"),
@@ -279,6 +364,25 @@ def test_url_rules(spark):
     assert url_filters.judge(df.limit(0)).count() == 0
 
 
+def test_wide_nodes_become_wildcards_at_any_depth(spark):
+    urls = [f"http://a.org/u{chr(97 + i)}x/post/{chr(97 + j)}y{chr(97 + i)}/z/deep/er/still" for i in range(26) for j in range(3)] + ["http://a.org/", "http://a.org/one"]
+    df = spark.createDataFrame([(u, "mine") for u in urls], "url string, url_filter string")
+    out = url_filters.judge(df)
+    assert out.columns == ["url", "url_filter"]
+    got = {r["url"]: r["url_filter"]["template"] for r in out.collect()}
+    assert {got[u] for u in urls[:78]} == {"/*/post/*/z/deep/er/still"} and got["http://a.org/"] == "/" and got["http://a.org/one"] == "/*"
+    assert [c for c in url_filters.judge(df, name="found").columns] == ["url", "url_filter", "found"]
+
+
+def test_similar_siblings_are_merged(spark):
+    """Of four branches two are blocked at the same rate, away from their host's; a thin branch goes with them."""
+    rules = (("block", "net", "/x/b"), ("allow", "net", "/x/a"), ("block", "net", "/y/b"), ("allow", "net", "/y/a"), ("allow", "net", "/z/a"), ("block", "net", "/t/b"))
+    rows = [("x/b", 30), ("x/a", 10), ("y/b", 29), ("y/a", 11), ("z/a", 60), ("t/b", 1)]
+    urls = [f"http://h.net/{p}c" for p, n in rows for _ in range(n)] + ["http://h.net/x/q", "http://h.net/z/q", "http://h.net/t/q"]
+    got = {r["url"]: r["url_filter"] for r in url_filters.judge(spark.createDataFrame([(u,) for u in urls], "url string"), rules=rules).collect()}
+    assert (got["http://h.net/x/q"]["verdict"], got["http://h.net/z/q"]["verdict"], got["http://h.net/t/q"]["verdict"]) == ("block", "allow", "block")
+
+
 def test_templates_learn_from_labelled_urls(spark):
     urls = [f"http://a.net/fr/{i}" for i in range(50)] + [f"http://b.org/fr/{i}" for i in range(5)] + [f"http://c.com/news/{i}" for i in range(50)] + [f"http://d.org/news/{w}" for w in ("x", "y")]
     got = {r["url"]: r["url_filter"] for r in url_filters.judge(spark.createDataFrame([(u,) for u in urls], "url string")).collect()}
@@ -334,6 +438,48 @@ def test_chunks_against_whole_texts():
         assert ids == c.model.encode(text) and spans == [tuple(x) for x in c.encode_one(text)[1].tolist()]
 
 
+@pytest.mark.parametrize("rule", ["nmt_nfkc", "nfkc_cf"])
+def test_spans_through_a_character_map(tmp_path, rule):
+    """The public model with another normaliser: ids and spans against the library's own offsets."""
+    import sentencepiece
+
+    def varint(n):
+        return bytes([n]) if n < 128 else bytes([n & 127 | 128]) + varint(n >> 7)
+
+    with open(sentencepiece_codec.tokenizer_path("piece_bpe_32k.model"), "rb") as f:
+        model = [(n, v) for n, v in sentencepiece_codec.fields(f.read()) if n != 3]
+    model += [(n, v) for n, v in sentencepiece_codec.fields(sentencepiece.SentencePieceNormalizer(rule_name=rule).serialized_model_proto()) if n == 3]
+    path = tmp_path / "own.model"
+    path.write_bytes(b"".join(varint(n << 3 | 2) + varint(len(v)) + v if isinstance(v, bytes) else varint(n << 3) + varint(v) for n, v in model))
+    c = sentencepiece_codec.Codec(str(path))
+    assert c.normalise.map.units and not c.by_chunks
+    rng, letters = random.Random(2), ["Ａ", "b", "ﬁ", "½", "é", "e\u0301", "①", "㍿", "ｶﾞ", "  ", " ", "\u200b", "\u00a0", "ℌ", "x", "ing ", "the", "中", "🙂", "\n"]
+    for _ in range(1000):
+        text = "".join(rng.choice(letters) for _ in range(rng.randint(0, 10)))
+        ids, spans = c.encode_text(text)
+        found = c.model.encode(text, return_type="proto").pieces
+        assert ids == [p.id for p in found] and spans == [(p.begin, p.end) for p in found]
+
+
+def test_unknown_pieces_do_not_stop_a_text(monkeypatch):
+    c = sentencepiece_codec.Codec(sentencepiece_codec.tokenizer_path("piece_bpe_32k.model"))
+    monkeypatch.setattr(c, "unknown", c.model.piece_to_id("▁the"))
+    text = "one of the words é"
+    ids, spans = c.encode_text(text)
+    assert ids == c.model.encode(text) and spans[-1][1] == len(text.encode())
+    assert c.digest(text, [2])[0] == len(ids) + 1
+
+
+def test_the_cache_is_bounded(monkeypatch):
+    monkeypatch.setattr(sentencepiece_codec, "CACHED", 3000)
+    c = sentencepiece_codec.Codec(sentencepiece_codec.tokenizer_path("piece_bpe_32k.model"))
+    rng = random.Random(1)
+    for _ in range(60):
+        text = " ".join("".join(rng.choice("abcdef") for _ in range(rng.choice((2, 3, 300)))) for _ in range(12))
+        assert c.encode_text(text)[0] == c.model.encode(text)
+        assert len(c.cache) < 40 and all(len(p) <= sentencepiece_codec.LONG for p in c.cache)
+
+
 @pytest.mark.parametrize("rule", ["nmt_nfkc", "nfkc_cf", "nmt_nfkc_cf"])
 def test_compiled_character_map_against_the_library(rule):
     import sentencepiece
@@ -407,7 +553,7 @@ def test_components_against_brute_force(spark, seed, long):
 
 
 def test_components_with_short_long_lists(spark, monkeypatch):
-    monkeypatch.setattr(jaccard_join, "LONG", 3)
+    monkeypatch.setattr(jaccard_join, "SHORT", 3)
     rows = near_copies(3)
     got = sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in jaccard_join.components(spark.createDataFrame(rows, "doc_id long, text string")).collect())
     assert got == brute_components(rows)
@@ -425,63 +571,55 @@ def test_join_on_odd_tables(spark):
 # LM scoring
 
 
-def test_lm_counts_against_brute_force(spark):
-    rows = [(i, t) for i, t in enumerate(["a b a b c", "b a B", "", None, "z z z q", "a b a b c"])]
-    df = clashing(spark.createDataFrame(rows, "doc_id long, text string"))
-    target = df.where("doc_id IN (0, 5)")
-    got = {r["doc_id"]: r for r in lm_scoring.score(df, target, size=5).collect()}
-    words = [(t or "").lower().split() for _, t in rows]
-    top = [w for w, _ in sorted(Counter(x for w in words for x in w).items(), key=lambda x: (-x[1], x[0]))[:3]]
-    ids = [[1, *[top.index(x) + 2 if x in top else 0 for x in w]] for w in words]
-
-    def loss(of):
-        n = Counter(p for k in of for p in zip(ids[k], ids[k][1:]))
-        single, total = Counter(), sum(n.values())
-        before = Counter()
+def lm_losses(texts, near):
+    """(target loss, background loss) of each text by models of all the other texts, counted one by one."""
+    entries = len({w for t in texts for w in t}) + 2
+    n_near, n_far = (sum(len(t) for t, x in zip(texts, near) if x == side) for side in (True, False))
+
+    def model(rest, scale):
+        n = Counter(p for t in rest for p in zip([None, *t], t))
+        single, before, total = Counter(), Counter(), sum(n.values())
         for (a, b), c in n.items():
             single[b] += c
             before[a] += c
-        p = lambda b: (single[b] + 1) / (total + 5)
-        return lambda a, b: -np.log((n[a, b] + lm_scoring.WEIGHT * p(b)) / (before[a] + lm_scoring.WEIGHT))
-
-    near, far = loss([0, 5]), loss(range(6))
-    for k, i in enumerate(ids):
-        pairs = list(zip(i, i[1:]))
-        assert got[k]["n_words"] == len(pairs)
-        if not pairs:
-            assert got[k]["lm_score"] is None
+        return lambda a, b: -np.log((scale * n[a, b] + lm_scoring.WEIGHT * (scale * single[b] + 1) / (scale * total + entries)) / (scale * before[a] + lm_scoring.WEIGHT))
+
+    out = []
+    for i, t in enumerate(texts):
+        models = [model([u for j, u in enumerate(texts) if j != i and near[j] == side], s) for side, s in ((True, 1.0), (False, n_near / n_far if n_far else 1.0))]
+        out.append([np.mean([m(a, b) for a, b in zip([None, *t], t)]) if t else None for m in models])
+    return out
+
+
+@pytest.mark.parametrize("target", ["doc_id IN (0, 5)", "doc_id < 0", "true"])
+def test_lm_counts_against_brute_force(spark, target):
+    rows = [(i, t) for i, t in enumerate(["a b a b c", "b a B", "", None, "z z z q", "a b a b c"])]
+    df = clashing(spark.createDataFrame(rows, "doc_id long, text string"))
+    got = {r["doc_id"]: r for r in lm_scoring.score(df, F.expr(target)).collect()}
+    near = [bool(r[0]) for r in df.orderBy("doc_id").select(F.expr(target)).collect()]
+    texts = [(t or "").lower().split() for _, t in rows]
+    for k, (t, want) in enumerate(zip(texts, lm_losses(texts, near))):
+        assert got[k]["n_words"] == len(t)
+        if t:
+            assert (got[k]["target_loss"], got[k]["background_loss"]) == pytest.approx(tuple(want), rel=1e-9)
         else:
-            assert got[k]["target_loss"] == pytest.approx(np.mean([near(a, b) for a, b in pairs]), rel=1e-5)
-            assert got[k]["background_loss"] == pytest.approx(np.mean([far(a, b) for a, b in pairs]), rel=1e-5)
-    assert lm_scoring.score(df.limit(0), target).count() == 0
+            assert got[k]["lm_score"] is None
+    assert lm_scoring.score(df.limit(0), F.lit(None)).count() == 0
 
 
 def test_lm_counts_all_words(spark, monkeypatch):
-    monkeypatch.setattr(lm_scoring, "BLOCK_WORDS", 3000)
-    monkeypatch.setattr(lm_scoring, "BUCKET_WORDS", 1000)
+    monkeypatch.setattr(lm_scoring, "BLOCK_WORDS", 2000)
+    monkeypatch.setattr(lm_scoring, "BUCKET_WORDS", 700)
     rng = random.Random(3)
-    rows = [(i, " ".join(f"w{min(int(rng.paretovariate(0.3)), 10**6 + rng.randrange(10**6))}" for _ in range(rng.randint(0, 120)))) for i in range(200)]
+    rows = [(i, " ".join(f"w{min(int(rng.paretovariate(0.3)), 10**6 + rng.randrange(10**6))}" for _ in range(rng.randint(0, 90)))) for i in range(90)]
     df = spark.createDataFrame([*rows, rows[3]], "doc_id long, text string").repartition(3)
     of = [t.split() for _, t in [*rows, rows[3]]]
-    entries = len({w for t in of for w in t}) + 2
-    assert entries > 2048
-
-    def loss(texts):
-        n = Counter(p for t in texts for p in zip([None, *t], t))
-        single, before, total = Counter(), Counter(), sum(n.values())
-        for (a, b), c in n.items():
-            single[b] += c
-            before[a] += c
-        return lambda a, b: -np.log((n[a, b] + lm_scoring.WEIGHT * (single[b] + 1) / (total + entries)) / (before[a] + lm_scoring.WEIGHT))
-
-    near, far = loss([t for i, t in enumerate(of) if i in range(0, 200, 3)] + [of[3]]), loss(of)
-    got = lm_scoring.score(df, df.where("doc_id % 3 = 0")).collect()
-    assert sorted(r["doc_id"] for r in got) == sorted([*range(200), 3])
+    want = lm_losses(of, [i % 3 == 0 for i, _ in [*rows, rows[3]]])
+    got = lm_scoring.score(df, F.col("doc_id") % 3 == 0).collect()
+    assert sorted(r["doc_id"] for r in got) == sorted([*range(90), 3])
     for r in got:
-        t = of[r["doc_id"]]
-        assert r["n_words"] == len(t)
-        if t:
-            a, b = (np.mean([f(x, y) for x, y in zip([None, *t], t)]) for f in (near, far))
+        if of[r["doc_id"]]:
+            a, b = want[r["doc_id"]]
             assert (r["target_loss"], r["background_loss"], r["lm_score"]) == pytest.approx((a, b, a - b), rel=1e-9, abs=1e-9)
         else:
             assert r["lm_score"] is None
@@ -490,19 +628,67 @@ def test_lm_counts_all_words(spark, monkeypatch):
 # License scans
 
 
+def license_runs(templates, ws):
+    """(last, template, length, places of the end in the template) of runs that the next word does not extend."""
+    out = []
+    for k, t in enumerate(templates):
+        has = lambda run: [j for j in range(len(run) - 1, len(t)) if t[j + 1 - len(run) : j + 1] == run]
+        best = [max(n for n in range(i + 2) if n == 0 or has(ws[i + 1 - n : i + 1])) for i in range(len(ws))]
+        out += [(i, k, n, has(ws[i + 1 - n : i + 1])) for i, n in enumerate(best) if n >= license_scan.MIN_RUN and (i + 1 == len(ws) or best[i + 1] != n + 1)]
+    return sorted(out)
+
+
+def license_spans(templates, ws):
+    out = []
+    for k in range(len(templates)):
+        chain = None
+        for end, n, ends in [(e, n, p) for e, x, n, p in license_runs(templates, ws) if x == k]:
+            later = [p for p in ends if chain and p > chain[2]]
+            if chain and later and end - n + 1 - chain[1] <= license_scan.MAX_GAP:
+                chain = [chain[0], end, later[0], chain[3] + min(n, later[0] - chain[2])]
+                out[-1] = (k, chain[0], chain[1], chain[3])
+            else:
+                chain = [end - n + 1, end, ends[0], n]
+                out.append((k, chain[0], chain[1], chain[3]))
+    return sorted(out)
+
+
 def test_matching_statistics_against_brute_force():
     rng = random.Random(5)
-    templates = [(str(k), " ".join(rng.choice("abc") for _ in range(rng.randint(3, 12)))) for k in range(6)]
+    templates = [(str(k), " ".join(rng.choice("abc") for _ in range(rng.randint(3, 12)))) for k in range(6)] + [("n", "a b c d"), ("o", "x a b c d y z")]
     machine = license_scan.Automaton(templates)
-    runs = {tuple(w[i:j]) for _, t in templates for w in [t.encode().split()] for i in range(len(w)) for j in range(i + 1, len(w) + 1)}
+    plain = [t.encode().split() for _, t in templates]
     for _ in range(200):
         ws = [rng.choice([b"a", b"b", b"c", b"d"]) for _ in range(rng.randint(0, 30))]
-        longest = [max((k for k in range(0, i + 2) if tuple(ws[i + 1 - k : i + 1]) in runs or k == 0)) for i in range(len(ws))]
-        want = [(i, longest[i]) for i in range(len(ws)) if longest[i] >= license_scan.MIN_RUN and (i + 1 == len(ws) or longest[i + 1] <= longest[i])]
-        got = [(i, n) for i, n, _ in machine.runs(ws)]
-        assert got == want
-        for i, n, state in machine.runs(ws):
-            assert all(tuple(machine.templates[k][1][place - n + 1 : place + 1]) == tuple(ws[i - n + 1 : i + 1]) for k, place in machine.ends[state].items())
+        assert sorted((i, k, n, machine.ends[s][k]) for i, k, n, s in machine.runs(ws)) == license_runs(plain, ws)
+        assert sorted(machine.spans(ws)) == license_spans(plain, ws)
+    assert {k for k, *_ in machine.spans(b"x a b c d y z".split())} >= {6, 7}
+
+
+def test_license_scan_against_brute_force(spark):
+    rng = random.Random(8)
+    pool = ["cc", "by", "general", "public", "license", "all", "rights", "reserved", "the", "mit", "under", "licensed", "4", "0", "Word", "\u00e9t\u00e9"]
+    templates = [t for t in license_scan.TEMPLATES if len(t[1]) < 120]
+    texts = []
+    for _ in range(60):
+        t = []
+        for _ in range(rng.randint(0, 12)):
+            t += [rng.choice(pool)] if rng.random() < 0.7 else license_scan.TEMPLATES[rng.randrange(len(license_scan.TEMPLATES))][1].split()[: rng.randint(3, 40)] + [rng.choice(pool)]
+        texts.append(rng.choice((" ", "\n", ", ")).join(t))
+    df = spark.createDataFrame(list(enumerate([*texts, "", None])), "doc_id long, text string")
+    got = {r["doc_id"]: r for r in license_scan.scan(df, templates=templates).collect()}
+    split = [license_scan.words(t) for _, t in templates]
+    for i, text in enumerate([*texts, "", None]):
+        ws = re.findall("[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+", "".join(c.lower() if c.isascii() else c for c in text or ""))
+        base = [(j, label) for phrase, label in license_scan.PHRASES for j in range(len(ws)) if " ".join(ws[j : j + len(phrase.split())]) == phrase]
+        spans = [(a, b, min(1.0, n / len(split[k])), n, templates[k][0]) for k, a, b, n in license_spans(split, [w.encode() for w in ws])]
+        good = [x for x in spans if x[2] >= license_scan.MIN_COVER]
+        good = [x for x in good if not any(y[0] <= x[0] and x[1] <= y[1] and y[2] > x[2] and y[3] >= x[3] for y in good)]
+        labels = {x for _, x in base}
+        starts = [j for j, _ in base]
+        want = (len(ws), len(base), min(starts, default=None), max(starts, default=None), ",".join(sorted(labels)), ",".join(sorted(labels | {x[4] for x in good})), max([1.0 if base else 0.0, *(x[2] for x in spans)]))
+        assert tuple(got[i][c] for c in ("n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")) == want
+    assert license_scan.scan(df.limit(0)).count() == 0
 
 
 def test_license_lines(spark):
@@ -539,6 +725,29 @@ def test_pipeline(spark, sf):
     assert {r["doc_id"] for r in out} == firsts and all(r["ids"][-1] == 2 for r in out)
 
 
+def test_stages_on_odd_tables(spark, sf, tmp_path):
+    """Null and empty texts, null ids, repeated rows, columns whose names operators use, and an empty table."""
+    import corpus_pipeline
+
+    good = spark.read.parquet(f"{sf}/labels.parquet").where("quality = 1").select("doc_id")
+    judged = quality_rules.judge(spark.read.parquet(f"{sf}/documents.parquet").join(good, "doc_id", "left_semi"))
+    long = judged.where("rules.kept").orderBy("doc_id").first()["text"]
+    odd = odd_docs(spark)
+    more = spark.createDataFrame([(90, long, "en", "s", 1), (91, long, "en", None, 1), (91, long, "en", None, 1)], odd.schema)
+    df = clashing(odd.unionByName(more)).withColumn("held_out", F.lit("x")).withColumn("mix_slot", F.lit("y"))
+    for k, rows in enumerate((df, df.limit(0))):
+        kept = rows
+        for i, (_, stage) in enumerate(corpus_pipeline.STAGES):
+            out = stage(spark, kept, sf)
+            if i < 4:
+                assert out.columns == df.columns
+                out.write.parquet(str(tmp_path / f"{k}{i}"))
+                kept = spark.read.schema(df.schema).parquet(str(tmp_path / f"{k}{i}"))
+                assert kept.where("score <> 1 OR held_out <> 'x' OR mix_slot <> 'y'").isEmpty()
+        got = out.collect()
+        assert (len(got) > 0) == (k == 0) and kept.where("doc_id IN (90, 91)").count() == (k == 0)
+
+
 def test_mixed_order_reaches_the_result(spark, tmp_path):
     import corpus_pipeline
 
@@ -554,7 +763,9 @@ def test_mixed_order_reaches_the_result(spark, tmp_path):
 @pytest.mark.parametrize(("seed", "limit"), [(5, 3), (6, 8)])
 def test_components_with_many_long_lists(spark, monkeypatch, seed, limit):
     """Texts mostly of shared passages: prefixes move, some beyond what was counted."""
-    monkeypatch.setattr(jaccard_join, "LONG", limit)
+    monkeypatch.setattr(jaccard_join, "SHORT", limit)
+    monkeypatch.setattr(jaccard_join, "COMMON", limit)
+    monkeypatch.setattr(jaccard_join, "SAMPLE", 40)
     rng = random.Random(seed)
     word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 9)))
     passages = [[word() for _ in range(rng.randint(8, 40))] for _ in range(6)]
