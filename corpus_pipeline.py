@@ -15,7 +15,7 @@ from lexgrid.llm.common import shared_folder
 def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier predicts to be good."""
     model = quality_classifier.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return quality_classifier.score(docs, model).where("predicted = 1").select(*docs.columns)
+    return quality_classifier.keep(docs, model)
 
 
 def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
