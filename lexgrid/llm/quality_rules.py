@@ -148,5 +148,6 @@ def judge(docs: DataFrame, text: str = "text", most_lost: float = 0.5, name: str
 
 def clean(docs: DataFrame, text: str = "text", most_lost: float = 0.5) -> DataFrame:
     """The documents that pass, with the columns they came with; the text is what is left of its lines."""
-    found = docs.select(F.struct("*").alias("row"), rules(text, most_lost).alias("rules")).where("rules.kept")
+    # A filter would be moved below the projection and the rules evaluated twice; a generator is evaluated once.
+    found = docs.select(F.struct("*").alias("row"), F.explode(F.filter(F.array(rules(text, most_lost)), lambda x: x["kept"])).alias("rules"))
     return found.select(*[(F.col("rules.cleaned") if c == text else F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
