@@ -40,7 +40,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lexgrid.llm.common import BROADCAST_ROWS, Workspace
+from lexgrid.llm.common import BROADCAST_ROWS, Workspace, lower_ascii, words
 
 #: A list is short up to SHORT sets. Rounds of central sets go on while the search would read over WORTH entries for each posted one.
 WORDS, PERCENT, SHORT, WORTH = 5, 80, 64, 8
@@ -242,16 +242,16 @@ def fits(n1: Column, p1: Column, n2: Column, p2: Column, percent: int) -> Column
 
 
 def merge_short(queries: DataFrame, percent: int) -> DataFrame:
-    """Candidates (a, b) of (a, n, r, long, lists): each of the lists is (pos, ids, places, roots), sorted by ids.
+    """Candidates (a, b) of (a, n, r, other, lists): each of the lists is (pos, ids, places, roots), sorted by ids.
 
     A heap merges the ids of all lists of a query. One that occurs k times, last at some places of both sets, can share k and
-    what follows these places; up to `long` further ones may lie in long lists before.
+    what follows these places; up to `other` further ones may lie before, in lists that are not merged here.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             left, right = [], []
-            for a, n, r, long, lists in zip(*(batch.column(k).to_pylist() for k in ("a", "n", "r", "long", "lists"))):
+            for a, n, r, others, lists in zip(*(batch.column(k).to_pylist() for k in ("a", "n", "r", "other", "lists"))):
                 streams = [zip(x["ids"], x["places"], x["roots"], repeat(x["pos"])) for x in lists]
                 for b, met in groupby(heapq.merge(*streams), key=lambda e: e[0]):
                     k, last_a, last_b, other, m = 0, -1, -1, r, 0
@@ -261,12 +261,12 @@ def merge_short(queries: DataFrame, percent: int) -> DataFrame:
                             k, last_a, last_b = k + 1, max(last_a, pos), max(last_b, at)
                     if k and other != r:
                         least = -(-(n + m) * percent // (100 + percent))
-                        if k + long + min(n - 1 - last_a, m - 1 - last_b) >= least:
+                        if k + others + min(n - 1 - last_a, m - 1 - last_b) >= least:
                             left.append(min(a, b))
                             right.append(max(a, b))
             yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], names=["a", "b"])
 
-    return queries.select("a", "n", "r", "long", "lists").mapInArrow(run, "a long, b long")
+    return queries.select("a", "n", "r", "other", "lists").mapInArrow(run, "a long, b long")
 
 
 def class_links(sets: DataFrame, space: Workspace, percent: int) -> DataFrame:
@@ -316,8 +316,10 @@ def class_links(sets: DataFrame, space: Workspace, percent: int) -> DataFrame:
     member = F.struct("c", F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(F.col("pos").cast("long")).alias("place"), "r")
     lists = live.where(short).groupBy("h").agg(F.sort_array(F.collect_list(member)).alias("e"))
     one = F.struct("pos", F.col("e.c").alias("ids"), F.col("e.place").alias("places"), F.col("e.r").alias("roots"))
-    n_long = minor.groupBy(F.col("c").alias("a")).agg(F.sum((~short).cast("int")).alias("long"))
-    queries = minor.where(short).join(lists, "h").groupBy(F.col("c").alias("a"), "n", "r").agg(F.collect_list(one).alias("lists")).join(n_long, "a")
+    # Lists that a query does not merge: long ones, and those in which it is of the main component and met by the others.
+    n_all = live.groupBy(F.col("c").alias("a")).agg(F.count("*").cast("int").alias("all"))
+    queries = minor.where(short).join(lists, "h").groupBy(F.col("c").alias("a"), "n", "r").agg(F.collect_list(one).alias("lists"))
+    queries = queries.join(n_all, "a").withColumn("other", F.col("all") - F.size("lists"))
     candidates = merge_short(queries, percent)
     # Long lists are not merged: entries that can still reach T in one are probed as they are.
     left, right = minor.where(~short), live.where(~short).select("h", *[F.col(x).alias(x + "2") for x in ("c", "n", "pos", "r")])
@@ -360,7 +362,15 @@ def components(docs: DataFrame, key: str = "doc_id", text: str = "text", percent
 
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = PERCENT, size: int = WORDS) -> DataFrame:
-    """The documents of which none with a smaller id is in their component, with the columns they came with."""
+    """The documents of which none with a smaller id is in their component, with the columns they came with; of rows that repeat an id and its words one stays."""
     found = components(docs, key, text, percent, size)
     gone = found.where(f"`{key}` <> component_id").select(key).distinct()
-    return either(docs, gone, key, "left_anti")
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    kept = either(docs, gone, key, "left_anti").select(*columns)
+    again = found.where("n_shingles > 0").groupBy(key, "class_id").count().where("count > 1").select(key).distinct()
+    if again.isEmpty():
+        return kept
+    told_words = F.array_join(words(lower_ascii(F.col(f"`{text}`"))), " ")
+    some = either(kept, again, key, "left_semi").select(F.struct(*columns).alias("row"), F.col(f"`{key}`").alias("k"), told_words.alias("w"))
+    once = some.where("w <> ''").dropDuplicates(["k", "w"]).unionByName(some.where("w = ''"))
+    return either(kept, again, key, "left_anti").select(*columns).unionByName(once.select("row.*"))

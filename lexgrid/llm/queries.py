@@ -176,10 +176,10 @@ WITH RECURSIVE d AS (
   SELECT doc_id, len(sh) AS n, unnest(sh) AS h FROM s
 ), links AS (
   SELECT a.doc_id AS i, b.doc_id AS j FROM x a JOIN x b ON a.h = b.h AND a.doc_id < b.doc_id GROUP BY 1, 2 HAVING 100 * count(*) >= 80 * (any_value(a.n) + any_value(b.n) - count(*))
-), both AS (
+), edge AS (
   SELECT i, j FROM links UNION ALL SELECT j, i FROM links UNION ALL SELECT doc_id, doc_id FROM s
 ), reach AS (
-  SELECT i, j FROM both UNION SELECT r.i, b.j FROM reach r JOIN both b ON r.j = b.i
+  SELECT i, j FROM edge UNION SELECT r.i, b.j FROM reach r JOIN edge b ON r.j = b.i
 ), comps AS (SELECT i, min(j) AS component_id FROM reach GROUP BY 1)
 SELECT s.doc_id, len(sh)::BIGINT AS n_shingles, CASE WHEN len(sh) = 0 THEN s.doc_id ELSE min(s.doc_id) OVER (PARTITION BY list_sort(sh)) END AS class_id, component_id
 FROM s JOIN comps ON comps.i = s.doc_id

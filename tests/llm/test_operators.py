@@ -565,7 +565,7 @@ def test_join_on_odd_tables(spark):
     assert len(got) == df.count()
     assert jaccard_join.components(df.limit(0)).count() == 0
     kept = jaccard_join.keep_one(df.where("doc_id IS NOT NULL"))
-    assert kept.columns == df.columns and kept.count() == 12
+    assert kept.columns == df.columns and kept.count() == 10
 
 
 # LM scoring
