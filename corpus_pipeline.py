@@ -2,6 +2,10 @@
 
 STAGES lists (name, function); a function takes (spark, docs, sf_dir) and returns a DataFrame, written as Parquet and read
 again as the next one's docs. All but the last return the columns they were given.
+
+Defined cases, in all stages: null and empty texts have no words, so the quality rules reject them; a null id is a row of its own;
+of equal rows one stays; an empty table gives an empty one; long texts are read whole; columns beyond those of documents pass
+through, whatever their names, but for those that the last stage's result takes the name of.
 """
 
 from __future__ import annotations
@@ -9,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from lexgrid.llm import jaccard_join, mixing, quality_classifier, quality_rules, sentencepiece_codec
-from lexgrid.llm.common import shared_folder
+from lexgrid.llm.common import Workspace
 
 
 def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,12 +52,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents; each stage's result is written to the shared folder."""
+    """All stages over the documents; each stage's result is written to the shared folder, and removed when the next one's is."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    root = shared_folder(spark)
-    for i, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if i < len(STAGES) - 1:
-            docs.write.parquet(f"{root}/{i}")
-            docs = spark.read.parquet(f"{root}/{i}")
-    return docs
+    space = Workspace(spark)
+    for i, (_, stage) in enumerate(STAGES[:-1]):
+        last, docs = docs, space.keep(stage(spark, docs, sf_dir))
+        if i:
+            space.drop(last)
+    return STAGES[-1][1](spark, docs, sf_dir)
