@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lexgrid.llm.common import shared_folder
+from lexgrid.llm.common import BROADCAST_ROWS, Workspace, shared_folder
 
 #: Slots that the driver holds at once.
 BLOCK, PIECE = 16, 2**20
@@ -118,17 +118,26 @@ def slotted(docs: DataFrame, source: str, key: str, weights: Mapping[str, float]
     places = placed(spark, [r["s"] for r in counts], plan([-(-r["count"] // block) for r in counts], target))
 
     buckets = max(1, -(-total // max(1024, math.isqrt(total))))
-    whole = F.xxhash64(*[F.col(f"`{c}`") for c, t in docs.dtypes if "map<" not in t])
-    d = docs.select(F.struct("*").alias("row"), F.col(source).cast("string").alias("src"), F.col(key).alias("key"), whole.alias("r"))
+    own = [F.col(f"`{c}`") for c, t in docs.dtypes if "map<" not in t]
+    rows = docs.select(F.struct("*").alias("row"), F.col(source).cast("string").alias("src"), F.col(key).alias("key"), F.xxhash64(*own).alias("r"), F.xxhash64(F.lit(seed), *own).alias("r2"))
+    # Places are found for the keys and hashes of rows; the rows themselves are met with them once.
+    d = rows.select("src", "key", "r", "r2")
     d = d.withColumn("h", F.xxhash64(F.lit(seed), "key")).withColumn("bucket", F.pmod(F.xxhash64(F.lit(seed + 1), "key", F.pmod("r", F.lit(64))), F.lit(buckets)))
     sizes = d.groupBy(F.col("src").alias("s"), F.col("bucket").alias("b")).agg(F.count("*").alias("size"))
     before = sizes.withColumn("off", F.sum("size").over(W.partitionBy("s").orderBy("b")) - F.col("size")).drop("size")
-    local = F.row_number().over(W.partitionBy("src", "bucket").orderBy("h", "key", "r"))
+    local = F.row_number().over(W.partitionBy("src", "bucket").orderBy("h", "key", "r", "r2"))
     d = d.withColumn("i", local - 1)
     d = d.join(before, F.col("src").eqNullSafe(F.col("s")) & (F.col("bucket") == F.col("b")))
-    d = d.select("row", "src", (F.col("i") + F.col("off")).alias("i")).withColumn("j", F.expr(f"i div {block}"))
+    d = d.select("key", "r", "r2", "src", (F.col("i") + F.col("off")).alias("i")).withColumn("j", F.expr(f"i div {block}"))
     d = d.join(places, F.col("src").eqNullSafe(F.col("s")) & (F.col("j") == F.col("b")))
-    return d.select("row", "slot", F.pmod("i", F.lit(block)).cast("int").alias("seq"))
+    found = Workspace(spark).keep(d.select(F.col("key").alias("k"), F.col("r").alias("q"), F.col("r2").alias("q2"), "slot", F.pmod("i", F.lit(block)).cast("int").alias("seq")))
+    same = F.col("key").eqNullSafe(F.col("k")) & (F.col("r") == F.col("q")) & (F.col("r2") == F.col("q2"))
+    small = lambda df: F.broadcast(df) if df.limit(BROADCAST_ROWS // 4 + 1).count() <= BROADCAST_ROWS // 4 else df  # noqa: E731  five columns
+    again = found.groupBy("k", "q", "q2").count().where("count > 1").select("k", "q", "q2")
+    if not again.isEmpty():  # equal rows: one of them takes all their places
+        again = small(again)
+        rows = rows.join(again, same, "left_anti").unionByName(rows.join(again, same, "left_semi").dropDuplicates(["key", "r", "r2"]))
+    return rows.join(small(found), same).select("row", "slot", "seq")
 
 
 def schedule(docs: DataFrame, source: str = "source", key: str = "doc_id", weights: Mapping[str, float] | None = None, default: float = 1.0, temper: float = 0.5, block: int = BLOCK, seed: int = 7) -> DataFrame:
