@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexgrid.llm import html_extract, jaccard_join, license_scan, lm_scoring, mixing, nearest, quality_classifier, quality_rules, sentencepiece_codec, url_filters
+from lexgrid.llm import html_extract, jaccard_join, license_scan, lm_scoring, mixing, nearest, quality_classifier, quality_rules, retention, sentencepiece_codec, url_filters
 from lexgrid.llm.common import flag_by_key, table
 
 
@@ -58,7 +58,16 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(docs).drop("license_spans")
 
 
-QUERIES = {"op1_mixing": op1_mixing, "op2_quality_rules": op2_quality_rules, "op3_nearest": op3_nearest, "op4_quality_classifier": op4_quality_classifier, "op5_html_extract": op5_html_extract, "op6_url_filters": op6_url_filters, "op7_sentencepiece": op7_sentencepiece, "op8_jaccard_join": op8_jaccard_join, "op9_lm_scoring": op9_lm_scoring, "op10_license_scan": op10_license_scan}
+def op13_retention(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Some clicks arrive up to 99 days later than they say; state 0 knows those before February 2024, state 1 all."""
+    clicks = table(spark, sf_dir, "clicks")
+    h = F.crc32(F.col("click_id").cast("string").cast("binary"))
+    late = F.when(F.pmod(h, F.lit(3)) == 0, F.pmod(h, F.lit(100))).otherwise(0)
+    arrives = F.col("arrived_at") + F.make_dt_interval(days=late.cast("int"))
+    return retention.retention(clicks.withColumn("arrives", arrives), table(spark, sf_dir, "clients"), ["2024-02-01 00:00:00", None], arrives="arrives")
+
+
+QUERIES = {"op1_mixing": op1_mixing, "op2_quality_rules": op2_quality_rules, "op3_nearest": op3_nearest, "op4_quality_classifier": op4_quality_classifier, "op5_html_extract": op5_html_extract, "op6_url_filters": op6_url_filters, "op7_sentencepiece": op7_sentencepiece, "op8_jaccard_join": op8_jaccard_join, "op9_lm_scoring": op9_lm_scoring, "op10_license_scan": op10_license_scan, "op13_retention": op13_retention}
 
 OP2_SQL = r"""
 WITH d AS (
@@ -185,4 +194,36 @@ SELECT s.doc_id, len(sh)::BIGINT AS n_shingles, CASE WHEN len(sh) = 0 THEN s.doc
 FROM s JOIN comps ON comps.i = s.doc_id
 """
 
-ORACLE_SQL = {"op2_quality_rules": OP2_SQL, "op6_url_filters": op6_sql(), "op8_jaccard_join": OP8_SQL}
+def sql_crc32(text: str) -> str:
+    """CRC-32 of an ASCII text, bit by bit."""
+    step = "list_reduce(list_prepend(xor(a, b), range(8)), lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)"
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split({text}, ''), lambda x: ascii(x)::BIGINT)), lambda a, b: {step}), 4294967295)"
+
+
+OP13_SQL = f"""
+WITH c AS (
+  SELECT DISTINCT * FROM clicks WHERE ts IS NOT NULL AND client_id IS NOT NULL
+), h AS (
+  SELECT click_id, {sql_crc32('click_id::VARCHAR')} AS h FROM (SELECT DISTINCT click_id FROM c)
+), e AS (
+  SELECT c.client_id, c.ts, c.kind, coalesce(floor(100 * c.value + 0.5::DOUBLE)::BIGINT, 0) AS cents,
+    CASE WHEN h.h % 3 = 0 THEN c.arrived_at + to_days((h.h % 100)::INTEGER) ELSE c.arrived_at END AS arrives
+  FROM c LEFT JOIN h ON c.click_id = h.click_id
+), k AS (
+  SELECT 0 AS state, * FROM e WHERE arrives < TIMESTAMP '2024-02-01 00:00:00' UNION ALL SELECT 1 AS state, * FROM e
+), s AS (
+  SELECT state, client_id, min(ts) AS start, floor((epoch_us(date_trunc('day', min(ts))) // 86400000000) / 7.0::DOUBLE)::BIGINT AS cohort FROM k WHERE kind = 'error' GROUP BY 1, 2
+), m AS (
+  SELECT client_id, min(cohort) <> max(cohort) AS moved FROM s GROUP BY 1
+), u AS (
+  SELECT k.state, coalesce(clients.source, '') AS segment, s.cohort, (epoch_us(k.ts) - epoch_us(s.start)) // 604800000000 AS period, k.client_id, m.moved, sum(k.cents) AS cents
+  FROM k JOIN s ON k.state = s.state AND k.client_id = s.client_id AND k.ts >= s.start JOIN m ON m.client_id = k.client_id LEFT JOIN clients ON clients.client_id = k.client_id
+  GROUP BY ALL
+), n AS (
+  SELECT client_id, {sql_crc32('client_id::VARCHAR')} AS crc FROM (SELECT DISTINCT client_id FROM s)
+)
+SELECT state, segment, cohort, period, count(*) AS users, sum(crc)::BIGINT AS users_crc32, sum(moved::BIGINT)::BIGINT AS moved, sum(cents)::BIGINT AS cents
+FROM u JOIN n ON u.client_id = n.client_id GROUP BY 1, 2, 3, 4
+"""
+
+ORACLE_SQL = {"op2_quality_rules": OP2_SQL, "op6_url_filters": op6_sql(), "op8_jaccard_join": OP8_SQL, "op13_retention": OP13_SQL}
