@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexgrid.llm import html_extract, jaccard_join, license_scan, lm_scoring, mixing, nearest, quality_classifier, quality_rules, retention, sentencepiece_codec, url_filters
-from lexgrid.llm.common import flag_by_key, table
+from lexgrid.llm import html_extract, jaccard_join, license_scan, lm_scoring, mixing, nearest, periodic_runs, quality_classifier, quality_rules, retention, sentencepiece_codec, url_filters
+from lexgrid.llm.common import flag_by_key, let, table, words
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,6 +58,27 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(docs).drop("license_spans")
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of one in ten texts, by the id's checksum h, the words from a place on are made to repeat those that stand there."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.crc32(F.col("doc_id").cast("string").cast("binary")).alias("h"))
+    g = F.call_function("div", F.col("h"), F.lit(10))
+
+    def repeated(w: Column) -> Column:
+        a = F.pmod(g, F.size(w))
+        p = F.call_function("div", F.size(w) - a, F.pmod(g, F.lit(8)) + 3) + 1
+        return let(F.struct(a.alias("a"), p.alias("p")), lambda s: F.array_join(F.transform(w, lambda x, i: F.when(i < s["a"], x).otherwise(F.get(w, (s["a"] + F.pmod(i - s["a"], s["p"])).cast("int")))), " "))
+
+    text = F.when(F.col("h") % 10 == 0, let(words(F.col("text")), lambda w: F.when(F.size(w) > 0, repeated(w)))).otherwise(F.col("text"))
+    found = periodic_runs.scan(docs.select("doc_id", text.alias("text")))
+    longest = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("n"), (-r["start"]).alias("s"), (-r["period"]).alias("p"))))
+    rendered = F.array_join(F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"].cast("string"), r["length"].cast("string"), r["period"].cast("string")), F.lit("\n"))), "")
+    found = found.withColumn("best", longest)
+    return found.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), (-F.col("best.s")).alias("start"), F.col("best.n").alias("length"), (-F.col("best.p")).alias("period"),
+        F.call_function("div", F.col("best.n") * 1000, -F.col("best.p")).alias("exponent_milli"), F.sha2(rendered, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"), "n_words",
+    )
+
+
 def op13_retention(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Some clicks arrive up to 99 days later than they say; state 0 knows those before February 2024, state 1 all."""
     clicks = table(spark, sf_dir, "clicks")
@@ -67,7 +88,7 @@ def op13_retention(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retention.retention(clicks.withColumn("arrives", arrives), table(spark, sf_dir, "clients"), ["2024-02-01 00:00:00", None], arrives="arrives")
 
 
-QUERIES = {"op1_mixing": op1_mixing, "op2_quality_rules": op2_quality_rules, "op3_nearest": op3_nearest, "op4_quality_classifier": op4_quality_classifier, "op5_html_extract": op5_html_extract, "op6_url_filters": op6_url_filters, "op7_sentencepiece": op7_sentencepiece, "op8_jaccard_join": op8_jaccard_join, "op9_lm_scoring": op9_lm_scoring, "op10_license_scan": op10_license_scan, "op13_retention": op13_retention}
+QUERIES = {"op1_mixing": op1_mixing, "op2_quality_rules": op2_quality_rules, "op3_nearest": op3_nearest, "op4_quality_classifier": op4_quality_classifier, "op5_html_extract": op5_html_extract, "op6_url_filters": op6_url_filters, "op7_sentencepiece": op7_sentencepiece, "op8_jaccard_join": op8_jaccard_join, "op9_lm_scoring": op9_lm_scoring, "op10_license_scan": op10_license_scan, "op11_periodic_runs": op11_periodic_runs, "op13_retention": op13_retention}
 
 OP2_SQL = r"""
 WITH d AS (
