@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexgrid.llm import html_extract, jaccard_join, license_scan, lm_scoring, mixing, nearest, periodic_runs, quality_classifier, quality_rules, retention, sentencepiece_codec, url_filters
+from lexgrid.llm import html_extract, jaccard_join, language_id, license_scan, lm_scoring, mixing, nearest, periodic_runs, quality_classifier, quality_rules, retention, sentencepiece_codec, url_filters
 from lexgrid.llm.common import flag_by_key, let, table, words
 
 
@@ -79,6 +79,11 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return language_id.predict(docs.select("doc_id", "text"), language_id.fit(docs.select("doc_id", "text", "lang")))
+
+
 def op13_retention(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Some clicks arrive up to 99 days later than they say; state 0 knows those before February 2024, state 1 all."""
     clicks = table(spark, sf_dir, "clicks")
@@ -88,7 +93,7 @@ def op13_retention(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retention.retention(clicks.withColumn("arrives", arrives), table(spark, sf_dir, "clients"), ["2024-02-01 00:00:00", None], arrives="arrives")
 
 
-QUERIES = {"op1_mixing": op1_mixing, "op2_quality_rules": op2_quality_rules, "op3_nearest": op3_nearest, "op4_quality_classifier": op4_quality_classifier, "op5_html_extract": op5_html_extract, "op6_url_filters": op6_url_filters, "op7_sentencepiece": op7_sentencepiece, "op8_jaccard_join": op8_jaccard_join, "op9_lm_scoring": op9_lm_scoring, "op10_license_scan": op10_license_scan, "op11_periodic_runs": op11_periodic_runs, "op13_retention": op13_retention}
+QUERIES = {"op1_mixing": op1_mixing, "op2_quality_rules": op2_quality_rules, "op3_nearest": op3_nearest, "op4_quality_classifier": op4_quality_classifier, "op5_html_extract": op5_html_extract, "op6_url_filters": op6_url_filters, "op7_sentencepiece": op7_sentencepiece, "op8_jaccard_join": op8_jaccard_join, "op9_lm_scoring": op9_lm_scoring, "op10_license_scan": op10_license_scan, "op11_periodic_runs": op11_periodic_runs, "op12_language_id": op12_language_id, "op13_retention": op13_retention}
 
 OP2_SQL = r"""
 WITH d AS (
