@@ -242,7 +242,7 @@ def describe(trees: list[list[Node]]) -> np.ndarray:
     up = np.maximum(size[parent], 1)
     return np.column_stack([
         np.eye(len(TAGS))[tag], good, bad, above, within, depth, size / whole, linked / np.maximum(size, 1), size / tags, size / up, siblings[parent],
-        tags, chrome, before / whole, linked[parent] / up, np.log1p(size), np.log1p(size[parent]),
+        tags, frame, chrome, before / whole, linked[parent] / up, np.log1p(size), np.log1p(size[parent]),
     ]).astype(np.float32)
 
 
@@ -401,6 +401,9 @@ def layout(rng: random.Random) -> tuple[str, set[int]]:
         attributes = marked(words) if not semantic or rng.random() < 0.5 else ""
 
         def inner() -> None:
+            if rng.random() < 0.25:  # a line of text and no element
+                parts.append(say(rng.randint(2, 30)))
+                return
             if rng.random() < 0.4:
                 tag("h3", say(2), False)
             for _ in range(rng.randint(1, 3)):
@@ -453,9 +456,22 @@ def layout(rng: random.Random) -> tuple[str, set[int]]:
         else:
             tag("div", say(rng.randint(5, 60)), True)
 
-    def body_text() -> None:
+    def brief() -> None:
+        """An article of less text than what stands around it."""
         if rng.random() < 0.8:
+            tag("h1", say(rng.randint(1, 6)), True)
+        for _ in range(rng.choice((0, 1, 1, 1, 2))):
+            tag("p", lambda: tag("b", say(rng.randint(1, 6)), True) if rng.random() < 0.2 else parts.append(say(rng.randint(1, 8))), True, "", rng.random() < 0.9)
+
+    def body_text() -> None:
+        if rng.random() < 0.3:
+            brief()
+            return
+        r = rng.random()
+        if r < 0.7:
             tag("h1", say(rng.randint(2, 12)), True)
+        elif r < 0.8:
+            tag("header", lambda: tag("h1", say(rng.randint(2, 12)), True), True)
         for _ in range(rng.choice((1, 2, 4, 8, 16))):
             paragraph()
             r = rng.random()

@@ -780,3 +780,29 @@ def test_components_with_many_long_lists(spark, monkeypatch, seed, limit):
     rows = list(enumerate(texts))
     got = sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in jaccard_join.components(spark.createDataFrame(rows, "doc_id long, text string")).collect())
     assert got == brute_components(rows)
+
+
+#: Pages written by hand, apart from the generator of training pages; what is to be kept stands between « and ».
+PAGES = (
+    '<body><header>The Daily Something, since 1871</header><article><h1>«Rain.»</h1><p>«It rained.»</p></article><footer>&copy; 2024 The Daily Something. All our texts may be read but not be sold by others, as they are ours alone and will stay so.</footer></body>',
+    '<body><nav><a href="/">Home</a> <a href="/b">Books</a></nav><main><h1>«Short»</h1><p>«No.»</p></main><footer><p>Write to us at the old mill, second floor, where the cat sleeps all day long and nobody answers.</p></footer></body>',
+    '<body><div class="topbar">Call us today</div><div id="content"><h2>«On bees»</h2><p>«Bees are insects, and they fly from one flower to the next, all summer.»</p><p>«They sleep in winter.»</p></div><div class="sidebar"><h3>More</h3><ul><li><a href="/1">Wasps</a><li><a href="/2">Ants and what they carry</a></ul></div><div id="footer">Imprint of the bee society and its many friends</div></body>',
+    '<body><div class="cookie-banner">We use cookies. <a href="#">Fine</a></div><article class="post"><h1>«A walk»</h1><p>«We went <em>out</em>.»</p></article><section class="comments"><h3>2 comments</h3><div class="comment"><p>What a lovely walk that must have been, I wish that I had come along with you.</p></div><div class="comment"><p>Me too.</p></div></section></body>',
+    '<body><article><h1>«One word»</h1></article><footer>Some words about who made this page, and when, and why it was made at all.</footer></body>',
+    '<body><aside><p>Our newsletter brings you a new text each week, free of charge and without adverts.</p></aside><article><p>«Yes.»</p></article><div class="ad">Buy two and pay for three of them, today only in our shop.</div></body>',
+)
+
+
+@pytest.mark.parametrize("page", PAGES)
+def test_extraction_of_pages_written_by_hand(page):
+    want = [" ".join(re.sub(r"<[^>]+>", "", x).split()) for x in re.findall("«(.*?)»", page)]
+    assert html_extract.extract([page.replace("«", "").replace("»", "")], trained()) == ["\n".join(want)]
+
+
+def test_extraction_on_odd_tables(spark):
+    page = "<body><nav><a>Home</a></nav><article><h1>Title here</h1><p>Some words of a text.</p></article></body>"
+    df = spark.createDataFrame([(1, "u", page), (1, "u", page), (2, None, None)], "page_id long, url string, html string").withColumns({"text": F.lit("old"), "n_chars": F.lit("old"), "tag": F.lit(1)})
+    got = html_extract.extract_text(df, model=trained())
+    assert got.columns == ["page_id", "url", "tag", "text", "n_chars"]
+    assert sorted((r["page_id"], r["text"], r["n_chars"]) for r in got.collect()) == [(1, "Title here\nSome words of a text.", 32)] * 2 + [(2, "", 0)]
+    assert html_extract.extract_text(df.limit(0), model=trained()).count() == 0
