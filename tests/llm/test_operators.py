@@ -161,11 +161,27 @@ def test_mixed_order_is_the_order_of_the_files(spark, tmp_path):
     df = spark.createDataFrame([(i, f"s{i % 5}", "t") for i in range(500)], "doc_id long, source string, text string")
     mixing.mix(df).write.parquet(str(tmp_path / "m"))
     want = [r["doc_id"] for r in mixing.schedule(df).orderBy("mix_slot", "mix_seq").collect()]
-    assert [r["doc_id"] for r in spark.read.parquet(str(tmp_path / "m")).collect()].sort() == want.sort()
+    files = sorted((tmp_path / "m").glob("part-*"))
+    assert [r["doc_id"] for f in files for r in spark.read.parquet(str(f)).collect()] == want != sorted(want)
     assert mixing.mix(df).columns == df.columns
     assert mixing.schedule(df.limit(0)).count() == 0
 
 
+def test_mixing_keeps_rows_that_differ_in_a_map(spark):
+    rows = [(1, "a", {"k": "x"}), (1, "a", {"k": "y"}), (2, "a", None), (2, "a", None), (2, "a", None)]
+    got = mixing.schedule(spark.createDataFrame(rows, "doc_id long, source string, m map<string,string>"), block=2).collect()
+    assert sorted((r["doc_id"], str(r["m"])) for r in got) == sorted((i, str(m)) for i, _, m in rows)
+    assert sorted((r["mix_slot"], r["mix_seq"]) for r in got) == [(0, 0), (0, 1), (1, 0), (1, 1), (2, 0)]
+
+
+def test_mixing_of_one_row_many_times(spark):
+    df = spark.createDataFrame([(7, "a")] * 1000 + [(i, "b") for i in range(500)], "doc_id long, source string")
+    got = mixing.schedule(df).collect()
+    assert Counter(r["doc_id"] for r in got) == Counter([7] * 1001 + [i for i in range(500) if i != 7])
+    assert len({(r["mix_slot"], r["mix_seq"]) for r in got}) == 1500
+    assert all(len({r["source"] for r in got if r["mix_slot"] == s}) == 1 for s in range(95))
+
+
 # Nearest neighbours
 
 
