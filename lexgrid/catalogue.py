@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from lexgrid.functions import stemming, weighting
 from lexgrid.functions.analysis import analyze
+from lexgrid.operators import blocks as bl
 from lexgrid.operators import index as ix
 from lexgrid.operators import search as se
 from lexgrid.operators import stats
@@ -71,6 +72,29 @@ def search_by(method: str, *, padded: bool = False, k: int = 10, **parameters: f
     return run
 
 
+def topk_by(method: str, *, k: int = 10, **parameters: float) -> Query:
+    """The k best from blocked postings, without scoring them all."""
+
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        queries = asked(spark, d)
+        index = bl.build_blocks(docs(spark, d), method, terms=terms_of(queries), **parameters)
+        return named(bl.search_blocks(index, queries, k, digits=6))
+
+    return run
+
+
+def index_blocked(spark: SparkSession, d: str) -> DataFrame:
+    """All postings, from blocks."""
+    return bl.postings(bl.build_blocks(docs(spark, d), "BM25_V1")).withColumn("weight", F.round("weight", 6))
+
+
+def topk_best(spark: SparkSession, d: str) -> DataFrame:
+    """Each language by its best method."""
+    queries = asked(spark, d)
+    index = bl.build_blocks(docs(spark, d), params=evaluate.best_params(spark), terms=terms_of(queries))
+    return named(bl.search_blocks(index, queries, 10, digits=6))
+
+
 def scan_documents(spark: SparkSession, d: str) -> DataFrame:
     return in_languages(read_table(spark, d, "documents"), "de", "en").select("doc_id", "lang", "source", "n_chars")
 
@@ -296,7 +320,11 @@ def queries() -> dict[str, Query]:
     found |= {f"tf_{n}": tf_of(n) for n in weighting.TF}
     found |= {f"index_{m.lower()}": index_by(m) for m in weighting.METHODS}
     found |= {f"search_{m.lower()}": search_by(m) for m in weighting.METHODS}
+    found |= {f"topk_{m.lower()}": topk_by(m) for m in weighting.METHODS}
     return found | {
+        "topk_ldp_negative": topk_by("TF_LDP", b=0.8, d=0.4),
+        "topk_best_by_lang": topk_best,
+        "index_blocked": index_blocked,
         "search_padded": search_by("BM25_V1", padded=True),
         "search_oov_query": search_oov,
         "search_ldp_negative": search_by("TF_LDP", padded=True, b=0.8, d=0.4),
@@ -335,7 +363,11 @@ def oracle_sql() -> dict[str, str]:
     found |= {f"tf_{n}": f"WITH {BASE} SELECT lang, doc_id, term, round({sql_tf(n)}, 6) AS tf FROM tf JOIN stats USING (lang)" for n in weighting.TF}
     found |= {f"index_{m.lower()}": f"{sql_post(sql_weight(m))} SELECT lang, term, doc_id, round(weight, 6) AS weight FROM post WHERE weight IS NOT NULL" for m in weighting.METHODS}
     found |= {f"search_{m.lower()}": sql_search(m) for m in weighting.METHODS}
+    found |= {f"topk_{m.lower()}": sql_search(m) for m in weighting.METHODS}
     return found | {
+        "topk_ldp_negative": sql_search("TF_LDP", b="0.8::DOUBLE", d="0.4::DOUBLE"),
+        "topk_best_by_lang": f"{SQL_BEST_TOP} {TOP}",
+        "index_blocked": found["index_bm25_v1"],
         "search_padded": sql_padded("BM25_V1"),
         "search_oov_query": f"WITH {BASE}, r AS (SELECT 0::BIGINT AS item_id, lang, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS rank, doc_id, 0.0::DOUBLE AS score FROM docs) SELECT * FROM r WHERE rank <= 10",
         "search_ldp_negative": sql_padded("TF_LDP", b="0.8::DOUBLE", d="0.4::DOUBLE"),
