@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -16,7 +17,8 @@ from lexgrid.operators import search as se
 from lexgrid.operators import stats
 from lexgrid.operators.workspace import shared_folder
 from lexgrid.plans import evaluate
-from lexgrid.sources.readers import in_languages, read_table
+from lexgrid.sources import records
+from lexgrid.sources.readers import CORPUS, in_languages, read_table
 from lexgrid.sources.stopwords import ENGLISH, stopword_table, stopwords
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -208,6 +210,39 @@ def index_round_trip(spark: SparkSession, d: str) -> DataFrame:
     return named(se.search(ix.load_index(spark, path, "BM25_V1"), asked(spark, d), 10, digits=6))
 
 
+def index_interrupted(spark: SparkSession, d: str) -> DataFrame:
+    """A later save of the same method, of other documents, fails between its tables; what is loaded is the earlier one."""
+    path, index = shared_folder(spark), ix.build_index(docs(spark, d), "BM25_V1")
+    ix.save_index(index, path)
+    half = ix.build_index(docs(spark, d).where("doc_id % 2 = 0"), "BM25_V1")
+    half.vocabulary = half.vocabulary.withColumn("n", F.col("n") + F.raise_error(F.lit("lost")).cast("bigint"))
+    try:
+        ix.save_index(half, path)
+    except PySparkException:
+        return named(se.search(ix.load_index(spark, path), asked(spark, d), 10, digits=6))
+    raise AssertionError("the save should have failed")
+
+
+def corpus_json(spark: SparkSession, d: str) -> DataFrame:
+    """The documents, written as JSON arrays and read in ranges of bytes."""
+    path = shared_folder(spark)
+    rows = read_table(spark, d, "documents").select((F.col("doc_id") % 64).alias("i"), F.struct(F.col("doc_id").cast("string").alias("docid"), "text", "lang").alias("r"))
+    spread = rows.groupBy("i", F.pmod(F.xxhash64("r.docid"), F.lit(1024)).alias("j")).agg(F.to_json(F.collect_list("r")).alias("value"))
+    spread.select("value").write.text(path)
+    return records.read_json_array(spark, path, CORPUS).select(F.col("docid").cast("bigint").alias("doc_id"), "lang", F.md5(F.col("text").cast("binary")).alias("text_md5"))
+
+
+def queries_csv(spark: SparkSession, d: str) -> DataFrame:
+    """The documents' texts as queries with line breaks, written as CSV and read in ranges of bytes; positions count from 0."""
+    path = shared_folder(spark)
+    rows = read_table(spark, d, "documents").select(F.translate("text", "\r", " ").alias("query"), "doc_id", "lang").where("query <> ''")
+    rows.write.csv(path, header=True, quote='"', escape='"', quoteAll=True)
+    got = records.read_csv_records(spark, path, "doc_id bigint, query string, lang string", into="place")
+    told = got.agg(F.count("*").alias("n"), F.countDistinct("place").alias("places"), F.max("place").alias("last"))
+    each = got.select("doc_id", "lang", F.md5(F.col("query").cast("binary")).alias("query_md5"))
+    return each.join(F.broadcast(told.select(((F.col("n") == F.col("places")) & (F.col("last") == F.col("n") - 1)).alias("numbered"))))  # one row
+
+
 def query_terms_filtered(spark: SparkSession, d: str) -> DataFrame:
     """Benchmark texts without English stopwords."""
     items = read_table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")
@@ -335,6 +370,9 @@ def queries() -> dict[str, Query]:
         "grid_search_full": grid_of(evaluate.grid_values()),
         "submission": submission,
         "index_round_trip": index_round_trip,
+        "index_interrupted": index_interrupted,
+        "corpus_json": corpus_json,
+        "queries_csv": queries_csv,
     }
 
 
@@ -378,4 +416,7 @@ def oracle_sql() -> dict[str, str]:
         "grid_search_full": sql_grid(evaluate.grid_values()),
         "submission": f"{SQL_BEST_TOP} SELECT item_id AS id, '[' || string_agg('''' || doc_id || '''', ', ' ORDER BY rank) || ']' AS docids FROM top WHERE lang = (['de', 'en', 'es', 'fr'])[item_id % 4 + 1] GROUP BY item_id",
         "index_round_trip": sql_search("BM25_V1"),
+        "index_interrupted": sql_search("BM25_V1"),
+        "corpus_json": "SELECT doc_id, lang, md5(text) AS text_md5 FROM documents",
+        "queries_csv": "SELECT doc_id, lang, md5(translate(text, chr(13), ' ')) AS query_md5, true AS numbered FROM documents WHERE text <> ''",
     }

@@ -84,7 +84,7 @@ def main(argv: list[str] | None = None) -> DataFrame:
         how["stems"] = sw.read_words(spark, a.stems, "lang string, word string, base string")
     corpus = readers.in_languages(readers.read_corpus_json(spark, a.corpus), *readers.LANGUAGES).select(F.col("docid").alias("doc_id"), "text", "lang")
     docs = analyze(corpus, **how)
-    queries = readers.numbered(readers.read_queries_csv(spark, a.queries, readers.TEST if a.command == "submit" else readers.DEV))
+    queries = readers.read_numbered_csv(spark, a.queries, readers.TEST if a.command == "submit" else readers.DEV)
     asked = analyze(queries.select("query_id", F.col("query").alias("text"), "lang"), **how)
     run = {"command": a.command, "method": a.method, "k1": a.k1, "b": a.b, "d": a.d, "top": a.top, "stemmer": a.stemmer, "stopwords": a.stopwords}
     if a.command == "grid":

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexgrid.functions import weighting
-from lexgrid.operators import stats
+from lexgrid.operators import snapshots, stats
 from lexgrid.operators.workspace import materialise
 
 
@@ -68,35 +68,55 @@ def build_index(docs: DataFrame, method: str = "BM25_V1", *, k1: float = 1.5, b:
     return Index(weighed.select("lang", "term", "doc_id", "weight"), docs.select("lang", "doc_id"), df, meta)
 
 
+TABLES = ("postings", "documents", "vocabulary", "meta")
+
+
 def save_index(index: Index, path: str) -> None:
     """Parquet by method and language, postings clustered by term so that a search prunes row groups.
 
-    What is saved replaces the same methods of the same languages, and the documents and vocabularies of these languages; all
-    else at the path stays.
+    What is saved is a snapshot of its own, postings with the documents and vocabulary that they were built from. It takes the
+    place of the same methods of the same languages when all is written; all else at the path stays, and so does everything if
+    the save fails. clean_index() removes what no longer counts.
     """
+    spark = index.meta.sparkSession
+    pairs = [part_of(r["lang"], r["method"]) for r in index.meta.select("lang", "method").distinct().collect()]  # a row a language
     by = index.meta.select("lang", "method")
     postings = index.postings.join(F.broadcast(by), "lang")  # a row a language
     clustered = postings.repartitionByRange("lang", "term").sortWithinPartitions("lang", "term", "doc_id")
 
-    def write(df: DataFrame, name: str, *keys: str) -> None:
-        df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*keys).parquet(f"{path}/{name}")
+    def write(snapshot: str) -> None:
+        for df, name, keys in ((clustered, "postings", ["method", "lang"]), (index.documents, "documents", ["lang"]), (index.vocabulary, "vocabulary", ["lang"]), (index.meta.coalesce(1), "meta", ["method", "lang"])):
+            df.write.partitionBy(*keys).parquet(snapshots.folder_of(path, name, snapshot))
+
+    snapshots.publish(spark, path, pairs, write)
+
+
+def part_of(lang: str, method: str) -> str:
+    return f"{method}/{lang}"
+
 
-    write(clustered, "postings", "method", "lang")
-    write(index.documents, "documents", "lang")
-    write(index.vocabulary, "vocabulary", "lang")
-    write(index.meta.coalesce(1), "meta", "method", "lang")
+def clean_index(spark: SparkSession, path: str) -> int:
+    """Remove snapshots that nothing at the path refers to; not while another save is under way."""
+    return snapshots.remove_unpublished(spark, path, TABLES)
 
 
 def load_index(spark: SparkSession, path: str, method: str | dict[str, str] | None = None, languages: Sequence[str] | None = None) -> Index:
     """An index of one method a language: of `method`, or the one given by language, or the only one saved; of some languages or all."""
-    read = lambda name: spark.read.parquet(f"{path}/{name}")  # noqa: E731  ids may be numbers or strings
-    meta = read("meta")
-    saved = [(r["lang"], r["method"]) for r in meta.select("lang", "method").distinct().collect()]  # a row a language and method
-    wanted = [(g, m) for g, m in saved if (languages is None or g in languages) and (method is None or m == (method.get(g) if isinstance(method, dict) else method))]
+    held = {tuple(reversed(part.split("/", 1))): snapshot for part, snapshot in snapshots.manifest(spark, path)[1].items()}  # (lang, method)
+    wanted = [(g, m) for g, m in held if (languages is None or g in languages) and (method is None or m == (method.get(g) if isinstance(method, dict) else method))]
     if len({g for g, _ in wanted}) < len(wanted):
         raise ValueError(f"several methods are saved for a language, name one: {sorted(wanted)}")
     if not wanted:
-        raise ValueError(f"no such index at {path}; saved are {sorted(saved)}")
-    pairs = reduce(or_, [(F.col("lang") == g) & (F.col("method") == m) for g, m in wanted])
-    of = F.col("lang").isin(*[g for g, _ in wanted])
-    return Index(read("postings").where(pairs).drop("method"), read("documents").where(of), read("vocabulary").where(of), meta.where(pairs))
+        raise ValueError(f"no such index at {path}; saved are {sorted(held)}")
+    by: dict[str, list[tuple[str, str]]] = {}
+    for pair in wanted:
+        by.setdefault(held[pair], []).append(pair)
+
+    def read(name: str, methods: bool) -> DataFrame:
+        found = []
+        for snapshot, pairs in by.items():
+            one = [(F.col("lang") == g) & (F.col("method") == m) if methods else F.col("lang") == g for g, m in pairs]
+            found.append(spark.read.parquet(snapshots.folder_of(path, name, snapshot)).where(reduce(or_, one)))  # ids may be numbers or strings
+        return reduce(DataFrame.unionByName, found)
+
+    return Index(read("postings", True).drop("method"), read("documents", False), read("vocabulary", False), read("meta", True))

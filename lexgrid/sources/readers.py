@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from lexgrid.sources import records
+
 CORPUS = "docid string, text string, lang string"
 DEV = "query string, positive_docs string, lang string"
 TEST = "query string, lang string"
@@ -14,8 +16,8 @@ LANGUAGES = ("ar", "de", "es", "it", "ko", "en", "fr")
 
 
 def read_corpus_json(spark: SparkSession, path: str) -> DataFrame:
-    """A file that is one JSON array of objects with docid, text and lang; other keys are not read."""
-    return spark.read.schema(CORPUS).json(path, multiLine=True)
+    """A file that is one JSON array of objects with docid, text and lang, read in ranges of bytes; other keys are not read."""
+    return records.read_json_array(spark, path, CORPUS)
 
 
 def read_queries_csv(spark: SparkSession, path: str, schema: str = DEV) -> DataFrame:
@@ -26,6 +28,11 @@ def read_queries_csv(spark: SparkSession, path: str, schema: str = DEV) -> DataF
     return raw.select(*[F.col(n).cast(kinds[n]).alias(n) for n in names])
 
 
+def read_numbered_csv(spark: SparkSession, path: str, schema: str = DEV) -> DataFrame:
+    """As read_queries_csv, with `query_id`, the positions of the rows from 0 (F-9); a large file is read and numbered in many ranges."""
+    return records.read_csv_records(spark, path, schema)
+
+
 def numbered(df: DataFrame, into: str = "query_id") -> DataFrame:
     """Rows as read with their positions from 0, file by file (F-9). One task numbers them: for queries, not for corpora."""
     placed = df.withColumns({"__file": F.input_file_name(), "__row": F.monotonically_increasing_id()})
