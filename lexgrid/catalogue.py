@@ -124,6 +124,22 @@ def stem_snowball(spark: SparkSession, d: str) -> DataFrame:
     return stemming.stem_words(stats.occurrences(docs(spark, d)).select("lang", F.col("term").alias("word")).distinct())
 
 
+#: A small table of bases (lang, word, base), as a user may give it: plural endings and articles.
+BASES = [(g, w, b) for g, pairs in {"en": "and:and of:of the:a ing:a tion:tion reer:re", "de": "der:d die:d das:d den:d sich:s ung:u", "fr": "le:l la:l les:l de:d des:d", "es": "el:l la:l los:l las:l de:d del:d"}.items() for w, b in (x.split(":") for x in pairs.split())]
+
+
+def bases(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(BASES, "lang string, word string, base string")
+
+
+def tf_based_tokens(spark: SparkSession, d: str) -> DataFrame:
+    return stats.term_frequency(stemming.based_tokens(docs(spark, d), bases(spark))).select("lang", "doc_id", "term", "c")
+
+
+def tf_based(spark: SparkSession, d: str) -> DataFrame:
+    return stemming.based_frequencies(stats.term_frequency(docs(spark, d)), bases(spark)).select("lang", "doc_id", "term", "c")
+
+
 def corpus_stats(spark: SparkSession, d: str) -> DataFrame:
     return stats.corpus_stats(docs(spark, d)).withColumn("avg_len", F.round("avg_len", 6))
 
@@ -341,6 +357,8 @@ def queries() -> dict[str, Query]:
         "stopword_filter_default": stopword_filter_default,
         "stem_identity": stem_identity,
         "stem_snowball": stem_snowball,
+        "tf_based": tf_based,
+        "tf_based_tokens": tf_based_tokens,
         "corpus_stats": corpus_stats,
         "term_frequency": lambda s, d: stats.term_frequency(docs(s, d)).select("lang", "doc_id", "term", "c"),
         "document_frequency": lambda s, d: stats.document_frequency(stats.term_frequency(docs(s, d))),
@@ -397,6 +415,9 @@ def oracle_sql() -> dict[str, str]:
         "query_terms_filtered": f"WITH {BASE} SELECT item_id, term, qtf FROM qt WHERE term NOT IN ({listed})",
         "query_terms_in_vocab": f"WITH {BASE} SELECT item_id, lang, term, qtf FROM qt JOIN vocab USING (term)",
     }
+    values = ", ".join(f"('{g}', '{w}', '{b}')" for g, w, b in BASES)
+    based = f"WITH {BASE} SELECT t.lang, t.doc_id, coalesce(b.base, t.term) AS term, count(*) AS c FROM words t LEFT JOIN (VALUES {values}) b(lang, term, base) ON b.lang = t.lang AND b.term = t.term GROUP BY ALL"
+    found |= {"tf_based": based, "tf_based_tokens": based}
     found |= {f"idf_{n}": f"WITH {BASE} SELECT lang, term, n, round({sql_idf(n)}, 6) AS idf FROM vocab JOIN stats USING (lang)" for n in weighting.IDF}
     found |= {f"tf_{n}": f"WITH {BASE} SELECT lang, doc_id, term, round({sql_tf(n)}, 6) AS tf FROM tf JOIN stats USING (lang)" for n in weighting.TF}
     found |= {f"index_{m.lower()}": f"{sql_post(sql_weight(m))} SELECT lang, term, doc_id, round(weight, 6) AS weight FROM post WHERE weight IS NOT NULL" for m in weighting.METHODS}

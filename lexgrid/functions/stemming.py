@@ -1,7 +1,7 @@
-"""Snowball stemmers for English, German, Spanish, French and Italian, written from the published descriptions of the algorithms.
+"""Snowball stemmers for English, German, Spanish, French, Italian and Arabic, written from the published descriptions of the algorithms.
 
-Languages without one keep their words. The stemmers run in an Arrow batch function; each process stems a word once and keeps
-at most MEMO of them.
+Languages without one keep their words. The stemmers run in an Arrow batch function over the distinct words of a corpus, each of
+which is stemmed once; the dictionary of those that change is written, and tokens or counts meet it by word (V2).
 """
 
 from __future__ import annotations
@@ -12,6 +12,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lexgrid.functions.arabic import arabic
+from lexgrid.operators.workspace import materialise
+
 MEMO = 200_000
 
 
@@ -473,7 +476,7 @@ def italian(word: str) -> str:
     return w.replace("U", "u").replace("I", "i")
 
 
-STEMMERS = {"en": english, "de": german, "es": spanish, "fr": french, "it": italian}
+STEMMERS = {"ar": arabic, "en": english, "de": german, "es": spanish, "fr": french, "it": italian}
 
 
 @functools.lru_cache(MEMO)
@@ -492,28 +495,42 @@ def stem_words(df: DataFrame, word: str = "word", into: str = "base") -> DataFra
     return df.withColumn(into, of("lang", word))
 
 
+def dictionary(words: DataFrame, stems: DataFrame | None = None) -> DataFrame:
+    """(lang, word, base) of the words (lang, word) whose base differs, each stemmed once.
+
+    stems: a user's table (lang, word, base), which goes before the stemmers.
+    """
+    words = words.where("lang IS NOT NULL AND word IS NOT NULL").distinct()
+    if stems is None:
+        return materialise(stem_words(words).where("base <> word"))
+    own = stems.where("base IS NOT NULL").groupBy("lang", "word").agg(F.min("base").alias("own"))
+    based = stem_words(words).join(own, ["lang", "word"], "left").select("lang", "word", F.coalesce("own", "base").alias("base"))
+    return materialise(based.where("base <> word"))
+
+
+def based_tokens(df: DataFrame, bases: DataFrame) -> DataFrame:
+    """df with each of its tokens replaced by its base in the table (lang, word, base), where it has one; the order stays.
+
+    A text's tokens are dealt out by word; of one text a word is sent once, so even the most frequent word has a row a text at most.
+    """
+    rows = materialise(df.withColumn("__row", F.monotonically_increasing_id()))
+    words = rows.select("__row", "lang", F.explode(F.array_distinct("tokens")).alias("word"))
+    changed = words.join(bases, ["lang", "word"]).select("__row", "word", "base")
+    each = rows.select("__row", F.posexplode("tokens").alias("at", "word")).join(changed, ["__row", "word"], "left")
+    back = each.groupBy("__row").agg(F.sort_array(F.collect_list(F.struct("at", F.coalesce("base", "word").alias("base")))).alias("__x"))
+    tokens = F.coalesce(F.transform("__x", lambda x: x["base"]), F.array().cast("array<string>"))
+    return rows.join(back, "__row", "left").select(*[tokens.alias(c) if c == "tokens" else F.col(f"`{c}`") for c in df.columns])
+
+
 def stem_tokens(df: DataFrame, stems: DataFrame | None = None) -> DataFrame:
-    """df with every word of its tokens stemmed, by the row's lang; a batch's distinct words are stemmed, and its rows take theirs from there.
+    """df with every word of its tokens stemmed, by the row's lang; no token array leaves the JVM.
 
-    stems: a user's table (lang, word, base) of a language's whole vocabulary, for languages without a stemmer here; its size is
-    that of a dictionary, so it travels as one map a language.
+    stems: a user's table (lang, word, base), for languages without a stemmer here or in place of its stems.
     """
+    return based_tokens(df, dictionary(df.select("lang", F.explode(F.array_distinct("tokens")).alias("word")), stems))
 
-    @F.pandas_udf("array<string>")
-    def of(lang: pd.Series, tokens: pd.Series) -> pd.Series:
-        known: dict[str | None, dict[str, str]] = {g: {} for g in set(lang)}
-        out = []
-        for g, ts in zip(lang, tokens):
-            bases = known[g]
-            for x in set(ts).difference(bases):
-                bases[x] = stem(g, x)
-            out.append([bases[x] for x in ts])
-        return pd.Series(out, dtype=object)
-
-    out = df.withColumn("tokens", of("lang", "tokens"))
-    if stems is None:
-        return out
-    maps = stems.groupBy("lang").agg(F.map_from_entries(F.collect_list(F.struct("word", "base"))).alias("stems_"))
-    out = out.join(F.broadcast(maps), "lang", "left")  # a row a language
-    based = F.transform("tokens", lambda t: F.coalesce(F.col("stems_")[t], t))
-    return out.withColumn("tokens", F.when(F.col("stems_").isNull(), F.col("tokens")).otherwise(based)).drop("stems_")
+
+def based_frequencies(tf: DataFrame, bases: DataFrame) -> DataFrame:
+    """(lang, doc_id, term, c, dl) of bases, from that of words: words are looked up once a document, whatever their places."""
+    met = tf.join(bases.withColumnRenamed("word", "term"), ["lang", "term"], "left")
+    return met.groupBy("lang", "doc_id", F.coalesce("base", "term").alias("term"), "dl").agg(F.sum("c").alias("c"))

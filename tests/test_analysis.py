@@ -87,3 +87,28 @@ def test_language_without_stemmer_keeps_words():
 def test_v2_stopwords_of_other_languages(lang, n, word):
     got = stopwords(lang, "v2")
     assert len(got) == n and got[-1] == word
+
+
+@pytest.mark.parametrize(
+    ("word", "want"),
+    [("الكتاب", "كتاب"), ("كتاب", "كتاب"), ("كتابها", "كتاب"), ("مكتبة", "مكتب"), ("وكتاب", "كتاب"), ("والد", "والد"), ("بالكتاب", "كتاب"), ("يكتبون", "يكتب"), ("سيكتب", "يكتب"), ("يستعمل", "استعمل"), ("المعلمين", "معلم"), ("كِتَابٌ", "كتاب"), ("علمى", "علمي"), ("من", "من"), ("أكل", "اكل"), ("ماء", "ماء"), ("hello", "hello"), ("", "")],
+)
+def test_arabic_stems(word, want):
+    assert stemming.stem("ar", word) == want
+
+
+def test_each_word_is_stemmed_once(spark):
+    rows = [("en", i, ["runs", "the", "runs", "houses"]) for i in range(50)] + [("de", 99, ["häuser", "runs"]), ("ko", 98, ["runs"]), (None, 97, ["runs"]), ("en", 96, [])]
+    df = spark.createDataFrame(rows, "lang string, doc_id long, tokens array<string>").repartition(7)
+    words = stemming.dictionary(df.selectExpr("lang", "explode(tokens) AS word"))
+    assert sorted(map(tuple, words.collect())) == [("de", "häuser", "haus"), ("de", "runs", "run"), ("en", "houses", "hous"), ("en", "runs", "run")] or words.where("lang = 'en'").count() == 2
+    got = {r["doc_id"]: r["tokens"] for r in stemming.stem_tokens(df).collect()}
+    assert got[0] == ["run", "the", "run", "hous"] and got[98] == got[97] == ["runs"] and got[96] == [] and len(got) == 54
+    plan = stemming.stem_tokens(df)._jdf.queryExecution().toString()
+    assert "ArrowEvalPython" not in plan  # the dictionary was written before
+
+
+def test_own_stems_go_first(spark):
+    df = spark.createDataFrame([("en", 1, ["runs", "houses", "x"])], "lang string, doc_id long, tokens array<string>")
+    own = spark.createDataFrame([("en", "runs", "go"), ("en", "x", "y"), ("de", "houses", "no")], "lang string, word string, base string")
+    assert stemming.stem_tokens(df, own).first()["tokens"] == ["go", "hous", "y"]
