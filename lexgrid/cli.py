@@ -86,7 +86,7 @@ def main(argv: list[str] | None = None) -> DataFrame:
     docs = analyze(corpus, **how)
     queries = readers.read_numbered_csv(spark, a.queries, readers.TEST if a.command == "submit" else readers.DEV)
     asked = analyze(queries.select("query_id", F.col("query").alias("text"), "lang"), **how)
-    run = {"command": a.command, "method": a.method, "k1": a.k1, "b": a.b, "d": a.d, "top": a.top, "stemmer": a.stemmer, "stopwords": a.stopwords}
+    run = {"command": a.command, "corpus": a.corpus, "queries": a.queries, "method": a.method, "k1": a.k1, "b": a.b, "d": a.d, "top": a.top, "stemmer": a.stemmer, "stopwords": a.stopwords}
     if a.command == "grid":
         truth = queries.select("query_id", "lang", F.col("positive_docs").alias("doc_id"))
         metrics = evaluate.grid_search(docs, asked, truth, a.method, evaluate.grid_values(), a.top)
@@ -95,6 +95,7 @@ def main(argv: list[str] | None = None) -> DataFrame:
         path = a.save or shared_folder(spark)
         with timed(times, "build_seconds"):
             index = ix.build_index(docs, a.method, k1=a.k1, b=a.b, d=a.d) if a.command == "search" else ix.build_index(docs, params=evaluate.best_params(spark))
+            index = ix.settle(index)  # weights and their order belong to the build; saving moves them
         with timed(times, "save_seconds"):
             ix.save_index(index, path)
         best = {g: m for g, m, *_ in evaluate.BEST}
@@ -112,7 +113,7 @@ def main(argv: list[str] | None = None) -> DataFrame:
     metrics = spark.createDataFrame(rows, metrics.schema)
     print(*(f"{k} {v:.2f}" for k, v in times.items()))
     if a.out:
-        evaluate.log_metrics(metrics, a.out, run | times)
+        evaluate.log_metrics(metrics, a.out, run, times)
     metrics.show(10_000, truncate=False)
     return metrics
 

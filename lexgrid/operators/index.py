@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import reduce
 from operator import or_
 
@@ -12,17 +12,21 @@ from pyspark.sql import functions as F
 
 from lexgrid.functions import weighting
 from lexgrid.operators import snapshots, stats
-from lexgrid.operators.workspace import materialise
+from lexgrid.operators.workspace import materialise, shared_folder
 
 
 @dataclass
 class Index:
-    """postings (lang, term, doc_id, weight); documents (lang, doc_id) with empty ones; vocabulary (lang, term, n); meta, a row a language."""
+    """postings (lang, term, doc_id, weight); documents (lang, doc_id) with empty ones; vocabulary (lang, term, n); meta, a row a language.
+
+    settled: where the postings are already written in the layout of a saved index, if they are.
+    """
 
     postings: DataFrame
     documents: DataFrame
     vocabulary: DataFrame
     meta: DataFrame
+    settled: str | None = None
 
 
 def counted(docs: DataFrame, terms: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -71,6 +75,20 @@ def build_index(docs: DataFrame, method: str = "BM25_V1", *, k1: float = 1.5, b:
 TABLES = ("postings", "documents", "vocabulary", "meta")
 
 
+def write_postings(index: Index, path: str) -> None:
+    """Postings by method and language, clustered by term."""
+    postings = index.postings.join(F.broadcast(index.meta.select("lang", "method")), "lang")  # a row a language
+    clustered = postings.repartitionByRange("lang", "term").sortWithinPartitions("lang", "term", "doc_id")
+    clustered.write.partitionBy("method", "lang").parquet(path)
+
+
+def settle(index: Index) -> Index:
+    """The index with its postings computed and written in the shared folder, so that saving it moves them, and a search reads them."""
+    spark, path = index.meta.sparkSession, shared_folder(index.meta.sparkSession)
+    write_postings(index, path)
+    return replace(index, postings=spark.read.parquet(path).select("lang", "term", "doc_id", "weight"), settled=path)
+
+
 def save_index(index: Index, path: str) -> None:
     """Parquet by method and language, postings clustered by term so that a search prunes row groups.
 
@@ -80,12 +98,14 @@ def save_index(index: Index, path: str) -> None:
     """
     spark = index.meta.sparkSession
     pairs = [part_of(r["lang"], r["method"]) for r in index.meta.select("lang", "method").distinct().collect()]  # a row a language
-    by = index.meta.select("lang", "method")
-    postings = index.postings.join(F.broadcast(by), "lang")  # a row a language
-    clustered = postings.repartitionByRange("lang", "term").sortWithinPartitions("lang", "term", "doc_id")
 
     def write(snapshot: str) -> None:
-        for df, name, keys in ((clustered, "postings", ["method", "lang"]), (index.documents, "documents", ["lang"]), (index.vocabulary, "vocabulary", ["lang"]), (index.meta.coalesce(1), "meta", ["method", "lang"])):
+        to = snapshots.folder_of(path, "postings", snapshot)
+        if not index.settled or not snapshots.moved(spark, index.settled, to):
+            write_postings(index, to)
+        elif index.settled:
+            index.postings, index.settled = spark.read.parquet(to).select("lang", "term", "doc_id", "weight"), None
+        for df, name, keys in ((index.documents, "documents", ["lang"]), (index.vocabulary, "vocabulary", ["lang"]), (index.meta.coalesce(1), "meta", ["method", "lang"])):
             df.write.partitionBy(*keys).parquet(snapshots.folder_of(path, name, snapshot))
 
     snapshots.publish(spark, path, pairs, write)

@@ -20,6 +20,16 @@ def files(spark: SparkSession, path: str):
     return make(path).getFileSystem(spark._jsc.hadoopConfiguration()), make
 
 
+def moved(spark: SparkSession, source: str, to: str) -> bool:
+    """Move a folder, if both places are of one file system."""
+    fs, make = files(spark, source)
+    other, _ = files(spark, to)
+    if fs.getUri().toString() != other.getUri().toString():
+        return False
+    fs.mkdirs(make(to).getParent())
+    return fs.rename(make(source), make(to))
+
+
 def manifest(spark: SparkSession, path: str) -> tuple[int, dict[str, str]]:
     """The highest number and its parts, {part: snapshot}; (0, {}) if nothing was saved."""
     fs, make = files(spark, path)

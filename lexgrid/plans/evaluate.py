@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
 from collections.abc import Iterable, Mapping
 
 from pyspark.sql import DataFrame, SparkSession
@@ -52,35 +54,31 @@ def recall_overall(results: DataFrame, truth: DataFrame) -> DataFrame:
 def grid_search(docs: DataFrame, queries: DataFrame, truth: DataFrame, method: str, grid: list[tuple[float, float, float]], k: int = 10, digits: int | None = None) -> DataFrame:
     """(k1, b, d, lang, recall) for every (k1, b, d) of the grid.
 
-    The corpus is analysed, counted and met with the queries once; only the weight's expression is evaluated for each point,
-    and points that differ in parameters the method ignores are evaluated once.
+    The corpus is analysed, counted and met with the queries once. A word of a query in a document is one row up to the sums, which
+    are as many columns as there are points, in one aggregation; points that differ in parameters the method ignores share one.
+    Only then is there a row a point, of which each task keeps the k best of a query.
     """
     spark = docs.sparkSession
     used = weighting.METHODS[method][2]
-    points = spark.createDataFrame([(float(a), float(b), float(d)) for a, b, d in grid], "k1 double, b double, d double")
-    effective = {(k1 if "k1" in used else None, b if "b" in used else None, d if "d" in used else None) for k1, b, d in grid}
-    run = spark.createDataFrame(sorted(effective, key=str), "e_k1 double, e_b double, e_d double").withColumn("run", F.hash("e_k1", "e_b", "e_d"))
+    effective = lambda point: tuple(v if name in used else None for name, v in zip(("k1", "b", "d"), point))
+    runs = sorted({effective(p) for p in grid}, key=str)
+    points = spark.createDataFrame([(float(k1), float(b), float(d), runs.index(effective((k1, b, d)))) for k1, b, d in grid], "k1 double, b double, d double, run int")
     terms = se.query_terms(queries)
     met = ix.statistics(docs, terms.select("term").distinct()).join(terms, ["lang", "term"] if "lang" in terms.columns else ["term"])
     of = {"c": F.col("c"), "length": F.col("dl"), "mean": F.col("avg_len"), "total": F.col("n_docs"), "n": F.col("n")}
-    w = weighting.weight(method, **of, k1=F.coalesce("e_k1", F.lit(1.5)), b=F.coalesce("e_b", F.lit(0.75)), d=F.coalesce("e_d", F.lit(1.0)))
-    each = met.crossJoin(F.broadcast(run)).groupBy("e_k1", "e_b", "e_d", "query_id", "lang", "doc_id").agg(F.sum(F.col("qtf") * w).alias("score"))  # a row a point
-    if digits is not None:
-        each = each.withColumn("score", F.round("score", digits))
-    order = se.W.partitionBy("e_k1", "e_b", "e_d", "query_id", "lang").orderBy(F.desc("score"), "doc_id")
-    top = each.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-    seen = top.select("e_k1", "e_b", "e_d", "query_id", "lang", "doc_id").withColumn("hit", F.lit(1.0))
-    asked = truth.crossJoin(F.broadcast(run.drop("run")))
-    same = [F.col(f"t.{x}").eqNullSafe(F.col(f"s.{x}")) for x in ("e_k1", "e_b", "e_d", "query_id", "lang", "doc_id")]
-    cond = same[0]
-    for x in same[1:]:
-        cond = cond & x
-    scored = asked.alias("t").join(seen.alias("s"), cond, "left").groupBy("t.e_k1", "t.e_b", "t.e_d", "t.lang").agg(F.avg(F.coalesce("s.hit", F.lit(0.0))).alias("recall"))
-    cond = F.lit(True)
-    for x in ("k1", "b", "d"):
-        if x in used:
-            cond = cond & (F.col(f"p.{x}") == F.col(f"r.e_{x}"))
-    return points.alias("p").join(scored.alias("r"), cond).select("p.k1", "p.b", "p.d", "r.lang", "r.recall")
+    default = weighting.DEFAULTS
+    gains = [F.col("qtf") * weighting.weight(method, **of, **{x: F.lit(float(default[x] if v is None else v)) for x, v in zip(("k1", "b", "d"), run)}) for run in runs]
+    keys = ["query_id", "lang", "doc_id"]
+    each = met.select(*keys, "qtf", "c", "dl", "avg_len", "n_docs", "n").repartition(*keys).groupBy(*keys).agg(*[F.sum(g).alias(f"s{i}") for i, g in enumerate(gains)])
+    score = [F.round(f"s{i}", digits) if digits is not None else F.col(f"s{i}") for i in range(len(runs))]
+    found = each.select(*keys, F.posexplode(F.array(*score)).alias("run", "score")).where("score IS NOT NULL")
+    order = se.W.partitionBy("run", "query_id", "lang").orderBy(F.desc("score"), "doc_id")
+    top = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    hit = truth.join(top.select(*keys, "run"), keys).groupBy("lang", "run").agg(F.count("*").alias("hits"))
+    asked = truth.groupBy("lang").agg(F.count("*").alias("asked"))
+    every = asked.withColumn("run", F.explode(F.sequence(F.lit(0), F.lit(len(runs) - 1))))
+    recall = every.join(hit, ["lang", "run"], "left").select("lang", "run", (F.coalesce("hits", F.lit(0)) / F.col("asked")).alias("recall"))
+    return points.join(recall, "run").select("k1", "b", "d", "lang", "recall")
 
 
 def submission(results: DataFrame) -> DataFrame:
@@ -95,7 +93,18 @@ def write_submission(results: DataFrame, path: str) -> None:
     submission(results).orderBy("id").coalesce(1).write.mode("overwrite").csv(path, header=True)
 
 
-def log_metrics(metrics: DataFrame, path: str, run: Mapping[str, object] | None = None) -> None:
-    """Append to a table of runs (K4), with the run's method, parameters and timings as columns; read it with mergeSchema."""
-    told = {k: F.lit(v) for k, v in (run or {}).items() if k not in metrics.columns}
-    metrics.withColumns(told | {"logged_at": F.current_timestamp()}).write.mode("append").parquet(path)
+def run_id(run: Mapping[str, object]) -> str:
+    """A name for a run that is the same whenever it is repeated: a digest of what it was told to do."""
+    return hashlib.sha256(json.dumps({k: str(v) for k, v in run.items()}, sort_keys=True).encode()).hexdigest()[:16]
+
+
+def log_metrics(metrics: DataFrame, path: str, run: Mapping[str, object] | None = None, timings: Mapping[str, float] | None = None) -> str:
+    """Write to a table of runs (K4), with the run's method, parameters and timings as columns, and return the run's id.
+
+    The id is a partition, so a run that is repeated or retried replaces its own rows. Read the table with mergeSchema.
+    """
+    name = run_id(run or {})
+    told = {k: F.lit(v) for k, v in {**(run or {}), **(timings or {})}.items() if k not in metrics.columns}
+    rows = metrics.withColumns(told | {"logged_at": F.current_timestamp(), "run_id": F.lit(name)})
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run_id").parquet(path)
+    return name
