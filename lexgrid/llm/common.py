@@ -40,6 +40,8 @@ def count_of(text: Column, characters: str) -> Column:
 
 #: A set of keys is broadcast up to so many rows (16 bytes each, some 50 MB as a hashed table); beyond, the join is shuffled.
 BROADCAST_ROWS = 1_000_000
+#: And so many bytes, where rows hold texts.
+BROADCAST_BYTES = 32_000_000
 
 
 def flag_by_key(df: DataFrame, keys: DataFrame, key: str, flag: str) -> DataFrame:

@@ -40,11 +40,11 @@ def op6_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return sentencepiece_codec.encode(docs, "piece_bpe_32k.model", digest=True)
+    return sentencepiece_codec.encode(docs, "piece_bpe_32k.model", digest=True).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "covered_bytes")
 
 
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_join.components(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return jaccard_join.components(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_shingles", "component_id", "class_id")
 
 
 def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:

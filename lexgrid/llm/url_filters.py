@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lexgrid.llm.common import BROADCAST_ROWS, Workspace, lower_ascii
+from lexgrid.llm.common import BROADCAST_BYTES, BROADCAST_ROWS, Workspace, lower_ascii
 
 #: (verdict, host, path)
 RULES = (("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/"))
@@ -54,8 +54,11 @@ def segments(path: Column) -> Column:
 
 
 def small(df: DataFrame) -> DataFrame:
-    """df, to be broadcast if a count finds it small."""
-    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+    """df, to be broadcast if its rows and the bytes of its texts are found to be few."""
+    texts = [F.array_join(f"`{c}`", "/") if t.startswith("array") else F.col(f"`{c}`") for c, t in df.dtypes if "string" in t]
+    size = sum((F.coalesce(F.octet_length(t), F.lit(0)).cast("long") for t in texts), F.lit(16))
+    rows, size = df.agg(F.count("*"), F.coalesce(F.sum(size), F.lit(0))).first()
+    return F.broadcast(df) if rows <= BROADCAST_ROWS and size <= BROADCAST_BYTES else df
 
 
 def path_to(k: Column) -> Column:
