@@ -18,6 +18,12 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(WORD), F.lit(0))
 
 
+def without(words: Iterable[str | None]) -> Column:
+    """The tokens that are not among the words: a hashed set, looked into once a token."""
+    quoted = ["'" + w.replace("\\", "\\\\").replace("'", "\\'") + "'" for w in sorted({w for w in words if w})]
+    return F.expr(f"filter(tokens, t -> t NOT IN ({', '.join(quoted)}))") if quoted else F.col("tokens")
+
+
 def analyze(df: DataFrame, text: str = "text", stopwords: Iterable[str] | DataFrame | None = None, stemmer: str = "identity", stems: DataFrame | None = None) -> DataFrame:
     """df without its text, with `tokens` instead. Stopwords are matched before stemming.
 
@@ -26,12 +32,13 @@ def analyze(df: DataFrame, text: str = "text", stopwords: Iterable[str] | DataFr
     """
     out = df.withColumn("tokens", tokens(F.col(text))).drop(text)
     if isinstance(stopwords, DataFrame):
-        out = out.join(F.broadcast(stopwords), "lang", "left")  # one row a language
-        out = out.withColumn("tokens", F.when(F.col("words").isNull(), F.col("tokens")).otherwise(F.filter("tokens", lambda t: ~F.array_contains("words", t)))).drop("words")
+        kept = F.col("tokens")
+        for r in stopwords.groupBy("lang").agg(F.flatten(F.collect_list("words")).alias("words")).collect():  # a row a language
+            if r["lang"] is not None:
+                kept = F.when(F.col("lang") == r["lang"], without(r["words"])).otherwise(kept)
+        out = out.withColumn("tokens", kept)
     elif stopwords is not None:
-        listed = [F.lit(w) for w in sorted(set(stopwords))]
-        if listed:
-            out = out.withColumn("tokens", F.filter("tokens", lambda t: ~t.isin(*listed)))
+        out = out.withColumn("tokens", without(stopwords))
     if stemmer == "snowball":
         out = stemming.stem_tokens(out, stems)
     elif stemmer != "identity":

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 # fmt: off
+#: Fixed values.
 V2 = {
     "de": [
         "aber", "alle", "allem", "allen", "aller", "alles", "als", "also", "am", "an", "ander", "andere", "anderem", "anderen",

@@ -112,3 +112,10 @@ def test_own_stems_go_first(spark):
     df = spark.createDataFrame([("en", 1, ["runs", "houses", "x"])], "lang string, doc_id long, tokens array<string>")
     own = spark.createDataFrame([("en", "runs", "go"), ("en", "x", "y"), ("de", "houses", "no")], "lang string, word string, base string")
     assert stemming.stem_tokens(df, own).first()["tokens"] == ["go", "hous", "y"]
+
+
+def test_stopwords_with_quotes_and_backslashes(spark):
+    assert words_of(spark, "l'eau it's a_b cc dd", stopwords=["it's", "c\\c", "eau", "a_b", "'", ""]) == ["it", "cc", "dd"]
+    table = spark.createDataFrame([("en", ["cc", None, "o'clock"]), ("en", ["dd"]), (None, ["it"])], "lang string, words array<string>")
+    df = spark.createDataFrame([("en", "it cc dd ee"), ("de", "it cc"), (None, "it cc")], "lang string, text string")
+    assert sorted(r["tokens"] for r in analyze(df, stopwords=table).collect()) == [["it", "cc"], ["it", "cc"], ["it", "ee"]]

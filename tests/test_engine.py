@@ -221,6 +221,7 @@ def test_vocabulary_of_string_ids(spark):
 
 
 QUERIES = ["tokenize", "stopword_filter", "stopword_filter_default", "query_terms_filtered", "vocab_string_ids", "grid_search_full", "corpus_stats", "vocab_first_appearance", "query_terms_in_vocab", "idf_dlite_cbrt", "tf_ldp", "index_tf_ldp", "search_bm25_v1", "search_padded", "search_ldp_negative", "search_best_by_lang", "recall_overall", "grid_search_bm25", "submission", "index_round_trip"]
+QUERIES += ["topk_bm25_v1", "topk_ldp_negative", "topk_best_by_lang", "index_blocked", "index_interrupted", "corpus_json", "queries_csv", "tf_based", "tf_based_tokens"]
 
 
 @pytest.mark.parametrize("name", QUERIES)
