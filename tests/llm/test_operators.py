@@ -2,8 +2,10 @@
 
 import functools
 import hashlib
+import math
 import random
 import re
+import zlib
 from collections import Counter, defaultdict
 from fractions import Fraction
 
@@ -822,3 +824,56 @@ def test_extraction_on_odd_tables(spark):
     assert got.columns == ["page_id", "url", "tag", "text", "n_chars"]
     assert sorted((r["page_id"], r["text"], r["n_chars"]) for r in got.collect()) == [(1, "Title here\nSome words of a text.", 32)] * 2 + [(2, "", 0)]
     assert html_extract.extract_text(df.limit(0), model=trained()).count() == 0
+
+
+def plain_features(text):
+    """The classifier's features, in plain Python."""
+    t = text or ""
+    size, w, lines = max(1, len(t)), WORD.findall(t), t.split("\n")
+    count = lambda chars: sum(c in chars for c in t)
+    n, m = max(1, len(w)), len(lines)
+    return [
+        count("#$%&<>^~_=+@\\[]{}") / size, count("*") / size, count("|") / size, count("!?") / size, sum("A" <= c <= "Z" for c in t) / size, sum("0" <= c <= "9" for c in t) / size, count(".") / size, count(",;:") / size,
+        n / size, sum(c <= "\x08" or "\x0e" <= c <= "\x1f" or c == "�" for c in t) / size, math.log1p(len(w)), sum(map(len, w)) / n, len(set(w)) / n, 1 - len(set(lines)) / m, math.log1p(size / m),
+    ]
+
+
+def test_classifier_query_against_plain_python(spark, sf):
+    """Scores of the whole query from plain features, the fitted numbers and the logistic function."""
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text"), spark.read.parquet(f"{sf}/labels.parquet")
+    m = quality_classifier.fit(docs, labels)
+    odd = odd_docs(spark).select("doc_id", "text").withColumn("doc_id", F.col("doc_id") + 1_000_000)
+    got = {r["doc_id"]: r for r in queries.QUERIES["op4_quality_classifier"](spark, sf).collect()}
+    got |= {r["doc_id"]: r for r in quality_classifier.score(odd, m).collect() if r["doc_id"]}
+    k = len(quality_classifier.FEATURES)
+    rows = docs.unionAll(odd).where("doc_id IS NOT NULL").collect()
+    assert len(rows) > 200
+    for r in rows:
+        x = plain_features(r["text"])
+        z = m.bias + sum(w / s * (v - mean) for w, s, v, mean in zip(m.weight, m.scale, x + [math.sqrt(abs(v)) for v in x], m.mean))
+        want = 1 / (1 + math.exp(-max(-50.0, min(50.0, z))))
+        assert len(x) == k and got[r["doc_id"]]["score"] == pytest.approx(want, abs=1e-9)
+        assert got[r["doc_id"]]["predicted"] == int(got[r["doc_id"]]["score"] >= 0.3)
+        assert got[r["doc_id"]]["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0)
+
+
+def test_the_risk_is_that_of_the_definition():
+    """One step from zero goes against the gradient of the non-negative risk, taken by differences."""
+    rng = np.random.default_rng(2)
+    k = len(quality_classifier.FEATURES)
+    p, u, prior = rng.normal(1, 1, (40, k)), rng.normal(0, 1, (60, k)), 0.4
+    ep, eu = quality_classifier.expand(p), quality_classifier.expand(u)
+    both = np.vstack([ep, eu])
+    sp, su = (ep - both.mean(0)) / both.std(0), (eu - both.mean(0)) / both.std(0)
+
+    def risk(w, b):
+        loss = lambda z, y: np.log1p(np.exp(-z if y else z))
+        positive, negative = prior * loss(sp @ w + b, 1).mean(), loss(su @ w + b, 0).mean() - prior * loss(sp @ w + b, 0).mean()
+        return positive + max(0.0, negative)
+
+    model = quality_classifier.fit_arrays(p, u, prior)
+    w, b = np.array(model.weight), model.bias
+    assert risk(w, b) < risk(np.zeros(len(w)), 0.0)
+    for i in range(0, len(w), 5):  # near a minimum of the risk with its slight decay
+        step = np.eye(len(w))[i] * 0.5
+        assert risk(w, b) < max(risk(w + step, b), risk(w - step, b))
