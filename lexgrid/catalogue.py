@@ -86,8 +86,10 @@ def topk_by(method: str, *, k: int = 10, **parameters: float) -> Query:
 
 
 def index_blocked(spark: SparkSession, d: str) -> DataFrame:
-    """All postings, from blocks."""
-    return bl.postings(bl.build_blocks(docs(spark, d), "BM25_V1")).withColumn("weight", F.round("weight", 6))
+    """All postings, from blocks that were saved and loaded."""
+    path = shared_folder(spark)
+    bl.save_blocks(bl.build_blocks(docs(spark, d), "BM25_V1"), path)
+    return bl.postings(bl.load_blocks(spark, path)).withColumn("weight", F.round("weight", 6))
 
 
 def topk_best(spark: SparkSession, d: str) -> DataFrame:

@@ -16,7 +16,9 @@ that remain are looked up in the rows of the terms left out. The result is the s
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -24,6 +26,7 @@ from pyspark.sql import functions as F
 
 from lexgrid.functions import weighting
 from lexgrid.operators import index as ix
+from lexgrid.operators import snapshots
 from lexgrid.operators.numbering import numbered_by
 from lexgrid.operators.search import query_terms, rank
 from lexgrid.operators.workspace import materialise
@@ -94,10 +97,44 @@ def clustered(blocks: DataFrame) -> DataFrame:
     return blocks.repartitionByRange("lang", "term", "block").sortWithinPartitions("lang", "term", "block")
 
 
+#: Packs sorted numbers by their differences and terms by their common beginnings.
+PACKED = {"parquet.writer.version": "v2", "compression": "zstd"} | {f"parquet.enable.dictionary#{c}.list.element": "false" for c in ("docs", "lengths")}
+TABLES = ("blocks", "vocabulary", "zones", "documents", "meta")
+#: Of tables that may have no row, and so no file.
+SCHEMAS = {
+    "blocks": "term string, block long, shift int, n long, docs array<int>, counts array<int>, lengths array<int>, top float, lang string",
+    "vocabulary": "term string, n long, shift int, top double, low double, lang string",
+    "zones": "term string, zone long, top double, lang string",
+}
+
+
 def write_blocks(blocks: DataFrame, path: str) -> None:
-    """Parquet that packs sorted numbers by their differences and terms by their common beginnings."""
-    packed = {f"parquet.enable.dictionary#{c}.list.element": "false" for c in ("docs", "lengths")}
-    clustered(blocks).write.options(**{"parquet.writer.version": "v2", "compression": "zstd"} | packed).partitionBy("lang").parquet(path)
+    clustered(blocks).write.options(**PACKED).partitionBy("lang").parquet(path)
+
+
+def save_blocks(index: BlockIndex, path: str) -> None:
+    """A snapshot at a path of its own, published when all is written, as of index.save_index."""
+    spark = index.meta.sparkSession
+    parts = [ix.part_of(r["lang"], r["method"]) for r in index.meta.select("lang", "method").distinct().collect()]  # a row a language
+
+    def write(snapshot: str) -> None:
+        write_blocks(index.blocks, snapshots.folder_of(path, "blocks", snapshot))
+        for name in TABLES[1:]:
+            getattr(index, name).write.partitionBy("lang").parquet(snapshots.folder_of(path, name, snapshot))
+
+    snapshots.publish(spark, path, parts, write)
+
+
+def load_blocks(spark: SparkSession, path: str, method: str | dict[str, str] | None = None, languages: Sequence[str] | None = None) -> BlockIndex:
+    """As index.load_index; each language's blocks come with the documents and bounds that they were saved with."""
+    by = ix.chosen(spark, path, method, languages)
+
+    def read(name: str) -> DataFrame:
+        reader = spark.read.schema(SCHEMAS[name]) if name in SCHEMAS else spark.read
+        found = [reader.parquet(snapshots.folder_of(path, name, s)).where(F.col("lang").isin(*[g for g, _ in pairs])) for s, pairs in by.items()]
+        return reduce(DataFrame.unionByName, found)
+
+    return BlockIndex(*[read(name) for name in TABLES])
 
 
 def weight_of(meta: DataFrame) -> Column:

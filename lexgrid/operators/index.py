@@ -120,8 +120,8 @@ def clean_index(spark: SparkSession, path: str) -> int:
     return snapshots.remove_unpublished(spark, path, TABLES)
 
 
-def load_index(spark: SparkSession, path: str, method: str | dict[str, str] | None = None, languages: Sequence[str] | None = None) -> Index:
-    """An index of one method a language: of `method`, or the one given by language, or the only one saved; of some languages or all."""
+def chosen(spark: SparkSession, path: str, method: str | dict[str, str] | None, languages: Sequence[str] | None) -> dict[str, list[tuple[str, str]]]:
+    """The snapshots to be read, each with its (lang, method): of one method a language."""
     held = {tuple(reversed(part.split("/", 1))): snapshot for part, snapshot in snapshots.manifest(spark, path)[1].items()}  # (lang, method)
     wanted = [(g, m) for g, m in held if (languages is None or g in languages) and (method is None or m == (method.get(g) if isinstance(method, dict) else method))]
     if len({g for g, _ in wanted}) < len(wanted):
@@ -131,6 +131,12 @@ def load_index(spark: SparkSession, path: str, method: str | dict[str, str] | No
     by: dict[str, list[tuple[str, str]]] = {}
     for pair in wanted:
         by.setdefault(held[pair], []).append(pair)
+    return by
+
+
+def load_index(spark: SparkSession, path: str, method: str | dict[str, str] | None = None, languages: Sequence[str] | None = None) -> Index:
+    """An index of one method a language: of `method`, or the one given by language, or the only one saved; of some languages or all."""
+    by = chosen(spark, path, method, languages)
 
     def read(name: str, methods: bool) -> DataFrame:
         found = []

@@ -73,9 +73,15 @@ def test_blocks_of_nothing(spark):
         blocks.search_blocks(index, queries, 0)
 
 
-def test_written_blocks_read_back(spark, tmp_path):
-    docs, _ = corpus(spark)
-    index = blocks.build_blocks(docs, "BM25_V1")
-    blocks.write_blocks(index.blocks, str(tmp_path / "b"))
-    back = spark.read.schema(index.blocks.schema).parquet(str(tmp_path / "b"))
-    assert sorted(map(str, back.select(index.blocks.columns).collect())) == sorted(map(str, index.blocks.collect()))
+def test_saved_blocks_are_searched_as_built(spark, small, tmp_path):
+    docs, queries = corpus(spark)
+    path = str(tmp_path / "b")
+    for method in ("BM25_V1", "TF_LDP"):
+        index = blocks.build_blocks(docs, method, size=8)
+        blocks.save_blocks(index, path)
+    want = rows_of(blocks.search_blocks(index, queries, 5, digits=6))
+    assert rows_of(blocks.search_blocks(blocks.load_blocks(spark, path, "TF_LDP"), queries, 5, digits=6)) == want
+    only = blocks.load_blocks(spark, path, "TF_LDP", ["de"])
+    assert rows_of(blocks.search_blocks(only, queries, 5, digits=6)) == [r for r in want if r[1] == "de"]
+    with pytest.raises(ValueError):
+        blocks.load_blocks(spark, path)
