@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from lexgrid.functions import weighting
 from lexgrid.operators import index as ix
-from lexgrid.operators import snapshots
+from lexgrid.operators import snapshots, stats
 from lexgrid.operators.numbering import numbered_by
 from lexgrid.operators.search import query_terms, rank
 from lexgrid.operators.workspace import materialise
@@ -58,12 +58,16 @@ def shift_of(documents: Column) -> Column:
 
 
 def build_blocks(docs: DataFrame, method: str = "BM25_V1", *, k1: float = 1.5, b: float = 0.75, d: float = 1.0, params: DataFrame | None = None, terms: DataFrame | None = None, size: int = SIZE) -> BlockIndex:
-    """Index analysed documents (lang, doc_id, tokens); arguments as of index.build_index. Texts are shuffled once, to their numbers."""
-    lengths = docs.groupBy("lang", "doc_id").agg(F.min(F.size("tokens")).alias("dl"))
-    documents = materialise(numbered_by(lengths, ["lang"], ["dl", "doc_id"], "doc").drop("dl"))
-    placed = docs.join(documents, ["lang", "doc_id"]).select("lang", F.col("doc").alias("doc_id"), "tokens")
-    tf, df, of = ix.counted(placed, terms)
-    rows = ix.joined(tf, df, of)
+    """Index analysed documents (lang, doc_id, tokens), whose ids are unique in a language; arguments as of index.build_index.
+
+    Term frequencies get the documents' numbers after they are counted, so texts are never shuffled.
+    """
+    lengths = docs.where("lang IS NOT NULL").groupBy("lang", "doc_id").agg(F.min(F.size("tokens")).alias("dl"), F.sum(F.size("tokens")).alias("words"), F.count("*").alias("copies"))
+    placed = numbered_by(lengths, ["lang"], ["dl", "doc_id"], "doc")
+    of = materialise(placed.groupBy("lang").agg(F.sum("copies").alias("n_docs"), (F.sum("words") / F.sum("copies")).alias("avg_len")))
+    documents = placed.select("lang", "doc", "doc_id")
+    tf = materialise(stats.term_frequency(docs, terms))
+    rows = ix.joined(tf.join(documents, ["lang", "doc_id"]).drop("doc_id").withColumnRenamed("doc", "doc_id"), stats.document_frequency(tf), of)
     if params is None:
         rows = ix.weigh(rows, method, k1, b, d)
         params = of.select("lang", F.lit(method).alias("method"), F.lit(float(k1)).alias("k1"), F.lit(float(b)).alias("b"), F.lit(float(d)).alias("d"))
