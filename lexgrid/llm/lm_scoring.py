@@ -8,10 +8,13 @@ words, so that smoothing weighs the same in both. No document is scored by a mod
 are taken off the counts, so what it shares with others is all that lowers its loss.
 
 The vocabulary is all words of all documents and every bigram is counted, so the models grow with the corpus and stay
-distributed. Documents are packed into blocks, written once; a block sends each of its words and bigrams once to the bucket of
-its hash, the buckets add up and answer with the totals, and the block scores its documents. The totals are
-written, too, and the shuffle that gathered them is dropped before the next. A row carries the sorted hashes a
-block has in a bucket, so a common bigram is one number of a block and no task gets more of it than others.
+distributed. Documents are packed into blocks, written once; a block's words and bigrams go to the bucket of their hash, the
+buckets add up and answer with the totals, and the block scores its documents. They go in two steps, as a row from every block to
+every bucket would be quadratic: blocks form groups, a block tells one row for each coarse range of hashes to its group, and
+the group's blocks together tell the buckets of that range; answers come back the same way. With b blocks and k buckets that is
+some 2 b sqrt(k) rows each way, and no task holds more than about a block or a bucket. A row carries sorted hashes, so a common
+bigram is one number of a block and no task gets more of it than others. What is told and answered is written; shuffles and
+tables are dropped as soon as the next step is written.
 
 Words and bigrams are told apart by 64-bit hashes.
 
@@ -153,6 +156,13 @@ def sums(keys: list[np.ndarray], counts: list[tuple[list[np.ndarray], list[np.nd
     return totals, np.split(place, np.cumsum([len(k) for k in keys])[:-1])
 
 
+def routes(n_words: int, n_blocks: int) -> tuple[int, int, int]:
+    """Buckets in a coarse range, coarse ranges, and groups of blocks."""
+    buckets = max(8, -(-n_words // BUCKET_WORDS))
+    fan = max(2, round(buckets**0.5))
+    return fan, -(-buckets // fan), max(1, -(-n_blocks // fan))
+
+
 @contextmanager
 def freed_shuffles(spark: SparkSession) -> Iterator[None]:
     """Within, a query's shuffle files go as soon as it has ended, not when the driver next collects garbage."""
@@ -177,56 +187,98 @@ def score(docs: DataFrame, target: Column, text: str = "text") -> DataFrame:
     work = Workspace(docs.sparkSession)
     rows = docs.select(*[F.col(f"`{c}`") for c in (*kept, text)], F.coalesce(target.cast("boolean"), F.lit(False)).alias(flag))
     blocks = work.keep(rows.mapInArrow(lambda batches: packed(batches, text, kept, flag), PACKED))
-    buckets = max(8, -(-(blocks.agg(F.sum("n")).first()[0] or 0) // BUCKET_WORDS))
-    tables = ("pairs", "pairs_near", "pairs_far", "words", "after_near", "after_far", "before_near", "before_far")
+    n_words, n_blocks = blocks.agg(F.sum("n"), F.count("*")).first()
+    fan, ranges, groups = routes(n_words or 0, n_blocks)
+    tables = ("pairs_near", "pairs_far", "after_near", "after_far", "before_near", "before_far", "pairs", "words")
+
+    def cut_up(pairs: np.ndarray, words: np.ndarray, counts: list[np.ndarray], parts: int, first: int, into: int) -> Iterator[tuple]:
+        """The sorted hashes and their counts, cut at those of `into` ranges that are numbered first, first + 1, ..."""
+        at, to = (bounds(x, into)[first : first + parts + 1] for x in (pairs, words))
+        for k, i, j, v, w in zip(range(first, first + parts), at[:-1], at[1:], to[:-1], to[1:]):
+            sides = [x[i:j] for x in counts[:2]] + [x[v:w] for x in counts[2:]]
+            yield (k, *map(squeeze, (*sides, np.diff(pairs[i:j], prepend=np.uint64(0)), np.diff(words[v:w], prepend=np.uint64(0)))))
+
+    def sent(rows: list[tuple], numbers: list[str]) -> pa.Table:
+        kinds = [pa.int64()] * len(numbers) + [pa.binary()] * len(tables)
+        return pa.Table.from_arrays([pa.array([r[c] for r in rows], f) for c, f in enumerate(kinds)], names=[*numbers, *tables])
 
     def tell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """For each block and bucket: the block's bigrams and words there, and how often the target's and its other documents have them."""
+        """For each block and coarse range: the block's bigrams and words there, and how often the target's and its other documents have them."""
         for batch in batches:
             for k in range(batch.num_rows):
                 (r,) = batch.slice(k, 1).to_pylist()
                 b = Block(r["near"], r["lengths"], r["words"], r["ids"])
                 pairs, place = np.unique(b.pairs, return_inverse=True)
-                counts = [np.bincount(x[near], minlength=n).astype(np.int32) for x, n in ((place, len(pairs)), (b.next, len(b.words)), (b.previous, len(b.words))) for near in (b.near, ~b.near)]
-                at, to = bounds(pairs, buckets), bounds(b.words, buckets)
-                out = []
-                for bucket, i, j, v, w in zip(range(buckets), at[:-1], at[1:], to[:-1], to[1:]):
-                    cells = [np.diff(pairs[i:j], prepend=np.uint64(0)), *(x[i:j] for x in counts[:2]), np.diff(b.words[v:w], prepend=np.uint64(0)), *(x[v:w] for x in counts[2:])]
-                    out.append((bucket, r["block"], *map(squeeze, cells)))
-                yield pa.RecordBatch.from_arrays([pa.array(list(x), f) for x, f in zip(zip(*out), [pa.int32(), pa.int64(), *[pa.binary()] * len(tables)])], names=["bucket", "block", *tables])
-
-    form = "bucket int, block bigint, " + ", ".join(f"{x} binary" for x in tables)
-    told = blocks.select("block", "near", "lengths", "words", "ids").mapInArrow(tell, form)
-
-    def answer(table: pa.Table) -> pa.Table:
-        """To each block in the bucket: both models' counts of what it told, in its order, and the bucket's words."""
-        rows = table.to_pylist()
-        keys, word_keys = ([np.cumsum(expand(r[c], np.uint64), dtype=np.uint64) for r in rows] for c in ("pairs", "words"))
-        count = lambda c: tuple([expand(r[f"{c}_{side}"], np.int32) for r in rows] for side in ("near", "far"))
-        (n,), at = sums(keys, [count("pairs")])
-        (after, before), to = sums(word_keys, [count("after"), count("before")])
-        word = np.zeros(len(after), np.uint64)
-        for k, places in zip(word_keys, to):
-            word[places] = k
+                counts = [np.bincount(x[near], minlength=n).astype(np.int64) for x, n in ((place, len(pairs)), (b.next, len(b.words)), (b.previous, len(b.words))) for near in (b.near, ~b.near)]
+                told = cut_up(pairs, b.words, counts, ranges, 0, ranges)
+                yield from sent([(r["block"] % groups * ranges + x[0], r["block"], *x[1:]) for x in told], ["cell", "block"]).to_batches()
+
+    def hashes_of(rows: list[dict], column: str) -> list[np.ndarray]:
+        return [np.cumsum(expand(r[column], np.uint64), dtype=np.uint64) for r in rows]
+
+    def added_up(rows: list[dict]) -> tuple:
+        """The distinct bigrams and words of rows, three arrays of their sums by model, and each row's places among the bigrams and words."""
+        pairs, word = hashes_of(rows, "pairs"), hashes_of(rows, "words")
+        count = lambda c: tuple([expand(r[f"{c}_{side}"], np.int64) for r in rows] for side in ("near", "far"))
+        (n,), at = sums(pairs, [count("pairs")])
+        (after, before), to = sums(word, [count("after"), count("before")])
+        distinct = [np.zeros(size, np.uint64) for size in (len(n), len(after))]
+        for into, keys, places in ((distinct[0], pairs, at), (distinct[1], word, to)):
+            for k, place in zip(keys, places):
+                into[place] = k
+        return *distinct, n, after, before, at, to
+
+    def pool(told: pa.Table) -> pa.Table:
+        """What the blocks of a group together have in each bucket of a coarse range."""
+        pairs, word, n, after, before, *_ = added_up(told.to_pylist())
+        cell = told.column("cell")[0].as_py()
+        return sent([(x[0], cell, *x[1:]) for x in cut_up(pairs, word, [*n.T, *after.T, *before.T], fan, cell % ranges * fan, ranges * fan)], ["bucket", "cell"])
+
+    def told_form(numbers: str) -> str:
+        return numbers + ", " + ", ".join(f"{x} binary" for x in tables)
+
+    def replies(rows: list[tuple]) -> pa.Table:
+        kinds = [pa.int64()] * 5 + [pa.binary()] * 2
+        return pa.Table.from_arrays([pa.array([x[c] for x in rows], f) for c, f in enumerate(kinds)], names=["reader", "part", "vocabulary", "near", "far", "pairs", "words"])
+
+    def answer(told: pa.Table) -> pa.Table:
+        """To each group in the bucket: both models' counts of what it told, in its order, and the bucket's words."""
+        rows = told.to_pylist()
+        _, word, n, after, before, at, to = added_up(rows)
         facts = int(((after.sum(1) > 0) & (word > START)).sum()), *(int(x) for x in after.sum(0))
-        out = [(r["block"], r["bucket"], *facts, squeeze(n[i].ravel()), squeeze(np.column_stack([after[j], before[j]]).ravel())) for r, i, j in zip(rows, at, to)]
-        kinds = [pa.int64(), pa.int32(), *[pa.int64()] * 3, pa.binary(), pa.binary()]
-        return pa.Table.from_arrays([pa.array([x[c] for x in out], f) for c, f in enumerate(kinds)], names=["block", "bucket", "vocabulary", "near", "far", "pairs", "words"])
-
-    form = "block bigint, bucket int, vocabulary bigint, near bigint, far bigint, pairs binary, words binary"
+        return replies([(r["cell"], r["bucket"], *facts, squeeze(n[i].ravel()), squeeze(np.column_stack([after[j], before[j]]).ravel())) for r, i, j in zip(rows, at, to)])
+
+    def joined(rows: list[dict]) -> tuple[np.ndarray, np.ndarray, list[int]]:
+        """Counts of bigrams (near, far) and words (after: near, far; before: near, far) over all parts, and the sums of the facts."""
+        rows = sorted(rows, key=lambda x: x["part"])
+        n, counts = (np.concatenate([expand(x[c], np.int64) for x in rows]).reshape(-1, size) for c, size in (("pairs", 2), ("words", 4)))
+        return n, counts, [sum(x[c] for x in rows) for c in ("vocabulary", "near", "far")]
+
+    def hand_out(told: pa.Table, answered: pa.Table) -> pa.Table:
+        """The answers to a group, to each of its blocks."""
+        rows = told.to_pylist()
+        n, counts, facts = joined(answered.to_pylist())
+        pairs, word = hashes_of(rows, "pairs"), hashes_of(rows, "words")
+        all_pairs, all_words = np.unique(np.concatenate(pairs)), np.unique(np.concatenate(word))
+        part = rows[0]["cell"] % ranges
+        return replies([(r["block"], part, *facts, squeeze(n[np.searchsorted(all_pairs, p)].ravel()), squeeze(counts[np.searchsorted(all_words, w)].ravel())) for r, p, w in zip(rows, pairs, word)])
+
+    form = "reader bigint, part bigint, vocabulary bigint, near bigint, far bigint, pairs binary, words binary"
     with freed_shuffles(docs.sparkSession):
-        answers = work.keep(told.groupBy("bucket").applyInArrow(answer, form))
+        told = work.keep(blocks.select("block", "near", "lengths", "words", "ids").mapInArrow(tell, told_form("cell bigint, block bigint")))
+        pooled = told.groupBy("cell").applyInArrow(pool, told_form("bucket bigint, cell bigint"))
+        answers = work.keep(pooled.groupBy("bucket").applyInArrow(answer, form))
+        by_cell = told.select("cell", "block", "pairs", "words").groupBy("cell")
+        answered = work.keep(by_cell.cogroup(answers.groupBy("reader")).applyInArrow(hand_out, form))
+    work.drop(told, answers)
     schema = T.StructType([docs.schema[c] for c in kept] + added)
 
     def judge(block: pa.Table, told: pa.Table) -> pa.Table:
         (r,) = block.to_pylist()
         b = Block(r["near"], r["lengths"], r["words"], r["ids"])
-        rows = sorted(told.to_pylist(), key=lambda x: x["bucket"])
         pairs, at = np.unique(b.pairs, return_inverse=True)
-        n = np.concatenate([expand(x["pairs"], np.int64) for x in rows]).reshape(-1, 2)
-        counts = np.concatenate([expand(x["words"], np.int64) for x in rows]).reshape(-1, 4)  # after: near, far; before: near, far
-        entries = sum(x["vocabulary"] for x in rows) + 2
-        totals = [sum(x[c] for x in rows) for c in ("near", "far")]
+        n, counts, (vocabulary, *totals) = joined(told.to_pylist())
+        entries = vocabulary + 2
         full = b.lengths > 0
         own, own_after, own_before = b.own(at, len(pairs)), b.own(b.next, len(b.words)), b.own(b.previous, len(b.words))
         means = []
@@ -242,4 +294,4 @@ def score(docs: DataFrame, target: Column, text: str = "text") -> DataFrame:
         new = [pa.array(b.lengths), *(pa.array(x, mask=~full) for x in (*means, means[0] - means[1]))]
         return pa.Table.from_arrays([docs.column(c) for c in kept] + new, names=[*kept, *names])
 
-    return blocks.drop("n").groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(judge, schema)
+    return blocks.drop("n").groupBy("block").cogroup(answered.groupBy("reader")).applyInArrow(judge, schema)

@@ -643,6 +643,30 @@ def test_lm_counts_all_words(spark, monkeypatch):
             assert r["lm_score"] is None
 
 
+def test_lm_rows_stay_far_below_blocks_times_buckets():
+    def rows(n_words):
+        n_blocks = n_words // lm_scoring.BLOCK_WORDS
+        fan, ranges, groups = lm_scoring.routes(n_words, n_blocks)
+        assert fan * ranges * lm_scoring.BUCKET_WORDS >= n_words and groups * fan >= n_blocks
+        return n_blocks * ranges + groups * ranges * fan
+
+    for n in (5 * 10**9, 17 * 10**10):
+        assert rows(10 * n) < 33 * rows(n)
+    assert rows(17 * 10**10) < 3.2 * 10**8
+
+
+def test_lm_very_long_text(spark, monkeypatch):
+    monkeypatch.setattr(lm_scoring, "BLOCK_WORDS", 1000)
+    monkeypatch.setattr(lm_scoring, "BUCKET_WORDS", 500)
+    rng = random.Random(8)
+    texts = [" ".join(f"w{int(rng.paretovariate(0.4)) % 5000}" for _ in range(n)) for n in (120_000, 40, 3000, 1)]
+    got = lm_scoring.score(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(2), F.col("doc_id") < 2).collect()
+    want = lm_losses([t.split() for t in texts], [True, True, False, False])
+    assert len(got) == len(texts)
+    for r in got:
+        assert (r["target_loss"], r["background_loss"]) == pytest.approx(tuple(want[r["doc_id"]]), rel=1e-9)
+
+
 # License scans
 
 
