@@ -13,8 +13,9 @@ buckets add up and answer with the totals, and the block scores its documents. T
 every bucket would be quadratic: blocks form groups, a block tells one row for each coarse range of hashes to its group, and
 the group's blocks together tell the buckets of that range; answers come back the same way. With b blocks and k buckets that is
 some 2 b sqrt(k) rows each way, and no task holds more than about a block or a bucket. A row carries sorted hashes, so a common
-bigram is one number of a block and no task gets more of it than others. What is told and answered is written; shuffles and
-tables are dropped as soon as the next step is written.
+bigram is one number of a block and no task gets more of it than others. A group keeps where each block's hashes stand among
+its own, in place of the hashes. The coarse ranges are worked off in PASSES, so that only a part of what is told lies on disk at
+once; shuffles and tables are dropped as soon as the next step is written.
 
 Words and bigrams are told apart by 64-bit hashes.
 
@@ -28,6 +29,7 @@ from __future__ import annotations
 import os
 from collections.abc import Iterator
 from contextlib import contextmanager
+from functools import reduce
 from hashlib import blake2b
 
 import numpy as np
@@ -43,6 +45,8 @@ WEIGHT, BATCH = 50.0, 256
 CACHED = 100_000
 #: Words, and rows, that end a block; words for each bucket.
 BLOCK_WORDS, BLOCK_ROWS, BUCKET_WORDS = 500_000, 50_000, 1_000_000
+#: Parts of the hashes that are told one after the other; the blocks are unpacked once for each.
+PASSES = 2
 TABLE = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 #: The entry of the start of a text.
 START = 1
@@ -198,19 +202,21 @@ def score(docs: DataFrame, target: Column, text: str = "text") -> DataFrame:
             sides = [x[i:j] for x in counts[:2]] + [x[v:w] for x in counts[2:]]
             yield (k, *map(squeeze, (*sides, np.diff(pairs[i:j], prepend=np.uint64(0)), np.diff(words[v:w], prepend=np.uint64(0)))))
 
-    def sent(rows: list[tuple], numbers: list[str]) -> pa.Table:
-        kinds = [pa.int64()] * len(numbers) + [pa.binary()] * len(tables)
-        return pa.Table.from_arrays([pa.array([r[c] for r in rows], f) for c, f in enumerate(kinds)], names=[*numbers, *tables])
+    places = ("pair_places", "word_places")
 
-    def tell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """For each block and coarse range: the block's bigrams and words there, and how often the target's and its other documents have them."""
+    def sent(rows: list[tuple], numbers: list[str], binaries: tuple[str, ...] = tables) -> pa.Table:
+        kinds = [pa.int64()] * len(numbers) + [pa.binary()] * len(binaries)
+        return pa.Table.from_arrays([pa.array([r[c] for r in rows], f) for c, f in enumerate(kinds)], names=[*numbers, *binaries])
+
+    def tell(batches: Iterator[pa.RecordBatch], first: int, end: int) -> Iterator[pa.RecordBatch]:
+        """For each block and coarse range from first to before end: the block's bigrams and words there, and how often the target's and its other documents have them."""
         for batch in batches:
             for k in range(batch.num_rows):
                 (r,) = batch.slice(k, 1).to_pylist()
                 b = Block(r["near"], r["lengths"], r["words"], r["ids"])
                 pairs, place = np.unique(b.pairs, return_inverse=True)
                 counts = [np.bincount(x[near], minlength=n).astype(np.int64) for x, n in ((place, len(pairs)), (b.next, len(b.words)), (b.previous, len(b.words))) for near in (b.near, ~b.near)]
-                told = cut_up(pairs, b.words, counts, ranges, 0, ranges)
+                told = cut_up(pairs, b.words, counts, end - first, first, ranges)
                 yield from sent([(r["block"] % groups * ranges + x[0], r["block"], *x[1:]) for x in told], ["cell", "block"]).to_batches()
 
     def hashes_of(rows: list[dict], column: str) -> list[np.ndarray]:
@@ -229,13 +235,17 @@ def score(docs: DataFrame, target: Column, text: str = "text") -> DataFrame:
         return *distinct, n, after, before, at, to
 
     def pool(told: pa.Table) -> pa.Table:
-        """What the blocks of a group together have in each bucket of a coarse range."""
-        pairs, word, n, after, before, *_ = added_up(told.to_pylist())
-        cell = told.column("cell")[0].as_py()
-        return sent([(x[0], cell, *x[1:]) for x in cut_up(pairs, word, [*n.T, *after.T, *before.T], fan, cell % ranges * fan, ranges * fan)], ["bucket", "cell"])
+        """What the blocks of a group together have in each bucket of a coarse range; and each block's places in that."""
+        rows = told.to_pylist()
+        pairs, word, n, after, before, at, to = added_up(rows)
+        cell = rows[0]["cell"]
+        out = [(x[0], cell, None, *x[1:], None, None) for x in cut_up(pairs, word, [*n.T, *after.T, *before.T], fan, cell % ranges * fan, ranges * fan)]
+        steps = lambda x: squeeze(np.diff(x, prepend=0).astype(np.int32))
+        out += [(None, cell, r["block"], *[None] * len(tables), steps(i), steps(j)) for r, i, j in zip(rows, at, to)]
+        return sent(out, ["bucket", "cell", "block"], tables + places)
 
-    def told_form(numbers: str) -> str:
-        return numbers + ", " + ", ".join(f"{x} binary" for x in tables)
+    def told_form(numbers: str, binaries: tuple[str, ...] = tables) -> str:
+        return numbers + ", " + ", ".join(f"{x} binary" for x in binaries)
 
     def replies(rows: list[tuple]) -> pa.Table:
         kinds = [pa.int64()] * 5 + [pa.binary()] * 2
@@ -258,19 +268,22 @@ def score(docs: DataFrame, target: Column, text: str = "text") -> DataFrame:
         """The answers to a group, to each of its blocks."""
         rows = told.to_pylist()
         n, counts, facts = joined(answered.to_pylist())
-        pairs, word = hashes_of(rows, "pairs"), hashes_of(rows, "words")
-        all_pairs, all_words = np.unique(np.concatenate(pairs)), np.unique(np.concatenate(word))
         part = rows[0]["cell"] % ranges
-        return replies([(r["block"], part, *facts, squeeze(n[np.searchsorted(all_pairs, p)].ravel()), squeeze(counts[np.searchsorted(all_words, w)].ravel())) for r, p, w in zip(rows, pairs, word)])
+        found = lambda x, steps: squeeze(x[np.cumsum(expand(steps, np.int32), dtype=np.int64)].ravel())
+        return replies([(r["block"], part, *facts, found(n, r["pair_places"]), found(counts, r["word_places"])) for r in rows])
 
     form = "reader bigint, part bigint, vocabulary bigint, near bigint, far bigint, pairs binary, words binary"
-    with freed_shuffles(docs.sparkSession):
-        told = work.keep(blocks.select("block", "near", "lengths", "words", "ids").mapInArrow(tell, told_form("cell bigint, block bigint")))
-        pooled = told.groupBy("cell").applyInArrow(pool, told_form("bucket bigint, cell bigint"))
-        answers = work.keep(pooled.groupBy("bucket").applyInArrow(answer, form))
-        by_cell = told.select("cell", "block", "pairs", "words").groupBy("cell")
-        answered = work.keep(by_cell.cogroup(answers.groupBy("reader")).applyInArrow(hand_out, form))
-    work.drop(told, answers)
+    edges = [ranges * i // PASSES for i in range(PASSES + 1)]
+    parts = []
+    for first, end in zip(edges[:-1], edges[1:]):
+        with freed_shuffles(docs.sparkSession):
+            told = blocks.select("block", "near", "lengths", "words", "ids").mapInArrow(lambda batches, first=first, end=end: tell(batches, first, end), told_form("cell bigint, block bigint"))
+            pooled = work.keep(told.groupBy("cell").applyInArrow(pool, told_form("bucket bigint, cell bigint, block bigint", tables + places)))
+            answers = work.keep(pooled.where("bucket IS NOT NULL").select("bucket", "cell", *tables).groupBy("bucket").applyInArrow(answer, form))
+            stand = pooled.where("block IS NOT NULL").select("cell", "block", *places)
+            parts.append(work.keep(stand.groupBy("cell").cogroup(answers.groupBy("reader")).applyInArrow(hand_out, form)))
+        work.drop(pooled, answers)
+    answered = reduce(DataFrame.unionByName, parts)
     schema = T.StructType([docs.schema[c] for c in kept] + added)
 
     def judge(block: pa.Table, told: pa.Table) -> pa.Table:
