@@ -158,7 +158,7 @@ def query_terms_in_vocab(spark: SparkSession, d: str) -> DataFrame:
 def idf_of(name: str) -> Query:
     def run(spark: SparkSession, d: str) -> DataFrame:
         analysed = docs(spark, d)
-        rows = stats.document_frequency(stats.term_frequency(analysed)).join(stats.corpus_stats(analysed), "lang")
+        rows = stats.document_frequency(stats.term_frequency(analysed)).join(F.broadcast(stats.corpus_stats(analysed)), "lang")  # a row a language
         return rows.select("lang", "term", "n", F.round(weighting.IDF[name](F.col("n_docs").cast("double"), F.col("n").cast("double")), 6).alias("idf"))
 
     return run
@@ -167,7 +167,7 @@ def idf_of(name: str) -> Query:
 def tf_of(name: str) -> Query:
     def run(spark: SparkSession, d: str) -> DataFrame:
         analysed = docs(spark, d)
-        rows = stats.term_frequency(analysed).join(stats.corpus_stats(analysed), "lang")
+        rows = stats.term_frequency(analysed).join(F.broadcast(stats.corpus_stats(analysed)), "lang")  # a row a language
         tf = weighting.TF[name](F.col("c").cast("double"), F.col("dl").cast("double"), F.col("avg_len"), F.lit(K1), F.lit(B), F.lit(D))
         return rows.select("lang", "doc_id", "term", F.round(tf, 6).alias("tf"))
 
