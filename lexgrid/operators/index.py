@@ -32,10 +32,11 @@ class Index:
 def counted(docs: DataFrame, terms: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(term frequencies, document frequencies, corpus statistics); texts are analysed once for terms and once for lengths.
 
-    Term frequencies are written, as each of the others and the postings read them.
+    All are written: the others and the postings read term frequencies, and by the size of what is written Spark tells whether
+    document frequencies can be sent to all tasks, so that no task gets a frequent term of all documents.
     """
     tf = materialise(stats.term_frequency(docs, terms))
-    return tf, stats.document_frequency(tf), materialise(stats.corpus_stats(docs))
+    return tf, materialise(stats.document_frequency(tf)), materialise(stats.corpus_stats(docs))
 
 
 def joined(tf: DataFrame, df: DataFrame, of: DataFrame) -> DataFrame:

@@ -7,8 +7,14 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lexgrid.operators.index import Index
+from lexgrid.operators.numbering import numbered_by
 from lexgrid.operators.workspace import materialise
 
+#: Rows of a query's term in a document that one task sums, on average.
+ROWS = 2_000_000
+#: Documents that Spark's limited window keeps at most.
+FEW = 1000
+
 
 def query_terms(queries: DataFrame) -> DataFrame:
     """(query_id, [lang,] term, qtf) of analysed queries; a repeated word counts as often as it stands."""
@@ -22,10 +28,26 @@ def in_vocabulary(terms: DataFrame, vocabulary: DataFrame) -> DataFrame:
     return terms.join(vocabulary.select("lang", "term"), on).select("query_id", "lang", "term", "qtf")
 
 
-def scores(postings: DataFrame, terms: DataFrame) -> DataFrame:
-    """(query_id, lang, doc_id, score) of the documents that hold a term of the query."""
-    on = ["lang", "term"] if "lang" in terms.columns else ["term"]
-    return postings.join(terms, on).groupBy("query_id", "lang", "doc_id").agg(F.sum(F.col("qtf") * F.col("weight")).alias("score"))
+def near_queries(index: Index, terms: DataFrame) -> DataFrame:
+    """The postings of the queries' terms, all of a document in one task.
+
+    A posting becomes a row for each query that holds its term only there, so neither those rows nor their sums are shuffled, and
+    no task holds a frequent term of all documents. There are as many tasks as keep those rows at about ROWS each.
+    """
+    on = shared(terms)
+    asking = terms.groupBy(*on).agg(F.count("*").alias("asking"))
+    met = index.vocabulary.join(asking, on).agg(F.sum(F.col("n") * F.col("asking"))).first()[0] or 0
+    return index.postings.join(asking.select(*on), on, "left_semi").repartition(-(-int(met) // ROWS) or 1, "lang", "doc_id")
+
+
+def shared(terms: DataFrame) -> list[str]:
+    """What tells a query's term from others: with its language, if it is asked of one only."""
+    return ["lang", "term"] if "lang" in terms.columns else ["term"]
+
+
+def scores(near: DataFrame, terms: DataFrame) -> DataFrame:
+    """(query_id, lang, doc_id, score) of the documents that hold a term of the query; near: as of near_queries()."""
+    return near.join(terms, shared(terms)).groupBy("query_id", "lang", "doc_id").agg(F.sum(F.col("qtf") * F.col("weight")).alias("score"))
 
 
 def rank(found: DataFrame, k: int, score: Column | None = None) -> DataFrame:
@@ -34,22 +56,25 @@ def rank(found: DataFrame, k: int, score: Column | None = None) -> DataFrame:
     return found.withColumn("rank", F.row_number().over(order).cast("bigint")).where(F.col("rank") <= k).select("query_id", "lang", "rank", "doc_id", "score")
 
 
-def pad(found: DataFrame, queries: DataFrame, documents: DataFrame, k: int) -> DataFrame:
-    """found, plus documents of score 0 for the queries with fewer than k scores above 0: enough of them to fill k places.
+def pad(top: DataFrame, short: DataFrame, found: DataFrame, documents: DataFrame, k: int) -> DataFrame:
+    """top, plus documents of score 0 for the queries of `short` (query_id, lang): enough of them to fill k places.
 
-    With m documents found, the first k + m documents of the language hold k that weren't, if there are so many. The largest m
-    is taken first, so that each task keeps that many documents of a language before any are sorted together.
+    found: all documents found for those queries. With m of them, the first k + m documents of the language hold k that weren't,
+    if there are so many. The largest m is taken first: up to FEW, each task keeps that many documents of a language before any
+    are sorted together; beyond that, documents are numbered by sorted ranges.
     """
-    found = materialise(found)
-    pairs = queries.select("query_id", "lang").distinct()
-    counted = found.groupBy("query_id", "lang").agg(F.count("*").alias("m"), F.sum((F.col("score") > 0).cast("int")).alias("above"))
-    short = pairs.join(counted, ["query_id", "lang"], "left").fillna(0, ["m", "above"]).where(F.col("above") < k)
-    short = materialise(short)
-    need = (short.agg(F.max("m")).first()[0] or 0) + k
-    first = documents.withColumn("i", F.row_number().over(W.partitionBy("lang").orderBy("doc_id"))).where(F.col("i") <= need)
+    found = materialise(found.select("query_id", "lang", "doc_id"))
+    counted = found.groupBy("query_id", "lang").agg(F.count("*").alias("m"))
+    short = short.join(counted, ["query_id", "lang"], "left").fillna(0, ["m"])
+    need = (counted.agg(F.max("m")).first()[0] or 0) + k
+    if need <= FEW:
+        first = documents.withColumn("i", F.row_number().over(W.partitionBy("lang").orderBy("doc_id")))
+    else:
+        first = numbered_by(documents, ["lang"], ["doc_id"], "i").withColumn("i", F.col("i") + 1)
+    first = first.where(F.col("i") <= need)
     pool = short.join(first.select("lang", "doc_id", "i"), "lang").where(F.col("i") <= F.col("m") + k).select("query_id", "lang", "doc_id")
     zeros = pool.join(found, ["query_id", "lang", "doc_id"], "left_anti").withColumn("score", F.lit(0.0))
-    return found.unionByName(zeros)
+    return top.select("query_id", "lang", "doc_id", "score").unionByName(zeros)
 
 
 def search(index: Index, queries: DataFrame, k: int = 10, *, padded: bool = False, digits: int | None = None) -> DataFrame:
@@ -60,10 +85,20 @@ def search(index: Index, queries: DataFrame, k: int = 10, *, padded: bool = Fals
     """
     if k < 1:
         raise ValueError("k must be 1 at least")
-    found = scores(index.postings, query_terms(queries))
-    if digits is not None:
-        found = found.withColumn("score", F.round("score", digits))
-    if padded:
-        asked = queries if "lang" in queries.columns else queries.select("query_id").crossJoin(F.broadcast(index.documents.select("lang").distinct()))  # one row a language
-        found = pad(found, asked, index.documents, k)
-    return rank(found, k)
+    terms = query_terms(queries)
+    near = near_queries(index, terms)
+
+    def scored(rows: DataFrame, asked: DataFrame) -> DataFrame:
+        found = scores(rows, asked)
+        return found if digits is None else found.withColumn("score", F.round("score", digits))
+
+    if not padded:
+        return rank(scored(near, terms), k)
+    asked = queries if "lang" in queries.columns else queries.select("query_id").crossJoin(F.broadcast(index.documents.select("lang").distinct()))  # one row a language
+    top = materialise(rank(scored(near, terms), k))
+    full = top.where("score > 0").groupBy("query_id", "lang").agg(F.count("*").alias("above")).where(F.col("above") >= k)
+    short = materialise(asked.select("query_id", "lang").distinct().join(full, ["query_id", "lang"], "left_anti"))
+    if short.isEmpty():
+        return top
+    own = terms.join(short, [c for c in ("query_id", "lang") if c in terms.columns])
+    return rank(pad(top, short, scored(near_queries(index, own), own), index.documents, k), k)

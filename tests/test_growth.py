@@ -3,8 +3,12 @@
 import re
 
 import pytest
+from conftest import same_rows
 
 from lexgrid import catalogue
+from lexgrid.functions.analysis import analyze
+from lexgrid.operators import index as ix
+from lexgrid.operators import search as se
 
 
 def plan_of(df):
@@ -25,3 +29,31 @@ def test_languages_are_not_gathered(spark, sf, name):
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert "SortMergeJoin" not in plan and dealt_by(plan).count(("lang",)) == 1
+
+
+@pytest.mark.parametrize("name", ["search_dlite", "search_best_by_lang", "search_tf_ldp"])
+def test_rows_of_queries_are_summed_where_they_arise(spark, sf, monkeypatch, name):
+    monkeypatch.setattr(se, "ROWS", 1000, raising=False)
+    plan = plan_of(catalogue.queries()[name](spark, sf))
+    assert ("lang", "doc_id") in dealt_by(plan) and ("query_id", "lang", "doc_id") not in dealt_by(plan)
+
+
+def test_tasks_grow_with_the_rows_of_queries(spark, monkeypatch):
+    docs = analyze(spark.createDataFrame([("xx", i, "common " + "rare" * (i % 9 == 0)) for i in range(200)], "lang string, doc_id long, text string"))
+    terms = se.query_terms(analyze(spark.createDataFrame([(i, "common rare common") for i in range(5)], "query_id long, text string")))
+    index = ix.build_index(docs)
+    monkeypatch.setattr(se, "ROWS", 100)  # of 5 * (200 + 23)
+    assert se.near_queries(index, terms).rdd.getNumPartitions() == 12
+
+
+@pytest.mark.parametrize("few", [1, 1000])
+def test_padding_beyond_the_limited_window(spark, sf, monkeypatch, few):
+    monkeypatch.setattr(se, "FEW", few)
+    docs = analyze(spark.createDataFrame([("xx", i, "rare " + "filler " * (90 * (i % 3))) for i in range(60)], "lang string, doc_id long, text string"))
+    asked = analyze(spark.createDataFrame([(1, "rare"), (2, "zzzz"), (3, "rare filler")], "query_id long, text string"))
+    rows = se.search(ix.build_index(docs, "TF_LDP", b=0.9, d=0.1), asked, 45, padded=True, digits=6).collect()
+    got = {q: [(r["doc_id"], r["score"]) for r in sorted(rows, key=lambda r: r["rank"]) if r["query_id"] == q] for q in (1, 2, 3)}
+    assert all(len(x) == 45 for x in got.values()) and [x[0] for x in got[2]] == list(range(45))
+    for found in got.values():
+        assert found == sorted(found, key=lambda x: (-x[1], x[0])) and len({x[0] for x in found}) == 45
+    same_rows(catalogue.queries()["search_ldp_negative"](spark, sf), catalogue.oracle_sql()["search_ldp_negative"], sf)
