@@ -71,6 +71,8 @@ METHODS: dict[str, tuple[str, str, tuple[str, ...]]] = {
     "DLITE_CBRT": ("saturating", "dlite_cbrt", ("k1", "b")),
     "TF_LDP": ("ldp", "logn1", ("b", "d")),
 }
+#: Of these, each of k1, b and d by itself only raises or only lowers a weight, so the largest of a range is at a corner.
+MONOTONE = {"ratio", "saturating", "plus", "ldp"}
 DEFAULTS = {"k1": 1.5, "b": 0.75, "d": 1.0}
 
 

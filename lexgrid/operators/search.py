@@ -28,7 +28,7 @@ def in_vocabulary(terms: DataFrame, vocabulary: DataFrame) -> DataFrame:
     return terms.join(vocabulary.select("lang", "term"), on).select("query_id", "lang", "term", "qtf")
 
 
-def near_queries(index: Index, terms: DataFrame) -> DataFrame:
+def near_queries(postings: DataFrame, vocabulary: DataFrame, terms: DataFrame) -> DataFrame:
     """The postings of the queries' terms, all of a document in one task.
 
     A posting becomes a row for each query that holds its term only there, so neither those rows nor their sums are shuffled, and
@@ -36,8 +36,8 @@ def near_queries(index: Index, terms: DataFrame) -> DataFrame:
     """
     on = shared(terms)
     asking = terms.groupBy(*on).agg(F.count("*").alias("asking"))
-    met = index.vocabulary.join(asking, on).agg(F.sum(F.col("n") * F.col("asking"))).first()[0] or 0
-    return index.postings.join(asking.select(*on), on, "left_semi").repartition(-(-int(met) // ROWS) or 1, "lang", "doc_id")
+    met = vocabulary.join(asking, on).agg(F.sum(F.col("n") * F.col("asking"))).first()[0] or 0
+    return postings.join(asking.select(*on), on, "left_semi").repartition(-(-int(met) // ROWS) or 1, "lang", "doc_id")
 
 
 def shared(terms: DataFrame) -> list[str]:
@@ -86,7 +86,7 @@ def search(index: Index, queries: DataFrame, k: int = 10, *, padded: bool = Fals
     if k < 1:
         raise ValueError("k must be 1 at least")
     terms = query_terms(queries)
-    near = near_queries(index, terms)
+    near = near_queries(index.postings, index.vocabulary, terms)
 
     def scored(rows: DataFrame, asked: DataFrame) -> DataFrame:
         found = scores(rows, asked)
@@ -101,4 +101,4 @@ def search(index: Index, queries: DataFrame, k: int = 10, *, padded: bool = Fals
     if short.isEmpty():
         return top
     own = terms.join(short, [c for c in ("query_id", "lang") if c in terms.columns])
-    return rank(pad(top, short, scored(near_queries(index, own), own), index.documents, k), k)
+    return rank(pad(top, short, scored(near_queries(index.postings, index.vocabulary, own), own), index.documents, k), k)

@@ -5,6 +5,8 @@ from __future__ import annotations
 import hashlib
 import json
 from collections.abc import Iterable, Mapping
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,6 +14,7 @@ from pyspark.sql import functions as F
 from lexgrid.functions import weighting
 from lexgrid.operators import index as ix
 from lexgrid.operators import search as se
+from lexgrid.operators.workspace import materialise
 
 #: Tuned (lang, method, k1, b, d).
 BEST = (
@@ -51,33 +54,70 @@ def recall_overall(results: DataFrame, truth: DataFrame) -> DataFrame:
     return rolled.select(F.when(F.col("g") == 1, ALL).otherwise(F.col("lang")).alias("lang"), "n_queries", "recall")
 
 
+def corners(method: str, runs: list[tuple[float | None, ...]]) -> list[tuple[float | None, ...]]:
+    """The (k1, b, d) among which a weight is largest of all runs: of a method not known to be monotone, all."""
+    if weighting.METHODS[method][0] not in weighting.MONOTONE:
+        return runs
+    ends = [sorted({f(v) for f in (min, max)}) if v[0] is not None else [None] for v in zip(*runs)]
+    return [(k1, b, d) for k1 in ends[0] for b in ends[1] for d in ends[2]]
+
+
 def grid_search(docs: DataFrame, queries: DataFrame, truth: DataFrame, method: str, grid: list[tuple[float, float, float]], k: int = 10, digits: int | None = None) -> DataFrame:
     """(k1, b, d, lang, recall) for every (k1, b, d) of the grid.
 
-    The corpus is analysed, counted and met with the queries once. A word of a query in a document is one row up to the sums, which
-    are as many columns as there are points, in one aggregation; points that differ in parameters the method ignores share one.
-    Only then is there a row a point, of which each task keeps the k best of a query.
+    A document sought is among the k best at a point if fewer than k documents are before it there. So the documents sought are
+    scored at all points first. For all others there is a bound of what they can gain, one for the points that share b and d; only
+    those that reach the least score of the document sought at these points are scored at all points, which are columns of one
+    aggregation, and counted. There is never a row a point before the counts. Points that differ in parameters the method ignores
+    share one.
     """
     spark = docs.sparkSession
     used = weighting.METHODS[method][2]
     effective = lambda point: tuple(v if name in used else None for name, v in zip(("k1", "b", "d"), point))
     runs = sorted({effective(p) for p in grid}, key=str)
     points = spark.createDataFrame([(float(k1), float(b), float(d), runs.index(effective((k1, b, d)))) for k1, b, d in grid], "k1 double, b double, d double, run int")
+    cells = sorted({run[1:] for run in runs}, key=str)
+    within = [[i for i, run in enumerate(runs) if run[1:] == cell] for cell in cells]
+    rounded = lambda x: F.round(x, digits) if digits is not None else x
+
+    pair, keys = ["query_id", "lang"], ["query_id", "lang", "doc_id"]
+    truth = materialise(truth.select(*keys))
+    sought = truth.distinct()
     terms = se.query_terms(queries)
-    met = ix.statistics(docs, terms.select("term").distinct()).join(terms, ["lang", "term"] if "lang" in terms.columns else ["term"])
-    of = {"c": F.col("c"), "length": F.col("dl"), "mean": F.col("avg_len"), "total": F.col("n_docs"), "n": F.col("n")}
+    terms = materialise(terms.join(truth.select(*pair).distinct(), [c for c in pair if c in terms.columns]).select(*pair, "term", "qtf"))
+    tf, df, of = ix.counted(docs, terms.select("term").distinct())
+    rows = ix.joined(tf, df, of)
+    about = {"c": F.col("c"), "length": F.col("dl"), "mean": F.col("avg_len"), "total": F.col("n_docs"), "n": F.col("n")}
     default = weighting.DEFAULTS
-    gains = [F.col("qtf") * weighting.weight(method, **of, **{x: F.lit(float(default[x] if v is None else v)) for x, v in zip(("k1", "b", "d"), run)}) for run in runs]
-    keys = ["query_id", "lang", "doc_id"]
-    each = met.select(*keys, "qtf", "c", "dl", "avg_len", "n_docs", "n").repartition(*keys).groupBy(*keys).agg(*[F.sum(g).alias(f"s{i}") for i, g in enumerate(gains)])
-    score = [F.round(f"s{i}", digits) if digits is not None else F.col(f"s{i}") for i in range(len(runs))]
-    found = each.select(*keys, F.posexplode(F.array(*score)).alias("run", "score")).where("score IS NOT NULL")
-    order = se.W.partitionBy("run", "query_id", "lang").orderBy(F.desc("score"), "doc_id")
-    top = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-    hit = truth.join(top.select(*keys, "run"), keys).groupBy("lang", "run").agg(F.count("*").alias("hits"))
+    weight = lambda run: weighting.weight(method, **about, **{x: F.lit(float(default[x] if v is None else v)) for x, v in zip(("k1", "b", "d"), run)})
+    every = [F.sum(F.col("qtf") * weight(run)) for run in runs]
+
+    def at_all_points(pairs: DataFrame, into: str) -> DataFrame:
+        """(keys, into): the scores of some (query_id, lang, doc_id) at all points, null without a weight."""
+        met = pairs.join(terms, pair).join(rows, ["lang", "doc_id", "term"])
+        scored = met.groupBy(*keys).agg(*[x.alias(f"s{i}") for i, x in enumerate(every)])
+        return scored.select(*keys, F.array(*[rounded(F.col(f"s{i}")) for i in range(len(runs))]).alias(into))
+
+    goal = materialise(at_all_points(sought, "goal"))
+    least = goal.groupBy(*pair).agg(*[F.min(F.array_min(F.array(*[F.get("goal", F.lit(i)) for i in own]))).alias(f"l{j}") for j, own in enumerate(within)])
+    # A missing weight adds nothing, as 0 does.
+    tops = [F.greatest(F.lit(0.0), *[weight(run) for run in corners(method, [runs[i] for i in own])]).alias(f"w{j}") for j, own in enumerate(within)]
+    near = se.near_queries(rows.select("lang", "term", "doc_id", *tops), df, terms)
+    bounds = near.join(terms, ["lang", "term"]).groupBy(*keys).agg(*[F.sum(F.col("qtf") * F.col(f"w{j}")).alias(f"u{j}") for j in range(len(cells))])
+    slack = lambda x: (10.0**-digits if digits is not None else 0.0) + 1e-9 * (1 + F.abs(x))  # noqa: E731, of roundings
+    reach = [F.coalesce(F.col(f"u{j}") >= F.col(f"l{j}") - slack(F.col(f"l{j}")), F.lit(False)) for j in range(len(cells))]
+    rivals = materialise(bounds.join(F.broadcast(least), pair).where(reduce(or_, reach)).select(*keys))  # a row a benchmark text and language
+
+    met = at_all_points(rivals, "s").withColumnRenamed("doc_id", "other").join(goal, pair)
+    one, own = (lambda i: F.get("s", F.lit(i))), (lambda i: F.get("goal", F.lit(i)))
+    before = [F.sum(((one(i) > own(i)) | ((one(i) == own(i)) & (F.col("other") < F.col("doc_id")))).cast("int")).alias(f"b{i}") for i in range(len(runs))]
+    counts = goal.join(met.groupBy(*keys).agg(*before), keys, "left")
+    hit = F.array(*[(own(i).isNotNull() & (F.coalesce(f"b{i}", F.lit(0)) < k)).cast("int") for i in range(len(runs))])
+    told = counts.select(*keys, F.posexplode(hit).alias("run", "hit"))
+    hits_of = truth.join(told, keys).groupBy("lang", "run").agg(F.sum("hit").alias("hits"))
     asked = truth.groupBy("lang").agg(F.count("*").alias("asked"))
-    every = asked.withColumn("run", F.explode(F.sequence(F.lit(0), F.lit(len(runs) - 1))))
-    recall = every.join(hit, ["lang", "run"], "left").select("lang", "run", (F.coalesce("hits", F.lit(0)) / F.col("asked")).alias("recall"))
+    all_runs = asked.withColumn("run", F.explode(F.sequence(F.lit(0), F.lit(len(runs) - 1))))
+    recall = all_runs.join(hits_of, ["lang", "run"], "left").select("lang", "run", (F.coalesce("hits", F.lit(0)) / F.col("asked")).alias("recall"))
     return points.join(recall, "run").select("k1", "b", "d", "lang", "recall")
 
 

@@ -1,5 +1,6 @@
 """What grows with the corpus is dealt out by document or range, and gives the same results."""
 
+import random
 import re
 
 import pytest
@@ -9,6 +10,8 @@ from lexgrid import catalogue
 from lexgrid.functions.analysis import analyze
 from lexgrid.operators import index as ix
 from lexgrid.operators import search as se
+from lexgrid.operators.workspace import materialise
+from lexgrid.plans import evaluate
 
 
 def plan_of(df):
@@ -43,7 +46,7 @@ def test_tasks_grow_with_the_rows_of_queries(spark, monkeypatch):
     terms = se.query_terms(analyze(spark.createDataFrame([(i, "common rare common") for i in range(5)], "query_id long, text string")))
     index = ix.build_index(docs)
     monkeypatch.setattr(se, "ROWS", 100)  # of 5 * (200 + 23)
-    assert se.near_queries(index, terms).rdd.getNumPartitions() == 12
+    assert se.near_queries(index.postings, index.vocabulary, terms).rdd.getNumPartitions() == 12
 
 
 @pytest.mark.parametrize("few", [1, 1000])
@@ -57,3 +60,31 @@ def test_padding_beyond_the_limited_window(spark, sf, monkeypatch, few):
     for found in got.values():
         assert found == sorted(found, key=lambda x: (-x[1], x[0])) and len({x[0] for x in found}) == 45
     same_rows(catalogue.queries()["search_ldp_negative"](spark, sf), catalogue.oracle_sql()["search_ldp_negative"], sf)
+
+
+@pytest.mark.parametrize(("method", "digits"), [("BM25_V1", 2), ("TF_LDP", 6), ("BM25_PLUS", None)])
+def test_grid_counts_as_searches_rank(spark, method, digits):
+    """Ranks by counting, with ties, negative weights and documents that hold no word of a query, against a search for each point."""
+    rng = random.Random(5)
+    words = [f"w{min(int(rng.paretovariate(0.8)), 60)}" for _ in range(3000)]
+    docs = spark.createDataFrame([(rng.choice("xy"), i % 90, [rng.choice(words) for _ in range(rng.choice([0, 2, 9, 60]))]) for i in range(90)] + [("x", 90 + i, ["w1", "w2", "w3"]) for i in range(9)], "lang string, doc_id long, tokens array<string>")
+    queries = spark.createDataFrame([(q, [rng.choice(words) for _ in range(4)]) for q in range(12)] + [(20, ["w1", "w2", "w3"]), (21, ["none"])], "query_id long, tokens array<string>")
+    truth = spark.createDataFrame([(q, g, rng.randrange(99)) for q in (*range(12), 20, 21) for g in "xy"] + [(20, "x", 95), (20, "x", 98)], "query_id long, lang string, doc_id long")
+    points = [(1.0, 0.2, 0.3), (1.0, 0.9, 0.3), (2.0, 0.9, 0.3), (2.0, 0.2, 1.0)]
+    got = {(r["k1"], r["b"], r["d"], r["lang"]): r["recall"] for r in evaluate.grid_search(docs, queries, truth, method, points, 4, digits).collect()}
+    assert len(got) == 8 and len(set(got.values())) > 1
+    for k1, b, d in points:
+        found = se.search(ix.build_index(docs, method, k1=k1, b=b, d=d), queries, 4, digits=digits)
+        for r in evaluate.recall(found, truth).collect():
+            assert got[k1, b, d, r["lang"]] == pytest.approx(r["recall"])
+
+
+def test_grid_has_no_row_a_point_and_document(spark, monkeypatch):
+    """Of documents that cannot come before the one sought, none is scored at all points."""
+    docs = analyze(spark.createDataFrame([("xx", i, "the " + ("red house by the sea" if i == 3 else "filler text")) for i in range(80)], "lang string, doc_id long, text string"))
+    queries = analyze(spark.createDataFrame([(1, "the red house by the sea")], "query_id long, text string"))
+    truth, written = spark.createDataFrame([(1, "xx", 3)], "query_id long, lang string, doc_id long"), []
+    monkeypatch.setattr(evaluate, "materialise", lambda df: written.append(materialise(df)) or written[-1], raising=False)
+    got = evaluate.grid_search(docs, queries, truth, "BM25_V1", [(1.0, 0.5, 1.0), (2.0, 0.9, 1.0)]).collect()
+    assert [r["recall"] for r in got] == [1.0, 1.0]
+    assert [r["doc_id"] for r in written[-1].collect()] == [3]
