@@ -28,7 +28,7 @@ from lexgrid.functions import weighting
 from lexgrid.operators import index as ix
 from lexgrid.operators import snapshots, stats
 from lexgrid.operators.numbering import numbered_by
-from lexgrid.operators.search import query_terms, rank
+from lexgrid.operators.search import ROWS, query_terms, rank
 from lexgrid.operators.workspace import materialise
 
 #: Postings of a row, on average; and for each result wanted, postings of the strongest terms that are read for a first bound.
@@ -179,16 +179,21 @@ class TopK:
         strong = W.partitionBy(*self.Q).orderBy(F.desc("up"), "term").rowsBetween(W.unboundedPreceding, -1)  # a query's terms
         bounded = asked.select(*self.Q, "term", "qtf", "n", "shift", up.alias("up"), down.alias("down"))
         self.terms = materialise(bounded.withColumn("seed", F.coalesce(F.sum("n").over(strong), F.lit(0)) < SEEDS * k))
+        self.tasks = -(-int(self.terms.agg(F.sum("n")).first()[0] or 0) // ROWS) or 1
 
     def less(self, score: Column, bound: Column) -> Column:
         """Whether score is below bound for certain, roundings included; false without a bound."""
         return F.coalesce(score < bound - self.margin - 1e-9 * (1 + F.abs(bound)), F.lit(False))
 
     def gains(self, rows: DataFrame) -> DataFrame:
-        """(Q, doc, zone, score): sums over rows with blocks' columns."""
+        """(Q, doc, zone, score): sums over rows with blocks' columns.
+
+        A task may read blocks of a great many postings, so it sums none of them: each goes to one of as many tasks as keep what
+        they sum at about ROWS.
+        """
         each = unpacked(rows, *self.Q, "qtf", "n").join(self.about, "lang")
         each = each.select(*self.Q, "doc", F.call_function("shiftright", "doc", "zone_shift").alias("zone"), (F.col("qtf") * self.weight).alias("gain"))
-        return each.groupBy(*self.Q, "doc", "zone").agg(F.sum("gain").alias("score"))
+        return each.repartition(self.tasks, *self.Q, "doc", "zone").groupBy(*self.Q, "doc", "zone").agg(F.sum("gain").alias("score"))
 
     def kth(self, scored: DataFrame, least: Column) -> DataFrame:
         """(Q, bound): what the k-th best of scored has at least, if there are so many."""

@@ -8,6 +8,7 @@ from conftest import same_rows
 
 from lexgrid import catalogue
 from lexgrid.functions.analysis import analyze
+from lexgrid.operators import blocks
 from lexgrid.operators import index as ix
 from lexgrid.operators import search as se
 from lexgrid.operators.workspace import materialise
@@ -88,3 +89,23 @@ def test_grid_has_no_row_a_point_and_document(spark, monkeypatch):
     got = evaluate.grid_search(docs, queries, truth, "BM25_V1", [(1.0, 0.5, 1.0), (2.0, 0.9, 1.0)]).collect()
     assert [r["recall"] for r in got] == [1.0, 1.0]
     assert [r["doc_id"] for r in written[-1].collect()] == [3]
+
+
+def test_saved_postings_are_shuffled_once(spark, sf, tmp_path):
+    """After they are counted: neither a join by term nor another sort stands between term frequencies and the saved files."""
+    index = ix.build_index(catalogue.docs(spark, sf), "DLITE")
+    plan = plan_of(index.postings)
+    assert plan.count("rangepartitioning") == 1 and "SortMergeJoin" not in plan and ("lang", "term") not in dealt_by(plan)
+    ix.save_index(index, str(tmp_path / "i"))
+    for f in (tmp_path / "i" / "postings").rglob("*.parquet"):
+        rows = [(r["term"], r["doc_id"]) for r in spark.read.parquet(str(f)).collect()]
+        assert rows == sorted(rows)
+
+
+def test_blocks_are_summed_in_tasks_of_bounded_size(spark, sf, monkeypatch):
+    monkeypatch.setattr(blocks, "ROWS", 1000, raising=False)
+    queries = catalogue.asked(spark, sf)
+    steps = blocks.TopK(blocks.build_blocks(catalogue.docs(spark, sf), "TFIDF", terms=catalogue.terms_of(queries)), queries, 10, 6)
+    steps.run()
+    total = sum(r["postings"] for r in steps.reads().collect())
+    assert steps.gains(steps.read).rdd.getNumPartitions() == -(-total // 1000)
