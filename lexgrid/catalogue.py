@@ -222,9 +222,10 @@ def submission(spark: SparkSession, d: str) -> DataFrame:
 
 def index_round_trip(spark: SparkSession, d: str) -> DataFrame:
     """Two methods are saved at one path, and one is loaded."""
-    path = shared_folder(spark)
+    path, analysed = shared_folder(spark), docs(spark, d)
+    counts = ix.counted(analysed)
     for method in ("BM25_V1", "TFIDF"):
-        ix.save_index(ix.build_index(docs(spark, d), method), path)
+        ix.save_index(ix.build_index(analysed, method, counts=counts), path)
     return named(se.search(ix.load_index(spark, path, "BM25_V1"), asked(spark, d), 10, digits=6))
 
 

@@ -8,6 +8,7 @@ from functools import reduce
 from operator import or_
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lexgrid.functions import weighting
@@ -19,7 +20,8 @@ from lexgrid.operators.workspace import materialise, shared_folder
 class Index:
     """postings (lang, term, doc_id, weight); documents (lang, doc_id) with empty ones; vocabulary (lang, term, n); meta, a row a language.
 
-    settled: where the postings are already written in the layout of a saved index, if they are.
+    settled: where the postings are already written in the layout of a saved index, if they are. clustered: whether they come in
+    ranges of (lang, term), each sorted by these and doc_id.
     """
 
     postings: DataFrame
@@ -27,6 +29,7 @@ class Index:
     vocabulary: DataFrame
     meta: DataFrame
     settled: str | None = None
+    clustered: bool = False
 
 
 def counted(docs: DataFrame, terms: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -43,6 +46,13 @@ def joined(tf: DataFrame, df: DataFrame, of: DataFrame) -> DataFrame:
     return tf.join(df, ["lang", "term"]).join(F.broadcast(of), "lang")  # a row a language
 
 
+def gathered(tf: DataFrame, of: DataFrame) -> DataFrame:
+    """As joined(), in ranges of (lang, term), each sorted by these and doc_id: documents are counted there, so postings are
+    shuffled once, for their weights and for the layout in which they are saved."""
+    term = W.partitionBy("lang", "term").orderBy("doc_id").rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    return tf.repartitionByRange("lang", "term").withColumn("n", F.count("*").over(term)).join(F.broadcast(of), "lang")  # a row a language
+
+
 def statistics(docs: DataFrame, terms: DataFrame | None = None) -> DataFrame:
     """(lang, doc_id, term, c, dl, n, n_docs, avg_len): all that a weight needs. docs: lang, doc_id, tokens."""
     return joined(*counted(docs, terms))
@@ -61,16 +71,19 @@ def weigh_by_language(rows: DataFrame, params: DataFrame) -> DataFrame:
     return rows.withColumn("weight", w).where("weight IS NOT NULL")
 
 
-def build_index(docs: DataFrame, method: str = "BM25_V1", *, k1: float = 1.5, b: float = 0.75, d: float = 1.0, params: DataFrame | None = None, terms: DataFrame | None = None) -> Index:
-    """Index analysed documents. params gives method and parameters by language instead; terms restricts it to those of known queries."""
-    tf, df, of = counted(docs, terms)
-    rows = joined(tf, df, of)
+def build_index(docs: DataFrame, method: str = "BM25_V1", *, k1: float = 1.5, b: float = 0.75, d: float = 1.0, params: DataFrame | None = None, terms: DataFrame | None = None, counts: tuple[DataFrame, DataFrame, DataFrame] | None = None) -> Index:
+    """Index analysed documents. params gives method and parameters by language instead; terms restricts it to those of known queries.
+
+    counts: what counted() gave for the same documents and terms, if several methods are to share it.
+    """
+    tf, df, of = counts or counted(docs, terms)
+    rows = gathered(tf, of) if terms is None else joined(tf, df, of)
     weighed = weigh(rows, method, k1, b, d) if params is None else weigh_by_language(rows, params)
     if params is None:
         params = of.select("lang", F.lit(method).alias("method"), F.lit(float(k1)).alias("k1"), F.lit(float(b)).alias("b"), F.lit(float(d)).alias("d"))
     unique = df.groupBy("lang").agg(F.count("*").alias("num_unique"))
     meta = params.join(of.select("lang", F.col("n_docs").alias("num_corpus"), "avg_len"), "lang").join(unique, "lang", "left")
-    return Index(weighed.select("lang", "term", "doc_id", "weight"), docs.select("lang", "doc_id"), df, meta)
+    return Index(weighed.select("lang", "term", "doc_id", "weight"), docs.select("lang", "doc_id"), df, meta, clustered=terms is None)
 
 
 TABLES = ("postings", "documents", "vocabulary", "meta")
@@ -78,6 +91,10 @@ TABLES = ("postings", "documents", "vocabulary", "meta")
 
 def write_postings(index: Index, path: str) -> None:
     """Postings by method and language, clustered by term."""
+    methods = [r["method"] for r in index.meta.select("method").distinct().collect()]  # of eight
+    if index.clustered and len(methods) == 1:
+        index.postings.withColumn("method", F.lit(methods[0])).write.partitionBy("method", "lang").parquet(path)
+        return
     postings = index.postings.join(F.broadcast(index.meta.select("lang", "method")), "lang")  # a row a language
     clustered = postings.repartitionByRange("lang", "term").sortWithinPartitions("lang", "term", "doc_id")
     clustered.write.partitionBy("method", "lang").parquet(path)
@@ -87,7 +104,7 @@ def settle(index: Index) -> Index:
     """The index with its postings computed and written in the shared folder, so that saving it moves them, and a search reads them."""
     spark, path = index.meta.sparkSession, shared_folder(index.meta.sparkSession)
     write_postings(index, path)
-    return replace(index, postings=spark.read.parquet(path).select("lang", "term", "doc_id", "weight"), settled=path)
+    return replace(index, postings=spark.read.parquet(path).select("lang", "term", "doc_id", "weight"), settled=path, clustered=False)
 
 
 def save_index(index: Index, path: str) -> None:
@@ -105,7 +122,7 @@ def save_index(index: Index, path: str) -> None:
         if not index.settled or not snapshots.moved(spark, index.settled, to):
             write_postings(index, to)
         elif index.settled:
-            index.postings, index.settled = spark.read.parquet(to).select("lang", "term", "doc_id", "weight"), None
+            index.postings, index.settled, index.clustered = spark.read.parquet(to).select("lang", "term", "doc_id", "weight"), None, False
         for df, name, keys in ((index.documents, "documents", ["lang"]), (index.vocabulary, "vocabulary", ["lang"]), (index.meta.coalesce(1), "meta", ["method", "lang"])):
             df.write.partitionBy(*keys).parquet(snapshots.folder_of(path, name, snapshot))
 
