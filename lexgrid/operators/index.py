@@ -20,8 +20,8 @@ from lexgrid.operators.workspace import materialise, shared_folder
 class Index:
     """postings (lang, term, doc_id, weight); documents (lang, doc_id) with empty ones; vocabulary (lang, term, n); meta, a row a language.
 
-    settled: where the postings are already written in the layout of a saved index, if they are. clustered: whether they come in
-    ranges of (lang, term), each sorted by these and doc_id.
+    settled: where the postings are already written in the layout of a saved index, if they are. clustered: the postings that
+    come in ranges of (lang, term), each sorted by these and doc_id; others that take their place need not.
     """
 
     postings: DataFrame
@@ -29,7 +29,7 @@ class Index:
     vocabulary: DataFrame
     meta: DataFrame
     settled: str | None = None
-    clustered: bool = False
+    clustered: DataFrame | None = None
 
 
 def counted(docs: DataFrame, terms: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -83,7 +83,8 @@ def build_index(docs: DataFrame, method: str = "BM25_V1", *, k1: float = 1.5, b:
         params = of.select("lang", F.lit(method).alias("method"), F.lit(float(k1)).alias("k1"), F.lit(float(b)).alias("b"), F.lit(float(d)).alias("d"))
     unique = df.groupBy("lang").agg(F.count("*").alias("num_unique"))
     meta = params.join(of.select("lang", F.col("n_docs").alias("num_corpus"), "avg_len"), "lang").join(unique, "lang", "left")
-    return Index(weighed.select("lang", "term", "doc_id", "weight"), docs.select("lang", "doc_id"), df, meta, clustered=terms is None)
+    postings = weighed.select("lang", "term", "doc_id", "weight")
+    return Index(postings, docs.select("lang", "doc_id"), df, meta, clustered=postings if terms is None else None)
 
 
 TABLES = ("postings", "documents", "vocabulary", "meta")
@@ -92,7 +93,7 @@ TABLES = ("postings", "documents", "vocabulary", "meta")
 def write_postings(index: Index, path: str) -> None:
     """Postings by method and language, clustered by term."""
     methods = [r["method"] for r in index.meta.select("method").distinct().collect()]  # of eight
-    if index.clustered and len(methods) == 1:
+    if index.clustered is index.postings and len(methods) == 1:
         index.postings.withColumn("method", F.lit(methods[0])).write.partitionBy("method", "lang").parquet(path)
         return
     postings = index.postings.join(F.broadcast(index.meta.select("lang", "method")), "lang")  # a row a language
@@ -104,7 +105,7 @@ def settle(index: Index) -> Index:
     """The index with its postings computed and written in the shared folder, so that saving it moves them, and a search reads them."""
     spark, path = index.meta.sparkSession, shared_folder(index.meta.sparkSession)
     write_postings(index, path)
-    return replace(index, postings=spark.read.parquet(path).select("lang", "term", "doc_id", "weight"), settled=path, clustered=False)
+    return replace(index, postings=spark.read.parquet(path).select("lang", "term", "doc_id", "weight"), settled=path, clustered=None)
 
 
 def save_index(index: Index, path: str) -> None:
@@ -122,7 +123,7 @@ def save_index(index: Index, path: str) -> None:
         if not index.settled or not snapshots.moved(spark, index.settled, to):
             write_postings(index, to)
         elif index.settled:
-            index.postings, index.settled, index.clustered = spark.read.parquet(to).select("lang", "term", "doc_id", "weight"), None, False
+            index.postings, index.settled, index.clustered = spark.read.parquet(to).select("lang", "term", "doc_id", "weight"), None, None
         for df, name, keys in ((index.documents, "documents", ["lang"]), (index.vocabulary, "vocabulary", ["lang"]), (index.meta.coalesce(1), "meta", ["method", "lang"])):
             df.write.partitionBy(*keys).parquet(snapshots.folder_of(path, name, snapshot))
 
