@@ -33,13 +33,18 @@ class Index:
 
 
 def counted(docs: DataFrame, terms: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(term frequencies, document frequencies, corpus statistics); texts are analysed once for terms and once for lengths.
+    """(term frequencies, document frequencies, corpus statistics); texts are analysed once, and counted where they lie.
 
-    All are written: the others and the postings read term frequencies, and by the size of what is written Spark tells whether
-    document frequencies can be sent to all tasks, so that no task gets a frequent term of all documents.
+    All but the term frequencies of all words are written: by the size of what is written Spark tells whether document
+    frequencies can be sent to all tasks, so that no task gets a frequent term of all documents.
     """
-    tf = materialise(stats.term_frequency(docs, terms))
-    return tf, materialise(stats.document_frequency(tf)), materialise(stats.corpus_stats(docs))
+    rows = materialise(stats.packed(docs))
+    tf = stats.unpacked(rows, terms)
+    if not rows.groupBy("lang", "doc_id").count().where("count > 1").isEmpty():  # a document in several rows
+        tf = stats.merged(tf)
+    tf = tf if terms is None else materialise(tf)
+    of = rows.groupBy("lang").agg(F.count("*").alias("n_docs"), F.avg(F.col("dl").cast("double")).alias("avg_len"))
+    return tf, materialise(stats.document_frequency(tf)), materialise(of)
 
 
 def joined(tf: DataFrame, df: DataFrame, of: DataFrame) -> DataFrame:

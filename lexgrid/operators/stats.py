@@ -27,6 +27,27 @@ def term_frequency(docs: DataFrame, terms: DataFrame | None = None) -> DataFrame
     return rows.groupBy("lang", "doc_id", "term", "dl").agg(F.count("*").alias("c"))
 
 
+def packed(docs: DataFrame) -> DataFrame:
+    """(lang, doc_id, dl, terms, counts): a row of docs is counted by itself, in the order of its words, so nothing is shuffled or kept."""
+    ordered = docs.select("lang", "doc_id", F.size("tokens").alias("dl"), F.sort_array("tokens").alias("s"))
+    first = F.filter(F.sequence(F.lit(0), F.size("s") - 1), lambda i: (i == 0) | ~F.get("s", i).eqNullSafe(F.get("s", i - 1)))
+    placed = ordered.withColumn("at", F.when(F.size("s") > 0, first).otherwise(F.array().cast("array<int>")))
+    counts = F.transform("at", lambda x, i: F.coalesce(F.get("at", i + 1), F.col("dl")) - x)
+    return placed.select("lang", "doc_id", "dl", F.transform("at", lambda x: F.get("s", x)).alias("terms"), counts.alias("counts"))
+
+
+def unpacked(rows: DataFrame, terms: DataFrame | None = None, id: str = "doc_id") -> DataFrame:
+    """As term_frequency(), of rows of packed(), each a document of its own."""
+    out = rows.select("lang", id, "dl", F.explode(F.arrays_zip("terms", "counts")).alias("p")).select("lang", id, "p.terms", "dl", "p.counts")
+    out = out.toDF("lang", id, "term", "dl", "c").where("term IS NOT NULL").withColumn("c", F.col("c").cast("bigint"))
+    return out if terms is None else out.join(terms, "term", "left_semi").select("lang", id, "term", "dl", "c")
+
+
+def merged(tf: DataFrame) -> DataFrame:
+    """Counts of documents that came in several rows, added up."""
+    return tf.groupBy(*[c for c in tf.columns if c != "c"]).agg(F.sum("c").alias("c"))
+
+
 def document_frequency(tf: DataFrame) -> DataFrame:
     """(lang, term, n): a row of tf is a document that holds the term, so no second distinct is needed."""
     return tf.groupBy("lang", "term").agg(F.count("*").alias("n"))

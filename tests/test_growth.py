@@ -11,6 +11,7 @@ from lexgrid.functions.analysis import analyze
 from lexgrid.operators import blocks
 from lexgrid.operators import index as ix
 from lexgrid.operators import search as se
+from lexgrid.operators import stats
 from lexgrid.operators.workspace import materialise
 from lexgrid.plans import evaluate
 
@@ -109,3 +110,24 @@ def test_blocks_are_summed_in_tasks_of_bounded_size(spark, sf, monkeypatch):
     steps.run()
     total = sum(r["postings"] for r in steps.reads().collect())
     assert steps.gains(steps.read).rdd.getNumPartitions() == -(-total // 1000)
+
+
+def odd_documents(spark, again=False):
+    rows = [("x", 1, ["b", "a", "b", "b"]), ("y", 1, ["a"]), ("x", 2, []), ("x", 3, None), ("x", 4, ["", "zz", ""]), ("x", 5, ["b", None, "b"]), (None, 6, ["a", "a"])]
+    return spark.createDataFrame(rows + [("x", 1, ["b", "c", "b", "d"]), ("x", 7, ["a"])] * again, "lang string, doc_id long, tokens array<string>")
+
+
+@pytest.mark.parametrize("again", [False, True])
+@pytest.mark.parametrize("few", [False, True])
+def test_words_are_counted_where_a_document_lies(spark, monkeypatch, again, few):
+    """No term frequency is shuffled to be counted, unless a document comes in several rows; counts are the same."""
+    written = []
+    monkeypatch.setattr(ix, "materialise", lambda df: written.append(plan_of(df)) or materialise(df))
+    docs = odd_documents(spark, again)
+    terms = spark.createDataFrame([("b",), ("zz",), ("c",)], "term string") if few else None
+    tf, df, of = ix.counted(docs, terms)
+    if not again:
+        assert not any({"doc_id", "doc"} & set(keys) for plan in written for keys in dealt_by(plan))
+    told = lambda x: sorted((tuple(r[c] for c in sorted(x.columns)) for r in x.collect()), key=repr)
+    want = stats.term_frequency(docs, terms)
+    assert told(tf) == told(want) and told(df) == told(stats.document_frequency(want)) and told(of) == told(stats.corpus_stats(docs))
