@@ -60,14 +60,20 @@ def shift_of(documents: Column) -> Column:
 def build_blocks(docs: DataFrame, method: str = "BM25_V1", *, k1: float = 1.5, b: float = 0.75, d: float = 1.0, params: DataFrame | None = None, terms: DataFrame | None = None, size: int = SIZE) -> BlockIndex:
     """Index analysed documents (lang, doc_id, tokens), whose ids are unique in a language; arguments as of index.build_index.
 
-    Term frequencies get the documents' numbers after they are counted, so texts are never shuffled.
+    Texts are counted where they lie, and a document's counts get its number before they become a row a word. Postings are
+    shuffled once, by term: there they are counted, weighed and put into blocks.
     """
-    lengths = docs.where("lang IS NOT NULL").groupBy("lang", "doc_id").agg(F.min(F.size("tokens")).alias("dl"), F.sum(F.size("tokens")).alias("words"), F.count("*").alias("copies"))
+    counts = materialise(stats.packed(docs.where("lang IS NOT NULL")))
+    lengths = counts.groupBy("lang", "doc_id").agg(F.min("dl").alias("dl"), F.sum("dl").alias("words"), F.count("*").alias("copies"))
     placed = numbered_by(lengths, ["lang"], ["dl", "doc_id"], "doc")
-    of = materialise(placed.groupBy("lang").agg(F.sum("copies").alias("n_docs"), (F.sum("words") / F.sum("copies")).alias("avg_len")))
+    of = materialise(placed.groupBy("lang").agg(F.sum("copies").alias("n_docs"), (F.sum("words") / F.sum("copies")).alias("avg_len"), F.max("copies").alias("copies")))
     documents = placed.select("lang", "doc", "doc_id")
-    tf = materialise(stats.term_frequency(docs, terms))
-    rows = ix.joined(tf.join(documents, ["lang", "doc_id"]).drop("doc_id").withColumnRenamed("doc", "doc_id"), stats.document_frequency(tf), of)
+    tf = stats.unpacked(counts.join(documents, ["lang", "doc_id"]), terms, "doc")
+    if (of.agg(F.max("copies")).first()[0] or 0) > 1:
+        tf = stats.merged(tf)
+    of = of.drop("copies")
+    # By term first: Spark sorts by the beginnings of the first column.
+    rows = tf.withColumnRenamed("doc", "doc_id").withColumn("n", F.count("*").over(W.partitionBy("term", "lang"))).join(F.broadcast(of), "lang")  # a row a language
     if params is None:
         rows = ix.weigh(rows, method, k1, b, d)
         params = of.select("lang", F.lit(method).alias("method"), F.lit(float(k1)).alias("k1"), F.lit(float(b)).alias("b"), F.lit(float(d)).alias("d"))
@@ -77,11 +83,9 @@ def build_blocks(docs: DataFrame, method: str = "BM25_V1", *, k1: float = 1.5, b
     rows = rows.withColumn("shift", F.when(F.col("n") < FREQUENT, own).otherwise(F.least(own, zone)))
     rows = rows.withColumn("block", F.call_function("shiftright", F.col("doc_id"), F.col("shift")))
     place = (F.col("doc_id") - F.call_function("shiftleft", F.col("block"), F.col("shift"))).cast("int")
-    # The key is not that of the join before it, so a frequent term's rows are dealt out anew, by block.
-    key = F.struct("lang", "term", "shift", "n").alias("key")
     one = F.struct(place.alias("doc"), F.col("c").cast("int").alias("c"), F.col("dl").cast("int").alias("dl"))
-    grouped = rows.groupBy(key, "block").agg(F.sort_array(F.collect_list(one)).alias("p"), F.max("weight").alias("top"), F.min("weight").alias("low"))
-    blocks = materialise(grouped.select("key.lang", "key.term", "block", "key.shift", "key.n", F.col("p.doc").alias("docs"), F.col("p.c").alias("counts"), F.col("p.dl").alias("lengths"), "top", "low"))
+    grouped = rows.groupBy("term", "lang", "shift", "n", "block").agg(F.sort_array(F.collect_list(one)).alias("p"), F.max("weight").alias("top"), F.min("weight").alias("low"))
+    blocks = materialise(grouped.select("lang", "term", "block", "shift", "n", F.col("p.doc").alias("docs"), F.col("p.c").alias("counts"), F.col("p.dl").alias("lengths"), "top", "low"))
     meta = params.join(of.select("lang", F.col("n_docs").alias("num_corpus"), "avg_len", zone.alias("zone_shift")), "lang")
     vocabulary = blocks.groupBy("lang", "term").agg(F.max("n").alias("n"), F.max("shift").alias("shift"), F.max("top").alias("top"), F.min("low").alias("low"))
     frequent = in_zones(blocks.where(F.col("n") >= FREQUENT), meta)

@@ -131,3 +131,20 @@ def test_words_are_counted_where_a_document_lies(spark, monkeypatch, again, few)
     told = lambda x: sorted((tuple(r[c] for c in sorted(x.columns)) for r in x.collect()), key=repr)
     want = stats.term_frequency(docs, terms)
     assert told(tf) == told(want) and told(df) == told(stats.document_frequency(want)) and told(of) == told(stats.corpus_stats(docs))
+
+
+def test_blocks_come_from_one_shuffle_of_postings(spark, sf, monkeypatch):
+    written = []
+    monkeypatch.setattr(blocks, "materialise", lambda df: written.append((df.columns, plan_of(df))) or materialise(df))
+    blocks.build_blocks(catalogue.docs(spark, sf), "DLITE")
+    dealt = [keys for columns, plan in written for keys in dealt_by(plan) if "docs" in columns or "term" in columns]
+    assert [k for k in dealt if {"term", "doc"} & set(k)] == [("term", "lang")] and ("lang", "doc_id", "term", "dl") not in dealt
+
+
+@pytest.mark.parametrize("few", [False, True])
+def test_blocks_of_documents_in_several_rows(spark, few):
+    docs = odd_documents(spark, True)
+    terms = spark.createDataFrame([("b",), ("a",)], "term string") if few else None
+    told = lambda x: sorted((r["lang"], r["term"], r["doc_id"], round(r["weight"], 9)) for r in x.collect())
+    got = told(blocks.postings(blocks.build_blocks(docs.where("doc_id <> 3"), "BM25_V1", terms=terms)))
+    assert got == told(ix.build_index(docs.where("doc_id <> 3"), "BM25_V1", terms=terms).postings) and got
