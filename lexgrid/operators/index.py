@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass, replace
 from functools import reduce
 from operator import or_
@@ -21,7 +21,8 @@ class Index:
     """postings (lang, term, doc_id, weight); documents (lang, doc_id) with empty ones; vocabulary (lang, term, n); meta, a row a language.
 
     settled: where the postings are already written in the layout of a saved index, if they are. clustered: the postings that
-    come in ranges of (lang, term), each sorted by these and doc_id; others that take their place need not.
+    come in ranges of (lang, term), each sorted by these and doc_id; others that take their place need not. dealt: the postings
+    that come from packed counts, and what gives them dealt by document to a number of tasks.
     """
 
     postings: DataFrame
@@ -30,6 +31,48 @@ class Index:
     meta: DataFrame
     settled: str | None = None
     clustered: DataFrame | None = None
+    dealt: tuple[DataFrame, Callable[[int], DataFrame]] | None = None
+
+    def dealer(self) -> Callable[[int], DataFrame] | None:
+        """What deals the postings by document, unless others took the place of those it gives."""
+        return self.dealt[1] if self.dealt and self.dealt[0] is self.postings else None
+
+
+#: Words of known queries to which texts are restricted where they are counted; if there are more, rows of words are.
+WORDS = 20_000
+
+
+@dataclass
+class Packs:
+    """Rows of stats.packed(), written. terms: what they are still to be restricted to; several: a document is in several rows."""
+
+    rows: DataFrame
+    terms: DataFrame | None
+    several: bool
+
+    def frequencies(self, tasks: int | None = None) -> DataFrame:
+        """As stats.term_frequency(). tasks: all of a document in one of so many.
+
+        Documents are dealt as they are packed: the task that sends rows holds all it sends until they are sorted, and a row a word
+        is many times larger.
+        """
+        rows = self.rows if tasks is None else self.rows.repartition(tasks, "lang", "doc_id")
+        tf = stats.unpacked(rows, self.terms)
+        return stats.merged(tf) if self.several else tf
+
+    def counted(self) -> tuple[DataFrame, DataFrame, DataFrame]:
+        of = self.rows.groupBy("lang").agg(F.count("*").alias("n_docs"), F.avg(F.col("dl").cast("double")).alias("avg_len"))
+        tf = self.frequencies()
+        return tf, materialise(stats.document_frequency(tf)), materialise(of)
+
+
+def pack(docs: DataFrame, terms: DataFrame | None = None) -> Packs:
+    """Analysed documents, counted where they lie; texts are analysed once."""
+    words = None if terms is None else [r["term"] for r in terms.where("term IS NOT NULL").limit(WORDS + 1).collect()]
+    few = words is not None and len(words) <= WORDS
+    rows = materialise(stats.packed(docs, words if few else None))
+    several = not rows.groupBy("lang", "doc_id").count().where("count > 1").isEmpty()
+    return Packs(rows, None if few else terms, several)
 
 
 def counted(docs: DataFrame, terms: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -38,13 +81,8 @@ def counted(docs: DataFrame, terms: DataFrame | None = None) -> tuple[DataFrame,
     All but the term frequencies of all words are written: by the size of what is written Spark tells whether document
     frequencies can be sent to all tasks, so that no task gets a frequent term of all documents.
     """
-    rows = materialise(stats.packed(docs))
-    tf = stats.unpacked(rows, terms)
-    if not rows.groupBy("lang", "doc_id").count().where("count > 1").isEmpty():  # a document in several rows
-        tf = stats.merged(tf)
-    tf = tf if terms is None else materialise(tf)
-    of = rows.groupBy("lang").agg(F.count("*").alias("n_docs"), F.avg(F.col("dl").cast("double")).alias("avg_len"))
-    return tf, materialise(stats.document_frequency(tf)), materialise(of)
+    tf, df, of = pack(docs, terms).counted()
+    return tf if terms is None else materialise(tf), df, of
 
 
 def joined(tf: DataFrame, df: DataFrame, of: DataFrame) -> DataFrame:
@@ -81,15 +119,21 @@ def build_index(docs: DataFrame, method: str = "BM25_V1", *, k1: float = 1.5, b:
 
     counts: what counted() gave for the same documents and terms, if several methods are to share it.
     """
-    tf, df, of = counts or counted(docs, terms)
-    rows = gathered(tf, of) if terms is None else joined(tf, df, of)
-    weighed = weigh(rows, method, k1, b, d) if params is None else weigh_by_language(rows, params)
+    packs = None if counts or terms is None else pack(docs, terms)
+    tf, df, of = packs.counted() if packs else counts or counted(docs, terms)
+    by_language = params
+
+    def weighed(rows: DataFrame) -> DataFrame:
+        rows = weigh(rows, method, k1, b, d) if by_language is None else weigh_by_language(rows, by_language)
+        return rows.select("lang", "term", "doc_id", "weight")
+
     if params is None:
         params = of.select("lang", F.lit(method).alias("method"), F.lit(float(k1)).alias("k1"), F.lit(float(b)).alias("b"), F.lit(float(d)).alias("d"))
     unique = df.groupBy("lang").agg(F.count("*").alias("num_unique"))
     meta = params.join(of.select("lang", F.col("n_docs").alias("num_corpus"), "avg_len"), "lang").join(unique, "lang", "left")
-    postings = weighed.select("lang", "term", "doc_id", "weight")
-    return Index(postings, docs.select("lang", "doc_id"), df, meta, clustered=postings if terms is None else None)
+    postings = weighed(gathered(tf, of) if terms is None else joined(tf, df, of))
+    dealt = (postings, lambda tasks: weighed(joined(packs.frequencies(tasks), df, of))) if packs else None
+    return Index(postings, docs.select("lang", "doc_id"), df, meta, clustered=postings if terms is None else None, dealt=dealt)
 
 
 TABLES = ("postings", "documents", "vocabulary", "meta")

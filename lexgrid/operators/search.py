@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -28,16 +30,18 @@ def in_vocabulary(terms: DataFrame, vocabulary: DataFrame) -> DataFrame:
     return terms.join(vocabulary.select("lang", "term"), on).select("query_id", "lang", "term", "qtf")
 
 
-def near_queries(postings: DataFrame, vocabulary: DataFrame, terms: DataFrame) -> DataFrame:
+def near_queries(postings: DataFrame, vocabulary: DataFrame, terms: DataFrame, dealer: Callable[[int], DataFrame] | None = None) -> DataFrame:
     """The postings of the queries' terms, all of a document in one task.
 
     A posting becomes a row for each query that holds its term only there, so neither those rows nor their sums are shuffled, and
-    no task holds a frequent term of all documents. There are as many tasks as keep those rows at about ROWS each.
+    no task holds a frequent term of all documents. There are as many tasks as keep those rows at about ROWS each. dealer: gives
+    the same postings, dealt to so many tasks before they are a row each.
     """
     on = shared(terms)
     asking = terms.groupBy(*on).agg(F.count("*").alias("asking"))
     met = vocabulary.join(asking, on).agg(F.sum(F.col("n") * F.col("asking"))).first()[0] or 0
-    return postings.join(asking.select(*on), on, "left_semi").repartition(-(-int(met) // ROWS) or 1, "lang", "doc_id")
+    tasks = -(-int(met) // ROWS) or 1
+    return dealer(tasks) if dealer else postings.join(asking.select(*on), on, "left_semi").repartition(tasks, "lang", "doc_id")
 
 
 def shared(terms: DataFrame) -> list[str]:
@@ -86,7 +90,7 @@ def search(index: Index, queries: DataFrame, k: int = 10, *, padded: bool = Fals
     if k < 1:
         raise ValueError("k must be 1 at least")
     terms = query_terms(queries)
-    near = near_queries(index.postings, index.vocabulary, terms)
+    near = near_queries(index.postings, index.vocabulary, terms, index.dealer())
 
     def scored(rows: DataFrame, asked: DataFrame) -> DataFrame:
         found = scores(rows, asked)
@@ -101,4 +105,4 @@ def search(index: Index, queries: DataFrame, k: int = 10, *, padded: bool = Fals
     if short.isEmpty():
         return top
     own = terms.join(short, [c for c in ("query_id", "lang") if c in terms.columns])
-    return rank(pad(top, short, scored(near_queries(index.postings, index.vocabulary, own), own), index.documents, k), k)
+    return rank(pad(top, short, scored(near_queries(index.postings, index.vocabulary, own, index.dealer()), own), index.documents, k), k)

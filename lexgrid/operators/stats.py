@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -27,12 +29,16 @@ def term_frequency(docs: DataFrame, terms: DataFrame | None = None) -> DataFrame
     return rows.groupBy("lang", "doc_id", "term", "dl").agg(F.count("*").alias("c"))
 
 
-def packed(docs: DataFrame) -> DataFrame:
-    """(lang, doc_id, dl, terms, counts): a row of docs is counted by itself, in the order of its words, so nothing is shuffled or kept."""
-    ordered = docs.select("lang", "doc_id", F.size("tokens").alias("dl"), F.sort_array("tokens").alias("s"))
+def packed(docs: DataFrame, words: Sequence[str] | None = None) -> DataFrame:
+    """(lang, doc_id, dl, terms, counts): a row of docs is counted by itself, in the order of its words, so nothing is shuffled or kept.
+
+    words: those that are counted, if not all are; dl is that of all.
+    """
+    kept = F.col("tokens") if words is None else F.filter("tokens", lambda t: t.isin(list(words)))  # a hashed set, looked into once a token
+    ordered = docs.select("lang", "doc_id", F.size("tokens").alias("dl"), F.sort_array(kept).alias("s"))
     first = F.filter(F.sequence(F.lit(0), F.size("s") - 1), lambda i: (i == 0) | ~F.get("s", i).eqNullSafe(F.get("s", i - 1)))
     placed = ordered.withColumn("at", F.when(F.size("s") > 0, first).otherwise(F.array().cast("array<int>")))
-    counts = F.transform("at", lambda x, i: F.coalesce(F.get("at", i + 1), F.col("dl")) - x)
+    counts = F.transform("at", lambda x, i: F.coalesce(F.get("at", i + 1), F.size("s")) - x)
     return placed.select("lang", "doc_id", "dl", F.transform("at", lambda x: F.get("s", x)).alias("terms"), counts.alias("counts"))
 
 

@@ -85,8 +85,9 @@ def grid_search(docs: DataFrame, queries: DataFrame, truth: DataFrame, method: s
     sought = truth.distinct()
     terms = se.query_terms(queries)
     terms = materialise(terms.join(truth.select(*pair).distinct(), [c for c in pair if c in terms.columns]).select(*pair, "term", "qtf"))
-    tf, df, of = ix.counted(docs, terms.select("term").distinct())
-    rows = ix.joined(tf, df, of)
+    packs = ix.pack(docs, terms.select("term").distinct())
+    tf, df, of = packs.counted()
+    rows = ix.joined(materialise(tf), df, of)
     about = {"c": F.col("c"), "length": F.col("dl"), "mean": F.col("avg_len"), "total": F.col("n_docs"), "n": F.col("n")}
     default = weighting.DEFAULTS
     weight = lambda run: weighting.weight(method, **about, **{x: F.lit(float(default[x] if v is None else v)) for x, v in zip(("k1", "b", "d"), run)})
@@ -102,7 +103,8 @@ def grid_search(docs: DataFrame, queries: DataFrame, truth: DataFrame, method: s
     least = goal.groupBy(*pair).agg(*[F.min(F.array_min(F.array(*[F.get("goal", F.lit(i)) for i in own]))).alias(f"l{j}") for j, own in enumerate(within)])
     # A missing weight adds nothing, as 0 does.
     tops = [F.greatest(F.lit(0.0), *[weight(run) for run in corners(method, [runs[i] for i in own])]).alias(f"w{j}") for j, own in enumerate(within)]
-    near = se.near_queries(rows.select("lang", "term", "doc_id", *tops), df, terms)
+    bounded = lambda rows: rows.select("lang", "term", "doc_id", *tops)
+    near = se.near_queries(bounded(rows), df, terms, lambda tasks: bounded(ix.joined(packs.frequencies(tasks), df, of)))
     bounds = near.join(terms, ["lang", "term"]).groupBy(*keys).agg(*[F.sum(F.col("qtf") * F.col(f"w{j}")).alias(f"u{j}") for j in range(len(cells))])
     slack = lambda x: (10.0**-digits if digits is not None else 0.0) + 1e-9 * (1 + F.abs(x))  # noqa: E731, of roundings
     reach = [F.coalesce(F.col(f"u{j}") >= F.col(f"l{j}") - slack(F.col(f"l{j}")), F.lit(False)) for j in range(len(cells))]

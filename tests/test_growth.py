@@ -148,3 +148,33 @@ def test_blocks_of_documents_in_several_rows(spark, few):
     told = lambda x: sorted((r["lang"], r["term"], r["doc_id"], round(r["weight"], 9)) for r in x.collect())
     got = told(blocks.postings(blocks.build_blocks(docs.where("doc_id <> 3"), "BM25_V1", terms=terms)))
     assert got == told(ix.build_index(docs.where("doc_id <> 3"), "BM25_V1", terms=terms).postings) and got
+
+
+@pytest.mark.parametrize("name", ["search_bm25_v2", "recall_at_10"])
+def test_documents_are_dealt_before_their_words_are_rows(spark, sf, monkeypatch, name):
+    """What a task holds to send it is a row a document; a row a posting comes only where it is summed."""
+    monkeypatch.setattr(se, "ROWS", 1000)
+    plan = plan_of(catalogue.queries()[name](spark, sf))
+    dealt = re.search(r"hashpartitioning\(lang#\d+, doc_id#\d+L?, \d+\), REPARTITION", plan).start()
+    assert 0 <= plan.find("Generate explode(arrays_zip(terms") < dealt and "term#" not in plan[dealt:].split("Scan parquet")[0]
+
+
+@pytest.mark.parametrize("again", [False, True])
+@pytest.mark.parametrize("words", [1, 20_000])
+def test_dealt_documents_have_the_same_counts(spark, monkeypatch, again, words):
+    """Also with more words asked for than texts are restricted to, and of documents in several rows."""
+    monkeypatch.setattr(ix, "WORDS", words)
+    docs, terms = odd_documents(spark, again), spark.createDataFrame([("b",), ("zz",), ("c",)], "term string")
+    told = lambda x: sorted((tuple(r[c] for c in sorted(x.columns)) for r in x.collect()), key=repr)
+    packs = ix.pack(docs, terms)
+    dealt = packs.frequencies(3)
+    assert dealt.rdd.getNumPartitions() == 3 and told(dealt) == told(packs.frequencies()) == told(stats.term_frequency(docs, terms))
+    assert told(packs.counted()[2]) == told(stats.corpus_stats(docs))
+
+
+def test_other_postings_are_searched_as_they_are(spark):
+    docs = analyze(spark.createDataFrame([("xx", i, "common " + "rare" * (i % 3 == 0)) for i in range(9)], "lang string, doc_id long, text string"))
+    queries = analyze(spark.createDataFrame([(1, "common rare")], "query_id long, text string"))
+    index = ix.build_index(docs, terms=se.query_terms(queries).select("term").distinct())
+    index.postings = index.postings.where("doc_id > 5")
+    assert {r["doc_id"] for r in se.search(index, queries).collect()} == {6, 7, 8}
