@@ -132,7 +132,7 @@ def build_index(docs: DataFrame, method: str = "BM25_V1", *, k1: float = 1.5, b:
     unique = df.groupBy("lang").agg(F.count("*").alias("num_unique"))
     meta = params.join(of.select("lang", F.col("n_docs").alias("num_corpus"), "avg_len"), "lang").join(unique, "lang", "left")
     postings = weighed(gathered(tf, of) if terms is None else joined(tf, df, of))
-    dealt = (postings, lambda tasks: weighed(joined(packs.frequencies(tasks), df, of))) if packs else None
+    dealt = (postings, lambda tasks: weighed(joined(packs.frequencies(tasks), df if packs.terms is not None else F.broadcast(df), of))) if packs else None
     return Index(postings, docs.select("lang", "doc_id"), df, meta, clustered=postings if terms is None else None, dealt=dealt)
 
 

@@ -14,6 +14,8 @@ from lexgrid.operators.workspace import materialise
 
 #: Rows of a query's term in a document that one task sums, on average.
 ROWS = 2_000_000
+#: Terms of a batch of queries up to which they are sent to all tasks, so that no task gets a frequent term of all documents.
+SENT = 200_000
 #: Documents that Spark's limited window keeps at most.
 FEW = 1000
 
@@ -90,6 +92,7 @@ def search(index: Index, queries: DataFrame, k: int = 10, *, padded: bool = Fals
     if k < 1:
         raise ValueError("k must be 1 at least")
     terms = query_terms(queries)
+    terms = F.broadcast(terms) if terms.count() <= SENT else terms
     near = near_queries(index.postings, index.vocabulary, terms, index.dealer())
 
     def scored(rows: DataFrame, asked: DataFrame) -> DataFrame:
