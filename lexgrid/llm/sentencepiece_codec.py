@@ -20,17 +20,20 @@ from __future__ import annotations
 import hashlib
 import re
 import struct
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 SPACE = "▁".encode()
 CHUNKS = re.compile(" +[^ ]*").findall
-#: Bytes of chunks and their ids kept by a process; when full, the cache starts anew. Longer chunks than LONG are not kept.
-CACHED, ENTRY, LONG = 128 * 2**20, 250, 200
+#: Bytes of chunks and their ids kept by a process, in two halves: when the younger is full, it becomes the older, whose chunks
+#: are dropped but for those met since. ENTRY is what a chunk takes beside its letters. Longer chunks than LONG are not kept.
+CACHED, ENTRY, LONG = 24 * 2**20, 180, 200
 
 
 def fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -143,9 +146,11 @@ class Codec:
         inner = any("▁" in self.model.id_to_piece(i).lstrip("▁") for i in range(n))
         plain = not self.normalise.map.units and not self.normalise.squeeze and self.normalise.prefix and self.normalise.escape
         self.by_chunks = plain and not inner
-        self.cache: dict[str, tuple[bytes, str] | None] = {}
+        self.cache: dict[str, bytes | None] = {}
+        self.older: dict[str, bytes | None] = {}
         self.held = 0
         self.lengths, self.space = self.sizes.tolist(), self.model.piece_to_id("▁")
+        self.decimals = [*map(str, range(n))]
 
     def project(self, ids: np.ndarray, at: np.ndarray, lead: int) -> np.ndarray:
         """The spans of pieces whose sizes add up to the normalised text, `lead` bytes of which are the dummy prefix."""
@@ -163,55 +168,51 @@ class Codec:
             return np.array([p.id for p in found], dtype=np.int32), np.array([(p.begin, p.end) for p in found], dtype=np.int64).reshape(-1, 2)
         return ids, self.project(ids, at, lead)
 
-    def look_up(self, pieces: list[str]) -> list[tuple[bytes, str] | None]:
-        """The ids of each chunk, a run of spaces and what follows up to the next: as 32-bit numbers, and in decimals.
+    def look_up(self, pieces: list[str]) -> list[bytes | None]:
+        """The ids of each chunk, a run of spaces and what follows up to the next, as 32-bit numbers.
 
         None stands for a chunk whose pieces do not add up to it, as it holds characters that the model does not know.
         """
-        cache = self.cache
-        new = list({p for p in pieces if p not in cache})
-        if not new:
-            return [cache[p] for p in pieces]
-        long = {}
+        young, older = self.cache, self.older
+        missing = {p for p in pieces if p not in young}
+        if not missing:
+            return [young[p] for p in pieces]
+        found = {p: older[p] for p in missing if p in older}
+        new = [p for p in missing if p not in found]
         all_ids = self.model.encode([p[1:] for p in new], num_threads=1)  # the first space is what the dummy prefix stands for
-        if self.held > CACHED:
-            new_set = set(new)
-            long = {p: cache[p] for p in set(pieces) - new_set}
-            cache.clear()
-            self.held = 0
         for p, ids in zip(new, all_ids):
             if p == " ":
                 ids = [self.space]
             if self.unknown in ids or sum(map(self.lengths.__getitem__, ids)) != len(p.encode()) + 2 * p.count(" "):
-                found = None
+                found[p] = None
             else:
-                found = np.array(ids, dtype=np.int32).tobytes(), " ".join(map(str, ids))
+                found[p] = array("i", ids).tobytes()
+        out = [found[p] if p in found else young[p] for p in pieces]
+        for p, ids in found.items():
             if len(p) > LONG:
-                long[p] = found
-            else:
-                cache[p] = found
-                self.held += ENTRY + 3 * len(p)
-        return [long[p] if p in long else cache[p] for p in pieces]
-
-    def parts(self, text: str) -> list[tuple[bytes, str]] | None:
+                continue
+            size = ENTRY + 3 * len(p)
+            if self.held + size > CACHED // 2:
+                self.older, self.cache, self.held = self.cache, {}, 0
+            self.cache[p] = ids
+            self.held += size
+        return out
+
+    def parts(self, text: str) -> list[bytes] | None:
         """The ids of the text chunk by chunk; None where it has to be encoded as a whole."""
         if not self.by_chunks or not text or "▁" in text:
             return None
         found = self.look_up(CHUNKS(" " + text))
         return None if None in found else found
 
-    def encode_with(self, text: str) -> tuple[np.ndarray, np.ndarray, str]:
-        """Ids without the end id, an array (ids, 2) of the byte spans in the original text, and the ids in decimals."""
+    def encode_arrays(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        """Ids without the end id, and an array (ids, 2) of the byte spans in the original text."""
         parts = self.parts(text)
         if parts is None:
-            ids, spans = self.encode_one(text)
-            return ids, spans, " ".join(map(str, ids.tolist()))
-        ids = np.frombuffer(b"".join([x for x, _ in parts]), dtype=np.int32)
+            return self.encode_one(text)
+        ids = np.frombuffer(b"".join(parts), dtype=np.int32)
         _, at = self.normalise(text.encode())
-        return ids, self.project(ids, at, len(SPACE)), " ".join([x for _, x in parts])
-
-    def encode_arrays(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        return self.encode_with(text)[:2]
+        return ids, self.project(ids, at, len(SPACE))
 
     def encode_text(self, text: str) -> tuple[list[int], list[tuple[int, int]]]:
         ids, spans = self.encode_arrays(text)
@@ -219,9 +220,10 @@ class Codec:
 
     def digest(self, text: str, end: list[int]) -> tuple[int, int, str, str]:
         """Ids, bytes within the pieces' spans, and the two digests."""
-        ids, spans, told = self.encode_with(text)
-        told = " ".join(filter(None, [told, *map(str, end)]))
-        return len(ids) + len(end), int((spans[:, 1] - spans[:, 0]).sum()), sha(told), sha(self.model.decode(ids.tolist() + end))
+        found, spans = self.encode_arrays(text)
+        ids = found.tolist() + end
+        told = " ".join(map(self.decimals.__getitem__, ids))
+        return len(ids), int((spans[:, 1] - spans[:, 0]).sum()), sha(told), sha(self.model.decode(ids))
 
 
 def sha(text: str) -> str:
@@ -244,7 +246,20 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-CHUNK = 256
+#: Rows, and bytes of text, encoded at once: the ids and spans of these are held together. A longer text is a part of its own.
+CHUNK, PART = 256, 2**20
+
+
+def portions(texts: pa.Array) -> Iterator[tuple[int, int]]:
+    """(start, rows) of the parts in which a column of texts is encoded."""
+    start = size = 0
+    for i, n in enumerate(pc.fill_null(pc.binary_length(texts), 0).to_pylist()):
+        if i - start == CHUNK or (i > start and size + n > PART):
+            yield start, i - start
+            start, size = i, 0
+        size += n
+    if len(texts):
+        yield start, len(texts) - start
 
 
 def encode(docs: DataFrame, model: str, text: str = "text", end_id: bool = True, digest: bool = False) -> DataFrame:
@@ -269,8 +284,8 @@ def encode(docs: DataFrame, model: str, text: str = "text", end_id: bool = True,
         c = codec(model if "/" in model else tokenizer_path(model))
         end = [c.end] if end_id else []
         for batch in batches:
-            for start in range(0, batch.num_rows, CHUNK):
-                part = batch.slice(start, CHUNK)
+            for start, n in portions(batch.column(text)):
+                part = batch.slice(start, n)
                 texts = [x.as_py() or "" for x in part.column(text)]
                 if digest:
                     rows = [c.digest(t, end) for t in texts]

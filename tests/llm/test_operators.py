@@ -5,11 +5,13 @@ import hashlib
 import math
 import random
 import re
+import sys
 import zlib
 from collections import Counter, defaultdict
 from fractions import Fraction
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from conftest import same_rows
 from pyspark.sql import functions as F
@@ -498,6 +500,28 @@ def test_the_cache_is_bounded(monkeypatch):
         assert len(c.cache) < 40 and all(len(p) <= sentencepiece_codec.LONG for p in c.cache)
 
 
+def test_a_full_cache_takes_little_memory():
+    c = sentencepiece_codec.Codec(sentencepiece_codec.tokenizer_path("piece_bpe_32k.model"))
+    rng = random.Random(1)
+    for _ in range(60):
+        c.encode_arrays(" ".join("".join(rng.choices("abcdefgh", k=10)) for _ in range(4000)) + " kept")
+    kept = [x for x in vars(c).values() if isinstance(x, dict)]
+    size = sum(map(sys.getsizeof, kept)) + sum(sys.getsizeof(k) + sys.getsizeof(v) + (sum(map(sys.getsizeof, v)) if isinstance(v, tuple) else 0) for x in kept for k, v in x.items())
+    assert size < 40e6
+    assert " kept" in c.cache or " kept" in c.older
+
+
+def test_parts_hold_few_rows_and_bytes(monkeypatch):
+    monkeypatch.setattr(sentencepiece_codec, "PART", 100)
+    texts = ["a" * 60, "b" * 60, None, "", "é" * 300, "c", *["d"] * 600]
+    parts = list(sentencepiece_codec.portions(pa.array(texts)))
+    assert [i for start, n in parts for i in range(start, start + n)] == list(range(len(texts)))
+    assert all(n == 1 or sum(len((t or "").encode()) for t in texts[start : start + n]) <= 100 for start, n in parts)
+    monkeypatch.setattr(sentencepiece_codec, "PART", 2**20)
+    assert [n for _, n in sentencepiece_codec.portions(pa.array(["d"] * 600))] == [256, 256, 88]
+    assert list(sentencepiece_codec.portions(pa.array([], pa.string()))) == []
+
+
 @pytest.mark.parametrize("rule", ["nmt_nfkc", "nfkc_cf", "nmt_nfkc_cf"])
 def test_compiled_character_map_against_the_library(rule):
     import sentencepiece
