@@ -10,8 +10,10 @@ thinner than the table, so its neighbours are farther and its share errs to the
 Vectors get one more component, the root of the largest squared norm less their own, so that nearness in the trees follows
 the inner product. Equal vectors are indexed once, with their k + 1 smallest ids; more can't be among anyone's k nearest. Equal queries
 are asked once, for the k + 1 nearest, of which each leaves out itself.
-Rows meet queries leaf by leaf, one copy of a row for each tree: the rows and queries of a leaf are sorted together, rows first.
-A leaf of many rows is cut into tiles of CHUNK rows or so; a task holds one tile at a time, and queries stream past it.
+Rows meet queries leaf by leaf, one copy of a row for each tree: the leaves that follow each other in a tree make a tile of CHUNK
+numbers or so, and a leaf of more is cut into several. The rows and queries of a tile are sorted together, rows first; a task holds
+one tile at a time, and queries stream past it. A query comes to a tile once, with the leaves it opens there and the score that its
+k + 1 nearest have at least: that of the k + 1 nearest rows of the sample that it opens. Only rows that reach it leave the tile.
 
 Defined cases: vectors that are null or zero, have null or non-finite components or another length than most take no part,
 neither as queries nor as candidates. Ties go to the smaller id. With fewer candidates than k, all are returned. An empty
@@ -20,7 +22,6 @@ table gives no rows. Extra columns are not read. A repeated id counts as one vec
 
 from __future__ import annotations
 
-import heapq
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -31,9 +32,11 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lexgrid.llm.common import Workspace
+from lexgrid.llm.common import Workspace, let
 
-TREES, LEAF, TARGET, SAMPLE, ASKED, CHUNK, SEED = 12, 256, 0.94, 16_384, 200, 4096, 5
+TREES, LEAF, TARGET, SAMPLE, ASKED, SEED = 12, 256, 0.94, 16_384, 200, 5
+#: Numbers (rows x components) of a tile, and of a block of scores.
+CHUNK, BLOCK = 2_097_152, 2_097_152
 #: Candidates that a task gathers before it keeps the k best of each query.
 HELD = 1_000_000
 
@@ -57,27 +60,49 @@ class Forest:
         at = np.zeros(len(lifted), dtype=np.int64)
         if not len(self.cuts[t]):
             return at
-        side = lifted @ self.directions[t].T >= self.cuts[t]
         inner = np.arange(len(lifted))
         while len(inner):
-            at[inner] = self.children[t][at[inner], side[inner, at[inner]].astype(np.int64)]
+            node = at[inner]
+            side = np.einsum("ij,ij->i", lifted[inner], self.directions[t][node]) >= self.cuts[t][node]
+            at[inner] = self.children[t][node, side.astype(np.int64)]
             inner = inner[at[inner] >= 0]
         return -at - 1
 
-    def probe(self, query: np.ndarray, enough: float) -> list[tuple[int, int]]:
-        """(tree, leaf) in the order of the shared queue until they hold enough rows. query is not lifted: its last component is 0."""
-        gaps = [d[:, :-1] @ query - c if len(c) else c for d, c in zip(self.directions, self.cuts)]
-        queue = [(0.0, t, 0 if len(self.cuts[t]) else -1) for t in range(len(self.cuts))]
-        found, held = [], 0
-        while queue and held < enough:
-            far, t, node = heapq.heappop(queue)
-            while node >= 0:
-                gap = gaps[t][node]
-                near = int(gap >= 0)
-                heapq.heappush(queue, (far + gap * gap, t, int(self.children[t][node, 1 - near])))
-                node = int(self.children[t][node, near])
-            found.append((t, -node - 1))
-            held += int(self.sizes[t][-node - 1])
+    def leaves_of(self, lifted: np.ndarray) -> np.ndarray:
+        """A row a tree, with the leaves numbered through all trees."""
+        base = np.cumsum([0, *self.leaves])
+        return np.array([base[t] + self.leaf_of(t, lifted) for t in range(len(self.cuts))])
+
+    def distances(self, queries: np.ndarray) -> np.ndarray:
+        """(leaves of all trees, queries): what the queue is ordered by. Queries are not lifted: their last component is 0."""
+        out, base = np.zeros((sum(self.leaves), len(queries))), np.cumsum([0, *self.leaves])
+        for t, children in enumerate(self.children):
+            gaps = self.directions[t][:, :-1] @ queries.T - self.cuts[t][:, None]
+            far, leaf = np.zeros_like(gaps), out[base[t] : base[t + 1]]
+            at = np.arange(min(1, len(children)))
+            while len(at):  # a level of the tree
+                gap = gaps[at]
+                for side in (0, 1):
+                    to, way = children[at, side], far[at] + np.where((gap >= 0) == side, 0.0, gap * gap)
+                    far[to[to >= 0]], leaf[-to[to < 0] - 1] = way[to >= 0], way[to < 0]
+                at = children[at].ravel()
+                at = at[at >= 0]
+        return out
+
+    def probe(self, queries: np.ndarray, enough: float) -> list[np.ndarray]:
+        """For each query the leaves, numbered through all trees, in the order of one queue over them until they hold enough rows."""
+        sizes, found = np.concatenate(self.sizes), []
+        guess = int(min(len(sizes), 1.3 * enough / max(1.0, sizes.mean()) + len(self.cuts)))
+        for far in np.ascontiguousarray(self.distances(queries).T):
+            n = guess
+            while True:
+                first = np.sort(np.argpartition(far, n - 1)[:n]) if n < len(far) else np.arange(len(far))
+                first = first[np.argsort(far[first], kind="stable")]
+                held = np.cumsum(sizes[first])
+                if n == len(far) or held[-1] >= enough:
+                    break
+                n = min(len(far), 2 * n)
+            found.append(first[: np.searchsorted(held, enough) + 1])
         return found
 
 
@@ -122,20 +147,18 @@ def grow(sample: np.ndarray, top: float, trees: int, smallest: float) -> Forest:
 def share_for(forest: Forest, sample: np.ndarray, k: int, target: float) -> float:
     """The least share of the vectors with which the sample's queries find `target` of their k nearest in the sample."""
     n = len(sample)
-    lifted = forest.lift(sample)
-    leaves = [forest.leaf_of(t, lifted) for t in range(len(forest.cuts))]
-    forest.sizes = [np.bincount(x, minlength=c) for x, c in zip(leaves, forest.leaves)]
+    leaves = forest.leaves_of(forest.lift(sample))
+    sizes = np.bincount(leaves.ravel(), minlength=sum(forest.leaves))
+    forest.sizes = np.split(sizes, np.cumsum(forest.leaves)[:-1])
     costs = []
     for i in np.random.default_rng(SEED).permutation(n)[:ASKED]:
         score = sample @ sample[i]
         score[i] = -np.inf
         near = np.argsort(-score)[: min(k, n - 1)]
-        order = forest.probe(sample[i], np.inf)
-        before = np.cumsum([0, *(forest.sizes[t][x] for t, x in order)])
-        cost = [np.zeros(c) for c in forest.leaves]
-        for (t, x), held in zip(order, before):
-            cost[t][x] = held
-        costs.append(np.min([cost[t][leaves[t][near]] for t in range(len(leaves))], axis=0))
+        (order,) = forest.probe(sample[i : i + 1], np.inf)
+        cost = np.zeros(len(sizes))
+        cost[order] = np.cumsum(sizes[order]) - sizes[order]
+        costs.append(cost[leaves[:, near]].min(0))
     flat = np.concatenate(costs) if costs else np.zeros(0)
     return float(np.quantile(flat, target, method="higher") + 1) / n if len(flat) else float(len(forest.cuts))
 
@@ -166,41 +189,73 @@ def best_of(query: np.ndarray, ids: np.ndarray, score: np.ndarray, k: int) -> pa
     return pa.RecordBatch.from_arrays([pa.array(q[heads]), pa.ListArray.from_arrays(np.append(heads, len(q)).astype(np.int32), pairs)], names=["first", "found"])
 
 
+def below(score: np.ndarray) -> np.ndarray:
+    """A little less, as products of matrices are rounded in another way than the score that is returned."""
+    return score - 1e-9 * np.maximum(1, np.abs(score))
+
+
+class Tile:
+    """The rows of a tile in the order of their leaves."""
+
+    def __init__(self, parts: list[pa.RecordBatch], size: int):
+        leaf = np.concatenate([np.asarray(p.column("leaves").flatten()) for p in parts])
+        order = np.argsort(leaf, kind="stable")
+        self.rows = np.concatenate([matrix(p.column("v"), size) for p in parts])[order]
+        ids = pa.concat_arrays([p.column("ids") for p in parts])
+        offsets, self.flat = np.asarray(ids.offsets), np.asarray(ids.values)
+        self.first, self.each = offsets[:-1][order], np.diff(offsets)[order]
+        leaves, at = np.unique(leaf[order], return_index=True)
+        self.ranges = dict(zip(leaves.tolist(), zip(at.tolist(), [*at[1:].tolist(), len(leaf)])))
+
+    def near(self, queries: pa.RecordBatch, size: int, k: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(query, id, score) of the rows that may be among the k nearest of a query, some at a time."""
+        x, asks = matrix(queries.column("v"), size), np.asarray(queries.column("ids").flatten())
+        least, opened = np.array(queries.column("least")), queries.column("leaves")
+        leaf, who = np.asarray(opened.flatten()), np.repeat(np.arange(len(x)), np.asarray(opened.value_lengths()))
+        order = np.argsort(leaf, kind="stable")
+        leaf, who = leaf[order], who[order]
+        edges = np.flatnonzero(np.append(True, leaf[1:] != leaf[:-1]))
+        for a, b in zip(edges, [*edges[1:], len(leaf)]):
+            start, end = self.ranges.get(int(leaf[a]), (0, 0))
+            n = end - start
+            if not n:
+                continue
+            step = max(1, BLOCK // n)
+            for s in range(a, b, step):
+                q = who[s : min(s + step, b)]
+                score = x[q] @ self.rows[start:end].T
+                free = np.isneginf(least[q])
+                if n > k and free.any():
+                    least[q[free]] = below(np.partition(score[free], n - k, axis=1)[:, n - k])
+                i, what = np.divmod(np.flatnonzero(score >= least[q, None]), n)
+                i, what = q[i], what + start
+                if not len(i):
+                    continue
+                exact = np.concatenate([(x[i[u : u + 4096]] * self.rows[what[u : u + 4096]]).sum(1) for u in range(0, len(i), 4096)])
+                each = self.each[what]
+                at = np.repeat(self.first[what], each) + np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each)
+                yield np.repeat(asks[i], each), self.flat[at], np.repeat(exact, each)
+
+
 def rank_tiles(batches: Iterator[pa.RecordBatch], size: int, k: int) -> Iterator[pa.RecordBatch]:
-    """Nearest candidates of (tile, kind, ids, v), sorted by tile and kind: rows (kind 0) with their ids, then queries (kind 1)."""
-    now, held, rows, members = None, [], np.zeros((0, size)), []
+    """Nearest candidates of (tile, kind, ids, leaves, least, v), sorted by tile and kind: rows (kind 0) with their ids, then queries (kind 1)."""
+    now, held, tile = None, [], None
     gathered, n = [], 0
     for batch in batches:
-        tile, kind = np.asarray(batch.column("tile")), np.asarray(batch.column("kind"))
-        edges = np.flatnonzero(np.concatenate([[True], (tile[1:] != tile[:-1]) | (kind[1:] != kind[:-1])])) if len(tile) else []
-        for a, b in zip(edges, [*edges[1:], len(tile)]):
+        tiles, kind = np.asarray(batch.column("tile")), np.asarray(batch.column("kind"))
+        edges = np.flatnonzero(np.concatenate([[True], (tiles[1:] != tiles[:-1]) | (kind[1:] != kind[:-1])])) if len(tiles) else []
+        for a, b in zip(edges, [*edges[1:], len(tiles)]):
             part = batch.slice(a, b - a)
-            if tile[a] != now:
-                now, held, rows, members = tile[a], [], np.zeros((0, size)), []
+            if tiles[a] != now:
+                now, held, tile = tiles[a], [], None
             if kind[a] == 0:
-                held.append((matrix(part.column("v"), size), part.column("ids")))
+                held.append(part)
                 continue
             if held:
-                rows = np.concatenate([rows, *(x for x, _ in held)])
-                members += [m for _, m in held]
-                held = []
-                ids = pa.concat_arrays(members)
-                offsets, flat = np.asarray(ids.offsets), np.asarray(ids.values)
-            if not len(rows):
-                continue
-            x, asks = matrix(part.column("v"), size), np.asarray(part.column("ids").flatten())
-            for s in range(0, len(x), 256):
-                score = x[s : s + 256] @ rows.T
-                if len(rows) > k:
-                    least = np.partition(score, len(rows) - k, axis=1)[:, len(rows) - k, None]
-                    who, what = np.nonzero(score >= least - 1e-9 * np.maximum(1, np.abs(least)))
-                else:
-                    who, what = np.nonzero(np.ones_like(score, dtype=bool))
-                exact = np.concatenate([(x[s + who[u : u + 4096]] * rows[what[u : u + 4096]]).sum(1) for u in range(0, len(who), 4096)])
-                each = offsets[what + 1] - offsets[what]
-                at = np.repeat(offsets[what], each) + np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each)
-                gathered.append((np.repeat(asks[s + who], each), flat[at], np.repeat(exact, each)))
-                n += len(at)
+                held, tile = [], Tile(held, size)
+            for found in tile.near(part, size, k) if tile else ():
+                gathered.append(found)
+                n += len(found[0])
                 if n > HELD:
                     yield best_of(*map(np.concatenate, zip(*gathered)), k)
                     gathered, n = [], 0
@@ -208,6 +263,18 @@ def rank_tiles(batches: Iterator[pa.RecordBatch], size: int, k: int) -> Iterator
         yield best_of(*map(np.concatenate, zip(*gathered)), k)
 
 
+def tiles_of(held: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """(first tile, number of tiles) of each leaf: leaves share a tile while they hold at most so many rows; one of more has tiles of its own."""
+    chunks = np.maximum(1, -(-held // most))
+    starts, tile, full = np.zeros(len(held), dtype=np.int64), 0, 0
+    for i, (n, c) in enumerate(zip(held.tolist(), chunks.tolist())):
+        if full and full + n > most:
+            tile, full = tile + 1, 0
+        starts[i] = tile
+        tile, full = (tile + c, 0) if c > 1 else (tile, full + n)
+    return starts, chunks
+
+
 def search(df: DataFrame, is_query: Column, key: str = "vec_id", vector: str = "embedding", k: int = 20, trees: int = TREES, leaf: int = LEAF, target: float = TARGET, share: float | None = None) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest found of each row for which is_query holds, without itself.
 
@@ -231,60 +298,74 @@ def search(df: DataFrame, is_query: Column, key: str = "vec_id", vector: str = "
     forest = grow(sample, top, trees, max(1.0, leaf * len(sample) / kinds))
     if share is None:
         share = share_for(forest, sample, k, target)
-    base = np.cumsum([0, *forest.leaves])
     first = spark.sparkContext.broadcast(forest)  # at most trees * SAMPLE nodes
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n = np.zeros(base[-1], dtype=np.int64)
+        n = np.zeros(sum(first.value.leaves), dtype=np.int64)
         for b in batches:
-            x = first.value.lift(matrix(b.column("v"), size))
-            for t in range(trees):
-                n[base[t] : base[t + 1]] += np.bincount(first.value.leaf_of(t, x), minlength=first.value.leaves[t])
+            for s in range(0, b.num_rows, 1024):
+                x = first.value.lift(matrix(b.column("v").slice(s, 1024), size))
+                n += np.bincount(first.value.leaves_of(x).ravel(), minlength=len(n))
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(n), dtype=np.int32)), pa.array(n)], names=["leaf", "n"])
 
-    held = np.zeros(base[-1], dtype=np.int64)
+    held = np.zeros(sum(forest.leaves), dtype=np.int64)
     for r in classes.select("v").mapInArrow(count, "leaf int, n long").groupBy("leaf").agg(F.sum("n").alias("n")).collect():  # one row a leaf
         held[r["leaf"]] = r["n"]
-    forest.sizes = [held[base[t] : base[t + 1]] for t in range(trees)]
+    forest.sizes = np.split(held, np.cumsum(forest.leaves)[:-1])
     enough = max(share * kinds, 4.0 * leaf)
-    chunks = np.maximum(1, -(-held // CHUNK))
-    starts = np.cumsum([0, *chunks])
-    sent = spark.sparkContext.broadcast(forest)
+    starts, chunks = tiles_of(held, max(1, CHUNK // size))
+    sent = spark.sparkContext.broadcast((forest, sample, forest.leaves_of(forest.lift(sample))))
+
+    def rows_of(tile: np.ndarray, kind: int, ids: pa.Array, leaves: pa.Array, least: np.ndarray, v: pa.Array) -> pa.RecordBatch:
+        kinds = pa.array(np.full(len(tile), kind, dtype=np.int32))
+        return pa.RecordBatch.from_arrays([pa.array(tile), kinds, ids, leaves, pa.array(least), v], names=["tile", "kind", "ids", "leaves", "least", "v"])
 
-    def rows_of(tile: np.ndarray, kind: int, ids: pa.Array, v: pa.Array) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(tile), pa.array(np.full(len(tile), kind, dtype=np.int32)), ids, v], names=["tile", "kind", "ids", "v"])
+    def lists(starts: np.ndarray, values: np.ndarray) -> pa.Array:
+        return pa.ListArray.from_arrays(pa.array(starts.astype(np.int32)), pa.array(values))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for s in range(0, b.num_rows, 1024):
                 part = b.slice(s, 1024)
-                x, ids = sent.value.lift(matrix(part.column("v"), size)), part.column("ids")
+                ids, n = part.column("ids"), part.num_rows
                 spread = np.asarray(pa.compute.list_element(ids, 0))
-                for t in range(trees):
-                    leaves = base[t] + sent.value.leaf_of(t, x)
-                    yield rows_of(starts[leaves] + (spread * 0x9E3779B1 >> 7) % chunks[leaves], 0, ids, part.column("v"))
+                for leaves in sent.value[0].leaves_of(sent.value[0].lift(matrix(part.column("v"), size))):
+                    tile = starts[leaves] + (spread * 0x9E3779B1 >> 7) % chunks[leaves]
+                    yield rows_of(tile, 0, ids, lists(np.arange(n + 1), leaves.astype(np.int32)), np.zeros(n), part.column("v"))
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forest, sample, placed = sent.value
         for b in batches:
-            ids, v = np.asarray(b.column("id")), matrix(b.column("v"), size)
-            for s in range(0, len(ids), 32):
-                codes, who = [], []
-                for i in range(s, min(s + 32, len(ids))):
-                    for t, leaf_ in sent.value.probe(v[i], enough):
-                        own = np.arange(starts[base[t] + leaf_], starts[base[t] + leaf_ + 1])
-                        codes.append(own)
-                        who.append(np.full(len(own), i))
-                code, i = np.concatenate(codes), np.concatenate(who)
-                yield rows_of(code, 1, pa.ListArray.from_arrays(np.arange(len(i) + 1, dtype=np.int32), pa.array(ids[i])), b.column("v").take(pa.array(i)))
-
-    form = f"tile long, kind int, ids array<long>, v array<{kind}>"
+            for s in range(0, b.num_rows, 32):
+                ids, v = np.asarray(b.column("id").slice(s, 32)), matrix(b.column("v").slice(s, 32), size)
+                found, least = forest.probe(v, enough), np.full(len(ids), -np.inf)
+                score = v @ sample.T
+                for i, leaves in enumerate(found):
+                    opened = np.zeros(sum(forest.leaves), dtype=bool)
+                    opened[leaves] = True
+                    seen = score[i, opened[placed].any(0)]
+                    if len(seen) > k:
+                        least[i] = below(np.partition(seen, len(seen) - k - 1)[len(seen) - k - 1])
+                leaf, who = np.concatenate(found), np.repeat(np.arange(len(ids)), [len(x) for x in found])
+                each = chunks[leaf]
+                tile = np.repeat(starts[leaf] - np.cumsum(each) + each, each) + np.arange(each.sum())
+                leaf, who = np.repeat(leaf, each), np.repeat(who, each)
+                order = np.lexsort((tile, who))
+                leaf, who, tile = leaf[order], who[order], tile[order]
+                at = np.flatnonzero(np.append(True, (tile[1:] != tile[:-1]) | (who[1:] != who[:-1])))
+                i = who[at]
+                yield rows_of(tile[at], 1, lists(np.arange(len(i) + 1), ids[i]), lists(np.append(at, len(leaf)), leaf.astype(np.int32)), least[i], b.column("v").take(pa.array(i + s)))
+
+    form = f"tile long, kind int, ids array<long>, leaves array<int>, least double, v array<{kind}>"
     tiles = classes.select("ids", "v").mapInArrow(place, form)
     asked = rows.where("q").select("id", "v")
     firsts = space.keep(asked.groupBy("v").agg(F.min("id").alias("id")))
     probes = firsts.mapInArrow(ask, form)
     met = tiles.unionByName(probes).repartition("tile").sortWithinPartitions("tile", "kind")
     found = met.mapInArrow(lambda batches: rank_tiles(batches, size, k + 1), "first long, found array<struct<s:double,id:long>>")
-    best = found.groupBy("first").agg(F.slice(F.sort_array(F.array_distinct(F.flatten(F.collect_list("found")))), 1, k + 1).alias("best"))
+    several = found.groupBy("first").agg(F.sort_array(F.flatten(F.collect_list("found"))).alias("found"))
+    fresh = let(F.col("found"), lambda x: F.filter(x, lambda y, i: (i == 0) | (y != F.get(x, i - 1))))  # array_distinct() compares all pairs of structs
+    best = several.select("first", F.slice(fresh, 1, k + 1).alias("best"))
     each = asked.join(firsts.withColumnRenamed("id", "first"), "v").select(F.col("id").alias("query_id"), "first").join(best, "first")
     out = each.select("query_id", F.posexplode(F.slice(F.filter("best", lambda x: x["id"] != F.col("query_id")), 1, k)).alias("p", "x"))
     return out.select("query_id", (F.col("p") + 1).alias("rank"), F.col("x.id").alias("vec_id"), (-F.col("x.s")).alias("score"))

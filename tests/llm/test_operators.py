@@ -2,6 +2,7 @@
 
 import functools
 import hashlib
+import heapq
 import math
 import random
 import re
@@ -232,6 +233,59 @@ def test_nearest_of_grouped_vectors_opens_few_leaves(spark):
     assert hit >= 0.9 * 20 * len(got)
 
 
+def spread_vectors(n, size=12, seed=3):
+    return np.random.default_rng(seed).standard_normal((n, size)).astype(np.float32)
+
+
+def test_nearest_opens_leaves_in_the_order_of_one_queue():
+    x = spread_vectors(2000).astype(float)
+    forest = nearest.grow(x, float((x * x).sum(1).max()), 5, 20)
+    leaves = forest.leaves_of(forest.lift(x))
+    sizes, base = np.bincount(leaves.ravel(), minlength=sum(forest.leaves)), np.cumsum([0, *forest.leaves])
+    forest.sizes = np.split(sizes, base[1:-1])
+    for enough in (1, 90, 700, 9_999, np.inf):
+        for query, got in zip(x[:9], forest.probe(x[:9], enough)):
+            queue, want, held = [(0.0, t, 0) for t in range(5)], [], 0
+            while queue and held < enough:
+                far, t, node = heapq.heappop(queue)
+                while node >= 0:
+                    gap = forest.directions[t][node, :-1] @ query - forest.cuts[t][node]
+                    near = int(gap >= 0)
+                    heapq.heappush(queue, (far + gap * gap, t, int(forest.children[t][node, 1 - near])))
+                    node = int(forest.children[t][node, near])
+                want.append(base[t] - node - 1)
+                held += sizes[want[-1]]
+            assert got.tolist() == want
+
+
+def test_nearest_sends_a_query_once_to_a_tile(spark, monkeypatch):
+    """Not once to each leaf, which would be a row for each query and some rows."""
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(spread_vectors(2000))], "vec_id long, embedding array<float>")
+    met, sort = [], type(df).sortWithinPartitions
+    monkeypatch.setattr(type(df), "sortWithinPartitions", lambda self, *columns: met.append(self) or sort(self, *columns))
+    found = nearest.search(df, F.col("vec_id") % 20 == 0, leaf=32)
+    assert met[0].where("kind = 1").count() == 100
+    assert "array_distinct" not in found._jdf.queryExecution().executedPlan().toString()  # it compares all pairs of structs
+
+
+def test_nearest_does_not_depend_on_tiles(spark, monkeypatch):
+    x = spread_vectors(1500)
+    x[700:1000] = x[700:1000] * 1e-3 + x[3]  # a leaf of many rows in a thin sample
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)] + [(2000 + i, x[i].tolist()) for i in range(60)], "vec_id long, embedding array<float>")
+    monkeypatch.setattr(nearest, "SAMPLE", 300)
+    told = lambda: sorted(map(tuple, nearest.search(df, F.col("vec_id") % 20 == 0, leaf=64).collect()))
+    want = told()
+    for most in (12 * 40, 12 * 200):
+        monkeypatch.setattr(nearest, "CHUNK", most)
+        assert told() == want
+    assert len(want) == 78 * 20
+
+
+def test_leaves_share_tiles():
+    starts, chunks = nearest.tiles_of(np.array([3, 4, 9, 0, 25, 10, 1]), 10)
+    assert starts.tolist() == [0, 0, 1, 1, 2, 5, 6] and chunks.tolist() == [1, 1, 1, 1, 3, 1, 1]
+
+
 def test_nearest_of_few_rows(spark):
     df = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.5, 0.5]), (2, [1.0, 0.0])], "vec_id long, embedding array<float>")
     assert [tuple(r) for r in nearest.search(df, F.col("vec_id") == 0).orderBy("rank").collect()] == [(0, 1, 2, 1.0), (0, 2, 1, 0.5)]
