@@ -135,7 +135,7 @@ def bases(spark: SparkSession) -> DataFrame:
 
 
 def tf_based_tokens(spark: SparkSession, d: str) -> DataFrame:
-    return stats.term_frequency(stemming.based_tokens(docs(spark, d), bases(spark))).select("lang", "doc_id", "term", "c")
+    return stats.frequencies(stemming.based_tokens(docs(spark, d), bases(spark)))
 
 
 def tf_based(spark: SparkSession, d: str) -> DataFrame:

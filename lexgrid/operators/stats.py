@@ -54,6 +54,21 @@ def merged(tf: DataFrame) -> DataFrame:
     return tf.groupBy(*[c for c in tf.columns if c != "c"]).agg(F.sum("c").alias("c"))
 
 
+#: Documents in several rows are told to all tasks up to so many.
+FEW = 100_000
+
+
+def frequencies(docs: DataFrame) -> DataFrame:
+    """(lang, doc_id, term, c): words are counted where a document lies; only those of documents in several rows are shuffled."""
+    rows, keys = packed(docs), ["lang", "doc_id", "term", "c"]
+    several = materialise(docs.groupBy("lang", "doc_id").count().where("count > 1").select(F.col("lang").alias("g"), F.col("doc_id").alias("i"), F.lit(True).alias("again")))
+    if several.isEmpty():
+        return unpacked(rows).select(*keys)
+    told = F.broadcast(several) if several.limit(FEW + 1).count() <= FEW else several
+    rows = materialise(rows.join(told, rows["lang"].eqNullSafe(told["g"]) & rows["doc_id"].eqNullSafe(told["i"]), "left").drop("g", "i"))
+    return unpacked(rows.where("again IS NULL")).select(*keys).unionByName(merged(unpacked(rows.where("again")).select(*keys)))
+
+
 def document_frequency(tf: DataFrame) -> DataFrame:
     """(lang, term, n): a row of tf is a document that holds the term, so no second distinct is needed."""
     return tf.groupBy("lang", "term").agg(F.count("*").alias("n"))

@@ -2,11 +2,14 @@
 
 import random
 import re
+from collections import Counter
 
 import pytest
 from conftest import same_rows
+from pyspark.sql import functions as F
 
 from lexgrid import catalogue
+from lexgrid.functions import stemming
 from lexgrid.functions.analysis import analyze
 from lexgrid.operators import blocks
 from lexgrid.operators import index as ix
@@ -178,3 +181,36 @@ def test_other_postings_are_searched_as_they_are(spark):
     index = ix.build_index(docs, terms=se.query_terms(queries).select("term").distinct())
     index.postings = index.postings.where("doc_id > 5")
     assert {r["doc_id"] for r in se.search(index, queries).collect()} == {6, 7, 8}
+
+
+def test_based_tokens_are_counted_where_a_document_lies(spark, sf):
+    """Neither a look for a base nor the counts shuffle words."""
+    assert dealt_by(plan_of(catalogue.queries()["tf_based_tokens"](spark, sf))) == []
+
+
+@pytest.mark.parametrize("few", [0, 100])
+def test_documents_in_several_rows_are_counted_as_one(spark, monkeypatch, few):
+    """Also if its rows are of different length, and if there are too many such documents to be told to all tasks."""
+    monkeypatch.setattr(stats, "FEW", few)
+    for again in (False, True):
+        docs, want = odd_documents(spark, again), Counter()
+        for r in docs.collect():
+            want.update((r["lang"], r["doc_id"], t) for t in r["tokens"] or () if t is not None)
+        got = stats.frequencies(docs).collect()
+        assert {(r["lang"], r["doc_id"], r["term"]): r["c"] for r in got} == want and len(got) == len(want)
+    twice = spark.createDataFrame([(None, 6, ["a"]), (None, 6, ["a", "b"]), ("x", None, ["a"]), ("x", None, ["a"])], "lang string, doc_id long, tokens array<string>")
+    assert sorted(map(str, stats.frequencies(twice).collect())) == sorted(map(str, stats.merged(stats.term_frequency(twice).drop("dl")).collect()))
+
+
+@pytest.mark.parametrize("several", [False, True])
+def test_few_bases_and_many_give_the_same_tokens(spark, monkeypatch, several):
+    odd = ["it's", "a\\b", 'q"q', "l\nl", "中文", "", "x", "gone"]
+    rows = [("x", 1, ["b", "a", None, "b", *odd]), ("y", 2, ["a", "b", "\U0001f642"]), (None, 3, ["a", "b"]), ("z", 4, ["a"]), ("x", 5, []), ("x", 6, None)]
+    docs = spark.createDataFrame(rows, "lang string, doc_id long, tokens array<string>").withColumn("kept", F.lit(7))
+    pairs = [("x", "b", "B"), ("x", "a", None), ("y", "a", "q"), ("y", "\U0001f642", "smile"), (None, "a", "n"), ("x", None, "m"), *(("x", w, f"<{w}>") for w in odd[:-1])] + [("x", "b", "C")] * several
+    bases = spark.createDataFrame(pairs, "lang string, word string, base string")
+    told = lambda: sorted((r["doc_id"], r["lang"] or "", r["tokens"], r["kept"]) for r in stemming.based_tokens(docs, bases).collect())
+    few = told()
+    monkeypatch.setattr(stemming, "FEW", 1)
+    assert few == told() and few[1][2] == ["q", "b", "smile"] and few[5][2] == []
+    assert few[0][2] == (["B", "C", "a", None, "B", "C"] if several else ["B", "a", None, "B"]) + [f"<{w}>" for w in odd[:-1]] + ["gone"]
